@@ -11,7 +11,7 @@ in the input, unlike a range join followed by ``row_number`` which multiplies ro
 per key before filtering.
 
 Hot keys. A window partitioned by the key alone puts one key's rows in one task. With
-``bucket_days`` set, the work is split by (key, time bucket):
+``bucket_seconds`` set, the work is split by (key, time bucket):
 
 1. per (key, bucket) the last event of the bucket (an aggregation: map-side partial);
 2. per key, the carry-in of each decision bucket = last event of any *earlier*
@@ -28,8 +28,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SIDE = "__asof_side"
 _TS = "__asof_ts"
@@ -39,6 +40,22 @@ _BKT = "__asof_bucket"
 _ORD = "__asof_ord"
 
 
+def time_bucket(col: Column, dtype: T.DataType, seconds: int) -> Column:
+    """Bucket number of a time value, non-decreasing in time.
+
+    Wall-clock timestamps (``TIMESTAMP_NTZ``) are bucketed on their own fields, so no
+    time-zone shift can reorder them; zone-aware timestamps on epoch seconds.
+    """
+    if isinstance(dtype, T.TimestampType):
+        secs = F.unix_seconds(col)
+    else:
+        days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("long")
+        secs = days * 86400
+        if isinstance(dtype, T.TimestampNTZType):
+            secs = secs + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+    return F.floor(secs / F.lit(seconds))
+
+
 def asof_latest(
     left: DataFrame,
     right: DataFrame,
@@ -48,7 +65,7 @@ def asof_latest(
     right_cols: Sequence[str] | dict[str, str],
     tie: Sequence[str] = (),
     left_salt: Sequence[str] = (),
-    bucket_days: int | None = None,
+    bucket_seconds: int | None = None,
 ) -> DataFrame:
     """Return ``left`` plus the matched event's columns (``right_cols`` maps output
     name -> right column; a list keeps the names).
@@ -76,7 +93,7 @@ def asof_latest(
     dec = left.select(*[F.col(c) for c in left_cols], key_expr.alias(_KEY), F.col(left_ts).alias(_TS))
     tie_cols = [f"__asof_tie{i}" for i in range(len(tie))]
 
-    if bucket_days is None:
+    if bucket_seconds is None:
         u = dec.withColumn(_SIDE, F.lit(1)).unionByName(
             ev.withColumn(_SIDE, F.lit(0)), allowMissingColumns=True
         )
@@ -87,11 +104,12 @@ def asof_latest(
         )
         matched = u.withColumn(_EVT, F.last(_EVT, ignorenulls=True).over(w)).where(F.col(_SIDE) == 1)
     else:
-        def bucket(ts):
-            return F.floor(F.datediff(F.col(ts).cast("date"), F.lit("1970-01-01").cast("date")) / F.lit(bucket_days))
-
-        dec = dec.withColumn(_BKT, bucket(_TS))
-        ev = ev.withColumn(_BKT, bucket(_TS))
+        ltype = left.schema[left_ts].dataType
+        rtype = right.schema[right_ts].dataType
+        if type(ltype) is not type(rtype):
+            raise TypeError(f"as-of times differ in type: {ltype} vs {rtype}")
+        dec = dec.withColumn(_BKT, time_bucket(F.col(_TS), ltype, bucket_seconds))
+        ev = ev.withColumn(_BKT, time_bucket(F.col(_TS), rtype, bucket_seconds))
         # 1. last event per (key, bucket): struct max orders by (t, tie...) first.
         summary = ev.groupBy(_KEY, _BKT).agg(F.max(_EVT).alias(_EVT)).withColumn(_SIDE, F.lit(1))
         # 2. carry-in per decision bucket from strictly earlier buckets.

@@ -116,30 +116,31 @@ def enrich_group(
     Joins on one key are consecutive, so after the first sort-merge join the frame is
     already hash-partitioned on that column and later joins on it shuffle only their
     right side (grouping by key, survey section 4). NULL keys are salted so they do
-    not collapse into one partition; the ``IS NOT NULL`` term keeps them unmatched.
+    not collapse into one partition; a separate non-NULL marker keeps them unmatched.
     """
     k = _c(key)
-    kc = "__gk"
+    kc, kv = "__gk", "__gkv"
     if spread_nulls:
-        out = df.withColumn(kc, salted_key(k, *(salt_cols or df.columns))).withColumn("__gkv", k.isNotNull())
+        out = df.select("*", salted_key(k, *(salt_cols or df.columns)).alias(kc), k.isNotNull().alias(kv))
+        helpers = [kc, kv]
     else:
-        out = df.withColumn(kc, k)
-    for lk in lookups:
-        rk = "__rk"
+        out = df.select("*", k.alias(kc))
+        helpers = [kc]
+    members = []
+    for i, lk in enumerate(lookups):
+        rk = f"__rk{i}"
+        rkey = F.col(lk.dim_key).cast("string") if spread_nulls else F.col(lk.dim_key)
         if lk.member:
-            (name, src), = lk.columns.items()
-            right = (
-                lk.dim.select(F.col(lk.dim_key).alias(rk)).where(F.col(rk).isNotNull()).distinct()
-                .withColumn(name, F.lit(1))
-            )
+            ((name, _src),) = lk.columns.items()
+            members.append(name)
+            right = lk.dim.select(rkey.alias(rk)).where(F.col(rk).isNotNull()).distinct()
+            right = right.select(rk, F.lit(1).alias(name))
         else:
-            right = lk.dim.select(F.col(lk.dim_key).alias(rk), *[F.col(s).alias(o) for o, s in lk.columns.items()])
+            right = lk.dim.select(rkey.alias(rk), *[F.col(src).alias(o) for o, src in lk.columns.items()])
+        cond = F.col(kc) == F.col(rk)
         if spread_nulls:
-            right = right.withColumn(rk, F.col(rk).cast("string"))
-            cond = (F.col(kc) == F.col(rk)) & F.col("__gkv")
-        else:
-            cond = F.col(kc) == F.col(rk)
-        out = out.join(right, cond, "left").drop(rk)
-        if lk.member:
-            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
-    return out.drop(kc, "__gkv")
+            cond = cond & F.col(kv)
+        out = out.join(right, cond, "left")
+        helpers.append(rk)
+    keep = [c for c in out.columns if c not in helpers]
+    return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in members else F.col(c) for c in keep])

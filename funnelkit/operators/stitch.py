@@ -4,20 +4,29 @@ Both inputs must carry disjoint column names (see ``prefixed``). Rows are kept f
 both sides; the ids are then coalesced by the caller with the preference each output
 column needs (F1/F2).
 
-NULL link ids are the common case (a late-stage row that never had an early stage),
-and an outer join hashes every NULL key to one shuffle partition; AQE's skew handling
-does not split full outer joins. ``stitch`` therefore joins on a salted key: NULL keys
-are replaced by a deterministic hash of the row, and a ``key IS NOT NULL`` term in the
-condition keeps salted keys from ever matching, so the result is exactly the full
-outer join.
-
-``stitch_split`` is the same result as three disjoint parts (matched + late-only via
-a left join, early-only via a left anti join); the early-only branch can then take
-predicates on early columns straight into its scan.
+Two plans with the same result:
+
+``stitch`` is one full outer join. NULL link ids are the common case (a late-stage
+row that never had an early stage) and an outer join hashes every NULL key to one
+shuffle partition, so the join runs on a salted key: NULL keys are replaced by a
+deterministic hash of the row and a ``key IS NOT NULL`` term keeps them unmatched.
+Its limit: AQE cannot split a skewed partition of a full outer join, and the full
+outer sort-merge join buffers both sides of a key, so a hot non-NULL link id stays
+in one task.
+
+``stitch_split`` (used by the mart) is the exact split
+``(late LEFT JOIN early) UNION ALL (early LEFT ANTI JOIN distinct late keys)``.
+Both joins stream their left side and can have a skewed left partition split by AQE;
+the anti join's right side is de-duplicated with map-side partial aggregation, so a
+hot id arrives as one row; NULL keys are salted on the streamed sides and filtered
+from the build sides (a NULL never matches). Early-only predicates can also reach
+the early scan in the anti branch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +37,41 @@ def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFram
     return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
 
 
-def stitch(late: DataFrame, early: DataFrame, late_key: str, early_key: str, salt: bool = True) -> DataFrame:
+def stitch(
+    late: DataFrame,
+    early: DataFrame,
+    late_key: str,
+    early_key: str,
+    salt: bool = True,
+    late_salt: Sequence[str] = (),
+    early_salt: Sequence[str] = (),
+) -> DataFrame:
     """Full outer join ``late`` x ``early`` on ``late_key = early_key``."""
     if not salt:
         return late.join(early, F.col(late_key) == F.col(early_key), "full")
-    lk, ek = f"__stitch_{late_key}", f"__stitch_{early_key}"
-    l2 = late.withColumn(lk, salted_key(late_key, *late.columns))
-    e2 = early.withColumn(ek, salted_key(early_key, *early.columns))
+    lk, ek = "__stitch_lk", "__stitch_ek"
+    l2 = late.withColumn(lk, salted_key(late_key, *(late_salt or late.columns)))
+    e2 = early.withColumn(ek, salted_key(early_key, *(early_salt or early.columns)))
     cond = (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull()
     return l2.join(e2, cond, "full").drop(lk, ek)
 
 
-def stitch_split(late: DataFrame, early: DataFrame, late_key: str, early_key: str) -> DataFrame:
-    """Same rows as ``stitch``: (late LEFT early) UNION ALL (early LEFT ANTI late)."""
-    matched = late.join(early, F.col(late_key) == F.col(early_key), "left")
-    linked = late.where(F.col(late_key).isNotNull()).select(F.col(late_key).alias("__stitch_k"))
-    early_only = early.join(linked, F.col(early_key) == F.col("__stitch_k"), "left_anti")
+def stitch_split(
+    late: DataFrame,
+    early: DataFrame,
+    late_key: str,
+    early_key: str,
+    late_salt: Sequence[str] = (),
+    early_salt: Sequence[str] = (),
+) -> DataFrame:
+    """Same rows as ``stitch``: matched and late-only rows from a left join, early-only
+    rows from a left anti join against the distinct late keys."""
+    lk, ek, dk = "__stitch_lk", "__stitch_ek", "__stitch_dk"
+    l2 = late.withColumn(lk, salted_key(late_key, *(late_salt or late.columns)))
+    e_linked = early.where(F.col(early_key).isNotNull()).withColumn(ek, F.col(early_key).cast("string"))
+    matched = l2.join(e_linked, (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull(), "left").drop(lk, ek)
+
+    keys = late.where(F.col(late_key).isNotNull()).select(F.col(late_key).cast("string").alias(dk)).distinct()
+    e2 = early.withColumn(ek, salted_key(early_key, *(early_salt or early.columns)))
+    early_only = e2.join(keys, (F.col(ek) == F.col(dk)) & F.col(early_key).isNotNull(), "left_anti").drop(ek)
     return matched.unionByName(early_only, allowMissingColumns=True)

@@ -47,9 +47,10 @@ def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stitched(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
     late = prefixed(role_frame(spark, sf_dir, "checkout_funnel"), "cf_")
     early = prefixed(prequal_stage(role_frame(spark, sf_dir, "prequal_funnel"), P), "pq_")
+    ids = dict(late_salt=["cf_application_id"], early_salt=["pq_application_id"])
     if split:
-        return stitch_split(late, early, "cf_prequal_id", "pq_prequal_id")
-    return stitch(late, early, "cf_prequal_id", "pq_prequal_id")
+        return stitch_split(late, early, "cf_prequal_id", "pq_prequal_id", **ids)
+    return stitch(late, early, "cf_prequal_id", "pq_prequal_id", **ids)
 
 
 # --- B: filters -----------------------------------------------------------------------
@@ -108,12 +109,12 @@ def date_gate_q(spark, sf_dir):
 
 
 # --- C1/E: per-key state ----------------------------------------------------------------
-def _asof(spark, sf_dir, bucket_days):
+def _asof(spark, sf_dir, bucket_seconds):
     d = role_frame(spark, sf_dir, "prequal_decision")
     e = role_frame(spark, sf_dir, "card_state_event")
     out = asof_latest(d, e, "user_id", "created", "created",
                       {"state_event_id": "event_id", "state_created": "created", "state_to": "state_to"},
-                      tie=["event_id"], bucket_days=bucket_days)
+                      tie=["event_id"], bucket_seconds=bucket_seconds)
     return out.select("decision_id", "user_id", "created", "state_event_id", "state_created", "state_to")
 
 
@@ -122,7 +123,7 @@ def asof_latest_state(spark, sf_dir):
 
 
 def asof_latest_state_bucketed(spark, sf_dir):
-    return _asof(spark, sf_dir, 1)
+    return _asof(spark, sf_dir, 3600)
 
 
 def latest_non_null_q(spark, sf_dir):
@@ -303,8 +304,8 @@ def funnel_mart_q(spark, sf_dir):
 
 
 def funnel_mart_bucketed(spark, sf_dir):
-    """The flagship with the hot-key as-of plan (one-day time buckets)."""
-    return funnel_mart(roles(spark, sf_dir), P, bucket_days=1)
+    """The flagship with the hot-key as-of plan (one-hour time buckets)."""
+    return funnel_mart(roles(spark, sf_dir), P, bucket_seconds=3600)
 
 
 QUERIES: dict[str, Query] = {

@@ -24,10 +24,11 @@ from funnelkit.functions.columns import default_zero, flag, is_missing
 from funnelkit.functions.dates import date_gate, lookback_start, month_boundaries, months_fractional
 from funnelkit.functions.slots import null_safe_sum, slot_coalesce, slot_max, slot_min, slot_min_sentinel
 from funnelkit.operators.asof import asof_latest
-from funnelkit.operators.enrich import Lookup, enrich_group
+from funnelkit.operators.enrich import Lookup
+from funnelkit.operators.enrich import enrich_group as _enrich_group
 from funnelkit.operators.filters import stage_prefilter, window_condition
 from funnelkit.operators.latest import distinct_keys, signal_rollup
-from funnelkit.operators.stitch import prefixed, stitch
+from funnelkit.operators.stitch import prefixed, stitch_split
 from funnelkit.plans import rules as R
 from funnelkit.plans.params import MartParams
 
@@ -59,7 +60,7 @@ def no_file_keys(decision_log: DataFrame, p: MartParams) -> DataFrame:
     return distinct_keys(df, ["charge_id"])
 
 
-def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: MartParams, bucket_days=None) -> DataFrame:
+def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: MartParams, bucket_seconds=None) -> DataFrame:
     """C1 for every prequal decision: the user's card state as of the decision.
 
     Decisions before the lookback keep their row (the mart needs their time) with the
@@ -75,7 +76,7 @@ def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: Mart
         right_cols={"state_to": "state_to"},
         tie=["event_id"],
         left_salt=["decision_id"],
-        bucket_days=bucket_days,
+        bucket_seconds=bucket_seconds,
     )
     in_window = F.col("created") >= lookback_start(p.start, p.lookback_days)
     return asof.select(
@@ -113,7 +114,8 @@ def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p:
 def stitched_spine(checkout_funnel: DataFrame, prequal_funnel: DataFrame, p: MartParams, window: bool = True) -> DataFrame:
     late = prefixed(checkout_funnel, "cf_")
     early = prefixed(prequal_stage(prequal_funnel, p), "pq_")
-    spine = stitch(late, early, "cf_prequal_id", "pq_prequal_id")
+    spine = stitch_split(late, early, "cf_prequal_id", "pq_prequal_id",
+                         late_salt=["cf_application_id"], early_salt=["pq_application_id"])
     if window:
         spine = spine.where(
             window_condition(
@@ -126,7 +128,15 @@ def stitched_spine(checkout_funnel: DataFrame, prequal_funnel: DataFrame, p: Mar
     return spine
 
 
-def enrich_spine(spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucket_days=None) -> DataFrame:
+SPINE_IDS = ("cf_application_id", "pq_application_id")
+
+
+def enrich_group(df, key, lookups):
+    """Grouped left joins whose NULL keys are salted by the row's stage ids."""
+    return _enrich_group(df, key, lookups, spread_nulls=True, salt_cols=SPINE_IDS)
+
+
+def enrich_spine(spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucket_seconds=None) -> DataFrame:
     """All 20 enrichment joins of the mart, grouped by key."""
     df = spine
     # prequal id (early stage)
@@ -158,7 +168,7 @@ def enrich_spine(spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucke
     df = df.withColumn("user_metro", F.coalesce(F.col("uw_metro"), F.col("zip_metro")))
     df = enrich_group(df, "user_metro", [Lookup(s["risky_metro"], "metro", {"msa_flag": "flag"})])
     # guarantee id -> decision -> as-of card state
-    cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_days=bucket_days)
+    cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
     df = enrich_group(df, "cf_guarantee_id", [
         Lookup(cs, "guarantee_id", {"apf_created": "created", "cs_state_to": "state_to"})])
     # merchant (early first for the key, C5) -> risk list, segment
@@ -293,7 +303,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
     return df.select(*cols)
 
 
-def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_days=None) -> DataFrame:
+def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds=None) -> DataFrame:
     p = p or MartParams()
     spine = stitched_spine(sources["checkout_funnel"], sources["prequal_funnel"], p)
-    return mart_columns(enrich_spine(spine, sources, p, bucket_days=bucket_days), p)
+    return mart_columns(enrich_spine(spine, sources, p, bucket_seconds=bucket_seconds), p)

@@ -16,6 +16,9 @@ and referenced by name.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +28,39 @@ from funnelkit.operators.waterfall import waterfall
 from funnelkit.plans.params import MartParams
 
 
+_MEMO: dict = {}
+
+
+def memo(fn):
+    """Build an expression once per JVM gateway and argument tuple.
+
+    Expressions are immutable and unresolved until used, so one object can be shared
+    by every rule that needs it; this keeps the many-rule projection from paying one
+    JVM round trip per repeated sub-expression.
+    """
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        key = (fn.__qualname__, args, id(SparkContext._gateway))
+        out = _MEMO.get(key)
+        if out is None:
+            out = _MEMO[key] = fn(*args)
+        return out
+
+    return wrapper
+
+
+@memo
 def cf(name: str) -> Column:
     return F.col("cf_" + name)
 
 
+@memo
 def pq(name: str) -> Column:
     return F.col("pq_" + name)
 
 
+@memo
 def c(name: str) -> Column:
     return F.col(name)
 
@@ -41,15 +69,18 @@ def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0))
 
 
+@memo
 def tomorrow(p: MartParams) -> Column:
     return F.date_add(_date_lit(p.as_of), 1)
 
 
 # --- G1, G2, G17: funnel stage -------------------------------------------------------
+@memo
 def early_without_late() -> Column:
     return (_zero(pq("is_applied")) > 0) & cf("prequal_id").isNull()
 
 
+@memo
 def funnel_stage(p: MartParams) -> Column:
     L = p.labels
     return waterfall(
@@ -68,6 +99,7 @@ def prequal_flag(p: MartParams) -> Column:
 
 
 # --- G3, G4: customer history flags ---------------------------------------------------
+@memo
 def activity_time() -> Column:
     """Event time of the customer flags: early start, else the checkout creation (T5)."""
     return F.coalesce(pq("start_date"), cf("checkout_created_dt"))
@@ -95,6 +127,7 @@ def new_to_group_flag(p: MartParams) -> Column:
 
 
 # --- G5-G8: outcomes -----------------------------------------------------------------
+@memo
 def is_applied() -> Column:
     return flag(F.coalesce(cf("is_checkout_applied"), pq("is_applied"), F.lit(0)) > 0)
 
@@ -159,38 +192,46 @@ def number_of_offers(p: MartParams, slots: list[Column]) -> Column:
 
 
 # --- G11-G15: plan kind and captured categories ---------------------------------------
+@memo
 def _daily(n: int) -> Column:
     return (cf("plan_frequency") == "daily") & (cf("plan_interval") == n)
 
 
+@memo
 def _weekly_classic(p: MartParams) -> Column:
     return (cf("plan_frequency") == "weekly") & (cf("loan_type") == p.classic_loan)
 
 
+@memo
 def _weekly_or_go(p: MartParams) -> Column:
     return (cf("plan_frequency") == "weekly") | (cf("loan_type") == p.go_loan)
 
 
+@memo
 def _short(p: MartParams) -> Column:
     """Short plan: any of the four short-term rules (first-match with one label)."""
     return _daily(30) | _daily(15) | _weekly_classic(p) | _weekly_or_go(p)
 
 
+@memo
 def _core_short(p: MartParams) -> Column:
     flow = cf("flow_type").isin(*p.short_flow_types) | (cf("loan_type") == p.go_loan) | (cf("plan_frequency") == "weekly")
     return _daily(30) | _daily(15) | _weekly_classic(p) | flow
 
 
+@memo
 def plan_eligible(p: MartParams) -> Column:
     return (cf("guarantee_id").isNotNull() & (c("aip_member") == 1)) | cf("merchant_id").isin(*p.direct_merchant_ids)
 
 
+@memo
 def plan_is_card(p: MartParams) -> Column:
     return ((c("cm_product_platform") == p.card_platform) & (c("chfc_instrument_type") == p.card_instrument)) | c(
         "cm_product_group"
     ).like(p.card_group_pattern)
 
 
+@memo
 def plan_kind(p: MartParams) -> Column:
     """G11 (helper, not an output): card/direct family and short/instalment/other."""
     L = p.labels
