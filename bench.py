@@ -19,7 +19,7 @@ from funnelkit.session import build_session  # noqa: E402
 
 HEADLINE = [
     "funnel_mart",
-    "funnel_mart_bucketed",
+    "funnel_mart_key_window",
     "stitch_full_outer",
     "stitch_split",
     "asof_latest_state",

@@ -300,12 +300,13 @@ def null_safe_sum_q(spark, sf_dir):
 
 
 def funnel_mart_q(spark, sf_dir):
+    """The flagship: as-of split into (user, hour) buckets so a hot user is spread."""
     return funnel_mart(roles(spark, sf_dir), P)
 
 
-def funnel_mart_bucketed(spark, sf_dir):
-    """The flagship with the hot-key as-of plan (one-hour time buckets)."""
-    return funnel_mart(roles(spark, sf_dir), P, bucket_seconds=3600)
+def funnel_mart_key_window(spark, sf_dir):
+    """The flagship with the as-of as one window per user (no time buckets)."""
+    return funnel_mart(roles(spark, sf_dir), P, bucket_seconds=None)
 
 
 QUERIES: dict[str, Query] = {
@@ -353,5 +354,5 @@ QUERIES: dict[str, Query] = {
     "tenure_month_boundaries": tenure_month_boundaries,
     "null_safe_sum": null_safe_sum_q,
     "funnel_mart": funnel_mart_q,
-    "funnel_mart_bucketed": funnel_mart_bucketed,
+    "funnel_mart_key_window": funnel_mart_key_window,
 }

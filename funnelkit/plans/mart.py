@@ -303,7 +303,9 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
     return df.select(*cols)
 
 
-def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds=None) -> DataFrame:
+def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600) -> DataFrame:
+    """The mart. ``bucket_seconds`` splits the as-of work into (user, time bucket)
+    partitions (None: one window partition per user)."""
     p = p or MartParams()
     spine = stitched_spine(sources["checkout_funnel"], sources["prequal_funnel"], p)
     return mart_columns(enrich_spine(spine, sources, p, bucket_seconds=bucket_seconds), p)
