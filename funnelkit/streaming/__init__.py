@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference computes one batch table from tables at rest: it has no stream sources,
+watermarks, windows over event time, state stores or sinks (survey section 2.10).
+Its event logs (decisions, card-state events, decision runs) are read as batch
+DataFrames; the as-of and latest-value operators in ``funnelkit.operators`` work on
+them directly. Nothing is added here that the reference does not do.
+"""
