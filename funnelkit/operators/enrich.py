@@ -110,6 +110,7 @@ def enrich_group(
     lookups: Sequence[Lookup],
     spread_nulls: bool = True,
     salt_cols: Sequence[str] = (),
+    partition: bool = False,
 ) -> DataFrame:
     """Several left joins on the same key, computed once as a column.
 
@@ -117,6 +118,11 @@ def enrich_group(
     already hash-partitioned on that column and later joins on it shuffle only their
     right side (grouping by key, survey section 4). NULL keys are salted so they do
     not collapse into one partition; a separate non-NULL marker keeps them unmatched.
+
+    ``partition=True`` hash-partitions the frame on the key column first. A sort-merge
+    join on that key reuses this partitioning (no second exchange); when every right
+    side is small enough to broadcast it is the one shuffle that spreads the frame over
+    all tasks instead of leaving it in its scan's splits.
     """
     k = _c(key)
     kc, kv = "__gk", "__gkv"
@@ -126,6 +132,8 @@ def enrich_group(
     else:
         out = df.select("*", k.alias(kc))
         helpers = [kc]
+    if partition:
+        out = out.repartition(kc)
     members = []
     for i, lk in enumerate(lookups):
         rk = f"__rk{i}"
@@ -142,5 +150,7 @@ def enrich_group(
             cond = cond & F.col(kv)
         out = out.join(right, cond, "left")
         helpers.append(rk)
-    keep = [c for c in out.columns if c not in helpers]
-    return out.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in members else F.col(c) for c in keep])
+    out = out.drop(*helpers)
+    if members:
+        out = out.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in members})
+    return out
