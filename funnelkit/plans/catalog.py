@@ -25,7 +25,7 @@ from funnelkit.operators.latest import distinct_keys, latest_non_null
 from funnelkit.operators.stitch import prefixed, stitch, stitch_split
 from funnelkit.plans import rules as R
 from funnelkit.plans.mart import (
-    enrich_spine, funnel_mart, mart_columns, prequal_stage, stitched_spine, underwriting_signals,
+    enrich_spine, funnel_mart, prequal_stage, stitched_spine, underwriting_signals,
 )
 from funnelkit.plans.params import MartParams
 from funnelkit.sources.fixture import role_frame, roles
