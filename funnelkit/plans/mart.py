@@ -60,16 +60,36 @@ def no_file_keys(decision_log: DataFrame, p: MartParams) -> DataFrame:
     return distinct_keys(df, ["charge_id"])
 
 
+def bounded_history(events: DataFrame, key: str, ts: str, tie: str, floor) -> DataFrame:
+    """Events at or after ``floor``, plus each key's latest event before it.
+
+    For as-of lookups at or after ``floor`` this is exact: of all older events only
+    the latest per key can ever be matched. The older history (an append-only log that
+    grows without bound) shrinks to one row per key by a partial aggregation.
+    """
+    recent = events.where(F.col(ts) >= floor)
+    older = (
+        events.where((F.col(ts) < floor) & F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.max(F.struct(F.col(ts), F.col(tie), *[F.col(c) for c in events.columns if c not in (key, ts, tie)]))
+             .alias("__last"))
+        .select(key, "__last.*")
+    )
+    return recent.unionByName(older)
+
+
 def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: MartParams, bucket_seconds=None) -> DataFrame:
     """C1 for every prequal decision: the user's card state as of the decision.
 
     Decisions before the lookback keep their row (the mart needs their time) with the
     state masked to NULL, which is what joining the lookback-filtered as-of result
-    would give, without a second join.
+    would give, without a second join. Because only in-window states are reported,
+    the event history before the window is reduced to each user's last event.
     """
+    floor = lookback_start(p.start, p.lookback_days)
     asof = asof_latest(
         prequal_decision.select("decision_id", "user_id", "guarantee_id", "created"),
-        card_state_event,
+        bounded_history(card_state_event, "user_id", "created", "event_id", floor),
         by="user_id",
         left_ts="created",
         right_ts="created",
@@ -78,7 +98,7 @@ def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: Mart
         left_salt=["decision_id"],
         bucket_seconds=bucket_seconds,
     )
-    in_window = F.col("created") >= lookback_start(p.start, p.lookback_days)
+    in_window = F.col("created") >= floor
     return asof.select(
         "decision_id", "guarantee_id", "created", F.when(in_window, F.col("state_to")).alias("state_to")
     )

@@ -65,3 +65,17 @@ def test_stitch_plans_equal_full_outer(spark, seed):
     want = sorted(map(tuple, ref.collect()), key=str)
     for df in (stitch(late, early, "cf_link", "pq_link"), stitch_split(late, early, "cf_link", "pq_link")):
         assert sorted(map(tuple, df.select("cf_id", "pq_v").collect()), key=str) == want
+
+
+def test_bounded_history_keeps_in_window_states(spark):
+    from funnelkit.plans.mart import card_state
+    from funnelkit.plans.params import MartParams
+
+    p = MartParams(start=dt.date(2024, 1, 10), lookback_days=5)   # window starts 2024-01-05
+    dec, evt, d, e = _random_asof(spark, 7)
+    d = d.withColumn("guarantee_id", F.col("decision_id"))
+    got = {r.decision_id: r.state_to for r in card_state(d, e, p, bucket_seconds=3600).collect()}
+    full = _brute_asof(dec, evt)
+    floor = dt.datetime(2024, 1, 5)
+    want = {did: (full[did][1] if t is not None and t >= floor else None) for did, u, t in dec}
+    assert got == want
