@@ -29,6 +29,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
+    # The mart's rows are wide (a packed spine struct plus ~50 enrichment columns), and
+    # nested fields count against this limit; above it an operator leaves whole-stage
+    # codegen. Oversized generated methods still fall back automatically.
+    "spark.sql.codegen.maxFields": "1000",
 }
 
 
