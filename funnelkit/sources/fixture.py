@@ -238,11 +238,14 @@ def base_tables(sql: str) -> list[str]:
     return sorted(set(_PLACEHOLDER.findall(sql)))
 
 
-def role_frame(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+def role_frame(spark: SparkSession, sf_dir: str, role: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """One role as a Spark DataFrame over the fixture tables in ``sf_dir``."""
     sql = ROLE_SQL[role]
-    tables = {t: read_table(spark, sf_dir, t) for t in base_tables(sql)}
-    return spark.sql(sql, **tables)
+    tables = tables if tables is not None else {}
+    for t in base_tables(sql):
+        if t not in tables:
+            tables[t] = read_table(spark, sf_dir, t)
+    return spark.sql(sql, **{t: tables[t] for t in base_tables(sql)})
 
 
 def role_sql(role: str) -> str:
@@ -252,7 +255,9 @@ def role_sql(role: str) -> str:
 
 
 def roles(spark: SparkSession, sf_dir: str, names=None) -> dict[str, DataFrame]:
-    return {r: role_frame(spark, sf_dir, r) for r in (names or ROLE_SQL)}
+    """All (or the named) roles; each base table is read once and shared."""
+    tables: dict[str, DataFrame] = {}
+    return {r: role_frame(spark, sf_dir, r, tables) for r in (names or ROLE_SQL)}
 
 
 def oracle_with(*names: str) -> str:

@@ -44,3 +44,19 @@ def test_as_of_is_linear_not_range_join(spark):
     p = _plan(QUERIES["asof_latest_state"](spark, SF))
     assert "Window" in p
     assert "SortMergeJoin" not in p and "BroadcastHashJoin" not in p
+
+
+def test_plan_kind_is_not_pasted(spark):
+    """The reference pastes the plan-kind CASE 13 times; here it is one column. Catalyst
+    may fold one predicate over it into its branches (PushFoldableIntoBranches), so at
+    most two copies appear in the optimized plan."""
+    keys = ("spark.sql.debug.maxToStringFields", "spark.sql.maxPlanStringLength")
+    old = {k: spark.conf.get(k) for k in keys}
+    spark.conf.set(keys[0], "100000")
+    spark.conf.set(keys[1], "2147483632")
+    try:
+        opt = QUERIES["funnel_mart"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert 1 <= opt.count("direct other") <= 2
