@@ -70,8 +70,10 @@ def asof_latest(
     """Return ``left`` plus the matched event's columns (``right_cols`` maps output
     name -> right column; a list keeps the names).
 
-    ``tie`` orders events with equal time (the last one wins); ``left_salt`` names
-    left columns hashed to spread NULL keys (default: all left columns).
+    ``tie`` orders events with equal time (the last one wins); the whole event is the
+    final ordering key, so even repeated (time, tie) pairs resolve the same way when a
+    lost task is recomputed. ``left_salt`` names left columns hashed to spread NULL
+    keys (default: all left columns).
     """
     outs = right_cols if isinstance(right_cols, dict) else {c: c for c in right_cols}
     left_cols = left.columns
@@ -99,7 +101,7 @@ def asof_latest(
         )
         w = (
             Window.partitionBy(_KEY)
-            .orderBy(F.col(_TS).asc_nulls_first(), F.col(_SIDE), *[F.col(t) for t in tie_cols])
+            .orderBy(F.col(_TS).asc_nulls_first(), F.col(_SIDE), *[F.col(t) for t in tie_cols], F.col(_EVT))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         matched = u.withColumn(_EVT, F.last(_EVT, ignorenulls=True).over(w)).where(F.col(_SIDE) == 1)
@@ -133,7 +135,7 @@ def asof_latest(
         )
         w = (
             Window.partitionBy(_KEY, _BKT)
-            .orderBy(F.col(_ORD), F.col(_TS).asc_nulls_first(), F.col(_SIDE), *[F.col(t) for t in tie_cols])
+            .orderBy(F.col(_ORD), F.col(_TS).asc_nulls_first(), F.col(_SIDE), *[F.col(t) for t in tie_cols], F.col(_EVT))
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         matched = u.withColumn(_EVT, F.last(_EVT, ignorenulls=True).over(w)).where(F.col(_SIDE) == 1)
