@@ -17,7 +17,9 @@ The three side paths are aggregations or a linear as-of: no range join, no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions.columns import default_zero, flag, is_missing
@@ -161,62 +163,97 @@ def enrich_group(df, key, lookups, partition=False):
     return _enrich_group(df, key, lookups, spread_nulls=True, salt_cols=SPINE_IDS, partition=partition)
 
 
-def enrich_spine(spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucket_seconds=None) -> DataFrame:
-    """All 20 enrichment joins of the mart, grouped by key.
+@dataclass(frozen=True)
+class EnrichStep:
+    """One enrichment join: ``key`` names the key group, ``expr`` computes the key
+    when it is not a plain column."""
+
+    key: str
+    lookup: Lookup
+    expr: Column | None = None
+
+
+def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None) -> list[EnrichStep]:
+    """The 20 enrichments in the reference's join order (chains keep their order)."""
+    merchant = F.coalesce(F.col("cf_merchant_id"), F.col("pq_merchant_id"))   # late first (C5)
+    user = F.coalesce(F.col("pq_user_id"), F.col("cf_user_id"))               # early first (C5)
+    metro = F.coalesce(F.col("uw_metro"), F.col("zip_metro"))                 # fallback key (C8)
+    cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
+    uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
+    L = Lookup
+    return [
+        EnrichStep("pq_prequal_id", L(s["prequal"], "prequal_id", {"upre_creation_type": "creation_type"})),
+        EnrichStep("cf_guarantee_id", L(cs, "guarantee_id", {"apf_created": "created", "cs_state_to": "state_to"})),
+        EnrichStep("merchant", L(s["merchant_dim"], "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns}),
+                   merchant),
+        EnrichStep("md_merchant_id", L(s["risky_merchant"], "merchant_id", {"hrm_flag": "flag", "hrm_status": "status"})),
+        EnrichStep("md_merchant_id", L(s["merchant_segment"], "merchant_id", {"seg_division": "division"})),
+        EnrichStep("cf_checkout_id", L(s["checkout_session"], "checkout_id", {"chfc_instrument_type": "instrument_type"})),
+        EnrichStep("cf_checkout_id", L(s["checkout_mart"], "checkout_id",
+                                       {"cmt_is_platform": "is_platform", "cmt_is_adaptive": "is_adaptive"})),
+        EnrichStep("cf_charge_id", L(s["charge_mart"], "charge_id",
+                                     {"cm_product_platform": "product_platform", "cm_product_group": "product_group"})),
+        EnrichStep("cf_checkout_id", L(s["purchases"], "checkout_id", {"aip_member": "checkout_id"}, member=True)),
+        EnrichStep("user", L(s["user_dim"], "user_id", {f"ud_{c}": c for c in (
+            "numeric_id", "person_id", "label", "is_onboarded", "first_onboarded")}), user),
+        EnrichStep("ud_person_id", L(s["person_stats"], "person_id", {
+            "fpl_first_capture": "first_capture", "fpl_first_capture_at_group": "first_capture_at_group"})),
+        EnrichStep("cf_checkout_id", L(s["offered_terms"], "checkout_id", {f"coft_{c}": c for c in (
+            "loan_type1", "loan_type2", "loan_type3", "down_payment1", "down_payment2", "down_payment3")})),
+        EnrichStep("cf_charge_id", L(no_file_keys(s["decision_log"], p), "charge_id", {"nofile_member": "charge_id"},
+                                     member=True)),
+        EnrichStep("cf_charge_id", L(s["bad_outcome"], "charge_id", {"cbo_indicator": "indicator"})),
+        EnrichStep("cf_application_id", L(uw, "application_id", {f"uw_{c}": c for c in (
+            "metro", "student_balance", "exposure_dollars", "min_exposure_dollars", "annual_income_dollars")})),
+        EnrichStep("cf_application_id", L(s["application"], "application_id",
+                                          {"app_billing_address_id": "billing_address_id"})),
+        EnrichStep("app_billing_address_id", L(s["address"], "address_id",
+                                               {"ua_region_code": "region_code", "ua_postal_code": "postal_code"})),
+        EnrichStep("ua_postal_code", L(s["postal_metro"], "postal_code", {"zip_metro": "metro"})),
+        EnrichStep("metro", L(s["risky_metro"], "metro", {"msa_flag": "flag"}), metro),
+    ]
+
+
+# Key groups in the order the mart joins them: every key's lookups together, chains
+# after the keys they depend on.
+GROUPED_ORDER = (
+    "pq_prequal_id", "cf_checkout_id", "cf_charge_id", "cf_application_id", "app_billing_address_id",
+    "ua_postal_code", "metro", "cf_guarantee_id", "merchant", "md_merchant_id", "user", "ud_person_id",
+)
+
+
+def enrich_spine(
+    spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucket_seconds=None, order: str = "grouped"
+) -> DataFrame:
+    """All 20 enrichment joins of the mart.
+
+    ``order='grouped'`` joins all lookups of one key consecutively (12 key groups, one
+    spine shuffle each when not broadcast); ``order='reference'`` keeps the reference's
+    join order, where the key changes 16 times.
 
     Only the join keys travel as top-level columns; every other spine column is packed
     into one struct for the joins and unpacked afterwards. The joins' generated code
     then passes one value per row instead of ~70, and the rows shuffled are the same.
     """
+    steps = enrichment_steps(s, p, bucket_seconds)
+    if order == "grouped":
+        steps = sorted(steps, key=lambda st: GROUPED_ORDER.index(st.key))
+    elif order != "reference":
+        raise ValueError(f"unknown join order {order!r}")
+    runs: list[list[EnrichStep]] = []
+    for st in steps:
+        if runs and runs[-1][0].key == st.key:
+            runs[-1].append(st)
+        else:
+            runs.append([st])
+
     keys = [c for c in SPINE_KEYS if c in spine.columns]
     payload = [c for c in spine.columns if c not in keys]
     df = spine.select(*keys, F.struct(*payload).alias("__spine"))
-    # prequal id (early stage)
-    # The spine is hash-partitioned once, on the first group's key (see enrich_group).
-    df = enrich_group(df, "pq_prequal_id", [Lookup(s["prequal"], "prequal_id", {"upre_creation_type": "creation_type"})],
-                      partition=True)
-    # checkout id
-    df = enrich_group(df, "cf_checkout_id", [
-        Lookup(s["checkout_session"], "checkout_id", {"chfc_instrument_type": "instrument_type"}),
-        Lookup(s["checkout_mart"], "checkout_id", {"cmt_is_platform": "is_platform", "cmt_is_adaptive": "is_adaptive"}),
-        Lookup(s["purchases"], "checkout_id", {"aip_member": "checkout_id"}, member=True),
-        Lookup(s["offered_terms"], "checkout_id", {f"coft_{c}": c for c in (
-            "loan_type1", "loan_type2", "loan_type3", "down_payment1", "down_payment2", "down_payment3")}),
-    ])
-    # charge id
-    df = enrich_group(df, "cf_charge_id", [
-        Lookup(s["charge_mart"], "charge_id", {"cm_product_platform": "product_platform", "cm_product_group": "product_group"}),
-        Lookup(no_file_keys(s["decision_log"], p), "charge_id", {"nofile_member": "charge_id"}, member=True),
-        Lookup(s["bad_outcome"], "charge_id", {"cbo_indicator": "indicator"}),
-    ])
-    # application id: signals, then the address chain
-    uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
-    df = enrich_group(df, "cf_application_id", [
-        Lookup(uw, "application_id", {f"uw_{c}": c for c in (
-            "metro", "student_balance", "exposure_dollars", "min_exposure_dollars", "annual_income_dollars")}),
-        Lookup(s["application"], "application_id", {"app_billing_address_id": "billing_address_id"}),
-    ])
-    df = enrich_group(df, "app_billing_address_id", [
-        Lookup(s["address"], "address_id", {"ua_region_code": "region_code", "ua_postal_code": "postal_code"})])
-    df = enrich_group(df, "ua_postal_code", [Lookup(s["postal_metro"], "postal_code", {"zip_metro": "metro"})])
-    df = df.withColumn("user_metro", F.coalesce(F.col("uw_metro"), F.col("zip_metro")))
-    df = enrich_group(df, "user_metro", [Lookup(s["risky_metro"], "metro", {"msa_flag": "flag"})])
-    # guarantee id -> decision -> as-of card state
-    cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
-    df = enrich_group(df, "cf_guarantee_id", [
-        Lookup(cs, "guarantee_id", {"apf_created": "created", "cs_state_to": "state_to"})])
-    # merchant (early first for the key, C5) -> risk list, segment
-    df = enrich_group(df, F.coalesce(F.col("cf_merchant_id"), F.col("pq_merchant_id")), [
-        Lookup(s["merchant_dim"], "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns})])
-    df = enrich_group(df, "md_merchant_id", [
-        Lookup(s["risky_merchant"], "merchant_id", {"hrm_flag": "flag", "hrm_status": "status"}),
-        Lookup(s["merchant_segment"], "merchant_id", {"seg_division": "division"}),
-    ])
-    # user (early first, C5) -> person statistics
-    df = enrich_group(df, F.coalesce(F.col("pq_user_id"), F.col("cf_user_id")), [
-        Lookup(s["user_dim"], "user_id", {f"ud_{c}": c for c in ("numeric_id", "person_id", "label", "is_onboarded", "first_onboarded")})])
-    df = enrich_group(df, "ud_person_id", [
-        Lookup(s["person_stats"], "person_id", {"fpl_first_capture": "first_capture", "fpl_first_capture_at_group": "first_capture_at_group"})])
+    for i, run in enumerate(runs):
+        key = run[0].expr if run[0].expr is not None else run[0].key
+        # The spine is hash-partitioned once, on the first group's key (see enrich_group).
+        df = enrich_group(df, key, [st.lookup for st in run], partition=(i == 0))
     return df.select("*", "__spine.*").drop("__spine")
 
 
@@ -326,7 +363,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
         c("_metro_index").alias("risk_metro_index"),
         flag((c("_metro_index") == 1) & (c("_pattern_index") == 1)).alias("risk_merchant_and_metro_index"),
         c("ua_region_code").alias("address_region_code"),
-        c("user_metro").alias("user_metro"),
+        F.coalesce(c("uw_metro"), c("zip_metro")).alias("user_metro"),
         flag(default_zero(c("uw_student_balance")) > 0).alias("student_loan_index"),
         c("uw_annual_income_dollars").alias("annual_income_dollars"),
         c("uw_exposure_dollars").alias("exposure_dollars"),

@@ -25,21 +25,30 @@ def test_no_cartesian_or_nested_loop(spark, name):
     assert "CartesianProduct" not in p and "NestedLoopJoin" not in p
 
 
-def test_grouped_joins_shuffle_spine_once_per_key(spark):
+def _static_plan(spark, name):
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        p = _plan(QUERIES["funnel_mart"](spark, SF))
+        return _plan(QUERIES[name](spark, SF))
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
-    spine_shuffles = re.findall(r"Exchange hashpartitioning\(__gk#", p)
+
+
+def test_grouped_joins_shuffle_spine_once_per_key(spark):
+    spine_shuffles = re.findall(r"Exchange hashpartitioning\(__gk#", _static_plan(spark, "funnel_mart"))
     # 12 key groups in the mart: prequal, checkout, charge, application, address, postal,
     # metro, guarantee, merchant, merchant id, user, person.
     assert len(spine_shuffles) <= 12
 
 
+def test_grouped_order_shuffles_less_than_reference_order(spark):
+    grouped = len(re.findall(r"Exchange hashpartitioning\(__gk#", _static_plan(spark, "funnel_mart")))
+    reference = len(re.findall(r"Exchange hashpartitioning\(__gk#", _static_plan(spark, "funnel_mart_reference_order")))
+    assert grouped < reference
+
+
 def test_as_of_is_linear_not_range_join(spark):
     p = _plan(QUERIES["asof_latest_state"](spark, SF))
     assert "Window" in p
