@@ -122,7 +122,9 @@ def enrich_group(
     ``partition=True`` hash-partitions the frame on the key column first. A sort-merge
     join on that key reuses this partitioning (no second exchange); when every right
     side is small enough to broadcast it is the one shuffle that spreads the frame over
-    all tasks instead of leaving it in its scan's splits.
+    all tasks instead of leaving it in its scan's splits. It is off by default: AQE
+    splits skewed partitions only of the shuffles joins require, not of an explicit
+    repartition, so with a possibly hot key the join's own exchange is the safer one.
     """
     k = _c(key)
     kc, kv = "__gk", "__gkv"

@@ -158,9 +158,9 @@ SPINE_KEYS = (
 )
 
 
-def enrich_group(df, key, lookups, partition=False):
+def enrich_group(df, key, lookups):
     """Grouped left joins whose NULL keys are salted by the row's stage ids."""
-    return _enrich_group(df, key, lookups, spread_nulls=True, salt_cols=SPINE_IDS, partition=partition)
+    return _enrich_group(df, key, lookups, spread_nulls=True, salt_cols=SPINE_IDS)
 
 
 @dataclass(frozen=True)
@@ -250,10 +250,11 @@ def enrich_spine(
     keys = [c for c in SPINE_KEYS if c in spine.columns]
     payload = [c for c in spine.columns if c not in keys]
     df = spine.select(*keys, F.struct(*payload).alias("__spine"))
-    for i, run in enumerate(runs):
+    for run in runs:
         key = run[0].expr if run[0].expr is not None else run[0].key
-        # The spine is hash-partitioned once, on the first group's key (see enrich_group).
-        df = enrich_group(df, key, [st.lookup for st in run], partition=(i == 0))
+        # Every spine shuffle is the one its sort-merge join requires, which is the kind
+        # AQE can split when a key is skewed (an explicit repartition it cannot).
+        df = enrich_group(df, key, [st.lookup for st in run])
     return df.select("*", "__spine.*").drop("__spine")
 
 
