@@ -3,16 +3,17 @@
 Data flow (each step is a DataFrame operator; Catalyst/AQE choose the physical plan):
 
 1. early stage: ``prequal_stage`` (B5 filter + applied flag) before the stitch;
-2. ``stitch`` late x early on the prequal id (salted full outer join, C4);
-3. reporting window (B6/B7) directly above the stitch;
-4. enrichment grouped by key so each key is shuffled once: checkout id, charge id,
-   application id (with the address -> postal -> metro chain), guarantee id (as-of
-   card state), prequal id, merchant id (dimension chain), user id (person chain);
+2. ``stitch_split`` late x early on the prequal id (the exact split form of the full
+   outer join, C4: skew-splittable joins, salted NULL keys);
+3. reporting window (B6/B7) directly above the stitch (Catalyst pushes it into both
+   branches of the split);
+4. 20 enrichments in 12 key groups, each key shuffled once (``enrichment_steps``,
+   ``GROUPED_ORDER``); the spine's non-key columns travel packed in one struct;
 5. classification columns (G rules), each computed once;
 6. projection to the 94-column contract.
 
-The three side paths are aggregations or a linear as-of: no range join, no
-``collect``, no per-key Python.
+The side paths are aggregations (signals, no-file keys, person statistics) or a
+linear as-of (card state): no range join, no ``collect``, no per-key Python.
 """
 
 from __future__ import annotations

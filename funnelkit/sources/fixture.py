@@ -264,15 +264,3 @@ def oracle_with(*names: str) -> str:
     """A ``WITH`` prefix defining the named roles for an oracle query."""
     return "WITH " + ",\n".join(f"{n} AS ({role_sql(n)})" for n in names)
 
-
-_ALIAS = re.compile(r"\bAS (\w+),?\s*$")
-
-
-def role_columns(role: str) -> list[str]:
-    """Output column names of a role, read from its select list."""
-    out = []
-    for line in ROLE_SQL[role].splitlines():
-        m = _ALIAS.search(line)
-        if m:
-            out.append(m.group(1))
-    return out

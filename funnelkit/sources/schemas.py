@@ -116,6 +116,11 @@ ROLE_SCHEMAS: dict[str, str] = {
 }
 
 
+def role_columns(role: str) -> list[str]:
+    """Column names of a role, in declared order."""
+    return [part.strip().split(" ", 1)[0] for part in ROLE_SCHEMAS[role].split(",")]
+
+
 def role_schema(role: str) -> T.StructType:
     return T.StructType.fromDDL(ROLE_SCHEMAS[role])
 
