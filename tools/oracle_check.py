@@ -43,7 +43,7 @@ def _norm(v, approx: bool):
             return None
         if approx:
             return float(f"{v:.9g}") + 0.0
-        return v + 0.0
+        return repr(v)  # exact: keeps -0.0 apart from 0.0 and every digit
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, dt.date):
