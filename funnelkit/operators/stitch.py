@@ -34,7 +34,8 @@ from funnelkit.functions.columns import salted_key
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c in keep else prefix + c) for c in df.columns])
+    """All columns renamed with ``prefix`` (except ``keep``), in one projection."""
+    return df.toDF(*[c if c in keep else prefix + c for c in df.columns])
 
 
 def stitch(

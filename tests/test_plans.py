@@ -69,3 +69,20 @@ def test_plan_kind_is_not_pasted(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert 1 <= opt.count("direct other") <= 2
+
+
+def test_report_window_sits_on_the_stitch(spark):
+    """The reporting-window filter is applied right at the stitch, before any
+    enrichment join: directly above the late LEFT JOIN early branch, and pushed below
+    the anti join onto the early side in the early-only branch."""
+    from funnelkit.plans.mart import stitched_spine
+    from funnelkit.plans.params import MartParams
+    from funnelkit.sources.fixture import roles
+
+    s = roles(spark, SF)
+    opt = stitched_spine(s["checkout_funnel"], s["prequal_funnel"], MartParams())._jdf.queryExecution() \
+        .optimizedPlan().toString().split("\n")
+    join_rows = [i for i, line in enumerate(opt) if "Join LeftOuter" in line]
+    assert join_rows and "Filter" in opt[join_rows[0] - 1]
+    anti = next(i for i, line in enumerate(opt) if "Join LeftAnti" in line)
+    assert any("Filter" in line and "2000-01-01" in line for line in opt[anti + 1:])
