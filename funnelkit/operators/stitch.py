@@ -10,9 +10,8 @@ Two plans with the same result:
 row that never had an early stage) and an outer join hashes every NULL key to one
 shuffle partition, so the join runs on a salted key: NULL keys are replaced by a
 deterministic hash of the row and a ``key IS NOT NULL`` term keeps them unmatched.
-Its limit: AQE cannot split a skewed partition of a full outer join, and the full
-outer sort-merge join buffers both sides of a key, so a hot non-NULL link id stays
-in one task.
+Its limit: AQE does not split a skewed partition of a full outer join, so a hot
+non-NULL link id stays in one task.
 
 ``stitch_split`` (used by the mart) is the exact split
 ``(late LEFT JOIN early) UNION ALL (early LEFT ANTI JOIN distinct late keys)``.
