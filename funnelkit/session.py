@@ -23,9 +23,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    # Broadcast only what the planner has measured to be small: the static threshold
-    # uses scan statistics, AQE's runtime threshold uses the actual shuffle output.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Broadcast only what is measured to be small. The static threshold compares plan
+    # statistics (compressed file sizes, which can understate memory several times), so
+    # it stays at Spark's 10 MB; AQE's runtime threshold compares the actual shuffle
+    # output of the small side and may be larger.
+    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
