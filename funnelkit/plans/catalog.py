@@ -263,7 +263,7 @@ def indicator_defaults(spark, sf_dir):
     return e.select(
         _app_id(),
         F.coalesce(F.col("cf_is_confirmed"), F.lit(0)).alias("is_confirmed"),
-        F.coalesce(F.col("cbo_indicator"), F.lit(0)).alias("bad_outcome_index"),
+        F.coalesce(F.col("bo_indicator"), F.lit(0)).alias("bad_outcome_index"),
         R.autopay_flag(P).alias("autopay_flag"),
         flag(F.coalesce(F.col("uw_student_balance"), F.lit(0)) > 0).alias("student_loan_index"),
     )

@@ -184,7 +184,7 @@ def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None
     L = Lookup
     return [
         EnrichStep("pq_prequal_id", L(s["prequal"], "prequal_id", {"upre_creation_type": "creation_type"})),
-        EnrichStep("cf_guarantee_id", L(cs, "guarantee_id", {"apf_created": "created", "cs_state_to": "state_to"})),
+        EnrichStep("cf_guarantee_id", L(cs, "guarantee_id", {"dec_created": "created", "cs_state_to": "state_to"})),
         EnrichStep("merchant", L(s["merchant_dim"], "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns}),
                    merchant),
         EnrichStep("md_merchant_id", L(s["risky_merchant"], "merchant_id", {"hrm_flag": "flag", "hrm_status": "status"})),
@@ -203,7 +203,7 @@ def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None
             "loan_type1", "loan_type2", "loan_type3", "down_payment1", "down_payment2", "down_payment3")})),
         EnrichStep("cf_charge_id", L(no_file_keys(s["decision_log"], p), "charge_id", {"nofile_member": "charge_id"},
                                      member=True)),
-        EnrichStep("cf_charge_id", L(s["bad_outcome"], "charge_id", {"cbo_indicator": "indicator"})),
+        EnrichStep("cf_charge_id", L(s["bad_outcome"], "charge_id", {"bo_indicator": "indicator"})),
         EnrichStep("cf_application_id", L(uw, "application_id", {f"uw_{c}": c for c in (
             "metro", "student_balance", "exposure_dollars", "min_exposure_dollars", "annual_income_dollars")})),
         EnrichStep("cf_application_id", L(s["application"], "application_id",
@@ -358,7 +358,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
         c("md_product_type").alias("merchant_product_type"),
         c("hrm_flag").alias("risk_merchant_flag"),
         c("hrm_status").alias("risk_merchant_status"),
-        default_zero(c("cbo_indicator")).alias("bad_outcome_index"),
+        default_zero(c("bo_indicator")).alias("bad_outcome_index"),
         R.risk_pattern_flag(p, c("hrm_flag")).alias("risk_pattern_flag"),
         c("_pattern_index").alias("risk_pattern_index"),
         c("msa_flag").alias("risk_metro_flag"),

@@ -81,7 +81,7 @@ class MartParams:
     direct_merchant_ids: tuple[int, ...] = (2,)
     direct_product_type: str = "direct"
     own_label: str = "own"
-    card_platform: str = "anywhere"
+    card_platform: str = "network"
     card_instrument: str = "debit"
     card_group_pattern: str = "card plus%"
     platform_flow_type: str = "platform flow"

@@ -5,7 +5,7 @@ Column naming contract (what the mart and the fixture queries provide): late-sta
 enrichment columns carry the prefix of their source: ``md_`` merchant, ``hrm_`` risky
 merchant, ``seg_`` revenue segment, ``chfc_`` checkout session, ``cmt_`` checkout
 mart, ``cm_`` charge mart, ``coft_`` offered terms, ``ud_`` user, ``fpl_`` person
-statistics, ``upre_`` prequal master, ``apf_``/``cs_`` as-of card state, ``uw_``
+statistics, ``upre_`` prequal master, ``dec_``/``cs_`` as-of card state, ``uw_``
 signals, ``ua_`` address, ``zip_`` postal metro, ``msa_`` risky metro, plus the 0/1
 members ``aip_member``, ``nofile_member``.
 
@@ -320,7 +320,7 @@ def application_category(p: MartParams) -> Column:
     eligible = (cf("guarantee_id").isNotNull() & (c("ud_label") == p.own_label)) | (
         (c("md_product_type") == p.direct_product_type) | c("md_merchant_id").isin(*p.direct_merchant_ids)
     )
-    carded = c("cs_state_to").isNotNull() | ((c("ud_is_onboarded") == 1) & (c("ud_first_onboarded") < c("apf_created")))
+    carded = c("cs_state_to").isNotNull() | ((c("ud_is_onboarded") == 1) & (c("ud_first_onboarded") < c("dec_created")))
     return waterfall(
         retailer_rules(p, merchant)
         + [

@@ -180,7 +180,7 @@ FROM {orders}""",
     # S14 charge mart.
     "charge_mart": """
 SELECT o_orderkey AS charge_id,
-  CASE WHEN o_custkey % 2 = 0 THEN 'anywhere' ELSE 'core' END AS product_platform,
+  CASE WHEN o_custkey % 2 = 0 THEN 'network' ELSE 'core' END AS product_platform,
   CASE WHEN o_custkey % 4 = 2 THEN 'card plus' ELSE 'standard' END AS product_group
 FROM {orders}""",
     # S15 lender-initiated purchases (a list of checkout ids, may repeat).
