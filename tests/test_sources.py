@@ -30,3 +30,15 @@ def test_read_roles_round_trip(spark):
     b = funnel_mart(again, MartParams())
     assert a.count() == b.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_mart_reproduces_stage_preference_trap(spark):
+    """T4: ``user_id`` prefers the late stage, the user join the early stage, so the
+    numeric id beside it can belong to another user."""
+    from pyspark.sql import functions as F
+
+    s = roles(spark, SF)
+    mart = funnel_mart(s, MartParams())
+    both = mart.where(F.col("numeric_user_id").isNotNull() & F.col("user_id").isNotNull())
+    assert both.where(F.col("numeric_user_id") != F.col("user_id")).count() > 0
+    assert both.where(F.col("numeric_user_id") == F.col("user_id")).count() > 0
