@@ -27,6 +27,3 @@ def waterfall(rules: Sequence[tuple[Column, Any]], default: Any = None) -> Colum
         out = out.when(cond, _v(val))
     return out.otherwise(_v(default)) if default is not None else out
 
-
-def in_labels(col: Column, labels: Sequence[str]) -> Column:
-    return col.isin(*labels)

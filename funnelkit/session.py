@@ -8,7 +8,6 @@ splits skewed partitions and coalesces small ones.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -72,6 +71,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.sparkContext.setCheckpointDir(d)
     return d
 
-
-def sf_dir_default() -> str:
-    return os.environ.get("FUNNELKIT_SF_DIR", "/root/testdata/sf0.01")
