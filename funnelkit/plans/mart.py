@@ -262,11 +262,13 @@ def enrich_spine(
 def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
     """The 94 output columns, in contract order."""
     cf, pq, c = R.cf, R.pq, R.c
-    df = df.withColumn("_plan_kind", R.plan_kind(p))
+    df = df.withColumns({
+        "_plan_kind": R.plan_kind(p),
+        "_monthly": R.monthly_index(),
+        "_pattern_index": R.risk_pattern_index(p, c("hrm_flag")),
+        "_metro_index": flag(c("msa_flag").isNotNull()),
+    })
     df = df.withColumn("_captured_category", R.captured_category(p, F.col("_plan_kind")))
-    df = df.withColumn("_monthly", R.monthly_index())
-    df = df.withColumn("_pattern_index", R.risk_pattern_index(p, c("hrm_flag")))
-    df = df.withColumn("_metro_index", flag(c("msa_flag").isNotNull()))
     start_any = F.coalesce(pq("start_date"), cf("start_date"))
     aprs = slot_coalesce(
         [cf("offered_apr1"), cf("offered_apr2"), cf("offered_apr3")],
