@@ -319,6 +319,11 @@ def funnel_mart_reference_order(spark, sf_dir):
     return mart_columns(enrich_spine(spine, s, p, bucket_seconds=3600, order="reference"), p)
 
 
+def lookup_key_report(spark, sf_dir):
+    from funnelkit.plans.mart import lookup_key_report as report
+    return report(roles(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "lookback_filter": lookback_filter,
     "stage_prefilter": stage_prefilter_q,
@@ -341,6 +346,7 @@ QUERIES: dict[str, Query] = {
     "fallback_key_join": fallback_key_join,
     "membership_flag": membership_flag,
     "key_uniqueness": key_uniqueness,
+    "lookup_key_report": lookup_key_report,
     "funnel_stage": funnel_stage,
     "repeat_flag": repeat_flag,
     "new_to_group_flag": new_to_group_flag,

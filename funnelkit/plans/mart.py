@@ -27,7 +27,7 @@ from funnelkit.functions.columns import default_zero, flag, is_missing
 from funnelkit.functions.dates import date_gate, lookback_start, month_boundaries, months_fractional
 from funnelkit.functions.slots import null_safe_sum, slot_coalesce, slot_max, slot_min, slot_min_sentinel
 from funnelkit.operators.asof import asof_latest
-from funnelkit.operators.enrich import Lookup
+from funnelkit.operators.enrich import Lookup, key_violations
 from funnelkit.operators.enrich import enrich_group as _enrich_group
 from funnelkit.operators.filters import stage_prefilter, window_condition
 from funnelkit.operators.latest import distinct_keys, signal_rollup
@@ -378,6 +378,43 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
     return df.select(*cols)
 
 
+# Value lookups of the mart and the key each must be unique on (C10). Membership
+# lookups (purchases, no-file charges) are de-duplicated and cannot fan out.
+LOOKUP_KEYS = (
+    ("prequal", "prequal_id"),
+    ("prequal_decision", "guarantee_id"),
+    ("merchant_dim", "merchant_id"),
+    ("risky_merchant", "merchant_id"),
+    ("merchant_segment", "merchant_id"),
+    ("checkout_session", "checkout_id"),
+    ("checkout_mart", "checkout_id"),
+    ("charge_mart", "charge_id"),
+    ("user_dim", "user_id"),
+    ("person_stats", "person_id"),
+    ("offered_terms", "checkout_id"),
+    ("bad_outcome", "charge_id"),
+    ("application", "application_id"),
+    ("address", "address_id"),
+    ("postal_metro", "postal_code"),
+    ("risky_metro", "metro"),
+)
+
+
+def lookup_key_report(sources: dict[str, DataFrame]) -> DataFrame:
+    """C10 for the whole mart: every non-NULL key that occurs more than once in a value
+    lookup, with its role and count. Each such key multiplies the spine rows it joins
+    (the reference does this silently); an empty report proves the mart keeps one row
+    per application. One aggregation per role, unioned."""
+    parts = []
+    for role, key in LOOKUP_KEYS:
+        keys = sources[role].select(F.col(key).cast("string").alias("key")).where(F.col("key").isNotNull())
+        parts.append(key_violations(keys, ["key"]).select(F.lit(role).alias("role"), "key", "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600) -> DataFrame:
     """The mart. ``bucket_seconds`` splits the as-of work into (user, time bucket)
     partitions (None: one window partition per user)."""

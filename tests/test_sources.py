@@ -42,3 +42,13 @@ def test_mart_reproduces_stage_preference_trap(spark):
     both = mart.where(F.col("numeric_user_id").isNotNull() & F.col("user_id").isNotNull())
     assert both.where(F.col("numeric_user_id") != F.col("user_id")).count() > 0
     assert both.where(F.col("numeric_user_id") == F.col("user_id")).count() > 0
+
+
+def test_lookup_key_report_finds_fan_out(spark):
+    from funnelkit.plans.mart import lookup_key_report
+
+    s = roles(spark, SF)
+    assert lookup_key_report(s).count() == 0
+    s["merchant_dim"] = s["merchant_dim"].unionByName(s["merchant_dim"].where("merchant_id < 2"))
+    got = sorted((r.role, r.key, r.n) for r in lookup_key_report(s).collect())
+    assert got == [("merchant_dim", "0", 2), ("merchant_dim", "1", 2)]
