@@ -79,3 +79,47 @@ def test_bounded_history_keeps_in_window_states(spark):
     floor = dt.datetime(2024, 1, 5)
     want = {did: (full[did][1] if t is not None and t >= floor else None) for did, u, t in dec}
     assert got == want
+
+
+def test_waterfall_first_match_three_valued(spark):
+    """G0 against a Python first-match reference: NULL comparisons are not true, so a
+    rule with a NULL condition is skipped and the next one is tried."""
+    from funnelkit.operators import waterfall
+
+    rnd = random.Random(11)
+    rows = [tuple(None if rnd.random() < 0.25 else rnd.randrange(0, 10) for _ in range(3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a int, b int, c int")
+    rules = [
+        (F.col("a") > 5, "x"),
+        (F.col("b") < 3, "y"),
+        ((F.col("a") == F.col("b")) | (F.col("c") == 0), "z"),
+        (~F.col("c").isin(1, 2, 3), "w"),
+    ]
+    got = [r.k for r in df.select(waterfall(rules, "d").alias("k")).collect()]
+
+    def gt(x, y):
+        return None if x is None or y is None else x > y
+
+    def lt(x, y):
+        return None if x is None or y is None else x < y
+
+    def eq(x, y):
+        return None if x is None or y is None else x == y
+
+    def or3(p, q):
+        if p is True or q is True:
+            return True
+        return None if p is None or q is None else False
+
+    def not_in(x, vals):
+        return None if x is None else x not in vals
+
+    want = []
+    for a, b, c in rows:
+        for cond, label in ((gt(a, 5), "x"), (lt(b, 3), "y"), (or3(eq(a, b), eq(c, 0)), "z"), (not_in(c, (1, 2, 3)), "w")):
+            if cond is True:
+                want.append(label)
+                break
+        else:
+            want.append("d")
+    assert got == want
