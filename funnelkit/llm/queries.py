@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import read_table
 from funnelkit.llm.curriculum import curriculum_mix
 from funnelkit.llm.exact_dedup import exact_dedup
+from funnelkit.llm.quality import quality_scores
+from funnelkit.llm.simhash import near_duplicates
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +29,20 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_quality": op8_quality,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE: dict[str, str] = {
