@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import read_table
 from funnelkit.llm.curriculum import curriculum_mix
 from funnelkit.llm.exact_dedup import exact_dedup
+from funnelkit.llm.packing import pack_documents
 from funnelkit.llm.quality import quality_scores
 from funnelkit.llm.simhash import near_duplicates
 
@@ -20,6 +21,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix in training order: documents range-sorted by their first position."""
     return (
@@ -40,6 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_packing": op4_packing,
     "op7_source_mix": op7_source_mix,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
