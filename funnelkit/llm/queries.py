@@ -13,6 +13,7 @@ from funnelkit.llm.exact_dedup import exact_dedup
 from funnelkit.llm.packing import pack_documents
 from funnelkit.llm.quality import quality_scores
 from funnelkit.llm.simhash import near_duplicates
+from funnelkit.llm.toxicity import toxicity_scores
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity_scores(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scores.withColumn("evidence", F.col("evidence.doc_id"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix in training order: documents range-sorted by their first position."""
     return (
@@ -48,6 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_source_mix": op7_source_mix,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
