@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import read_table
 from funnelkit.llm.curriculum import curriculum_mix
 from funnelkit.llm.exact_dedup import exact_dedup
+from funnelkit.llm.mtree import top_k
 from funnelkit.llm.packing import pack_documents
 from funnelkit.llm.quality import quality_scores
 from funnelkit.llm.simhash import near_duplicates
@@ -51,6 +52,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark, read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_packing": op4_packing,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mix": op7_source_mix,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_top_k": op10_top_k,
 }
 
 ORACLE: dict[str, str] = {
@@ -125,4 +131,22 @@ ORACLE: dict[str, str] = {
                END AS position
         FROM shared
     """,
+    "op10_top_k": r"""
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+          FROM embeddings
+          WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+        ),
+        ranked AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+          FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
 }
