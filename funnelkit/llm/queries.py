@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import read_table
 from funnelkit.llm.curriculum import curriculum_mix
 from funnelkit.llm.exact_dedup import exact_dedup
+from funnelkit.llm.licenses import scan_licenses
 from funnelkit.llm.mtree import top_k
 from funnelkit.llm.packing import pack_documents
+from funnelkit.llm.pii import pseudonymise_documents
 from funnelkit.llm.quality import quality_scores
 from funnelkit.llm.simhash import near_duplicates
 from funnelkit.llm.toxicity import toxicity_scores
@@ -23,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -34,6 +40,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("evidence", F.col("evidence.doc_id"))
 
 
+#: Key of the registered query. A deployment passes its own secret.
+PII_KEY = b"funnelkit example key"
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise_documents(read_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix in training order: documents range-sorted by their first position."""
     return (
@@ -58,8 +72,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_licenses": op2_licenses,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_source_mix": op7_source_mix,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
