@@ -16,6 +16,7 @@ from funnelkit.llm.packing import pack_documents
 from funnelkit.llm.pii import pseudonymise_documents
 from funnelkit.llm.quality import quality_scores
 from funnelkit.llm.simhash import near_duplicates
+from funnelkit.llm.suffixes import remove_repeats
 from funnelkit.llm.toxicity import toxicity_scores
 
 
@@ -29,6 +30,10 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,6 +78,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_licenses": op2_licenses,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_pseudonyms": op6_pseudonyms,
