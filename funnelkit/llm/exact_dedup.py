@@ -91,12 +91,15 @@ def exact_dedup(
         "recipes",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
+    # Only recipes that occur more than once are joined, from a table: then both sides of the
+    # join are plain exchanges, which Spark can split where one recipe is very frequent.
     groups = recipes.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
-    return recipes.join(groups, "recipe").select(
+    groups = materialize(spark, groups.filter("group_size > 1"), "groups")
+    return recipes.join(groups, "recipe", "left").select(
         "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_id") == F.col("first.row_id")).alias("kept"),
+        F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).alias("group_size"),
+        F.coalesce(F.col("row_id") == F.col("first.row_id"), F.lit(True)).alias("kept"),
         "text_sha256",
         F.expr("CAST(size(recipe) / 2 AS INT)").alias("n_chunks"),
         "__key_a",
