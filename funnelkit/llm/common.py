@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +52,18 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ]
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts have about ``size`` bytes (a longer text is a batch of
+    its own), so that what a task unpacks at a time is bounded by bytes, not by rows."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def row_key(docs: DataFrame) -> list[Column]:
     """128-bit key of a whole row: rows with equal keys are equal in every column."""
     cols = [F.col(f"`{c}`") for c in docs.columns]

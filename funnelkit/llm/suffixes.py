@@ -14,6 +14,8 @@ stands for a run of consecutive windows, its block (at most 80 bytes).
    undecided. Leading bytes that a splitter cuts through are compared across the boundary.
 3. Undecided blocks and the ones they may match are fetched, and their windows are sorted by
    multikey quicksort (runs of equal first words go on to the next word) and compared byte by byte.
+   Where more than ``HOT_ROWS`` blocks share their leading bytes, each of their windows is a row
+   of its own instead, and Spark aggregates and joins those by 128-bit keys of the windows.
 4. The removed runs are cut out of the texts.
 """
 
@@ -24,18 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text, materialize
+from funnelkit.llm.common import id_and_text, materialize, parts_of
 
 SPAN = 50
 LEAD = 20
 OFFSETS = SPAN - LEAD + 1
 BLOCK = SPAN + OFFSETS - 1
 SEGMENT = 1 << 17
-FLUSH = 2_000_000  # anchors a task combines before it sends them
-BUCKET_ROWS = 1_000_000
+FLUSH = 1_500_000  # anchors a task combines before it sends them
+BUCKET_ROWS = 250_000
+MAX_BUCKETS = 100_000  # splitters are broadcast: 16 bytes each
+HOT_ROWS = 20_000  # undecided blocks with equal leading bytes that one task compares
 SAMPLE_DOCS = 2_000
 SAMPLE_ANCHORS = 256
 NO_ID = (1 << 63) - 1  # null ids: after all others
@@ -113,18 +118,6 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
 
 
-def runs_of(texts: list[bytes], size: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``size`` bytes (a longer text is a run of its own)."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def bucket_of(lead: np.ndarray, block: np.ndarray, split_lead: np.ndarray, split_block: np.ndarray) -> np.ndarray:
     """Bucket in the order of (lead, block): how many splitters come before."""
     at = np.searchsorted(split_lead, lead, side="left")
@@ -188,24 +181,21 @@ _LOW48 = np.uint64((1 << 48) - 1)
 def _anchor_task(splitters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in batches:
-            ids = batch.column("doc").to_numpy()
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for a, b in runs_of(texts):
-                text, _, _, _, lead, block = anchors(*laid_out(texts[a:b]))
-                held.append((ids[a:b][text], lead, block & _LOW48))
-                n += len(text)
-                if n >= FLUSH:
-                    yield from _send(*map(np.concatenate, zip(*held)), splitters)
-                    held, n = [], 0
+        for batch in parts_of(batches):
+            text, _, _, _, lead, block = anchors(*laid_out(batch.column("text").cast(pa.binary()).to_pylist()))
+            held.append((batch.column("doc").to_numpy()[text], lead, block & _LOW48))
+            n += len(text)
+            if n >= FLUSH:
+                yield from _send(*map(np.concatenate, zip(*held)), splitters)
+                held, n = [], 0
         if n:
             yield from _send(*map(np.concatenate, zip(*held)), splitters)
 
     return run
 
 
-#: What buckets decide: kind 0: covered blocks of a document; 1: blocks to fetch; 2: suffixes whose leading
-#: bytes a splitter cuts through, with those bytes' hash.
+#: What buckets decide: kind 0: covered blocks of a document; 1: blocks to fetch; 3: the same, of leading
+#: bytes that very many have; 2: suffixes whose leading bytes a splitter cuts through, with those bytes' hash.
 _DECIDED = "kind int, doc long, blocks array<long>, lead long"
 
 
@@ -217,7 +207,7 @@ def _decided(kind: int, ids: np.ndarray, lists: pa.Array, lead: np.ndarray | Non
     )
 
 
-def _bucket_task(splitters):
+def _bucket_task(splitters, hot_rows: int):
     split_lead = splitters[0]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -242,7 +232,9 @@ def _bucket_task(splitters):
         asked = np.zeros(group[-1] + 1, dtype=bool)
         asked[group[unsure]] = True
         fetch = ~covered & asked[group] & ~cut & (new_block | unsure)
-        out = [_decided(0, *_by_doc(docs[covered], block[covered])), _decided(1, *_by_doc(docs[fetch], block[fetch]))]
+        hot = np.bincount(group[fetch], minlength=group[-1] + 1)[group] > hot_rows
+        out = [_decided(0, *_by_doc(docs[covered], block[covered]))]
+        out += [_decided(kind, *_by_doc(docs[some], block[some])) for kind, some in ((1, fetch & ~hot), (3, fetch & hot))]
         rest = np.flatnonzero(cut & ~covered)
         if len(rest):
             out.append(_decided(2, docs[rest], _lists(block[rest].view(np.int64), np.ones(len(rest), np.int64)), lead[rest].astype(np.int64)))
@@ -302,34 +294,52 @@ def matched_windows(lead: np.ndarray, doc: np.ndarray, blocks: np.ndarray, left:
 _BLOCKS = "lead long, doc long, block long, left int, right int, bytes binary"
 
 
+def _wanted(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, ...]:
+    """Of the anchors of a batch's texts the ones whose block is in the text's list in ``column``:
+    document, anchor less first and less last window start, lead, block, and the blocks' bytes
+    laid out with the anchor in one column."""
+    data, offsets = laid_out(batch.column("text").cast(pa.binary()).to_pylist())
+    text, at, start, stop, lead, block = anchors(data, offsets)
+    block &= _LOW48
+    lists = batch.column(column)
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+    asked = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    wanted = np.zeros(len(block), dtype=bool)
+    bounds = np.searchsorted(text, np.arange(len(batch) + 1))
+    for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(bounds) > 0)):
+        x, y = bounds[k], bounds[k + 1]
+        wanted[x:y] = np.isin(block[x:y], asked[ends[k] : ends[k + 1]])
+    text, at, start, stop, lead, block = (v[wanted] for v in (text, at, start, stop, lead, block))
+    col = np.arange(BLOCK)[None, :] - (OFFSETS - 1)
+    inside = (col >= (start - at)[:, None]) & (col < (stop - at)[:, None] + SPAN)
+    place = np.where(inside, (offsets[text] + at)[:, None] + col, 0)
+    laid = np.where(inside, data[place] if len(data) else 0, 0).astype(np.uint8)
+    return batch.column("doc").to_numpy()[text], at - start, at - stop, lead.view(np.int64), block.view(np.int64), laid
+
+
 def _fetch_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks asked for, laid out with the anchor in one column."""
-    for batch in batches:
-        ids = batch.column("doc").to_numpy()
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        asked = batch.column("fetch").to_pylist()
-        for a, b in runs_of(texts):
-            data, offsets = laid_out(texts[a:b])
-            text, at, start, stop, lead, block = anchors(data, offsets)
-            block &= _LOW48
-            wanted = np.zeros(len(block), dtype=bool)
-            bounds = np.searchsorted(text, np.arange(b - a + 1))
-            for k in range(b - a):
-                x, y = bounds[k], bounds[k + 1]
-                if asked[a + k] and y > x:
-                    wanted[x:y] = np.isin(block[x:y], np.array(asked[a + k], dtype=np.int64).view(np.uint64))
-            text, at, start, stop, lead, block = (v[wanted] for v in (text, at, start, stop, lead, block))
-            col = np.arange(BLOCK)[None, :] - (OFFSETS - 1)
-            place = (offsets[text] + at)[:, None] + col
-            inside = (col >= (start - at)[:, None]) & (col < (stop - at)[:, None] + SPAN)
-            laid = np.where(inside, data[np.clip(place, 0, len(data) - 1)] if len(data) else 0, 0).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(lead.view(np.int64)), pa.array(ids[a:b][text]), pa.array(block.view(np.int64)), pa.array((at - start).astype(np.int32)),
-                    pa.array((at - stop).astype(np.int32)), pa.array([r.tobytes() for r in laid], pa.binary()),
-                ],
-                names=["lead", "doc", "block", "left", "right", "bytes"],
-            )
+    for batch in parts_of(batches):
+        doc, left, right, lead, block, laid = _wanted(batch, "fetch")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lead), pa.array(doc), pa.array(block), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array([r.tobytes() for r in laid], pa.binary())],
+            names=["lead", "doc", "block", "left", "right", "bytes"],
+        )
+
+
+_WINDOWS = "key_a long, key_b long, doc long, block long, mask long"
+
+
+def _window_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per window of the blocks asked for: its 128-bit key (with its place before the anchor)."""
+    for batch in parts_of(batches):
+        doc, left, right, _, block, laid = _wanted(batch, "hot")
+        out = []
+        for o in range(OFFSETS):
+            for i in np.flatnonzero((right <= o) & (o <= left)):
+                digest = hashlib.blake2b(laid[i, OFFSETS - 1 - o : OFFSETS - 1 - o + SPAN].tobytes(), digest_size=16, salt=bytes([o])).digest()
+                out.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), int(doc[i]), int(block[i]), 1 << o))
+        cols = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key_a", "key_b", "doc", "block", "mask"])
 
 
 def _match_task(table: pa.Table) -> pa.Table:
@@ -357,7 +367,7 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts_of(batches):
         out = []
         columns = (batch.column(c).to_pylist() for c in ("doc_id", "covered", "partly"))
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -369,7 +379,9 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _, at, start, stop, _, block = anchors(data, offsets)
                 block = (block & _LOW48).view(np.int64)
                 mask = np.where(np.isin(block, np.array(covered or [], dtype=np.int64)), -1, 0)
-                part = {p["block"]: p["mask"] for p in partly or []}
+                part: dict[int, int] = {}
+                for p in partly or []:
+                    part[p["block"]] = part.get(p["block"], 0) | p["mask"]
                 if part:
                     for i in np.flatnonzero((mask == 0) & np.isin(block, np.array(list(part), dtype=np.int64))):
                         mask[i] = part[int(block[i])]
@@ -385,7 +397,7 @@ def _cut_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sample_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts_of(batches):
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             _, _, _, _, lead, block = anchors(*laid_out([text]))
             some = np.argsort(_mix(block ^ _S), kind="stable")[:SAMPLE_ANCHORS]
@@ -396,7 +408,7 @@ def draw_splitters(texts: DataFrame, bucket_rows: int) -> tuple[np.ndarray, np.n
     """Splitters (lead, block) from the anchors of about ``SAMPLE_DOCS`` documents, at most
     ``SAMPLE_ANCHORS`` each: a bounded sample that balances the buckets; no result depends on it."""
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    n_buckets = max(1, -(-size // (17 * bucket_rows)))
+    n_buckets = min(MAX_BUCKETS, max(1, -(-size // (17 * bucket_rows))))
     nothing = np.zeros(0, dtype=np.uint64)
     if n_buckets == 1:
         return nothing, nothing
@@ -409,7 +421,7 @@ def draw_splitters(texts: DataFrame, bucket_rows: int) -> tuple[np.ndarray, np.n
 
 
 def remove_repeats(
-    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (first and end
     byte of each removed run).
@@ -423,11 +435,11 @@ def remove_repeats(
     sent = texts.select("doc", "text").mapInArrow(_anchor_task(splitters), _SENT)
     # Rows of the tasks' own findings only pass through; they are spread by document.
     dealt = sent.withColumn("key", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc"), F.lit(64)).cast("int")).otherwise(F.col("bucket")))
-    decide = _bucket_task(splitters)
+    decide = _bucket_task(splitters, hot_rows)
 
     def bucket(key: tuple, table: pa.Table) -> pa.Table:
-        own = pa.compute.less(table["bucket"], 0)
-        passed, rows = table.filter(own), table.filter(pa.compute.invert(own))
+        own = pc.less(table["bucket"], 0)
+        passed, rows = table.filter(own), table.filter(pc.invert(own))
         n = len(passed)
         through = pa.table({"kind": pa.array(np.zeros(n, np.int32)), "doc": passed["doc"], "blocks": passed["covered"], "lead": pa.nulls(n, pa.int64())})
         return pa.concat_tables([through, decide(key, rows)]) if len(rows) else through
@@ -435,22 +447,27 @@ def remove_repeats(
     decided = materialize(spark, dealt.groupBy("key").applyInArrow(bucket, _DECIDED), "decided")
     # Leading bytes cut by a splitter: compared over all buckets that hold them.
     cut = decided.filter("kind = 2").select("doc", "lead", F.col("blocks")[0].alias("block"))
-    spans = cut.groupBy("lead").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("most > least")
-    across = cut.join(spans, "lead").select(F.lit(1).alias("kind"), "doc", F.array("block").alias("blocks"))
-    sides = decided.filter("kind < 2").select("kind", "doc", "blocks").union(across)
+    spans = cut.groupBy("lead").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
+    kind = F.when(F.col("n") > hot_rows, 3).otherwise(1)
+    across = cut.join(spans.filter("most > least"), "lead").select(kind.alias("kind"), "doc", F.array("block").alias("blocks"))
+    sides = decided.filter("kind <> 2").select("kind", "doc", "blocks").union(across)
+    lists = {"covered": 0, "fetch": 1, "hot": 3}
     side = sides.groupBy("doc").agg(
-        F.flatten(F.collect_list(F.when(F.col("kind") == 0, F.col("blocks")))).alias("covered"),
-        F.flatten(F.collect_list(F.when(F.col("kind") == 1, F.col("blocks")))).alias("fetch"),
+        *[F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("blocks")))).alias(name) for name, k in lists.items()]
     )
     side = materialize(spark, side, "side")
-    # Both joins below shuffle the texts alike, so Spark writes that shuffle once.
-    fetched = texts.join(side.select("doc", "fetch"), "doc", "left").select("doc", "text", "fetch")
-    blocks = fetched.filter(F.size("fetch") > 0).mapInArrow(_fetch_task, _BLOCKS)
+    # The joins below shuffle the texts alike, so Spark writes that shuffle once.
+    fetched = texts.join(side, "doc", "left").select("doc", "text", *lists)
+    blocks = fetched.filter(F.size("fetch") > 0).select("doc", "text", "fetch").mapInArrow(_fetch_task, _BLOCKS)
+    windows = fetched.filter(F.size("hot") > 0).select("doc", "text", "hot").mapInArrow(_window_task, _WINDOWS)
     n_groups = max(64, len(splitters[0]) + 1)
-    partly = (
+    cold = (
         blocks.withColumn("group", F.pmod(F.xxhash64("lead"), F.lit(n_groups)))
         .groupBy("group").applyInArrow(_match_task, "doc long, block long, mask long")
-        .groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("partly"))
     )
+    if not side.filter(F.size("hot") > 0).isEmpty():
+        least = windows.groupBy("key_a", "key_b").agg(F.min("doc").alias("least"))
+        cold = cold.union(windows.join(least, ["key_a", "key_b"]).filter("doc > least").select("doc", "block", "mask"))
+    partly = cold.groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("partly"))
     whole = texts.join(side.select("doc", "covered"), "doc", "left").join(partly, "doc", "left")
     return whole.select("doc_id", "text", "covered", "partly").mapInArrow(_cut_task, _RESULT)
