@@ -6,6 +6,6 @@ Column expression (``funnelkit.functions``). Rule sets and the composed mart liv
 ``funnelkit.sources``.
 """
 
-from funnelkit.session import build_session, checkpoint_dir
+from funnelkit.session import build_session
 
-__all__ = ["build_session", "checkpoint_dir"]
+__all__ = ["build_session"]

@@ -1,11 +1,12 @@
-"""Scalar column helpers: stage preference, null defaults, sentinels, list tests."""
+"""Scalar column helpers: null defaults, sentinels, list tests, join keys."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnOrName = Column | str
 
@@ -14,18 +15,6 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def prefer(*cols: ColumnOrName, default=None) -> Column:
-    """First non-NULL of the given stage columns, in preference order.
-
-    ``prefer(late, early)`` is the late stage first; ``prefer(early, late)`` the early
-    stage first. The preference differs per output column, so it is always explicit.
-    """
-    parts = [_c(c) for c in cols]
-    if default is not None:
-        parts.append(F.lit(default))
-    return F.coalesce(*parts)
-
-
 def default_zero(col: ColumnOrName) -> Column:
     """NULL indicator -> 0."""
     return F.coalesce(_c(col), F.lit(0))
@@ -48,25 +37,37 @@ def not_in_list(col: ColumnOrName, values: Iterable) -> Column:
     return ~_c(col).isin(*list(values))
 
 
-def ilike_any(col: ColumnOrName, patterns: Iterable[str]) -> Column:
-    """Case-insensitive LIKE against any of the patterns (``_`` is a wildcard)."""
-    c = _c(col)
-    out = None
-    for p in patterns:
-        t = c.ilike(p)
-        out = t if out is None else (out | t)
-    return out if out is not None else F.lit(False)
+def key_type(df: DataFrame, key: ColumnOrName) -> T.DataType:
+    return df.select(_c(key).alias("k")).schema["k"].dataType
 
 
-def salted_key(key: ColumnOrName, *salt_cols: ColumnOrName, buckets: int = 1 << 16) -> Column:
-    """Join key whose NULLs are spread over ``buckets`` values instead of one.
+def salted_key(df: DataFrame, key: ColumnOrName, *salt_cols: ColumnOrName) -> Column:
+    """Join key of ``df`` whose NULLs are spread over 64-bit values instead of one.
 
     An outer join sends every NULL key to the same shuffle partition; when NULL keys
     are a large share of a side (rows of one stage that never reached the other) that
     partition holds them all. The salt is a deterministic hash of other columns of the
     row, so a re-run task routes every row to the same partition. Callers must keep a
     ``key IS NOT NULL`` term in the join condition so a salted value can never match.
+    Whole-number keys stay numbers and string keys strings: a key that is not NULL is
+    shuffled as it is.
     """
     k = _c(key)
-    salt = F.pmod(F.xxhash64(*[_c(s) for s in salt_cols]), F.lit(buckets))
-    return F.coalesce(k.cast("string"), F.concat(F.lit("\u0000null:"), salt.cast("string")))
+    salt = F.xxhash64(*[_c(s) for s in salt_cols])
+    kind = key_type(df, k)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.coalesce(k, salt)
+    if isinstance(kind, T.StringType):
+        return F.coalesce(k, salt.cast("string"))
+    return F.coalesce(k.cast("string"), salt.cast("string"))
+
+
+def match_key(df: DataFrame, dim: DataFrame, key: ColumnOrName, dim_key: ColumnOrName) -> Column:
+    """``dim_key`` in the type that ``salted_key(df, key)`` has, without a cast where the types agree."""
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    left, right = key_type(df, key), key_type(dim, dim_key)
+    if (isinstance(left, whole) and isinstance(right, whole)) or (isinstance(left, T.StringType) and isinstance(right, T.StringType)):
+        return _c(dim_key)
+    if isinstance(left, whole):
+        raise TypeError(f"a key of type {left.simpleString()} cannot meet one of type {right.simpleString()}")
+    return _c(dim_key).cast("string")

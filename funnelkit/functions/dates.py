@@ -18,10 +18,6 @@ def _date_lit(d) -> Column:
     return F.lit(d)
 
 
-def to_date(col: ColumnOrName) -> Column:
-    return _c(col).cast("date")
-
-
 def lookback_start(start, days: int) -> Column:
     """First instant of the lookback window: ``start - days`` at midnight.
 

@@ -2,14 +2,14 @@
 
 from funnelkit.operators.asof import asof_latest
 from funnelkit.operators.enrich import Lookup, Step, enrich_chain, enrich_group, enrich_left, flag_member, key_violations
-from funnelkit.operators.filters import lookback, missing_filter, report_window, stage_prefilter, window_condition
+from funnelkit.operators.filters import lookback, report_window, stage_prefilter, window_condition
 from funnelkit.operators.latest import distinct_keys, latest_non_null, latest_value, signal_rollup
 from funnelkit.operators.stitch import prefixed, stitch, stitch_split
 from funnelkit.operators.waterfall import waterfall
 
 __all__ = [
     "asof_latest", "Lookup", "Step", "enrich_group", "enrich_chain", "enrich_left", "flag_member", "key_violations",
-    "lookback", "missing_filter", "report_window", "stage_prefilter", "window_condition",
+    "lookback", "report_window", "stage_prefilter", "window_condition",
     "distinct_keys", "latest_non_null", "latest_value", "signal_rollup",
     "prefixed", "stitch", "stitch_split", "waterfall",
 ]

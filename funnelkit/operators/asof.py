@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from funnelkit.functions.columns import match_key, salted_key
+
 _SIDE = "__asof_side"
 _TS = "__asof_ts"
 _EVT = "__asof_evt"
@@ -83,15 +85,12 @@ def asof_latest(
     payload_fields = [F.col(right_ts).alias("t")] + [F.col(c).alias(f"k{i}") for i, c in enumerate(tie)]
     payload_fields += [F.col(src).alias(out) for out, src in outs.items()]
     ev = right.where(F.col(right_ts).isNotNull() & F.col(by).isNotNull()).select(
-        F.col(by).cast("string").alias(_KEY),
+        match_key(left, right, by, by).alias(_KEY),
         F.col(right_ts).alias(_TS),
         *[F.col(c).alias(f"__asof_tie{i}") for i, c in enumerate(tie)],
         F.struct(*payload_fields).alias(_EVT),
     )
-    key_expr = F.coalesce(
-        F.col(by).cast("string"),
-        F.concat(F.lit("\u0000null:"), F.pmod(F.xxhash64(*[F.col(c) for c in salt]), F.lit(1 << 16)).cast("string")),
-    )
+    key_expr = salted_key(left, by, *salt)
     dec = left.select(*[F.col(c) for c in left_cols], key_expr.alias(_KEY), F.col(left_ts).alias(_TS))
     tie_cols = [f"__asof_tie{i}" for i in range(len(tie))]
 
@@ -140,6 +139,6 @@ def asof_latest(
         )
         matched = u.withColumn(_EVT, F.last(_EVT, ignorenulls=True).over(w)).where(F.col(_SIDE) == 1)
 
-    # A NULL decision time matches nothing (``<=`` against NULL is never true).
-    evt = F.when(F.col(_TS).isNotNull(), F.col(_EVT))
+    # A NULL decision time or key matches nothing, whatever its salted key met in the window.
+    evt = F.when(F.col(_TS).isNotNull() & F.col(by).isNotNull(), F.col(_EVT))
     return matched.select(*[F.col(c) for c in left_cols], *[evt.getField(o).alias(o) for o in outs])

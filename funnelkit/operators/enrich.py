@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.columns import ColumnOrName, _c, salted_key
+from funnelkit.functions.columns import ColumnOrName, _c, match_key, salted_key
 
 
 def enrich_left(
@@ -41,13 +41,14 @@ def enrich_left(
     """
     sel = columns if isinstance(columns, dict) else {c: c for c in (columns or [c for c in dim.columns if c != dim_key])}
     rk = "__rk"
-    right = dim.select(F.col(dim_key).alias(rk), *[F.col(src).alias(out) for out, src in sel.items()])
     k = _c(key)
     if spread_nulls:
         lk = "__lk"
-        left = df.withColumn(lk, salted_key(k, *(salt_cols or df.columns)))
-        out = left.join(right, (F.col(lk) == F.col(rk).cast("string")) & k.isNotNull(), "left")
+        left = df.withColumn(lk, salted_key(df, k, *(salt_cols or df.columns)))
+        right = dim.select(match_key(df, dim, k, dim_key).alias(rk), *[F.col(src).alias(out) for out, src in sel.items()])
+        out = left.join(right, (F.col(lk) == F.col(rk)) & k.isNotNull(), "left")
         return out.drop(lk, rk)
+    right = dim.select(F.col(dim_key).alias(rk), *[F.col(src).alias(out) for out, src in sel.items()])
     return df.join(right, k == F.col(rk), "left").drop(rk)
 
 
@@ -62,24 +63,26 @@ class Step:
     columns: Sequence[str] | dict[str, str] | None = None
 
 
-def enrich_chain(df: DataFrame, steps: Sequence[Step]) -> DataFrame:
-    """Successive left joins, each keyed by an output of the previous one."""
+def enrich_chain(df: DataFrame, steps: Sequence[Step], spread_nulls: bool = True) -> DataFrame:
+    """Successive left joins, each keyed by an output of the previous one. A link that found
+    nothing gives a NULL key to the next, so NULL keys are spread over all tasks."""
     out = df
     for s in steps:
-        out = enrich_left(out, s.dim, s.key, s.dim_key, s.columns)
+        out = enrich_left(out, s.dim, s.key, s.dim_key, s.columns, spread_nulls, df.columns)
     return out
 
 
-def flag_member(df: DataFrame, keys: DataFrame, key: ColumnOrName, keys_col: str, name: str) -> DataFrame:
+def flag_member(
+    df: DataFrame, keys: DataFrame, key: ColumnOrName, keys_col: str, name: str, spread_nulls: bool = True
+) -> DataFrame:
     """0/1 column ``name``: does ``key`` occur in ``keys[keys_col]``?
 
     The key list is de-duplicated first (an aggregation with map-side combine), so a
-    repeated key can never multiply rows.
+    repeated key can never multiply rows. NULL keys are spread and never match.
     """
-    marks = keys.select(F.col(keys_col).alias("__mk")).where(F.col("__mk").isNotNull()).distinct()
-    marks = marks.withColumn("__mark", F.lit(1))
-    out = df.join(marks, _c(key) == F.col("__mk"), "left")
-    return out.withColumn(name, F.coalesce(F.col("__mark"), F.lit(0))).drop("__mk", "__mark")
+    marks = keys.select(keys_col).where(F.col(keys_col).isNotNull()).distinct().withColumn("__mark", F.lit(1))
+    out = enrich_left(df, marks, key, keys_col, {"__mark": "__mark"}, spread_nulls)
+    return out.withColumn(name, F.coalesce(F.col("__mark"), F.lit(0))).drop("__mark")
 
 
 def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,7 +110,6 @@ def enrich_group(
     lookups: Sequence[Lookup],
     spread_nulls: bool = True,
     salt_cols: Sequence[str] = (),
-    partition: bool = False,
 ) -> DataFrame:
     """Several left joins on the same key, computed once as a column.
 
@@ -115,28 +117,25 @@ def enrich_group(
     already hash-partitioned on that column and later joins on it shuffle only their
     right side (grouping by key, survey section 4). NULL keys are salted so they do
     not collapse into one partition; a separate non-NULL marker keeps them unmatched.
+    Without ``spread_nulls`` the key stays as it is, and frames bucketed on it are
+    joined without a shuffle.
 
-    ``partition=True`` hash-partitions the frame on the key column first. A sort-merge
-    join on that key reuses this partitioning (no second exchange); when every right
-    side is small enough to broadcast it is the one shuffle that spreads the frame over
-    all tasks instead of leaving it in its scan's splits. It is off by default: AQE
-    splits skewed partitions only of the shuffles joins require, not of an explicit
-    repartition, so with a possibly hot key the join's own exchange is the safer one.
+    A hot key of a group with several lookups is split by AQE only with
+    ``spark.sql.adaptive.forceOptimizeSkewedJoin`` (set by ``build_session``): splitting the
+    first join takes the later ones their shared partitioning.
     """
     k = _c(key)
     kc, kv = "__gk", "__gkv"
     if spread_nulls:
-        out = df.select("*", salted_key(k, *(salt_cols or df.columns)).alias(kc), k.isNotNull().alias(kv))
+        out = df.select("*", salted_key(df, k, *(salt_cols or df.columns)).alias(kc), k.isNotNull().alias(kv))
         helpers = [kc, kv]
     else:
         out = df.select("*", k.alias(kc))
         helpers = [kc]
-    if partition:
-        out = out.repartition(kc)
     members = []
     for i, lk in enumerate(lookups):
         rk = f"__rk{i}"
-        rkey = F.col(lk.dim_key).cast("string") if spread_nulls else F.col(lk.dim_key)
+        rkey = match_key(df, lk.dim, k, lk.dim_key) if spread_nulls else F.col(lk.dim_key)
         if lk.member:
             ((name, _src),) = lk.columns.items()
             members.append(name)

@@ -58,12 +58,12 @@ def signal_rollup(
     """D2-D4 + E1 in one aggregation.
 
     ``max_zero`` maps output -> (input, divisor): ``max(coalesce(input, 0)) / divisor``
-    (NULL read as 0 *inside* the max, trap T8). ``latest`` maps output -> input for
+    (NULL read as 0 *inside* the max, trap T8), as DOUBLE whatever type the input has. ``latest`` maps output -> input for
     latest-non-NULL values by ``order``.
     """
     aggs = []
     for out, (src, div) in max_zero.items():
-        m = F.max(F.coalesce(F.col(src), F.lit(0)))
+        m = F.max(F.coalesce(F.col(src), F.lit(0))).cast("double")
         aggs.append((m / F.lit(div) if div else m).alias(out))
     ord_cols = [F.col(o) for o in order]
     for out, src in (latest or {}).items():

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.columns import salted_key
+from funnelkit.functions.columns import match_key, salted_key
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -50,9 +50,9 @@ def stitch(
     if not salt:
         return late.join(early, F.col(late_key) == F.col(early_key), "full")
     lk, ek = "__stitch_lk", "__stitch_ek"
-    l2 = late.withColumn(lk, salted_key(late_key, *(late_salt or late.columns)))
-    e2 = early.withColumn(ek, salted_key(early_key, *(early_salt or early.columns)))
-    cond = (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull()
+    l2 = late.withColumn(lk, salted_key(late, late_key, *(late_salt or late.columns)))
+    e2 = early.withColumn(ek, salted_key(early, early_key, *(early_salt or early.columns)))
+    cond = (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull() & F.col(early_key).isNotNull()
     return l2.join(e2, cond, "full").drop(lk, ek)
 
 
@@ -63,15 +63,20 @@ def stitch_split(
     early_key: str,
     late_salt: Sequence[str] = (),
     early_salt: Sequence[str] = (),
+    late_keys: DataFrame | None = None,
 ) -> DataFrame:
     """Same rows as ``stitch``: matched and late-only rows from a left join, early-only
-    rows from a left anti join against the distinct late keys."""
+    rows from a left anti join against the distinct late keys.
+
+    ``late_keys`` gives the late stage whose keys count where ``late`` itself has been filtered:
+    an early row is early-only if no late row at all has its key."""
     lk, ek, dk = "__stitch_lk", "__stitch_ek", "__stitch_dk"
-    l2 = late.withColumn(lk, salted_key(late_key, *(late_salt or late.columns)))
-    e_linked = early.where(F.col(early_key).isNotNull()).withColumn(ek, F.col(early_key).cast("string"))
+    l2 = late.withColumn(lk, salted_key(late, late_key, *(late_salt or late.columns)))
+    e_linked = early.where(F.col(early_key).isNotNull()).withColumn(ek, match_key(late, early, late_key, early_key))
     matched = l2.join(e_linked, (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull(), "left").drop(lk, ek)
 
-    keys = late.where(F.col(late_key).isNotNull()).select(F.col(late_key).cast("string").alias(dk)).distinct()
-    e2 = early.withColumn(ek, salted_key(early_key, *(early_salt or early.columns)))
+    source = late if late_keys is None else late_keys
+    keys = source.where(F.col(late_key).isNotNull()).select(match_key(early, source, early_key, late_key).alias(dk)).distinct()
+    e2 = early.withColumn(ek, salted_key(early, early_key, *(early_salt or early.columns)))
     early_only = e2.join(keys, (F.col(ek) == F.col(dk)) & F.col(early_key).isNotNull(), "left_anti").drop(ek)
     return matched.unionByName(early_only, allowMissingColumns=True)

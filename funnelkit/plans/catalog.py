@@ -8,6 +8,8 @@ tables directly. ``funnelkit.plans.oracle`` holds the matching DuckDB SQL.
 
 from __future__ import annotations
 
+import dataclasses
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +27,11 @@ from funnelkit.operators.latest import distinct_keys, latest_non_null
 from funnelkit.operators.stitch import prefixed, stitch, stitch_split
 from funnelkit.plans import rules as R
 from funnelkit.plans.mart import (
-    enrich_spine, funnel_mart, prequal_stage, stitched_spine, underwriting_signals,
+    card_state, enrich_spine, enriched_spine, funnel_mart, prequal_stage, stitched_spine, underwriting_signals,
 )
 from funnelkit.plans.params import MartParams
 from funnelkit.sources.fixture import role_frame, roles
+from funnelkit.sources.schemas import OPTIONAL, conform, role_schema, role_schemas
 from funnelkit.sources.tables import read_table
 
 P = MartParams()
@@ -39,18 +42,15 @@ def _app_id() -> F.Column:
     return F.coalesce(F.col("cf_application_id"), F.col("pq_application_id")).alias("application_id")
 
 
-def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = roles(spark, sf_dir)
-    return enrich_spine(stitched_spine(s["checkout_funnel"], s["prequal_funnel"], P), s, P)
+def _enriched(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
+    """The windowed spine with the enrichments that the columns ``need`` take."""
+    return enriched_spine(roles(spark, sf_dir), P, need=need)
 
 
-def _stitched(spark: SparkSession, sf_dir: str, split: bool = False) -> DataFrame:
+def _stitched(spark: SparkSession, sf_dir: str, stitcher=stitch_split) -> DataFrame:
     late = prefixed(role_frame(spark, sf_dir, "checkout_funnel"), "cf_")
     early = prefixed(prequal_stage(role_frame(spark, sf_dir, "prequal_funnel"), P), "pq_")
-    ids = dict(late_salt=["cf_application_id"], early_salt=["pq_application_id"])
-    if split:
-        return stitch_split(late, early, "cf_prequal_id", "pq_prequal_id", **ids)
-    return stitch(late, early, "cf_prequal_id", "pq_prequal_id", **ids)
+    return stitcher(late, early, "cf_prequal_id", "pq_prequal_id", late_salt=["cf_application_id"], early_salt=["pq_application_id"])
 
 
 # --- B: filters -----------------------------------------------------------------------
@@ -119,6 +119,7 @@ def _asof(spark, sf_dir, bucket_seconds):
 
 
 def asof_latest_state(spark, sf_dir):
+    """Comparison form: one window per user, so a hot user's events meet in one task."""
     return _asof(spark, sf_dir, None)
 
 
@@ -126,6 +127,17 @@ def asof_latest_state_bucketed(spark, sf_dir):
     return _asof(spark, sf_dir, 3600)
 
 
+#: A run whose lookback floor (2024-01-16) lies inside the fixture's event log.
+LATE_START = dataclasses.replace(P, start=dt.date(2025, 1, 15))
+
+
+def asof_bounded_history(spark, sf_dir):
+    """The mart's card state: decisions before the floor keep their row without a state, later
+    ones may match the last event before it."""
+    s = roles(spark, sf_dir, ["prequal_decision", "card_state_event"])
+    return card_state(s["prequal_decision"], s["card_state_event"], LATE_START, bucket_seconds=3600)
+
+
 def latest_non_null_q(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").withColumn(
         "prio", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
@@ -148,11 +160,12 @@ def _stitch_out(s: DataFrame) -> DataFrame:
 
 
 def stitch_full_outer(spark, sf_dir):
-    return _stitch_out(_stitched(spark, sf_dir))
+    """Comparison form: one full outer join, whose hot link ids Spark cannot split."""
+    return _stitch_out(_stitched(spark, sf_dir, stitch))
 
 
 def stitch_split_q(spark, sf_dir):
-    return _stitch_out(_stitched(spark, sf_dir, split=True))
+    return _stitch_out(_stitched(spark, sf_dir))
 
 
 def slot_coalesce_q(spark, sf_dir):
@@ -191,11 +204,11 @@ def enrich_coalesced_key(spark, sf_dir):
 def fallback_key_join(spark, sf_dir):
     cust = read_table(spark, sf_dir, "customer")
     nation = read_table(spark, sf_dir, "nation")
-    regions = read_table(spark, sf_dir, "region").where(F.col("r_regionkey") != 2)
+    regions = role_frame(spark, sf_dir, "risky_region")
     df = enrich_left(cust, nation, "c_nationkey", "n_nationkey", ["n_regionkey"])
     key = F.coalesce(F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey") % 5), F.col("n_regionkey"))
     df = df.withColumn("metro_key", key)
-    df = enrich_left(df, regions, "metro_key", "r_regionkey", {"risk_flag": "r_name"})
+    df = enrich_left(df, regions, "metro_key", "r_regionkey", {"risk_flag": "r_name"}, spread_nulls=True, salt_cols=["c_custkey"])
     return df.select("c_custkey", "metro_key", "risk_flag", flag(F.col("risk_flag").isNotNull()).alias("risk_index"))
 
 
@@ -210,31 +223,40 @@ def key_uniqueness(spark, sf_dir):
 
 
 # --- G: rules on the enriched spine ------------------------------------------------------
-def _rule(col_fn) -> Query:
+def _rule(col_fn, *need: str) -> Query:
+    """A rule on the spine, joined with the lookups of the columns ``need`` only."""
+
     def q(spark, sf_dir):
-        return _enriched(spark, sf_dir).select(_app_id(), *col_fn())
+        return _enriched(spark, sf_dir, *need).select(_app_id(), *col_fn())
     return q
 
 
+PLAN = ("purchase_member", "charge_mart_product_platform", "charge_mart_product_group", "session_instrument_type")
+CAPTURED = (*PLAN, "checkout_mart_is_platform")
 funnel_stage = _rule(lambda: [R.funnel_stage(P).alias("funnel_stage"), R.proactive_flag(P).alias("proactive_flag"),
-                              R.prequal_flag(P).alias("prequal_flag")])
-repeat_flag = _rule(lambda: [R.repeat_flag(P).alias("repeat_flag")])
-new_to_group_flag = _rule(lambda: [R.new_to_group_flag(P).alias("group_new_flag")])
+                              R.prequal_flag(P).alias("prequal_flag")], "prequal_creation_type")
+repeat_flag = _rule(lambda: [R.repeat_flag(P).alias("repeat_flag")], "person_first_capture")
+new_to_group_flag = _rule(lambda: [R.new_to_group_flag(P).alias("group_new_flag")], "person_first_capture_at_group")
 approval_rules = _rule(lambda: [R.is_approved(P).alias("is_approved"), R.is_checkout_approved(P).alias("is_checkout_approved")])
 reason_select = _rule(lambda: [R.decline_reason().alias("decline_reason")])
-application_category = _rule(lambda: [R.application_category(P).alias("application_category")])
-plan_kind = _rule(lambda: [R.plan_kind(P).alias("plan_kind")])
-captured_category = _rule(lambda: [R.captured_category(P, R.plan_kind(P)).alias("captured_category")])
-captured_subcategory = _rule(lambda: [R.captured_subcategory(P, R.plan_kind(P)).alias("captured_subcategory")])
-category_index = _rule(lambda: [R.core_index(P, R.captured_category(P, R.plan_kind(P))).alias("core_index")])
-merchant_category = _rule(lambda: [R.merchant_category(P, R.captured_category(P, R.plan_kind(P))).alias("captured_merchant_category")])
+application_category = _rule(
+    lambda: [R.application_category(P).alias("application_category")], "checkout_mart_is_platform", "checkout_mart_is_adaptive",
+    "ud_label", "ud_is_onboarded", "ud_first_onboarded", "md_product_type", "md_merchant_id", "cs_state_to", "dec_created",
+)
+plan_kind = _rule(lambda: [R.plan_kind(P).alias("plan_kind")], *PLAN)
+captured_category = _rule(lambda: [R.captured_category(P, R.plan_kind(P)).alias("captured_category")], *CAPTURED)
+captured_subcategory = _rule(lambda: [R.captured_subcategory(P, R.plan_kind(P)).alias("captured_subcategory")], *CAPTURED)
+category_index = _rule(lambda: [R.core_index(P, R.captured_category(P, R.plan_kind(P))).alias("core_index")], *CAPTURED)
+merchant_category = _rule(
+    lambda: [R.merchant_category(P, R.captured_category(P, R.plan_kind(P))).alias("captured_merchant_category")], *CAPTURED
+)
 version_select = _rule(lambda: [R.score_version(P).alias("score_version"), R.score_by_loan(P).alias("score_v1")])
-label_map = _rule(lambda: [R.partner_flag(P, F.col("md_partner_id")).alias("merchant_partner_flag")])
+label_map = _rule(lambda: [R.partner_flag(P, F.col("md_partner_id")).alias("merchant_partner_flag")], "md_partner_id")
 
 
 def offer_count(spark, sf_dir):
-    e = _enriched(spark, sf_dir)
-    slots = [F.col(f"coft_loan_type{i}") for i in (1, 2, 3)]
+    e = _enriched(spark, sf_dir, "terms_loan_type1")
+    slots = [F.col(f"terms_loan_type{i}") for i in (1, 2, 3)]
     return e.select(_app_id(), R.number_of_offers(P, slots).alias("number_of_offers"),
                     slot_count_leading(slots).alias("leading_slots"))
 
@@ -259,7 +281,7 @@ def indicator_complement(spark, sf_dir):
 
 
 def indicator_defaults(spark, sf_dir):
-    e = _enriched(spark, sf_dir)
+    e = _enriched(spark, sf_dir, "bo_indicator", "uw_student_balance")
     return e.select(
         _app_id(),
         F.coalesce(F.col("cf_is_confirmed"), F.lit(0)).alias("is_confirmed"),
@@ -270,9 +292,9 @@ def indicator_defaults(spark, sf_dir):
 
 
 def flag_and(spark, sf_dir):
-    e = _enriched(spark, sf_dir)
-    e = e.withColumn("risk_pattern_index", R.risk_pattern_index(P, F.col("hrm_flag")))
-    e = e.withColumn("risk_metro_index", flag(F.col("msa_flag").isNotNull()))
+    e = _enriched(spark, sf_dir, "risky_flag", "risky_metro_flag")
+    e = e.withColumn("risk_pattern_index", R.risk_pattern_index(P, F.col("risky_flag")))
+    e = e.withColumn("risk_metro_index", flag(F.col("risky_metro_flag").isNotNull()))
     both = flag((F.col("risk_metro_index") == 1) & (F.col("risk_pattern_index") == 1))
     return e.select(_app_id(), "risk_pattern_index", "risk_metro_index", both.alias("risk_merchant_and_metro_index"))
 
@@ -305,13 +327,29 @@ def funnel_mart_q(spark, sf_dir):
 
 
 def funnel_mart_key_window(spark, sf_dir):
-    """The flagship with the as-of as one window per user (no time buckets)."""
-    return funnel_mart(roles(spark, sf_dir), P, bucket_seconds=None)
+    """The flagship with the as-of in windows of a user and a day (fewer, longer windows)."""
+    return funnel_mart(roles(spark, sf_dir), P, bucket_seconds=86400)
+
+
+#: Mart outputs that are ids.
+ID_COLUMNS = ("application_id", "charge_id", "prequal_id", "checkout_id", "user_id", "numeric_user_id", "person_id", "merchant_id")
+
+
+def funnel_mart_string_ids(spark, sf_dir):
+    """The flagship over roles with string ids and without the optional tie keys."""
+    schemas = role_schemas(id_type="STRING")
+    sources = {}
+    for role, df in roles(spark, sf_dir).items():
+        optional = OPTIONAL.get(role, ())
+        kinds = {f.name: f.dataType for f in role_schema(role, schemas).fields}
+        df = df.select(*[F.col(c).cast(kinds[c]).alias(c) for c in df.columns if c not in optional])
+        sources[role] = conform(df, role, schemas)
+    return funnel_mart(sources, P)
 
 
 def funnel_mart_reference_order(spark, sf_dir):
-    """The flagship with the enrichment joins in the reference's order (key changes
-    16 times instead of 11): same rows, more shuffles of the spine at scale."""
+    """The flagship with all enrichment joins after the stitch, in the reference's order: same
+    rows, more shuffles of the spine at scale."""
     p = P
     s = roles(spark, sf_dir)
     spine = stitched_spine(s["checkout_funnel"], s["prequal_funnel"], p)
@@ -321,7 +359,8 @@ def funnel_mart_reference_order(spark, sf_dir):
 
 def lookup_key_report(spark, sf_dir):
     from funnelkit.plans.mart import lookup_key_report as report
-    return report(roles(spark, sf_dir))
+    sources = roles(spark, sf_dir)
+    return report(sources | {"risky_metro": role_frame(spark, sf_dir, "risky_metro_repeated")})
 
 
 QUERIES: dict[str, Query] = {
@@ -335,6 +374,7 @@ QUERIES: dict[str, Query] = {
     "date_gate": date_gate_q,
     "asof_latest_state": asof_latest_state,
     "asof_latest_state_bucketed": asof_latest_state_bucketed,
+    "asof_bounded_history": asof_bounded_history,
     "latest_non_null": latest_non_null_q,
     "signals_rollup": signals_rollup,
     "stitch_full_outer": stitch_full_outer,
@@ -371,5 +411,6 @@ QUERIES: dict[str, Query] = {
     "null_safe_sum": null_safe_sum_q,
     "funnel_mart": funnel_mart_q,
     "funnel_mart_key_window": funnel_mart_key_window,
+    "funnel_mart_string_ids": funnel_mart_string_ids,
     "funnel_mart_reference_order": funnel_mart_reference_order,
 }

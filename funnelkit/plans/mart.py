@@ -2,13 +2,15 @@
 
 Data flow (each step is a DataFrame operator; Catalyst/AQE choose the physical plan):
 
-1. early stage: ``prequal_stage`` (B5 filter + applied flag) before the stitch;
-2. ``stitch_split`` late x early on the prequal id (the exact split form of the full
-   outer join, C4: skew-splittable joins, salted NULL keys);
-3. reporting window (B6/B7) directly above the stitch (Catalyst pushes it into both
-   branches of the split);
-4. 20 enrichments in 12 key groups, each key shuffled once (``enrichment_steps``,
-   ``GROUPED_ORDER``); the spine's non-key columns travel packed in one struct;
+1. early stage: ``prequal_stage`` (B5 filter + applied flag) and the prequal master, both on
+   the prequal id, before the stitch;
+2. late stage: the part of the reporting window that a late row can decide by itself goes to
+   its scan, then the key groups that only a late row has (checkout, charge, application,
+   address, postal code, metro, guarantee) are joined;
+3. ``stitch_split`` late x early on the prequal id (the exact split form of the full
+   outer join, C4: skew-splittable joins, salted NULL keys) and the reporting window (B6/B7);
+4. the groups keyed by either stage (merchant, user); every key is shuffled once
+   (``enrichment_steps``, ``GROUPED_ORDER``) and the non-key columns travel packed in a struct;
 5. classification columns (G rules), each computed once;
 6. projection to the 94-column contract.
 
@@ -18,6 +20,7 @@ linear as-of (card state): no range join, no ``collect``, no per-key Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -63,7 +66,12 @@ def no_file_keys(decision_log: DataFrame, p: MartParams) -> DataFrame:
     return distinct_keys(df, ["charge_id"])
 
 
-def bounded_history(events: DataFrame, key: str, ts: str, tie: str, floor) -> DataFrame:
+def present(df: DataFrame, *cols: str) -> list[str]:
+    """Those of ``cols`` that ``df`` has (tie keys are optional)."""
+    return [c for c in cols if c in df.columns]
+
+
+def bounded_history(events: DataFrame, key: str, ts: str, tie: list[str], floor) -> DataFrame:
     """Events at or after ``floor``, plus each key's latest event before it.
 
     For as-of lookups at or after ``floor`` this is exact: of all older events only
@@ -74,7 +82,7 @@ def bounded_history(events: DataFrame, key: str, ts: str, tie: str, floor) -> Da
     older = (
         events.where((F.col(ts) < floor) & F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.max(F.struct(F.col(ts), F.col(tie), *[F.col(c) for c in events.columns if c not in (key, ts, tie)]))
+        .agg(F.max(F.struct(ts, *tie, *[c for c in events.columns if c not in (key, ts, *tie)]))
              .alias("__last"))
         .select(key, "__last.*")
     )
@@ -82,29 +90,29 @@ def bounded_history(events: DataFrame, key: str, ts: str, tie: str, floor) -> Da
 
 
 def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: MartParams, bucket_seconds=None) -> DataFrame:
-    """C1 for every prequal decision: the user's card state as of the decision.
+    """C1 for every prequal decision with a guarantee: the user's card state as of the decision.
 
-    Decisions before the lookback keep their row (the mart needs their time) with the
-    state masked to NULL, which is what joining the lookback-filtered as-of result
-    would give, without a second join. Because only in-window states are reported,
-    the event history before the window is reduced to each user's last event.
+    Decisions before the lookback keep their row (the mart needs their time) with a NULL state,
+    which is what joining the lookback-filtered as-of result would give; they and the ones
+    without a guarantee, which nothing can join, do not enter the as-of. Of the event
+    history before the window only each user's last event can be matched.
     """
     floor = lookback_start(p.start, p.lookback_days)
+    decisions = prequal_decision.where(F.col("guarantee_id").isNotNull()).select("decision_id", "user_id", "guarantee_id", "created")
+    tie = present(card_state_event, "event_id")
     asof = asof_latest(
-        prequal_decision.select("decision_id", "user_id", "guarantee_id", "created"),
-        bounded_history(card_state_event, "user_id", "created", "event_id", floor),
+        decisions.where(F.col("created") >= floor),
+        bounded_history(card_state_event, "user_id", "created", tie, floor),
         by="user_id",
         left_ts="created",
         right_ts="created",
         right_cols={"state_to": "state_to"},
-        tie=["event_id"],
+        tie=tie,
         left_salt=["decision_id"],
         bucket_seconds=bucket_seconds,
-    )
-    in_window = F.col("created") >= floor
-    return asof.select(
-        "decision_id", "guarantee_id", "created", F.when(in_window, F.col("state_to")).alias("state_to")
-    )
+    ).select("decision_id", "guarantee_id", "created", "state_to")
+    older = decisions.where(F.coalesce(F.col("created") < floor, F.lit(True)))
+    return asof.unionByName(older.select("decision_id", "guarantee_id", "created", F.lit(None).cast("string").alias("state_to")))
 
 
 def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p: MartParams) -> DataFrame:
@@ -112,12 +120,13 @@ def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p:
     dollar conversion, and the latest non-NULL metro and balance. The lookback filter
     is on the run side, so the left join is an inner join (T17)."""
     runs = decision_run.where(F.col("created") >= lookback_start(p.start, p.lookback_days))
+    tie = present(runs, "line_no", "part_no")
     base = app_run_bridge.join(
         runs,
         (app_run_bridge["run_id"] == runs["run_id"]) & (app_run_bridge["decision_type"] == runs["run_name"]),
         "inner",
     ).select(
-        app_run_bridge["application_id"], runs["created"], runs["line_no"], runs["part_no"],
+        app_run_bridge["application_id"], runs["created"], *[runs[c] for c in tie],
         runs["exposure_cents"], runs["min_exposure_cents"], runs["income_dollars"],
         runs["metro"], runs["student_balance"],
     )
@@ -130,25 +139,40 @@ def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p:
             "annual_income_dollars": ("income_dollars", None),
         },
         latest={"metro": "metro", "student_balance": "student_balance"},
-        order=["created", "line_no", "part_no"],
+        order=["created", *tie],
     )
 
 
+def reporting_window(p: MartParams) -> Column:
+    return window_condition(
+        p.start,
+        [F.col("pq_start_date"), F.col("cf_start_date")],
+        [F.col("cf_captured_dt"), F.col("cf_first_capture_dt")],
+        [F.col("cf_is_checkout_applied"), F.col("pq_is_applied")],
+    )
+
+
+def late_may_report(p: MartParams) -> Column:
+    """What the reporting window implies for a late row alone: a linked row may still get its
+    early stage's start date, and its applied flag where it has none."""
+    start = F.lit(p.start).cast("timestamp_ntz")
+    linked = F.col("cf_prequal_id").isNotNull()
+    captured = F.coalesce(F.col("cf_captured_dt"), F.col("cf_first_capture_dt"))
+    applied = F.col("cf_is_checkout_applied")
+    return ((F.col("cf_start_date") >= start) | (captured >= start) | linked) & ((applied > 0) | (applied.isNull() & linked))
+
+
 def stitched_spine(checkout_funnel: DataFrame, prequal_funnel: DataFrame, p: MartParams, window: bool = True) -> DataFrame:
+    """Both stages stitched, without any enrichment."""
     late = prefixed(checkout_funnel, "cf_")
     early = prefixed(prequal_stage(prequal_funnel, p), "pq_")
-    spine = stitch_split(late, early, "cf_prequal_id", "pq_prequal_id",
-                         late_salt=["cf_application_id"], early_salt=["pq_application_id"])
-    if window:
-        spine = spine.where(
-            window_condition(
-                p.start,
-                [F.col("pq_start_date"), F.col("cf_start_date")],
-                [F.col("cf_captured_dt"), F.col("cf_first_capture_dt")],
-                [F.col("cf_is_checkout_applied"), F.col("pq_is_applied")],
-            )
-        )
-    return spine
+    return stitch_stages(late.where(late_may_report(p)) if window else late, early, late, p, window)
+
+
+def stitch_stages(late: DataFrame, early: DataFrame, all_late: DataFrame, p: MartParams, window: bool = True) -> DataFrame:
+    spine = stitch_split(late, early, "cf_prequal_id", "pq_prequal_id", late_salt=["cf_application_id"],
+                         early_salt=["pq_application_id"], late_keys=all_late.select("cf_prequal_id"))
+    return spine.where(reporting_window(p)) if window else spine
 
 
 SPINE_IDS = ("cf_application_id", "pq_application_id")
@@ -161,7 +185,7 @@ SPINE_KEYS = (
 
 def enrich_group(df, key, lookups):
     """Grouped left joins whose NULL keys are salted by the row's stage ids."""
-    return _enrich_group(df, key, lookups, spread_nulls=True, salt_cols=SPINE_IDS)
+    return _enrich_group(df, key, lookups, spread_nulls=True, salt_cols=present(df, *SPINE_IDS))
 
 
 @dataclass(frozen=True)
@@ -183,23 +207,23 @@ def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None
     uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
     L = Lookup
     return [
-        EnrichStep("pq_prequal_id", L(s["prequal"], "prequal_id", {"upre_creation_type": "creation_type"})),
+        EnrichStep("pq_prequal_id", L(s["prequal"], "prequal_id", {"prequal_creation_type": "creation_type"})),
         EnrichStep("cf_guarantee_id", L(cs, "guarantee_id", {"dec_created": "created", "cs_state_to": "state_to"})),
         EnrichStep("merchant", L(s["merchant_dim"], "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns}),
                    merchant),
-        EnrichStep("md_merchant_id", L(s["risky_merchant"], "merchant_id", {"hrm_flag": "flag", "hrm_status": "status"})),
+        EnrichStep("md_merchant_id", L(s["risky_merchant"], "merchant_id", {"risky_flag": "flag", "risky_status": "status"})),
         EnrichStep("md_merchant_id", L(s["merchant_segment"], "merchant_id", {"seg_division": "division"})),
-        EnrichStep("cf_checkout_id", L(s["checkout_session"], "checkout_id", {"chfc_instrument_type": "instrument_type"})),
+        EnrichStep("cf_checkout_id", L(s["checkout_session"], "checkout_id", {"session_instrument_type": "instrument_type"})),
         EnrichStep("cf_checkout_id", L(s["checkout_mart"], "checkout_id",
-                                       {"cmt_is_platform": "is_platform", "cmt_is_adaptive": "is_adaptive"})),
+                                       {"checkout_mart_is_platform": "is_platform", "checkout_mart_is_adaptive": "is_adaptive"})),
         EnrichStep("cf_charge_id", L(s["charge_mart"], "charge_id",
-                                     {"cm_product_platform": "product_platform", "cm_product_group": "product_group"})),
-        EnrichStep("cf_checkout_id", L(s["purchases"], "checkout_id", {"aip_member": "checkout_id"}, member=True)),
+                                     {"charge_mart_product_platform": "product_platform", "charge_mart_product_group": "product_group"})),
+        EnrichStep("cf_checkout_id", L(s["purchases"], "checkout_id", {"purchase_member": "checkout_id"}, member=True)),
         EnrichStep("user", L(s["user_dim"], "user_id", {f"ud_{c}": c for c in (
             "numeric_id", "person_id", "label", "is_onboarded", "first_onboarded")}), user),
         EnrichStep("ud_person_id", L(s["person_stats"], "person_id", {
-            "fpl_first_capture": "first_capture", "fpl_first_capture_at_group": "first_capture_at_group"})),
-        EnrichStep("cf_checkout_id", L(s["offered_terms"], "checkout_id", {f"coft_{c}": c for c in (
+            "person_first_capture": "first_capture", "person_first_capture_at_group": "first_capture_at_group"})),
+        EnrichStep("cf_checkout_id", L(s["offered_terms"], "checkout_id", {f"terms_{c}": c for c in (
             "loan_type1", "loan_type2", "loan_type3", "down_payment1", "down_payment2", "down_payment3")})),
         EnrichStep("cf_charge_id", L(no_file_keys(s["decision_log"], p), "charge_id", {"nofile_member": "charge_id"},
                                      member=True)),
@@ -211,52 +235,101 @@ def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None
         EnrichStep("app_billing_address_id", L(s["address"], "address_id",
                                                {"ua_region_code": "region_code", "ua_postal_code": "postal_code"})),
         EnrichStep("ua_postal_code", L(s["postal_metro"], "postal_code", {"zip_metro": "metro"})),
-        EnrichStep("metro", L(s["risky_metro"], "metro", {"msa_flag": "flag"}), metro),
+        EnrichStep("metro", L(s["risky_metro"], "metro", {"risky_metro_flag": "flag"}), metro),
     ]
 
 
 # Key groups in the order the mart joins them: every key's lookups together, chains
 # after the keys they depend on.
-GROUPED_ORDER = (
-    "pq_prequal_id", "cf_checkout_id", "cf_charge_id", "cf_application_id", "app_billing_address_id",
-    "ua_postal_code", "metro", "cf_guarantee_id", "merchant", "md_merchant_id", "user", "ud_person_id",
+EARLY_ORDER = ("pq_prequal_id",)
+LATE_ORDER = (
+    "cf_checkout_id", "cf_charge_id", "cf_application_id", "app_billing_address_id", "ua_postal_code", "metro",
+    "cf_guarantee_id",
 )
+BOTH_ORDER = ("merchant", "md_merchant_id", "user", "ud_person_id")
+GROUPED_ORDER = EARLY_ORDER + LATE_ORDER + BOTH_ORDER
+#: Lookup columns a computed key is made of.
+KEY_SOURCES = {"metro": ("uw_metro", "zip_metro")}
+
+
+def needed_steps(steps: list[EnrichStep], need: Iterable[str] | None) -> list[EnrichStep]:
+    """The steps that produce the columns in ``need`` (None: all) and the ones their keys come from.
+
+    A left join whose right side is not known to be unique cannot be dropped by Spark, so a
+    caller that wants a few columns says so.
+    """
+    if need is None:
+        return steps
+    wanted, kept = set(need), []
+    for st in reversed(steps):
+        if wanted & set(st.lookup.columns):
+            kept.append(st)
+            wanted.update(KEY_SOURCES.get(st.key, (st.key,)))
+    return kept[::-1]
+
+
+def join_runs(df: DataFrame, steps: list[EnrichStep]) -> DataFrame:
+    """Join the steps in order, lookups on one key together.
+
+    Only the join keys travel as top-level columns; every other column is packed into one
+    struct for the joins and unpacked afterwards. The joins' generated code then passes one
+    value per row instead of ~70, and the rows shuffled are the same. Every shuffle of the
+    frame is the one its sort-merge join requires, which is the kind AQE can split when a
+    key is skewed (an explicit repartition it cannot).
+    """
+    if not steps:
+        return df
+    runs: list[list[EnrichStep]] = []
+    for st in steps:
+        if runs and runs[-1][0].key == st.key:
+            runs[-1].append(st)
+        else:
+            runs.append([st])
+    keys = [c for c in (*SPINE_KEYS, "uw_metro", "zip_metro") if c in df.columns]
+    payload = [c for c in df.columns if c not in keys]
+    out = df.select(*keys, F.struct(*payload).alias("__spine"))
+    for run in runs:
+        out = enrich_group(out, run[0].expr if run[0].expr is not None else run[0].key, [st.lookup for st in run])
+    return out.select("*", "__spine.*").drop("__spine")
 
 
 def enrich_spine(
-    spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucket_seconds=None, order: str = "grouped"
+    spine: DataFrame, s: dict[str, DataFrame], p: MartParams, bucket_seconds=None, order: str = "grouped",
+    need: Iterable[str] | None = None,
 ) -> DataFrame:
-    """All 20 enrichment joins of the mart.
+    """The enrichment joins on an already stitched spine.
 
     ``order='grouped'`` joins all lookups of one key consecutively (12 key groups, one
     spine shuffle each when not broadcast); ``order='reference'`` keeps the reference's
-    join order, where the key changes 16 times.
-
-    Only the join keys travel as top-level columns; every other spine column is packed
-    into one struct for the joins and unpacked afterwards. The joins' generated code
-    then passes one value per row instead of ~70, and the rows shuffled are the same.
+    join order, where the key changes more often.
     """
-    steps = enrichment_steps(s, p, bucket_seconds)
+    steps = needed_steps(enrichment_steps(s, p, bucket_seconds), need)
     if order == "grouped":
         steps = sorted(steps, key=lambda st: GROUPED_ORDER.index(st.key))
     elif order != "reference":
         raise ValueError(f"unknown join order {order!r}")
-    runs: list[list[EnrichStep]] = []
-    for st in steps:
-        if runs and runs[-1][0].key == st.key:
-            runs[-1].append(st)
-        else:
-            runs.append([st])
+    return join_runs(spine, steps)
 
-    keys = [c for c in SPINE_KEYS if c in spine.columns]
-    payload = [c for c in spine.columns if c not in keys]
-    df = spine.select(*keys, F.struct(*payload).alias("__spine"))
-    for run in runs:
-        key = run[0].expr if run[0].expr is not None else run[0].key
-        # Every spine shuffle is the one its sort-merge join requires, which is the kind
-        # AQE can split when a key is skewed (an explicit repartition it cannot).
-        df = enrich_group(df, key, [st.lookup for st in run])
-    return df.select("*", "__spine.*").drop("__spine")
+
+def enriched_spine(
+    s: dict[str, DataFrame], p: MartParams, bucket_seconds: int | None = 3600, need: Iterable[str] | None = None
+) -> DataFrame:
+    """The stitched, windowed spine with its enrichments (``need``: only what these columns take).
+
+    Lookups keyed by one stage's own id are joined to that stage before the stitch: the rows of
+    the other stage could not match, and are not shuffled for it. Same rows as
+    ``enrich_spine(stitched_spine(...))``.
+    """
+    steps = needed_steps(enrichment_steps(s, p, bucket_seconds), need)
+    of = lambda order: sorted((st for st in steps if st.key in order), key=lambda st: order.index(st.key))
+    all_late = prefixed(s["checkout_funnel"], "cf_")
+    late = join_runs(all_late.where(late_may_report(p)), of(LATE_ORDER))
+    early = join_runs(prefixed(prequal_stage(s["prequal_funnel"], p), "pq_"), of(EARLY_ORDER))
+    spine = stitch_stages(late, early, all_late, p)
+    members = [name for st in of(LATE_ORDER) if st.lookup.member for name in st.lookup.columns]
+    if members:  # an early-only row is in no list
+        spine = spine.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in members})
+    return join_runs(spine, of(BOTH_ORDER))
 
 
 def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
@@ -265,8 +338,8 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
     df = df.withColumn("_plan_kind", R.plan_kind(p))
     df = df.withColumn("_captured_category", R.captured_category(p, F.col("_plan_kind")))
     df = df.withColumn("_monthly", R.monthly_index())
-    df = df.withColumn("_pattern_index", R.risk_pattern_index(p, c("hrm_flag")))
-    df = df.withColumn("_metro_index", flag(c("msa_flag").isNotNull()))
+    df = df.withColumn("_pattern_index", R.risk_pattern_index(p, c("risky_flag")))
+    df = df.withColumn("_metro_index", flag(c("risky_metro_flag").isNotNull()))
     start_any = F.coalesce(pq("start_date"), cf("start_date"))
     aprs = slot_coalesce(
         [cf("offered_apr1"), cf("offered_apr2"), cf("offered_apr3")],
@@ -290,7 +363,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
         R.proactive_flag(p).alias("proactive_flag"),
         R.repeat_flag(p).alias("repeat_flag"),
         R.new_to_group_flag(p).alias("group_new_flag"),
-        months_fractional(start_any, F.coalesce(c("fpl_first_capture"), start_any)).alias("user_tenure_months"),
+        months_fractional(start_any, F.coalesce(c("person_first_capture"), start_any)).alias("user_tenure_months"),
         R.is_applied().alias("is_applied"),
         R.is_approved(p).alias("is_approved"),
         R.decline_reason().alias("decline_reason"),
@@ -302,7 +375,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
         default_zero(cf("is_authed")).alias("is_authed"),
         default_zero(cf("is_merchant_captured")).alias("is_merchant_captured"),
         default_zero(cf("is_captured")).alias("is_captured"),
-        R.number_of_offers(p, [c("coft_loan_type1"), c("coft_loan_type2"), c("coft_loan_type3")]).alias("number_of_offers"),
+        R.number_of_offers(p, [c("terms_loan_type1"), c("terms_loan_type2"), c("terms_loan_type3")]).alias("number_of_offers"),
         R.application_category(p).alias("application_category"),
         c("_captured_category").alias("captured_category"),
         R.captured_subcategory(p, c("_plan_kind")).alias("captured_subcategory"),
@@ -322,7 +395,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
         c("_monthly").alias("monthly_index"),
         (F.lit(1) - c("_monthly")).alias("biweekly_index"),
         cf("total_amount").alias("checkout_requested_amount"),
-        slot_min_sentinel([c("coft_down_payment1"), c("coft_down_payment2"), c("coft_down_payment3")], p.dp_sentinel)
+        slot_min_sentinel([c("terms_down_payment1"), c("terms_down_payment2"), c("terms_down_payment3")], p.dp_sentinel)
         .alias("min_down_payment"),
         cf("down_payment_amount").alias("checkout_down_payment"),
         R.prequal_flag(p).alias("prequal_flag"),
@@ -356,12 +429,12 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
             month_boundaries(F.coalesce(c("md_created").cast("date"), F.lit(p.as_of)), start_any),
         ).alias("merchant_tenure_months"),
         c("md_product_type").alias("merchant_product_type"),
-        c("hrm_flag").alias("risk_merchant_flag"),
-        c("hrm_status").alias("risk_merchant_status"),
+        c("risky_flag").alias("risk_merchant_flag"),
+        c("risky_status").alias("risk_merchant_status"),
         default_zero(c("bo_indicator")).alias("bad_outcome_index"),
-        R.risk_pattern_flag(p, c("hrm_flag")).alias("risk_pattern_flag"),
+        R.risk_pattern_flag(p, c("risky_flag")).alias("risk_pattern_flag"),
         c("_pattern_index").alias("risk_pattern_index"),
-        c("msa_flag").alias("risk_metro_flag"),
+        c("risky_metro_flag").alias("risk_metro_flag"),
         c("_metro_index").alias("risk_metro_index"),
         flag((c("_metro_index") == 1) & (c("_pattern_index") == 1)).alias("risk_merchant_and_metro_index"),
         c("ua_region_code").alias("address_region_code"),
@@ -417,5 +490,4 @@ def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, buck
     """The mart. ``bucket_seconds`` splits the as-of work into (user, time bucket)
     partitions (None: one window partition per user)."""
     p = p or MartParams()
-    spine = stitched_spine(sources["checkout_funnel"], sources["prequal_funnel"], p)
-    return mart_columns(enrich_spine(spine, sources, p, bucket_seconds=bucket_seconds), p)
+    return mart_columns(enriched_spine(sources, p, bucket_seconds), p)

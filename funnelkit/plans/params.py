@@ -69,16 +69,16 @@ class MartParams:
     approved_state: str = "approved"
     proactive_type: str = "proactive"
     # retailer groups (G10, G15): label -> merchant ids, first match wins
-    retailer_groups: tuple[tuple[str, tuple[int, ...]], ...] = (
+    retailer_groups: tuple[tuple[str, tuple[int | str, ...]], ...] = (
         ("retailer a", (4,)),
         ("retailer b", (5,)),
         ("retailer c", (6,)),
         ("retailer d", (1,)),
     )
     # the retailer with its own approval rules and group flag
-    focus_retailer_ids: tuple[int, ...] = (1,)
+    focus_retailer_ids: tuple[int | str, ...] = (1,)
     # merchants eligible for the card/direct products without a guarantee
-    direct_merchant_ids: tuple[int, ...] = (2,)
+    direct_merchant_ids: tuple[int | str, ...] = (2,)
     direct_product_type: str = "direct"
     own_label: str = "own"
     card_platform: str = "network"

@@ -2,12 +2,12 @@
 
 Column naming contract (what the mart and the fixture queries provide): late-stage
 (checkout) columns are prefixed ``cf_``, early-stage (prequal) columns ``pq_``;
-enrichment columns carry the prefix of their source: ``md_`` merchant, ``hrm_`` risky
-merchant, ``seg_`` revenue segment, ``chfc_`` checkout session, ``cmt_`` checkout
-mart, ``cm_`` charge mart, ``coft_`` offered terms, ``ud_`` user, ``fpl_`` person
-statistics, ``upre_`` prequal master, ``dec_``/``cs_`` as-of card state, ``uw_``
-signals, ``ua_`` address, ``zip_`` postal metro, ``msa_`` risky metro, plus the 0/1
-members ``aip_member``, ``nofile_member``.
+enrichment columns carry the prefix of their source: ``md_`` merchant, ``risky_`` risky
+merchant, ``seg_`` revenue segment, ``session_`` checkout session, ``checkout_mart_`` checkout
+mart, ``charge_mart_`` charge mart, ``terms_`` offered terms, ``ud_`` user, ``person_`` person
+statistics, ``prequal_`` prequal master, ``dec_``/``cs_`` as-of card state, ``uw_``
+signals, ``ua_`` address, ``zip_`` postal metro, ``risky_metro_`` risky metro, plus the 0/1
+members ``purchase_member``, ``nofile_member``.
 
 Every rule is one first-match ``CASE`` built with ``waterfall``; a rule used by
 several outputs (the plan kind, the captured category) is computed once as a column
@@ -16,9 +16,6 @@ and referenced by name.
 
 from __future__ import annotations
 
-import functools
-
-from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,39 +25,19 @@ from funnelkit.operators.waterfall import waterfall
 from funnelkit.plans.params import MartParams
 
 
-_MEMO: dict = {}
-
-
-def memo(fn):
-    """Build an expression once per JVM gateway and argument tuple.
-
-    Expressions are immutable and unresolved until used, so one object can be shared
-    by every rule that needs it; this keeps the many-rule projection from paying one
-    JVM round trip per repeated sub-expression.
-    """
-
-    @functools.wraps(fn)
-    def wrapper(*args):
-        key = (fn.__qualname__, args, id(SparkContext._gateway))
-        out = _MEMO.get(key)
-        if out is None:
-            out = _MEMO[key] = fn(*args)
-        return out
-
-    return wrapper
+def in_ids(col: Column, ids) -> Column:
+    """Is an id in a parameter list? Ids of any type are compared as text."""
+    return col.cast("string").isin(*[str(i) for i in ids])
 
 
-@memo
 def cf(name: str) -> Column:
     return F.col("cf_" + name)
 
 
-@memo
 def pq(name: str) -> Column:
     return F.col("pq_" + name)
 
 
-@memo
 def c(name: str) -> Column:
     return F.col(name)
 
@@ -69,18 +46,15 @@ def _zero(x: Column) -> Column:
     return F.coalesce(x, F.lit(0))
 
 
-@memo
 def tomorrow(p: MartParams) -> Column:
     return F.date_add(_date_lit(p.as_of), 1)
 
 
 # --- G1, G2, G17: funnel stage -------------------------------------------------------
-@memo
 def early_without_late() -> Column:
     return (_zero(pq("is_applied")) > 0) & cf("prequal_id").isNull()
 
 
-@memo
 def funnel_stage(p: MartParams) -> Column:
     L = p.labels
     return waterfall(
@@ -90,7 +64,7 @@ def funnel_stage(p: MartParams) -> Column:
 
 
 def proactive_flag(p: MartParams) -> Column:
-    return waterfall([(c("upre_creation_type") == p.proactive_type, p.labels.proactive)], p.labels.other)
+    return waterfall([(c("prequal_creation_type") == p.proactive_type, p.labels.proactive)], p.labels.other)
 
 
 def prequal_flag(p: MartParams) -> Column:
@@ -99,14 +73,13 @@ def prequal_flag(p: MartParams) -> Column:
 
 
 # --- G3, G4: customer history flags ---------------------------------------------------
-@memo
 def activity_time() -> Column:
     """Event time of the customer flags: early start, else the checkout creation (T5)."""
     return F.coalesce(pq("start_date"), cf("checkout_created_dt"))
 
 
 def repeat_flag(p: MartParams) -> Column:
-    first = F.coalesce(c("fpl_first_capture"), tomorrow(p))
+    first = F.coalesce(c("person_first_capture"), tomorrow(p))
     return waterfall([(activity_time() > first, p.labels.repeat)], p.labels.new)
 
 
@@ -114,11 +87,11 @@ def new_to_group_flag(p: MartParams) -> Column:
     L = p.labels
     merchant = F.coalesce(pq("merchant_id"), cf("merchant_id"))
     user = F.coalesce(pq("user_id"), cf("user_id"))
-    first = F.coalesce(c("fpl_first_capture_at_group"), tomorrow(p))
+    first = F.coalesce(c("person_first_capture_at_group"), tomorrow(p))
     t = activity_time()
     return waterfall(
         [
-            (~merchant.isin(*p.focus_retailer_ids), L.not_in_group),
+            (~in_ids(merchant, p.focus_retailer_ids), L.not_in_group),
             (user.isNotNull() & (t <= first), L.new_to_group),
             (user.isNotNull() & (t > first), L.repeat_in_group),
         ],
@@ -127,7 +100,6 @@ def new_to_group_flag(p: MartParams) -> Column:
 
 
 # --- G5-G8: outcomes -----------------------------------------------------------------
-@memo
 def is_applied() -> Column:
     return flag(F.coalesce(cf("is_checkout_applied"), pq("is_applied"), F.lit(0)) > 0)
 
@@ -153,7 +125,7 @@ def is_approved(p: MartParams) -> Column:
     (and when no leg applies) the late flag, else the early state, floored at 0."""
     early_ok = flag(pq("decision_state") == p.approved_state)
     fallback = F.greatest(F.coalesce(cf("is_approved"), early_ok), F.lit(0))
-    focus = F.coalesce(pq("merchant_id"), cf("merchant_id")).isin(*p.focus_retailer_ids)
+    focus = in_ids(F.coalesce(pq("merchant_id"), cf("merchant_id")), p.focus_retailer_ids)
     legs = _approval_legs(p, F.coalesce(pq("start_date"), cf("start_date")))
     return waterfall([(focus & cond, val) for cond, val in legs], fallback)
 
@@ -161,7 +133,7 @@ def is_approved(p: MartParams) -> Column:
 def is_checkout_approved(p: MartParams) -> Column:
     """As G6 on late-stage columns only; NULL when there is no late stage."""
     fallback = _zero(cf("is_approved"))
-    focus = cf("merchant_id").isin(*p.focus_retailer_ids)
+    focus = in_ids(cf("merchant_id"), p.focus_retailer_ids)
     legs = _approval_legs(p, cf("start_date"))
     return waterfall(
         [(cf("application_id").isNull(), F.lit(None).cast("int"))] + [(focus & cond, val) for cond, val in legs],
@@ -192,46 +164,38 @@ def number_of_offers(p: MartParams, slots: list[Column]) -> Column:
 
 
 # --- G11-G15: plan kind and captured categories ---------------------------------------
-@memo
 def _daily(n: int) -> Column:
     return (cf("plan_frequency") == "daily") & (cf("plan_interval") == n)
 
 
-@memo
 def _weekly_classic(p: MartParams) -> Column:
     return (cf("plan_frequency") == "weekly") & (cf("loan_type") == p.classic_loan)
 
 
-@memo
 def _weekly_or_go(p: MartParams) -> Column:
     return (cf("plan_frequency") == "weekly") | (cf("loan_type") == p.go_loan)
 
 
-@memo
 def _short(p: MartParams) -> Column:
     """Short plan: any of the four short-term rules (first-match with one label)."""
     return _daily(30) | _daily(15) | _weekly_classic(p) | _weekly_or_go(p)
 
 
-@memo
 def _core_short(p: MartParams) -> Column:
     flow = cf("flow_type").isin(*p.short_flow_types) | (cf("loan_type") == p.go_loan) | (cf("plan_frequency") == "weekly")
     return _daily(30) | _daily(15) | _weekly_classic(p) | flow
 
 
-@memo
 def plan_eligible(p: MartParams) -> Column:
-    return (cf("guarantee_id").isNotNull() & (c("aip_member") == 1)) | cf("merchant_id").isin(*p.direct_merchant_ids)
+    return (cf("guarantee_id").isNotNull() & (c("purchase_member") == 1)) | in_ids(cf("merchant_id"), p.direct_merchant_ids)
 
 
-@memo
 def plan_is_card(p: MartParams) -> Column:
-    return ((c("cm_product_platform") == p.card_platform) & (c("chfc_instrument_type") == p.card_instrument)) | c(
-        "cm_product_group"
+    return ((c("charge_mart_product_platform") == p.card_platform) & (c("session_instrument_type") == p.card_instrument)) | c(
+        "charge_mart_product_group"
     ).like(p.card_group_pattern)
 
 
-@memo
 def plan_kind(p: MartParams) -> Column:
     """G11 (helper, not an output): card/direct family and short/instalment/other."""
     L = p.labels
@@ -257,7 +221,7 @@ def captured_category(p: MartParams, kind: Column) -> Column:
             (kind.isin(L.kind(L.direct, L.instalment), L.kind(L.card, L.instalment)), L.kind(cd, L.instalment)),
             (kind.isin(L.kind(L.direct, L.short), L.kind(L.card, L.short)), L.kind(cd, L.short)),
             (~kind.isin(L.other), L.kind(cd, L.other)),
-            (c("cmt_is_platform") == 1, platform),
+            (c("checkout_mart_is_platform") == 1, platform),
             (_core_short(p), L.kind(L.core, L.short)),
         ],
         L.kind(L.core, L.instalment),
@@ -285,7 +249,7 @@ def captured_subcategory(p: MartParams, kind: Column) -> Column:
         [
             (_zero(cf("is_captured")) == 0, L.not_captured),
             (~kind.isin(L.other), subs(L.card_direct, _weekly_or_go(p))),
-            (c("cmt_is_platform") == 1, subs(L.platform, _weekly_or_go(p))),
+            (c("checkout_mart_is_platform") == 1, subs(L.platform, _weekly_or_go(p))),
         ],
         subs(L.core, core_go),
     )
@@ -298,7 +262,7 @@ def core_index(p: MartParams, category: Column) -> Column:
 
 
 def retailer_rules(p: MartParams, merchant: Column) -> list[tuple[Column, str]]:
-    return [(merchant.isin(*ids), label) for label, ids in p.retailer_groups]
+    return [(in_ids(merchant, ids), label) for label, ids in p.retailer_groups]
 
 
 def merchant_category(p: MartParams, category: Column) -> Column:
@@ -318,13 +282,13 @@ def application_category(p: MartParams) -> Column:
     L = p.labels
     merchant = F.coalesce(cf("merchant_id"), pq("merchant_id"))
     eligible = (cf("guarantee_id").isNotNull() & (c("ud_label") == p.own_label)) | (
-        (c("md_product_type") == p.direct_product_type) | c("md_merchant_id").isin(*p.direct_merchant_ids)
+        (c("md_product_type") == p.direct_product_type) | in_ids(c("md_merchant_id"), p.direct_merchant_ids)
     )
     carded = c("cs_state_to").isNotNull() | ((c("ud_is_onboarded") == 1) & (c("ud_first_onboarded") < c("dec_created")))
     return waterfall(
         retailer_rules(p, merchant)
         + [
-            ((c("cmt_is_platform") == 1) & (c("cmt_is_adaptive") == 1), L.platform),
+            ((c("checkout_mart_is_platform") == 1) & (c("checkout_mart_is_adaptive") == 1), L.platform),
             (cf("flow_type") == p.platform_flow_type, L.platform),
             (eligible, waterfall([(carded, L.card)], L.direct)),
         ],

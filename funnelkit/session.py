@@ -8,8 +8,6 @@ splits skewed partitions and coalesces small ones.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Execution profile. Values are ordinary Spark settings; a cluster deployment passes
@@ -21,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Several lookups on one key share the frame's shuffle. Without this, Spark does not split
+    # a hot key there, as the split costs the later lookups a shuffle of their own.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Broadcast only what is measured to be small. The static threshold compares plan
     # statistics (compressed file sizes, which can understate memory several times), so
@@ -55,19 +56,3 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
-
-    Only when the session has none (a local test run) a fresh scratch folder is set.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="funnelkit-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
-

@@ -26,7 +26,7 @@ SELECT
   o_orderkey AS charge_id,
   o_orderkey AS checkout_id,
   CASE WHEN o_orderkey % 10 <> 5 THEN o_orderkey END AS prequal_id,
-  o_custkey AS user_id,
+  CASE WHEN o_custkey % 11 <> 4 THEN o_custkey END AS user_id,
   nullif(o_custkey % 7, 0) AS merchant_id,
   CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS guarantee_id,
   o_orderdate AS start_date,
@@ -83,11 +83,11 @@ SELECT
   l_orderkey AS application_id,
   l_orderkey AS charge_id,
   l_orderkey AS checkout_id,
-  l_orderkey AS prequal_id,
-  min(l_partkey) AS user_id,
+  CASE WHEN l_orderkey % 17 <> 3 THEN l_orderkey END AS prequal_id,
+  CASE WHEN min(l_partkey) % 13 <> 5 THEN min(l_partkey) END AS user_id,
   min(l_suppkey) % 5 AS merchant_id,
   min(l_shipdate) AS start_date,
-  CASE WHEN max(l_quantity) >= 25 THEN 'approved' ELSE 'declined' END AS decision_state,
+  CASE WHEN max(l_quantity) >= 25 THEN 'approved' WHEN max(l_quantity) >= 8 THEN 'declined' ELSE 'expired' END AS decision_state,
   CASE WHEN max(l_quantity) < 25 THEN 'low quantity' END AS declined_reason,
   max(l_extendedprice) AS approved_amount,
   CAST(nullif(min(l_suppkey) % 5, 0) AS DOUBLE) / 10 AS offered_apr1,
@@ -97,8 +97,8 @@ SELECT
   'pv' || CAST(min(l_linenumber) AS STRING) AS score_version,
   CASE WHEN count(*) > 1 THEN max(l_discount) END AS risk_score_v1,
   max(l_tax) AS risk_score,
-  CAST(count(*) AS INTEGER) AS num_deciders_run,
-  1 AS is_deduped
+  CAST(nullif(count(*), 3) - 1 AS INTEGER) AS num_deciders_run,
+  CASE WHEN min(l_partkey) % 9 = 0 THEN 0 ELSE 1 END AS is_deduped
 FROM {lineitem}
 WHERE l_returnflag = 'A'
 GROUP BY l_orderkey
@@ -191,7 +191,7 @@ SELECT l_orderkey AS checkout_id FROM {lineitem} WHERE l_returnflag = 'R'""",
 SELECT c_custkey AS user_id, c_custkey AS numeric_id, c_custkey AS person_id,
   CASE WHEN c_mktsegment = 'BUILDING' THEN 'own' ELSE 'partner' END AS label,
   CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS is_onboarded,
-  CASE WHEN c_acctbal > 0 THEN DATE '2024-01-01' + CAST(c_custkey % 31 AS INTEGER) END AS first_onboarded
+  CASE WHEN c_acctbal > 0 THEN CAST(DATE '2024-01-01' + CAST(c_custkey % 31 AS INTEGER) AS {TS}) + INTERVAL 18 HOURS END AS first_onboarded
 FROM {customer}""",
     # S17 person statistics, derived from the orders history.
     "person_stats": """
@@ -231,16 +231,27 @@ SELECT 'metro ' || CAST(n_nationkey AS STRING) AS metro, 'watch ' || n_name AS f
 FROM {nation} WHERE n_regionkey IN (0, 2)""",
 }
 
+# Inputs of single-operator queries that are no role of the mart.
+EXTRA_SQL: dict[str, str] = {
+    # A metro list that names some metros once per customer segment, for the fan-out guard.
+    "risky_metro_repeated": """
+SELECT 'metro ' || CAST(c_nationkey AS STRING) AS metro, c_mktsegment AS flag
+FROM {customer} WHERE c_nationkey < 20 GROUP BY c_nationkey, c_mktsegment""",
+    "risky_region": "SELECT r_regionkey, r_name FROM {region} WHERE r_regionkey <> 2",
+}
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
+#: Name of the zone-free timestamp type, written {TS} in the role texts.
+_SPARK_TS, _ORACLE_TS = "TIMESTAMP_NTZ", "TIMESTAMP"
 
 
 def base_tables(sql: str) -> list[str]:
-    return sorted(set(_PLACEHOLDER.findall(sql)))
+    return sorted(set(_PLACEHOLDER.findall(sql)) - {"TS"})
 
 
 def role_frame(spark: SparkSession, sf_dir: str, role: str, tables: dict[str, DataFrame] | None = None) -> DataFrame:
     """One role as a Spark DataFrame over the fixture tables in ``sf_dir``."""
-    sql = ROLE_SQL[role]
+    sql = (ROLE_SQL | EXTRA_SQL)[role].replace("{TS}", _SPARK_TS)
     tables = tables if tables is not None else {}
     for t in base_tables(sql):
         if t not in tables:
@@ -250,7 +261,7 @@ def role_frame(spark: SparkSession, sf_dir: str, role: str, tables: dict[str, Da
 
 def role_sql(role: str) -> str:
     """The same role as SQL text over the oracle's pre-registered table views."""
-    sql = ROLE_SQL[role]
+    sql = (ROLE_SQL | EXTRA_SQL)[role].replace("{TS}", _ORACLE_TS)
     return sql.format(**{t: t for t in base_tables(sql)})
 
 

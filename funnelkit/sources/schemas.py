@@ -1,14 +1,16 @@
 """Declared input contract of the mart: one schema per source role.
 
-A deployment maps each role to a table or folder and reads it with ``read_roles``;
-columns are selected and cast to the declared types, so a drifting source type fails
-at read time instead of changing a result. Join keys are ids: the fixture uses BIGINT
-ids, a deployment with string ids declares STRING here and nothing else changes (the
-mart's joins compare keys as strings after salting).
+A deployment maps each role to a table or folder and reads it with ``read_roles``.
+Columns are selected and widened to the declared types where that loses nothing; any other
+type raises before a row is read. The fixture's ids are BIGINT; a deployment passes its own
+declarations (``role_schemas(id_type="STRING")`` for string ids, or any DDL per role).
+Tie keys (``OPTIONAL``) may be missing: rows of equal time are then ordered by value.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +90,7 @@ ROLE_SCHEMAS: dict[str, str] = {
     ),
     "user_dim": (
         "user_id BIGINT, numeric_id BIGINT, person_id BIGINT, label STRING, "
-        "is_onboarded INT, first_onboarded DATE"
+        "is_onboarded INT, first_onboarded TIMESTAMP_NTZ"
     ),
     "person_stats": (
         "person_id BIGINT, first_capture TIMESTAMP_NTZ, first_capture_at_group "
@@ -116,39 +118,105 @@ ROLE_SCHEMAS: dict[str, str] = {
 }
 
 
+#: Columns a source may lack: they only order rows of equal time.
+OPTIONAL: dict[str, frozenset[str]] = {
+    "card_state_event": frozenset({"event_id"}),
+    "decision_run": frozenset({"line_no", "part_no"}),
+}
+
+
+def role_schemas(id_type: str | None = None, overrides: dict[str, str] | None = None) -> dict[str, str]:
+    """The declarations with every id column of type ``id_type`` and whole roles replaced by
+    ``overrides`` (role -> DDL)."""
+    out = dict(ROLE_SCHEMAS)
+    if id_type:
+        out = {role: re.sub(r"\b(\w+_id) (?:BIGINT|INT)\b", rf"\1 {id_type}", ddl) for role, ddl in out.items()}
+    return out | (overrides or {})
+
+
 def role_columns(role: str) -> list[str]:
     """Column names of a role, in declared order."""
     return [part.strip().split(" ", 1)[0] for part in ROLE_SCHEMAS[role].split(",")]
 
 
-def role_schema(role: str) -> T.StructType:
-    return T.StructType.fromDDL(ROLE_SCHEMAS[role])
+def role_schema(role: str, schemas: dict[str, str] | None = None) -> T.StructType:
+    return T.StructType.fromDDL((schemas or ROLE_SCHEMAS)[role])
+
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Decimal digits of a whole type; a double holds 15 of any, so all of an int but not of a long.
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
-def conform(df: DataFrame, role: str) -> DataFrame:
-    """Select the role's declared columns from ``df``, cast to the declared types."""
-    schema = role_schema(role)
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"source for role {role!r} lacks columns {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+def widens(have: T.DataType, want: T.DataType) -> bool:
+    """Does every value of type ``have`` keep its exact value as ``want``?"""
+    if have == want or isinstance(have, T.NullType):
+        return True
+    if isinstance(have, (T.CharType, T.VarcharType)):
+        return isinstance(want, T.StringType)
+    if isinstance(have, _WHOLE):
+        digits = _DIGITS[type(have)]
+        if isinstance(want, _WHOLE):
+            return digits < _DIGITS[type(want)]
+        if isinstance(want, T.DecimalType):
+            return digits <= want.precision - want.scale
+        return isinstance(want, T.DoubleType) and digits <= 15
+    if isinstance(have, T.FloatType):
+        return isinstance(want, T.DoubleType)
+    if isinstance(have, T.DecimalType):
+        if isinstance(want, T.DecimalType):
+            return have.scale <= want.scale and have.precision - have.scale <= want.precision - want.scale
+        return False
+    return isinstance(have, T.DateType) and isinstance(want, T.TimestampNTZType)
+
+
+def mismatches(have: T.StructType, role: str, schemas: dict[str, str] | None = None) -> list[str]:
+    """What keeps a source of this schema from being read as ``role``."""
+    types = {f.name: f.dataType for f in have.fields}
+    out = []
+    for f in role_schema(role, schemas).fields:
+        if f.name not in types:
+            if f.name not in OPTIONAL.get(role, ()):
+                out.append(f"{role}.{f.name} missing")
+        elif not widens(types[f.name], f.dataType):
+            out.append(f"{role}.{f.name} is {types[f.name].simpleString()}, declared {f.dataType.simpleString()}")
+    return out
+
+
+def conform(df: DataFrame, role: str, schemas: dict[str, str] | None = None) -> DataFrame:
+    """The role's declared columns of ``df``, widened to the declared types; raises where a
+    column is missing or a value could change."""
+    problems = mismatches(df.schema, role, schemas)
+    if problems:
+        raise TypeError(f"source for role {role!r} does not fit: {'; '.join(problems)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in role_schema(role, schemas).fields if f.name in df.columns])
 
 
 def read_roles(
     spark: SparkSession,
     locations: dict[str, str],
     fmt: str = "parquet",
+    schemas: dict[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """A1 for the mart: read every role from a path (``fmt`` parquet/orc/...) or, with
-    ``fmt='table'``, a catalog table name, conformed to its declared schema."""
+    ``fmt='table'``, a catalog table name, conformed to its declared schema (``schemas``, from
+    ``role_schemas``).
+
+    One file's schema is compared with the declaration; the files are then read with the
+    schema so found, so no footer decides a type later and a file that differs fails to read.
+    """
     out = {}
     for role, loc in locations.items():
-        df = spark.table(loc) if fmt == "table" else spark.read.format(fmt).load(loc)
-        out[role] = conform(df, role)
+        if fmt == "table":
+            df = spark.table(loc)
+        else:
+            found = spark.read.format(fmt).load(loc).schema
+            df = spark.read.format(fmt).schema(found).load(loc)
+        out[role] = conform(df, role, schemas)
     return out
 
 
-def check_roles(sources: dict[str, DataFrame]) -> list[str]:
+def check_roles(sources: dict[str, DataFrame], schemas: dict[str, str] | None = None) -> list[str]:
     """Problems with a role mapping: missing roles, missing columns, other types."""
     problems = []
     for role in ROLE_SCHEMAS:
@@ -156,8 +224,10 @@ def check_roles(sources: dict[str, DataFrame]) -> list[str]:
             problems.append(f"missing role {role}")
             continue
         have = {f.name: f.dataType for f in sources[role].schema.fields}
-        for f in role_schema(role).fields:
+        for f in role_schema(role, schemas).fields:
             if f.name not in have:
+                if f.name in OPTIONAL.get(role, ()):
+                    continue
                 problems.append(f"{role}.{f.name} missing")
             elif have[f.name] != f.dataType:
                 problems.append(f"{role}.{f.name} is {have[f.name].simpleString()}, declared {f.dataType.simpleString()}")

@@ -39,13 +39,13 @@ SCHEMA = T.StructType([
     T.StructField("pq_user_id", T.LongType()),
     T.StructField("pq_start_date", T.TimestampNTZType()),
     T.StructField("pq_decision_state", T.StringType()),
-    T.StructField("fpl_first_capture", T.TimestampNTZType()),
-    T.StructField("fpl_first_capture_at_group", T.TimestampNTZType()),
-    T.StructField("aip_member", T.IntegerType()),
-    T.StructField("cm_product_platform", T.StringType()),
-    T.StructField("cm_product_group", T.StringType()),
-    T.StructField("chfc_instrument_type", T.StringType()),
-    T.StructField("cmt_is_platform", T.IntegerType()),
+    T.StructField("person_first_capture", T.TimestampNTZType()),
+    T.StructField("person_first_capture_at_group", T.TimestampNTZType()),
+    T.StructField("purchase_member", T.IntegerType()),
+    T.StructField("charge_mart_product_platform", T.StringType()),
+    T.StructField("charge_mart_product_group", T.StringType()),
+    T.StructField("session_instrument_type", T.StringType()),
+    T.StructField("checkout_mart_is_platform", T.IntegerType()),
 ])
 
 
@@ -89,9 +89,9 @@ def test_customer_flags_fallback_time_and_as_of(spark):
     p = MartParams(as_of=dt.date(2001, 1, 1))
     df = frame(
         spark,
-        {"cf_checkout_created_dt": TS(2000, 5, 1), "fpl_first_capture": TS(2000, 4, 1)},            # repeat
+        {"cf_checkout_created_dt": TS(2000, 5, 1), "person_first_capture": TS(2000, 4, 1)},            # repeat
         {"pq_start_date": TS(2000, 3, 1), "cf_checkout_created_dt": TS(2000, 5, 1),
-         "fpl_first_capture": TS(2000, 4, 1)},                                                       # T5: early time
+         "person_first_capture": TS(2000, 4, 1)},                                                       # T5: early time
         {"cf_checkout_created_dt": TS(2001, 1, 3)},                                                  # T6: after as_of+1
         {"cf_checkout_created_dt": TS(2000, 1, 3)},                                                  # never captured
     )
@@ -104,7 +104,7 @@ def test_new_to_group_null_merchant_falls_through(spark):
         {"cf_merchant_id": 9, "cf_user_id": 1},                                                     # not in group
         {"cf_user_id": 1, "cf_checkout_created_dt": TS(2000, 1, 1)},                               # NULL merchant (T3)
         {"pq_merchant_id": 1, "cf_merchant_id": 9, "cf_user_id": 1, "cf_checkout_created_dt": TS(2000, 1, 1),
-         "fpl_first_capture_at_group": TS(1999, 1, 1)},                                            # early merchant first (T4)
+         "person_first_capture_at_group": TS(1999, 1, 1)},                                            # early merchant first (T4)
         {"cf_merchant_id": 1},                                                                      # unknown user
     )
     got = [r.f for r in df.select(R.new_to_group_flag(P).alias("f")).collect()]
@@ -129,8 +129,8 @@ def test_approval_cutoffs_midnight_and_product_of_legs(spark):
 
 
 def test_plan_categories_traps(spark):
-    card = {"cf_guarantee_id": 1, "aip_member": 1, "cm_product_platform": P.card_platform,
-            "chfc_instrument_type": P.card_instrument}
+    card = {"cf_guarantee_id": 1, "purchase_member": 1, "charge_mart_product_platform": P.card_platform,
+            "session_instrument_type": P.card_instrument}
     df = frame(
         spark,
         dict(card, cf_is_captured=1, cf_plan_frequency="daily", cf_plan_interval=30),       # card short, pay in 30
@@ -138,7 +138,7 @@ def test_plan_categories_traps(spark):
         {"cf_is_captured": 1, "cf_plan_frequency": "monthly"},                              # core instalment
         {"cf_is_captured": 1, "cf_plan_frequency": "monthly", "cf_apr": 0.2},               # core interest
         {"cf_is_captured": 0, "cf_merchant_id": 4},                                          # retailer even if uncaptured (T11)
-        {"cf_is_captured": 1, "cmt_is_platform": 1, "cf_loan_type": P.go_loan},            # platform short
+        {"cf_is_captured": 1, "checkout_mart_is_platform": 1, "cf_loan_type": P.go_loan},            # platform short
         {"cf_is_captured": 1, "cf_flow_type": P.short_flow_types[0]},                       # core short via flow
     )
     kind = R.plan_kind(P)
