@@ -21,7 +21,9 @@ from funnelkit.session import build_session  # noqa: E402
 
 HEADLINE = [
     "funnel_mart",
-    "funnel_mart_key_window",
+    "reason_select",
+    "label_map",
+    "application_category",
     "stitch_full_outer",
     "stitch_split",
     "asof_latest_state",
@@ -44,7 +46,7 @@ def main() -> None:
         f"local[{cpus}]",
         app_name="funnelkit-bench",
         shuffle_partitions=max(8, 2 * cpus),
-        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")},
+        extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g")},
     )
     # Warm-up: JVM start, JIT, class loading and codegen caches are not query time. Every
     # headline query runs once on the smallest fixture (same plans, negligible data).
