@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text
+from funnelkit.llm.common import id_and_text, parts_of
 from funnelkit.llm.license_texts import TEMPLATES
 
 SHINGLE = 3
@@ -162,7 +162,7 @@ def scan_licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates)
-        for batch in batches:
+        for batch in parts_of(batches):
             found = [scan(t, index, band, min_coverage) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([sorted({m["license"] for m in f}) for f in found], pa.list_(pa.string())), pa.array(found, _KIND)],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text
+from funnelkit.llm.common import id_and_text, parts_of
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
@@ -257,7 +257,7 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move = Feistel(key).permute
-        for batch in batches:
+        for batch in parts_of(batches):
             done = [pseudonymise(t, move) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([t for t, _ in done], pa.string()), pa.array([len(f) for _, f in done], pa.int32()), pa.array([f for _, f in done], _FOUND)],

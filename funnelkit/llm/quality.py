@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text
+from funnelkit.llm.common import id_and_text, parts_of
 
 MAX_ROWS = 20_000
 
@@ -182,7 +182,7 @@ def fit_quality(
     sample = labelled_sample(docs, labels, "quality", held_out, max_rows, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             x = feature_matrix(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"]
@@ -198,7 +198,7 @@ def score_quality(docs: DataFrame, trees: Trees, held_out=HELD_OUT, id_col: str
     """All columns of ``docs``' id and score: doc_id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             scores = trees.score(feature_matrix(batch.column("text").cast(pa.binary()).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
@@ -226,7 +226,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, text_col:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, text_col):
             texts = batch.column(at).cast(pa.string()).cast(pa.binary()).to_pylist()
             good = trees.score(feature_matrix([t or b"" for t in texts])) >= 0.5
             yield batch.filter(pa.array(good))

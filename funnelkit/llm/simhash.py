@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text, materialize, repeat_rows, row_key
+from funnelkit.llm.common import id_and_text, materialize, parts_of, repeat_rows, row_key
 from funnelkit.llm.graph import components
 
 SHINGLE = 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     """doc_id, fp (the 64 bits as a long) and the row's key, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
