@@ -68,6 +68,7 @@ def asof_latest(
     tie: Sequence[str] = (),
     left_salt: Sequence[str] = (),
     bucket_seconds: int | None = None,
+    left_floor: Column | None = None,
 ) -> DataFrame:
     """Return ``left`` plus the matched event's columns (``right_cols`` maps output
     name -> right column; a list keeps the names).
@@ -76,6 +77,9 @@ def asof_latest(
     final ordering key, so even repeated (time, tie) pairs resolve the same way when a
     lost task is recomputed. ``left_salt`` names left columns hashed to spread NULL
     keys (default: all left columns).
+
+    ``left_floor`` promises that no left row is earlier. Of all events before it only each key's
+    last can be matched, so with buckets they form one bucket that is only summarised.
     """
     outs = right_cols if isinstance(right_cols, dict) else {c: c for c in right_cols}
     left_cols = left.columns
@@ -111,6 +115,11 @@ def asof_latest(
             raise TypeError(f"as-of times differ in type: {ltype} vs {rtype}")
         dec = dec.withColumn(_BKT, time_bucket(F.col(_TS), ltype, bucket_seconds))
         ev = ev.withColumn(_BKT, time_bucket(F.col(_TS), rtype, bucket_seconds))
+        inside = ev
+        if left_floor is not None:
+            before = time_bucket(left_floor.cast(rtype), rtype, bucket_seconds) - 1
+            ev = ev.withColumn(_BKT, F.when(F.col(_TS) < left_floor, before).otherwise(F.col(_BKT)))
+            inside = inside.where(F.col(_TS) >= left_floor)
         # 1. last event per (key, bucket): struct max orders by (t, tie...) first.
         summary = ev.groupBy(_KEY, _BKT).agg(F.max(_EVT).alias(_EVT)).withColumn(_SIDE, F.lit(1))
         # 2. carry-in per decision bucket from strictly earlier buckets.
@@ -129,7 +138,7 @@ def asof_latest(
         # 3. running window inside (key, bucket); carry-in row first.
         u = (
             dec.withColumn(_SIDE, F.lit(1)).withColumn(_ORD, F.lit(1))
-            .unionByName(ev.withColumn(_SIDE, F.lit(0)).withColumn(_ORD, F.lit(1)), allowMissingColumns=True)
+            .unionByName(inside.withColumn(_SIDE, F.lit(0)).withColumn(_ORD, F.lit(1)), allowMissingColumns=True)
             .unionByName(carry.withColumn(_SIDE, F.lit(0)).withColumn(_ORD, F.lit(0)), allowMissingColumns=True)
         )
         w = (

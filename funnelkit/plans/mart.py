@@ -95,14 +95,15 @@ def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: Mart
     Decisions before the lookback keep their row (the mart needs their time) with a NULL state,
     which is what joining the lookback-filtered as-of result would give; they and the ones
     without a guarantee, which nothing can join, do not enter the as-of. Of the event
-    history before the window only each user's last event can be matched.
+    history before the window only each user's last event can be matched: the bucketed
+    as-of summarises it, the plain one gets it reduced to that.
     """
     floor = lookback_start(p.start, p.lookback_days)
     decisions = prequal_decision.where(F.col("guarantee_id").isNotNull()).select("decision_id", "user_id", "guarantee_id", "created")
     tie = present(card_state_event, "event_id")
     asof = asof_latest(
         decisions.where(F.col("created") >= floor),
-        bounded_history(card_state_event, "user_id", "created", tie, floor),
+        card_state_event if bucket_seconds else bounded_history(card_state_event, "user_id", "created", tie, floor),
         by="user_id",
         left_ts="created",
         right_ts="created",
@@ -110,6 +111,7 @@ def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: Mart
         tie=tie,
         left_salt=["decision_id"],
         bucket_seconds=bucket_seconds,
+        left_floor=floor,
     ).select("decision_id", "guarantee_id", "created", "state_to")
     older = decisions.where(F.coalesce(F.col("created") < floor, F.lit(True)))
     return asof.unionByName(older.select("decision_id", "guarantee_id", "created", F.lit(None).cast("string").alias("state_to")))
