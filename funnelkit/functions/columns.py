@@ -38,10 +38,12 @@ def not_in_list(col: ColumnOrName, values: Iterable) -> Column:
 
 
 def key_type(df: DataFrame, key: ColumnOrName) -> T.DataType:
+    if isinstance(key, str) and key in df.columns:
+        return df.schema[key].dataType
     return df.select(_c(key).alias("k")).schema["k"].dataType
 
 
-def salted_key(df: DataFrame, key: ColumnOrName, *salt_cols: ColumnOrName) -> Column:
+def salted_key(df: DataFrame, key: ColumnOrName, *salt_cols: ColumnOrName, kind: T.DataType | None = None) -> Column:
     """Join key of ``df`` whose NULLs are spread over 64-bit values instead of one.
 
     An outer join sends every NULL key to the same shuffle partition; when NULL keys
@@ -54,7 +56,7 @@ def salted_key(df: DataFrame, key: ColumnOrName, *salt_cols: ColumnOrName) -> Co
     """
     k = _c(key)
     salt = F.xxhash64(*[_c(s) for s in salt_cols])
-    kind = key_type(df, k)
+    kind = kind or key_type(df, key)
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.coalesce(k, salt)
     if isinstance(kind, T.StringType):
@@ -62,10 +64,10 @@ def salted_key(df: DataFrame, key: ColumnOrName, *salt_cols: ColumnOrName) -> Co
     return F.coalesce(k.cast("string"), salt.cast("string"))
 
 
-def match_key(df: DataFrame, dim: DataFrame, key: ColumnOrName, dim_key: ColumnOrName) -> Column:
+def match_key(df: DataFrame, dim: DataFrame, key: ColumnOrName, dim_key: ColumnOrName, kind: T.DataType | None = None) -> Column:
     """``dim_key`` in the type that ``salted_key(df, key)`` has, without a cast where the types agree."""
     whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    left, right = key_type(df, key), key_type(dim, dim_key)
+    left, right = kind or key_type(df, key), key_type(dim, dim_key)
     if (isinstance(left, whole) and isinstance(right, whole)) or (isinstance(left, T.StringType) and isinstance(right, T.StringType)):
         return _c(dim_key)
     if isinstance(left, whole):

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelkit.functions.columns import ColumnOrName, _c, match_key, salted_key
+from funnelkit.functions.columns import ColumnOrName, _c, key_type, match_key, salted_key
 
 
 def enrich_left(
@@ -44,8 +44,9 @@ def enrich_left(
     k = _c(key)
     if spread_nulls:
         lk = "__lk"
-        left = df.withColumn(lk, salted_key(df, k, *(salt_cols or df.columns)))
-        right = dim.select(match_key(df, dim, k, dim_key).alias(rk), *[F.col(src).alias(out) for out, src in sel.items()])
+        kind = key_type(df, key)
+        left = df.withColumn(lk, salted_key(df, k, *(salt_cols or df.columns), kind=kind))
+        right = dim.select(match_key(df, dim, k, dim_key, kind).alias(rk), *[F.col(src).alias(out) for out, src in sel.items()])
         out = left.join(right, (F.col(lk) == F.col(rk)) & k.isNotNull(), "left")
         return out.drop(lk, rk)
     right = dim.select(F.col(dim_key).alias(rk), *[F.col(src).alias(out) for out, src in sel.items()])
@@ -126,8 +127,9 @@ def enrich_group(
     """
     k = _c(key)
     kc, kv = "__gk", "__gkv"
+    kind = key_type(df, key) if spread_nulls else None
     if spread_nulls:
-        out = df.select("*", salted_key(df, k, *(salt_cols or df.columns)).alias(kc), k.isNotNull().alias(kv))
+        out = df.select("*", salted_key(df, k, *(salt_cols or df.columns), kind=kind).alias(kc), k.isNotNull().alias(kv))
         helpers = [kc, kv]
     else:
         out = df.select("*", k.alias(kc))
@@ -135,7 +137,7 @@ def enrich_group(
     members = []
     for i, lk in enumerate(lookups):
         rk = f"__rk{i}"
-        rkey = match_key(df, lk.dim, k, lk.dim_key) if spread_nulls else F.col(lk.dim_key)
+        rkey = match_key(df, lk.dim, k, lk.dim_key, kind) if spread_nulls else F.col(lk.dim_key)
         if lk.member:
             ((name, _src),) = lk.columns.items()
             members.append(name)
