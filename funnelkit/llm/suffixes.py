@@ -430,7 +430,7 @@ def remove_repeats(
     take from each other, so repeated rows get equal results. Null ids count as larger than all
     others and equal to each other. An empty table gives an empty result.
     """
-    texts = docs.select(*id_and_text(docs, id_col, text_col)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text")
+    texts = docs.select(*id_and_text(docs, id_col, text_col)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
     splitters = draw_splitters(texts, bucket_rows)
     sent = texts.select("doc", "text").mapInArrow(_anchor_task(splitters), _SENT)
     # Rows of the tasks' own findings only pass through; they are spread by document.
@@ -456,7 +456,7 @@ def remove_repeats(
         *[F.flatten(F.collect_list(F.when(F.col("kind") == k, F.col("blocks")))).alias(name) for name, k in lists.items()]
     )
     side = materialize(spark, side, "side")
-    # The joins below shuffle the texts alike, so Spark writes that shuffle once.
+    # The joins below shuffle the same columns of the texts alike, so Spark writes that shuffle once.
     fetched = texts.join(side, "doc", "left").select("doc", "text", *lists)
     blocks = fetched.filter(F.size("fetch") > 0).select("doc", "text", "fetch").mapInArrow(_fetch_task, _BLOCKS)
     windows = fetched.filter(F.size("hot") > 0).select("doc", "text", "hot").mapInArrow(_window_task, _WINDOWS)
@@ -470,4 +470,5 @@ def remove_repeats(
         cold = cold.union(windows.join(least, ["key_a", "key_b"]).filter("doc > least").select("doc", "block", "mask"))
     partly = cold.groupBy("doc").agg(F.collect_list(F.struct("block", "mask")).alias("partly"))
     whole = texts.join(side.select("doc", "covered"), "doc", "left").join(partly, "doc", "left")
+    whole = whole.withColumn("doc_id", F.nullif("doc", F.lit(NO_ID)))
     return whole.select("doc_id", "text", "covered", "partly").mapInArrow(_cut_task, _RESULT)
