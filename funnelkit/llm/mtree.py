@@ -30,7 +30,7 @@ from funnelkit.llm.common import materialize
 K = 5
 SHARD_ROWS = 4096
 QUERY_BLOCK = 8192
-PAGE = 64
+PAGE = 256
 SCALE = 256
 LIMIT = 1 << 25  # largest magnitude of a quantised component
 
@@ -69,20 +69,19 @@ def build(points: np.ndarray, rows: np.ndarray, centre: np.ndarray, page: int =
         owner[closer], near[closer] = len(chosen), d[closer]
         chosen.append(at)
     groups = [np.nonzero(owner == g)[0] for g in range(len(chosen))]
-    if max(map(len, groups)) > len(rows) - len(rows) // 8:  # (nearly) all points alike: cut by position
-        order = np.concatenate(groups)
-        groups = np.array_split(order, want)
-    groups = [g for g in groups if len(g)]
-    routing = np.array([points[g[0]] if len(chosen) != len(groups) else points[chosen[i]] for i, g in enumerate(groups)])
+    if max(map(len, groups)) > len(rows) - max(1, len(rows) // 8):  # (nearly) all points alike: cut by position
+        groups = np.array_split(np.concatenate(groups), want)
+        chosen = [int(g[0]) for g in groups]
+    routing = points[chosen]
     children = [build(points[g], rows[g], routing[i], page) for i, g in enumerate(groups)]
     radii = np.array([distances(points[g], routing[i]).max() for i, g in enumerate(groups)])
     return Page(centre, routing, distances(routing, centre), radii, children=children)
 
 
-def search(root: Page, query: np.ndarray, score, k: int, far: float, slack: float) -> list[tuple[int, int]]:
-    """The k best (-score, row) of a tree; ``score(rows)`` gives the rows that count and their exact
-    scores. ``far`` turns a score into the distance at which it lies (by squared distance
-    = far - 2 score)."""
+def search(root: Page, query: np.ndarray, k: int, far: float, slack: float, score, counts) -> list[tuple[int, int]]:
+    """The k best (-score, row) of a tree. ``score(page)`` gives the exact scores of a leaf's entries,
+    ``counts(row)`` says whether a row is a candidate. ``far`` turns a score into the distance
+    at which it lies (by squared distance = far - 2 score)."""
     best: list[tuple[int, int]] = []
     reach = np.inf  # distance of the k-th best
     queue = [(0.0, 0, root, float(distances(root.centre[None], query)[0]))]
@@ -92,21 +91,23 @@ def search(root: Page, query: np.ndarray, score, k: int, far: float, slack: floa
         if least > reach:
             break
         # |d(q, centre) - d(entry, centre)| - radius bounds the distance to an entry's ball from below.
-        may = np.nonzero(np.abs(to_centre - page.to_parent) - page.radii <= reach)[0]
-        if not len(may):
-            continue
+        may = np.abs(to_centre - page.to_parent) - page.radii <= reach
         if page.rows is not None:
-            rows, scores = score(page.rows[may])
-            best = heapq.nsmallest(k, best + list(zip((-scores).tolist(), rows.tolist())))
+            scores = score(page)
+            near = np.flatnonzero(may & (scores >= -best[-1][0]) if len(best) == k else may)
+            if not len(near):
+                continue
+            found = [(-s, r) for s, r in zip(scores[near].tolist(), page.rows[near].tolist()) if counts(r)]
+            best = heapq.nsmallest(k, best + found)
             if len(best) == k:
                 reach = float(np.sqrt(max(0.0, far + 2.0 * best[-1][0]))) + slack
             continue
-        d = distances(page.vectors[may], query)
-        for i, di in zip(may.tolist(), d.tolist()):
-            bound = max(least, di - page.radii[i])
+        some = np.flatnonzero(may)
+        d = distances(page.vectors[some], query)
+        for i, di, bound in zip(some.tolist(), d.tolist(), (d - page.radii[some]).tolist()):
             if bound <= reach:
                 tie += 1
-                heapq.heappush(queue, (bound, tie, page.children[i], di))
+                heapq.heappush(queue, (max(least, bound), tie, page.children[i], di))
     return best
 
 
@@ -119,18 +120,17 @@ def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     radius2 = float(square.max())
     points = np.concatenate([x, np.sqrt(np.maximum(radius2 - square, 0.0))[:, None]], axis=1)
     tree = build(points, np.arange(len(ids)), points.mean(axis=0), page)
+    # Products summed in floating point are whole numbers and exact below 2^53.
+    exact = float(np.abs(x).max()) * float(np.abs(queries).max() if len(queries) else 0) * (x.shape[1] + 1) < 2**53
     out = []
     for query_id, q in zip(query_ids.tolist(), queries):
         extended = np.append(q.astype(np.float64), 0.0)
         far = float((extended**2).sum()) + radius2
         # Rounding of squared distances: a relative 1e-9 of the largest, seen through the square root.
-        slack = np.sqrt(1e-9 * max(far, 1.0)) if far else 1e-6
-
-        def score(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rows = rows[ids[rows] != query_id]
-            return rows, vectors[rows] @ q
-
-        out += [(query_id, int(ids[r]), -s) for s, r in search(tree, extended, score, k, far, slack)]
+        slack = np.sqrt(1e-9 * max(far, 1.0))
+        score = (lambda leaf: (leaf.vectors @ extended).astype(np.int64)) if exact else (lambda leaf: vectors[leaf.rows] @ q)
+        best = search(tree, extended, k, far, slack, score, lambda r: ids[r] != query_id)
+        out += [(query_id, int(ids[r]), -s) for s, r in best]
     return out
 
 
