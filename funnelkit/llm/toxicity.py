@@ -1,8 +1,8 @@
 """Operator 5: toxicity from the nearest labelled examples.
 
 Terms are lower-cased words and word beginnings. A bounded sample of labelled examples gives
-the vocabulary (the terms whose presence speaks for label 1, by the log-likelihood ratio) and
-the index; inverse document frequencies are counted over all documents. A document's
+the vocabulary (the terms whose presence speaks for label 1: at least twice as frequent there, and
+not by chance by the log-likelihood ratio) and the index; inverse document frequencies are counted over all documents. A document's
 ``k`` nearest examples by TF-IDF cosine are found exactly with a block-max inverted index:
 examples lie in blocks, each term has its largest weight in each block, and blocks are scored
 in the order of the bound these give until no block left can reach the k-th best. Votes
@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text, materialize
+from funnelkit.llm.common import id_and_text, materialize, parts_of
 
 PER_LABEL = 6_000  # most examples of a label
 MAX_TERMS = 1_024
 MIN_EXAMPLES = 4  # examples a term must occur in
 MIN_RATIO = 25.0  # least log-likelihood ratio of a term with the label (chance: about 6e-7)
+MIN_LIFT = 2.0  # how many times as frequent a term is in label-1 examples, at least
 PREFIX = 4
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 
 #: A-Z to lower case, ASCII marks and digits to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
@@ -70,10 +71,10 @@ class Vocabulary:
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index over blocks of examples: per block its examples' weights on the terms that
-    occur in it, and per term the largest weight in each block."""
+    """Inverted index over blocks of examples: per block and term the examples that have the term and
+    their weights, and per term the largest weight in each block."""
 
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # examples, position of a term (-1: absent), weights
+    blocks: list[tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]]  # examples, postings
     bound: np.ndarray  # terms x blocks
 
     @classmethod
@@ -85,14 +86,13 @@ class BlockMaxIndex:
         bound = np.zeros((n_terms, -(-len(order) // block)))
         for b, at in enumerate(range(0, len(order), block)):
             members = order[at : at + block]
-            active = sorted({t for i in members for t in vectors[i]})
-            place = np.full(n_terms, -1, dtype=np.int32)
-            place[active] = np.arange(len(active))
-            weights = np.zeros((len(members), len(active)))
+            lists: dict[int, list[tuple[int, float]]] = {}
             for r, i in enumerate(members):
-                weights[r, place[list(vectors[i])]] = list(vectors[i].values())
-            blocks.append((np.array(members), place, weights))
-            bound[active, b] = weights.max(axis=0)
+                for t, w in vectors[i].items():
+                    lists.setdefault(t, []).append((r, w))
+            blocks.append((np.array(members), {t: (np.array([r for r, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()}))
+            for t, x in lists.items():
+                bound[t, b] = max(w for _, w in x)
         return cls(blocks, bound)
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
@@ -100,18 +100,24 @@ class BlockMaxIndex:
         example; exact, as a block is passed over only if its bound is below the k-th."""
         if not query or not self.blocks:
             return []
-        terms, weights = np.array(list(query)), np.array(list(query.values()))
-        bounds = weights @ self.bound[terms]
+        bounds = np.array(list(query.values())) @ self.bound[list(query)]
         best: list[tuple[float, int]] = []
+        least = 0.0  # cosine that an example must reach
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] * (1 + 1e-9) < -best[-1][0]):
+            if bounds[b] <= 0 or bounds[b] * (1 + 1e-9) < least:
                 break
-            members, place, matrix = self.blocks[b]
-            at = place[terms]
-            has = at >= 0
-            cosines = matrix[:, at[has]] @ weights[has]
-            best += [(-c, i) for c, i in zip(cosines.tolist(), members.tolist()) if c > 0 and i != skip]
-            best = sorted(best)[:k]
+            members, postings = self.blocks[b]
+            cosines = np.zeros(len(members))
+            for t, w in query.items():
+                if t in postings:
+                    rows, weights = postings[t]
+                    cosines[rows] += w * weights
+            reach = np.flatnonzero((cosines > 0) & (cosines >= least))
+            if len(reach):
+                reach = reach[np.lexsort((members[reach], -cosines[reach]))[: k + 1]]
+                best += [(-c, i) for c, i in zip(cosines[reach].tolist(), members[reach].tolist()) if i != skip]
+                best = sorted(best)[:k]
+                least = -best[-1][0] if len(best) == k else 0.0
         return [(-c, i) for c, i in best]
 
 
@@ -196,7 +202,7 @@ def fit_toxicity(
     sample = materialize(spark, texts.join(F.broadcast(first(0).union(first(1))), "doc_id"), "examples")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             rows = [(t, y) for x, y in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("y").to_pylist()) for t in term_set(x)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([t for t, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.int32())], names=["term", "y"]
@@ -213,7 +219,7 @@ def fit_toxicity(
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pos, n = (batch.column(c).to_numpy().astype(float) for c in ("pos", "n"))
-            g = np.where(pos * n_neg > (n - pos) * n_pos, log_likelihood_ratio(pos, n - pos, n_pos, n_neg), 0.0)
+            g = np.where(pos * n_neg >= MIN_LIFT * (n - pos) * n_pos, log_likelihood_ratio(pos, n - pos, n_pos, n_neg), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(g)], names=["term", "g"])
 
     chosen = []
@@ -224,7 +230,7 @@ def fit_toxicity(
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(vocabulary.size + 1, dtype=np.int64), 0
-        for batch in batches:
+        for batch in parts_of(batches):
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 n += 1
                 df[list(vocabulary.counts(text))] += 1
@@ -238,7 +244,7 @@ def fit_toxicity(
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches):
             found = [vocabulary.counts(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("y"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
@@ -277,7 +283,7 @@ def toxicity_scores(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-        for batch in batches:
+        for batch in parts_of(batches):
             scores, evidence = [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s, near = m.score(text)
