@@ -200,15 +200,23 @@ class EnrichStep:
     expr: Column | None = None
 
 
-def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None) -> list[EnrichStep]:
-    """The 20 enrichments in the reference's join order (chains keep their order)."""
+def enrichment_steps(
+    s: dict[str, DataFrame], p: MartParams, bucket_seconds=None, need: Iterable[str] | None = None
+) -> list[EnrichStep]:
+    """The enrichments in the reference's join order (chains keep their order), with ``need`` only
+    those that its columns take."""
+    takes = lambda *starts: need is None or any(c.startswith(starts) for c in need)
     merchant = F.coalesce(F.col("cf_merchant_id"), F.col("pq_merchant_id"))   # late first (C5)
     user = F.coalesce(F.col("pq_user_id"), F.col("cf_user_id"))               # early first (C5)
     metro = F.coalesce(F.col("uw_metro"), F.col("zip_metro"))                 # fallback key (C8)
-    cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
-    uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
+    # Side paths of several operators are built only where they are used.
+    cs = uw = None
+    if takes("dec_", "cs_"):
+        cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
+    if takes("uw_", "risky_metro_"):
+        uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
     L = Lookup
-    return [
+    steps = [
         EnrichStep("pq_prequal_id", L(s["prequal"], "prequal_id", {"prequal_creation_type": "creation_type"})),
         EnrichStep("cf_guarantee_id", L(cs, "guarantee_id", {"dec_created": "created", "cs_state_to": "state_to"})),
         EnrichStep("merchant", L(s["merchant_dim"], "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns}),
@@ -239,6 +247,7 @@ def enrichment_steps(s: dict[str, DataFrame], p: MartParams, bucket_seconds=None
         EnrichStep("ua_postal_code", L(s["postal_metro"], "postal_code", {"zip_metro": "metro"})),
         EnrichStep("metro", L(s["risky_metro"], "metro", {"risky_metro_flag": "flag"}), metro),
     ]
+    return needed_steps(steps, need)
 
 
 # Key groups in the order the mart joins them: every key's lookups together, chains
@@ -305,7 +314,7 @@ def enrich_spine(
     spine shuffle each when not broadcast); ``order='reference'`` keeps the reference's
     join order, where the key changes more often.
     """
-    steps = needed_steps(enrichment_steps(s, p, bucket_seconds), need)
+    steps = enrichment_steps(s, p, bucket_seconds, need)
     if order == "grouped":
         steps = sorted(steps, key=lambda st: GROUPED_ORDER.index(st.key))
     elif order != "reference":
@@ -322,7 +331,7 @@ def enriched_spine(
     the other stage could not match, and are not shuffled for it. Same rows as
     ``enrich_spine(stitched_spine(...))``.
     """
-    steps = needed_steps(enrichment_steps(s, p, bucket_seconds), need)
+    steps = enrichment_steps(s, p, bucket_seconds, need)
     of = lambda order: sorted((st for st in steps if st.key in order), key=lambda st: order.index(st.key))
     all_late = prefixed(s["checkout_funnel"], "cf_")
     late = join_runs(all_late.where(late_may_report(p)), of(LATE_ORDER))
