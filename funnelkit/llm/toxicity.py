@@ -1,11 +1,11 @@
 """Operator 5: toxicity from the nearest labelled examples.
 
 Terms are lower-cased words and word beginnings. A bounded sample of labelled examples gives
-the vocabulary (the terms whose presence speaks for label 1: at least twice as frequent there, and
-not by chance by the log-likelihood ratio) and the index; inverse document frequencies are counted over all documents. A document's
-``k`` nearest examples by TF-IDF cosine are found exactly with a block-max inverted index:
-examples lie in blocks, each term has its largest weight in each block, and blocks are scored
-in the order of the bound these give until no block left can reach the k-th best. Votes
+the vocabulary (every term of theirs) and the index; inverse document frequencies are counted over
+all documents. A term weighs by them and by how strongly its presence goes with the label in the
+examples; none weighs nothing. A document's ``k`` nearest examples by the cosine of these weights are found
+exactly: the most frequent terms are a matrix multiplied with many documents at a time, the others
+an inverted index, and whatever may be among the nearest is scored again in double precision. Votes
 weighted by closeness give a raw score, and a logistic curve, fitted to the
 leave-one-out votes of the examples themselves, turns it into a probability. The
 neighbours are the evidence.
@@ -13,24 +13,25 @@ neighbours are the evidence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.llm.common import id_and_text, materialize, parts_of
 
 PER_LABEL = 6_000  # most examples of a label
-MAX_TERMS = 1_024
-MIN_EXAMPLES = 4  # examples a term must occur in
-MIN_RATIO = 25.0  # least log-likelihood ratio of a term with the label (chance: about 6e-7)
-MIN_LIFT = 2.0  # how many times as frequent a term is in label-1 examples, at least
+FLOOR = 0.05  # weight of a term without any association with the label
+AGAINST = 0.3  # how much the association of terms with label 0 counts
 PREFIX = 4
 NEIGHBOURS = 15
-BLOCK = 256
+BLOCK = 1_024  # most frequent terms, whose weights are kept as a matrix
+TOGETHER = 64  # queries multiplied with it at a time
+ROUNDING = 1e-4  # relative, of a sum of some thousand products in single precision
 
 #: A-Z to lower case, ASCII marks and digits to spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
@@ -56,69 +57,99 @@ class Vocabulary:
         self.starts = {t[1:]: i for i, t in enumerate(terms) if t[:1] == b"^"}
         self.size = len(terms)
 
-    def counts(self, text: bytes) -> dict[int, int]:
-        """Occurrences of each vocabulary term in the text."""
-        words = tokens(text)
-        starts = [w[:PREFIX] for w in words]
-        found = {self.words[t]: words.count(t) for t in self.words.keys() & set(words)}
-        hits = self.starts.keys() & set(starts)
-        for t in hits:
-            n = sum(len(w) > PREFIX for w, s in zip(words, starts) if s == t)
-            if n:
-                found[self.starts[t]] = n
-        return found
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of the vocabulary's terms: text, term and number, in the order of text and
+        term. Every distinct word is looked up once."""
+        split = pc.ascii_split_whitespace(pa.array([t.translate(FOLD) for t in texts], pa.binary()).view(pa.string()))
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        coded = pc.list_flatten(split).dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_pylist()
+        code = coded.indices.to_numpy()
+        word = np.array([self.words.get(w, -1) for w in words], np.int64)
+        start = np.array([self.starts.get(w[:PREFIX], -1) if len(w) > PREFIX else -1 for w in words], np.int64)
+        keys = [(text * self.size + x[code])[x[code] >= 0] for x in (word, start)]
+        keys, n = np.unique(np.concatenate(keys), return_counts=True)
+        return keys // max(1, self.size), (keys % max(1, self.size)).astype(np.int32), n
+
+
+Vector = tuple[np.ndarray, np.ndarray]  # terms, weights
 
 
 @dataclass
 class BlockMaxIndex:
-    """Inverted index over blocks of examples: per block and term the examples that have the term and
-    their weights, and per term the largest weight in each block."""
-
-    blocks: list[tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]]  # examples, postings
-    bound: np.ndarray  # terms x blocks
+    """Examples in two parts: the weights of the terms below ``block`` (the most frequent ones) as a matrix
+    that is multiplied with many queries at a time, the other terms as postings. Single precision
+    finds all examples that may be among the nearest; those are scored in double precision."""
+
+    size: int  # examples
+    dense: np.ndarray  # examples x terms below block
+    starts: np.ndarray  # postings of each other term
+    rows: np.ndarray
+    weights: np.ndarray
+    example_starts: np.ndarray  # whole vectors of the examples
+    example_terms: np.ndarray
+    example_weights: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
-        """Examples without terms are near to nothing and are left out; examples with the same
-        strongest term lie together, which keeps the bounds tight."""
-        order = sorted((i for i, v in enumerate(vectors) if v), key=lambda i: (max((w, t) for t, w in vectors[i].items())[1], i))
-        blocks = []
-        bound = np.zeros((n_terms, -(-len(order) // block)))
-        for b, at in enumerate(range(0, len(order), block)):
-            members = order[at : at + block]
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for r, i in enumerate(members):
-                for t, w in vectors[i].items():
-                    lists.setdefault(t, []).append((r, w))
-            blocks.append((np.array(members), {t: (np.array([r for r, _ in x]), np.array([w for _, w in x])) for t, x in lists.items()}))
-            for t, x in lists.items():
-                bound[t, b] = max(w for _, w in x)
-        return cls(blocks, bound)
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+    def build(cls, vectors: Sequence[dict[int, float] | Vector], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        vectors = [_vector(v) for v in vectors]
+        ends = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
+        terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        row = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(ends))
+        block = min(block, n_terms)
+        dense = np.zeros((len(vectors), block), np.float32)
+        common = terms < block
+        dense[row[common], terms[common]] = weights[common]
+        order = np.flatnonzero(~common)
+        order = order[np.argsort(terms[order], kind="stable")]
+        starts = np.searchsorted(terms[order], np.arange(block, n_terms + 1))
+        return cls(len(vectors), dense, starts, row[order], weights[order].astype(np.float32), ends, terms, weights)
+
+    def nearest(self, query: dict[int, float] | Vector, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties to the smaller
-        example; exact, as a block is passed over only if its bound is below the k-th."""
-        if not query or not self.blocks:
-            return []
-        bounds = np.array(list(query.values())) @ self.bound[list(query)]
-        best: list[tuple[float, int]] = []
-        least = 0.0  # cosine that an example must reach
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] * (1 + 1e-9) < least:
-                break
-            members, postings = self.blocks[b]
-            cosines = np.zeros(len(members))
-            for t, w in query.items():
-                if t in postings:
-                    rows, weights = postings[t]
-                    cosines[rows] += w * weights
-            reach = np.flatnonzero((cosines > 0) & (cosines >= least))
-            if len(reach):
-                reach = reach[np.lexsort((members[reach], -cosines[reach]))[: k + 1]]
-                best += [(-c, i) for c, i in zip(cosines[reach].tolist(), members[reach].tolist()) if i != skip]
-                best = sorted(best)[:k]
-                least = -best[-1][0] if len(best) == k else 0.0
-        return [(-c, i) for c, i in best]
+        example."""
+        return next(self.nearest_of_each([query], k, [skip]))
+
+    def nearest_of_each(self, queries: Sequence[dict[int, float] | Vector], k: int, skips: Sequence[int] | None = None) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of many queries, in order. Exact: weights are positive, so a sum in single
+        precision is off by less than ``ROUNDING`` of itself, and all examples within twice
+        that of the k-th best are scored again."""
+        block = self.dense.shape[1]
+        exact = np.zeros(block + len(self.starts) - 1)
+        for at in range(0, len(queries), TOGETHER):
+            some = [_vector(q) for q in queries[at : at + TOGETHER]]
+            common = np.zeros((len(some), block), np.float32)
+            for j, (terms, weights) in enumerate(some):
+                low = terms < block
+                common[j, terms[low]] = weights[low]
+            near = common @ self.dense.T
+            for j, (terms, weights) in enumerate(some):
+                about = near[j].astype(np.float64)
+                low = terms >= block
+                rare = terms[low] - block
+                a, b = self.starts[rare], self.starts[rare + 1]
+                sizes = b - a
+                where = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                about += np.bincount(self.rows[where], self.weights[where] * np.repeat(weights[low], sizes), minlength=self.size)
+                if skips is not None and skips[at + j] >= 0:
+                    about[skips[at + j]] = 0.0
+                least = np.partition(about, self.size - k)[self.size - k] if self.size > k else 0.0
+                chosen = np.flatnonzero((about > 0) & (about >= least * (1 - 2 * ROUNDING)))
+                exact[terms] = weights
+                best = []
+                for i in chosen.tolist():
+                    x, y = self.example_starts[i], self.example_starts[i + 1]
+                    best.append((-float((self.example_weights[x:y] * exact[self.example_terms[x:y]]).sum()), i))
+                exact[terms] = 0.0
+                yield [(-c, i) for c, i in sorted(best)[:k]]
+
+
+def _vector(v: dict[int, float] | Vector) -> Vector:
+    if isinstance(v, dict):  # by term, so that equal vectors are summed in one order
+        v = sorted(v.items())
+        return np.array([t for t, _ in v], np.int32), np.array([w for _, w in v], float)
+    return v
 
 
 @dataclass
@@ -134,10 +165,12 @@ class ToxicityModel:
     shift: float = 0.0
     k: int = NEIGHBOURS
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        norm = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()} if norm else {}
+    def vectors(self, n_texts: int, text: np.ndarray, terms: np.ndarray, n: np.ndarray) -> list[Vector]:
+        """Unit vectors of texts, of ``Vocabulary.counts``."""
+        raw = (1 + np.log(n)) * self.idf[terms]
+        ends = np.searchsorted(text, np.arange(n_texts + 1))
+        raw /= np.sqrt(np.bincount(text, raw * raw, minlength=n_texts))[text]
+        return [(terms[a:b], raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of label 1 among the neighbours, each weighted by its closeness; one vote's worth
@@ -152,9 +185,10 @@ class ToxicityModel:
         z = self.slope * np.log(vote / (1 - vote)) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def score(self, text: bytes) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(self.vocabulary.counts(text)), self.k)
-        return self.probability(self.vote(near)), near
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Probability and nearest examples of each text."""
+        vectors = self.vectors(len(texts), *self.vocabulary.counts(texts))
+        return [(self.probability(self.vote(near)), near) for near in self.index.nearest_of_each(vectors, self.k)]
 
 
 def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
@@ -168,6 +202,15 @@ def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: in
     return 2 * g
 
 
+def association(pos: np.ndarray, n: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Factor of each term's weight, ``FLOOR`` to ``FLOOR`` + 1: by the root of its log-likelihood ratio
+    with the label, less for terms that speak for label 0. No term gets 0."""
+    if not (n_pos and n_neg):
+        return np.ones(len(n))
+    g = np.sqrt(np.maximum(log_likelihood_ratio(pos, n - pos, n_pos, n_neg), 0.0))
+    return FLOOR + np.where(pos * n_neg >= (n - pos) * n_pos, 1.0, AGAINST) * g / max(g.max(initial=0.0), 1e-9)
+
+
 def calibrate(votes: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve from vote log-odds to labels (Newton, weighted)."""
     z = np.log(votes / (1 - votes))
@@ -185,12 +228,12 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[fl
 
 
 def fit_toxicity(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_terms: int = MAX_TERMS,
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     fold=held_out, id_col: str = "doc_id", text_col: str = "text",
 ) -> ToxicityModel:
     """The index over at most ``per_label`` examples of either label outside the held-out fold,
-    the ones whose hashed id comes first. What the driver gets is bounded by that and by
-    ``max_terms``; document frequencies are summed over all documents."""
+    the ones whose hashed id comes first. What the driver gets is bounded by their
+    texts; every term of theirs is in the vocabulary, the most frequent first. Document frequencies are summed over all documents."""
     texts = docs.select(*id_and_text(docs, id_col, text_col))
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
@@ -213,56 +256,52 @@ def fit_toxicity(
     seen = (
         sample.select("text", "y").mapInArrow(terms_of, "term binary, y int")
         .groupBy("term").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-        .filter(F.col("n") >= MIN_EXAMPLES)
+        .toArrow()
     )
-
-    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos, n = (batch.column(c).to_numpy().astype(float) for c in ("pos", "n"))
-            g = np.where(pos * n_neg >= MIN_LIFT * (n - pos) * n_pos, log_likelihood_ratio(pos, n - pos, n_pos, n_neg), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("term"), pa.array(g)], names=["term", "g"])
-
-    chosen = []
-    if n_pos and n_neg:
-        strong = seen.mapInArrow(rated, "term binary, g double").filter(F.col("g") >= MIN_RATIO)
-        chosen = [bytes(r["term"]) for r in strong.orderBy(F.desc("g"), "term").limit(max_terms).collect()]
-    vocabulary = Vocabulary(chosen)
+    seen = seen.sort_by([("n", "descending"), ("term", "ascending")])
+    terms = seen["term"].to_pylist()
+    pos, n = (seen[c].to_numpy().astype(float) for c in ("pos", "n"))
+    vocabulary = Vocabulary(terms)
+    known = spark.sparkContext.broadcast(vocabulary)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(vocabulary.size + 1, dtype=np.int64), 0
+        df, n = np.zeros(known.value.size + 1, dtype=np.int64), 0
         for batch in parts_of(batches):
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                n += 1
-                df[list(vocabulary.counts(text))] += 1
+            df[:-1] += np.bincount(known.value.counts(batch.column("text").cast(pa.binary()).to_pylist())[1], minlength=known.value.size)
+            n += len(batch)
         df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "df"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
-    counted = texts.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = texts.select("text").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(vocabulary.size + 1)
-    for r in counted.collect():
-        df[r["term"]] = r["df"]
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1e-3
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
-            found = [vocabulary.counts(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            text, terms, n = known.value.counts(batch.column("text").cast(pa.binary()).to_pylist())
+            ends = pa.array(np.searchsorted(text, np.arange(len(batch) + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
+                [batch.column("doc_id"), batch.column("y"), pa.ListArray.from_arrays(ends, pa.array(terms)), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
                 names=["doc_id", "y", "terms", "counts"],
             )
 
-    rows = sample.mapInArrow(counts_of, "doc_id long, y int, terms array<int>, counts array<int>").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    y = np.array([r["y"] for r in rows], dtype=float)
+    rows = sample.mapInArrow(counts_of, "doc_id long, y int, terms array<int>, counts array<int>").toArrow()
+    ids = rows["doc_id"].to_numpy()
+    counted = list(zip(*(np.split(pc.list_flatten(rows[c]).to_numpy(), np.cumsum(pc.list_value_length(rows[c]).to_numpy())[:-1]) for c in ("terms", "counts")))) if len(ids) else []
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], *(x.tobytes() for x in counted[i])))
+    ids, y = ids[order], rows["y"].to_numpy()[order].astype(float)
+    counted = [counted[i] for i in order]
     per = {c: totals.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)}
     weights = np.array([per[int(c)] for c in y], dtype=float)
-    model = ToxicityModel(vocabulary, idf, BlockMaxIndex([], np.zeros((0, 0))), np.array([r["doc_id"] for r in rows]), y, weights, 0.5)
-    vectors = [model.vector(dict(zip(r["terms"], r["counts"]))) for r in rows]
-    lone = np.array([not v for v in vectors], dtype=bool)
-    model.prior = float(((weights * y)[lone].sum() + 0.5) / (weights[lone].sum() + 1)) if len(rows) else 0.5
+    model = ToxicityModel(vocabulary, idf * association(pos, n, n_pos, n_neg), BlockMaxIndex.build([], 0), ids, y, weights, 0.5)
+    vectors = [v for t, c in counted for v in model.vectors(1, np.zeros(len(t), np.int64), t, c)]
+    lone = np.array([not len(t) for t, _ in vectors], dtype=bool)
+    model.prior = float(((weights * y)[lone].sum() + 0.5) / (weights[lone].sum() + 1)) if len(ids) else 0.5
     model.index = BlockMaxIndex.build(vectors, vocabulary.size)
     if n_pos and n_neg:
-        votes = np.array([model.vote(model.index.nearest(v, model.k, skip=i)) for i, v in enumerate(vectors)])
+        votes = np.array([model.vote(near) for near in model.index.nearest_of_each(vectors, model.k, range(len(vectors)))])
         model.slope, model.shift = calibrate(votes, y, weights)
     return model
 
@@ -273,8 +312,8 @@ def toxicity_scores(
     """One row per input row: doc_id, held_out, score, predicted, evidence (the neighbours' doc_id
     and cosine, nearest first).
 
-    A text without any vocabulary term (null and empty ones too) has no evidence and the score
-    of such texts among the examples. Labels that are null or neither 0 nor 1, or have no
+    A text without any word of the examples (null and empty ones too) has no evidence and the score
+    of such texts among the examples; words that no example has count for nothing. Labels that are null or neither 0 nor 1, or have no
     document, are not learned from; without labels of both kinds every score is 0.5 or
     the smoothed share of the one label. An empty table gives an empty result.
     """
@@ -284,11 +323,9 @@ def toxicity_scores(
         m = model.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in parts_of(batches):
-            scores, evidence = [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                s, near = m.score(text)
-                scores.append(s)
-                evidence.append([{"doc_id": int(m.ids[i]), "cosine": c} for c, i in near])
+            found = m.scores(batch.column("text").cast(pa.binary()).to_pylist())
+            scores = [s for s, _ in found]
+            evidence = [[{"doc_id": int(m.ids[i]), "cosine": c} for c, i in near] for _, near in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],

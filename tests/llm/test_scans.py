@@ -145,6 +145,20 @@ def test_toxicity_on_held_out_documents(spark):
     assert flagged and all(r.evidence for r in flagged)
 
 
+def test_every_term_of_the_examples_counts(spark):
+    """Common words without any association with the label still find the nearest example."""
+    docs = [(i, f"{w} {w}ish and the {prose(i, 12)}") for i, w in enumerate(("harbour", "window", "garden", "letter", "mountain", "candle", "river", "basket") * 3)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id bigint, toxic int")
+    docs = [*docs, (100, "the river riverish"), (101, "of letters, letterish"), (102, "qqq 17")]
+    none = lambda doc_id: doc_id < 0
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in T.toxicity_scores(spark, frame, labels, fold=none).collect()}
+    assert {e.doc_id % 8 for e in rows[100].evidence[:3]} == {6} and {e.doc_id % 8 for e in rows[101].evidence[:3]} == {3}
+    assert rows[102].evidence == []
+    model = T.fit_toxicity(spark, frame, labels, fold=none)
+    assert (model.idf > 0).all() and model.vocabulary.size == len({t for i, x in docs if i < 100 for t in T.term_set(x.encode())})
+
+
 def test_toxicity_without_usable_labels(spark):
     labels = spark.createDataFrame([(1, None), (None, 1), (99, 1)], "doc_id bigint, toxic int")
     rows = T.toxicity_scores(spark, awkward(spark), labels).collect()
