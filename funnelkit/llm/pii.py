@@ -25,6 +25,21 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+#: Country code of a phone number written without separators.
+_COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-689]\d\d)")
+
+
 class Feistel:
     """Keyed permutation of range(n) for every kind and n."""
 
@@ -82,13 +97,33 @@ def card(text: str, move: Callable) -> str | None:
             return _into(text, d)
 
 
-def iban(text: str, move: Callable) -> str | None:
+def _spell(s: str) -> int:
+    return int("".join(str(int(c, 36)) for c in s))
+
+
+def _is_iban(text: str) -> bool:
     flat = text.replace(" ", "")
-    spell = lambda s: int("".join(str(int(c, 36)) for c in s))
-    if not 15 <= len(flat) <= 34 or spell(flat[4:] + flat[:4]) % 97 != 1:
+    return 15 <= len(flat) <= 34 and _spell(flat[4:] + flat[:4]) % 97 == 1
+
+
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN at ``start`` ends, ``start`` if there is none. Capitals that follow it match the
+    pattern too, so its country's length is tried first, then the whole match and, for countries
+    that are not in the list, every shorter end."""
+    places = [i for i in range(start, end) if text[i] != " "]
+    known = IBAN_LENGTHS.get(text[start : start + 2])
+    for n in (known, len(places)) if known else range(len(places), 14, -1):
+        if n <= len(places) and _is_iban(text[start : places[n - 1] + 1]):
+            return places[n - 1] + 1
+    return start
+
+
+def iban(text: str, move: Callable) -> str | None:
+    if not _is_iban(text):
         return None
+    flat = text.replace(" ", "")
     body = characters("iban" + flat[:2], flat[4:], move)
-    check = 98 - spell(body + flat[:2] + "00") % 97
+    check = 98 - _spell(body + flat[:2] + "00") % 97
     it = iter(f"{flat[:2]}{check:02d}{body}")
     return "".join(c if c == " " else next(it) for c in text)
 
@@ -106,12 +141,14 @@ def ssn(text: str, move: Callable) -> str | None:
 
 
 def phone(text: str, move: Callable) -> str | None:
-    """The country code stays; the national number of 7 to 12 digits is permuted; for ten digits its
-    area code keeps starting with 2 to 9."""
-    lead = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    """The country code stays; the national number is permuted: at least 7 digits (4 if nothing separates
+    it from the code), at most 12, or 15 with the country code; for ten digits its area code
+    keeps starting with 2 to 9."""
+    spaced = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    lead = spaced or _COUNTRY.match(text)
     code, rest = (text[: lead.end()], text[lead.end() :]) if lead else ("", text)
     d = _digits(rest)
-    if not 7 <= len(d) <= 12:
+    if not (7 if spaced or not lead else 4) <= len(d) <= (15 - len(_digits(code)) if text[0] == "+" else 12) or len(_digits(text)) < 7:
         return None
     strict = len(d) == 10 and d[0] > "1"
     while True:
@@ -206,7 +243,7 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = tuple(
     for kind, need, pattern, change in (
         ("email", "@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
         ("secret", "K", r"(?<=\bAKIA)[A-Z0-9]{16}(?![A-Za-z0-9])", secret),
-        ("secret", "=:", r"""(?i)\b(?:password|passwd|secret|api_?key|token)\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_\-./+]{8,128})""", secret),
+        ("secret", "=:", r"""(?i)(?<![^\W_])(?:password|passwd|secret|api_?key|token)\s{0,3}[=:]\s{0,3}["']?(?P<value>[A-Za-z0-9_\-./+]{8,128})""", secret),
         ("ip", "#", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", ip),
         ("date", "#", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{4}/\d{2}/\d{2}(?![\d/])", iso_date),
         ("date", "#", r"(?<![\d./])(?:\d{1,2}\.\d{1,2}\.\d{4}(?!\d)|\d{1,2}/\d{1,2}/\d{4}(?![\d/]))", day_first),
@@ -229,8 +266,15 @@ def pseudonymise(text: str, move: Callable) -> tuple[str, list[dict]]:
     for kind, need, pattern, change in KINDS:
         if not (digit if need == "#" else any(c in text for c in need)):
             continue
-        for m in pattern.finditer(text):
+        at = 0
+        while m := pattern.search(text, at):
             a, b = m.span("value") if "value" in pattern.groupindex else m.span()
+            at = m.end()
+            if kind == "iban":
+                b = iban_end(text, a, b)
+                at = max(b, a + 1)  # what follows the number may be the next one
+                if a == b:
+                    continue
             if any(a < y and x < b for x, y, _, _ in taken):
                 continue
             new = change(text[a:b], move)

@@ -98,6 +98,24 @@ def test_invalid_candidates_and_clean_texts_stay():
         assert P.pseudonymise(text, move) == (text, [])
 
 
+def test_values_without_separators_or_before_capitals_are_found():
+    move = P.Feistel(b"key").permute
+    for text, value, kept in (
+        ("call +8613812345678 now", "+8613812345678", "+86"), ("call +4915112345678", "+4915112345678", "+49"), ("+35812345", "+35812345", "+358"),
+        ("+86138-1234-5678", "+86138-1234-5678", "+86"), ("ES91 2100 0418 4502 0005 1332 BIC", "ES91 2100 0418 4502 0005 1332", "ES"),
+        ("ES9121000418450200051332 IBAN", "ES9121000418450200051332", "ES"), ("GB82 WEST 1234 5698 7654 32 OK", "GB82 WEST 1234 5698 7654 32", "GB"),
+        ("DB_PASSWORD=hunter22x", "hunter22x", ""), ("export MY_API_KEY='abcd1234efgh'", "abcd1234efgh", ""),
+    ):
+        out, found = P.pseudonymise(text, move)
+        assert len(found) == 1 and text[found[0]["start"] : found[0]["end"]] == value and value not in out
+        assert found[0]["pseudonym"].startswith(kept) and out == text.replace(value, found[0]["pseudonym"])
+    a, b = (P.pseudonymise(t, move)[1][0]["pseudonym"] for t in ("+49 15112345678", "+4915112345678"))
+    assert a.replace(" ", "") == b
+    two = "ES91 2100 0418 4502 0005 1332 GB82 WEST 1234 5698 7654 32"
+    assert [m["kind"] for m in P.pseudonymise(two, move)[1]] == ["iban", "iban"]
+    assert P.pseudonymise("mypassword=hunter22x and ES91 2100 0418 4502 0005 1333 BIC", move)[1] == []
+
+
 def test_pseudonymise_documents(spark):
     docs = spark.createDataFrame([(1, "at 10.1.2.3", 5), (1, "at 10.1.2.3", 5), (2, None, 6), (None, "a@b.org", 7)], "doc_id bigint, text string, found bigint")
     out = P.pseudonymise_documents(docs, b"key").collect()
