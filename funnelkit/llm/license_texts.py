@@ -31,6 +31,26 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
         your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
         WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
         General Public License for more details."""),
+    ("GPL-2.0", "header", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but
+        WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+        PURPOSE. See the GNU General Public License for more details."""),
+    ("LGPL-2.1", "header", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the
+        License, or (at your option) any later version. This library is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("LGPL-3.0", "header", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version. This program is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("AGPL-3.0", "header", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the
+        License, or (at your option) any later version. This program is distributed in the hope that it will be
+        useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+        PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
     ("LGPL-3.0", "line", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "line", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "header", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
@@ -48,3 +68,24 @@ TEMPLATES: tuple[tuple[str, str, str], ...] = (
     ("CC-BY-ND-4.0", "line", "Licensed under CC BY-ND 4.0."),
     ("LicenseRef-Proprietary", "line", "All rights reserved."),
 )
+
+#: Words that tell a notice from the ones like it: each of these runs must be in the text as it stands.
+TELLING: dict[tuple[str, str], tuple[str, ...]] = {
+    ("Apache-2.0", "line"): ("Apache License, Version 2.0",),
+    ("Apache-2.0", "header"): ("Apache License, Version 2.0",),
+    ("MIT", "line"): ("MIT License",),
+    ("GPL-2.0", "line"): ("the GNU General Public License", "version 2"),
+    ("GPL-3.0", "line"): ("the GNU General Public License", "version 3"),
+    ("LGPL-3.0", "line"): ("GNU Lesser General Public License", "version 3"),
+    ("AGPL-3.0", "line"): ("GNU Affero General Public License", "version 3"),
+    ("GPL-2.0", "header"): ("terms of the GNU General Public License", "version 2"),
+    ("GPL-3.0", "header"): ("terms of the GNU General Public License", "version 3"),
+    ("LGPL-2.1", "header"): ("terms of the GNU Lesser General Public License", "version 2.1"),
+    ("LGPL-3.0", "header"): ("terms of the GNU Lesser General Public License", "version 3"),
+    ("AGPL-3.0", "header"): ("terms of the GNU Affero General Public License", "version 3"),
+    ("MPL-2.0", "header"): ("Mozilla Public License", "2.0"),
+    ("CC0-1.0", "line"): ("CC0 1.0",),
+    ("CC-BY-SA-4.0", "line"): ("CC BY-SA 4.0",),
+    ("CC-BY-NC-4.0", "line"): ("CC BY-NC 4.0",),
+    ("CC-BY-ND-4.0", "line"): ("CC BY-ND 4.0",),
+}

@@ -6,7 +6,8 @@ consecutive hashes of ``shingle`` words the least is kept, so any run of
 ``shingle + window - 1`` template words holds a kept one. A text's own shingles are looked up
 in it; hits of one template on nearby diagonals make a candidate region, and a banded
 alignment of the template with that region gives the share of template words matched
-in order (coverage) and where. Templates are a fixed, small table that travels with the task.
+in order (coverage) and where. The words that tell a notice from others (name, version) must be
+there without gaps. Templates are a fixed, small table that travels with the task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.llm.common import id_and_text, parts_of
-from funnelkit.llm.license_texts import TEMPLATES
+from funnelkit.llm.license_texts import TELLING, TEMPLATES
 
 SHINGLE = 3
 WINDOW = 3
@@ -46,10 +47,22 @@ def winnow(hashes: Sequence[int], window: int) -> set[int]:
     return {min(range(s, min(s + window, len(hashes))), key=lambda i: (hashes[i], -i)) for s in starts}
 
 
+def _telling(name: str, form: str, text: str) -> tuple[str, ...]:
+    if name == "CC-BY-4.0":  # two lines that name it differently
+        return ("CC BY 4.0",) if "CC BY" in text else ("Attribution 4.0",)
+    return TELLING.get((name, form), ())
+
+
+def holds(words: list[bytes], run: list[bytes]) -> bool:
+    """Is ``run`` in ``words``, without gaps?"""
+    return any(words[i : i + len(run)] == run for i in range(len(words) - len(run) + 1))
+
+
 class TemplateIndex:
     def __init__(self, templates: Sequence[tuple[str, str, str]] = TEMPLATES, shingle: int = SHINGLE, window: int = WINDOW) -> None:
         self.templates, self.shingle = list(templates), shingle
         self.words = [words_of(t.encode()) for _, _, t in templates]
+        self.telling = [[words_of(p.encode()) for p in _telling(*t)] for t in templates]
         self.known = {w for ws in self.words for w in ws}
         self.postings: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
         for t, ws in enumerate(self.words):
@@ -127,7 +140,7 @@ def scan(text: bytes, index: TemplateIndex, band: int = BAND, min_coverage: floa
         part = words[a : high + len(index.words[t])]
         hits, first, end = align(index.words[t], part, low - a, high - a)
         coverage = hits / len(index.words[t])
-        if coverage >= min_coverage:
+        if coverage >= min_coverage and all(holds(part[first:end], run) for run in index.telling[t]):
             found.append((-hits, -coverage, a + first, a + end, t))
     taken, kept = [], []
     for hits, coverage, first, end, t in sorted(found):

@@ -34,6 +34,19 @@ def test_every_template_is_found_whole_and_edited():
     assert L.scan(prose(r.random(), 500).encode(), index) == []
 
 
+def test_like_notices_are_told_apart():
+    index = L.TemplateIndex()
+    gpl3 = next(t for name, form, t in TEMPLATES if (name, form) == ("GPL-3.0", "header"))
+    lgpl = gpl3.replace("General", "Lesser General")
+    for text, names in (
+        (gpl3, ["GPL-3.0"]), (gpl3.replace("version 3", "version 2"), ["GPL-2.0"]), (gpl3.replace("General", "Affero General"), ["AGPL-3.0"]),
+        (lgpl, ["LGPL-3.0"]), (lgpl.replace("version 3", "version 2.1").replace("program", "library"), ["LGPL-2.1"]),
+        (gpl3.replace("version 3", "version 1"), []), ("This work is licensed under the GNU General Public License, version 1.", []),
+        ("Licensed under the ISC License.", []), ("Licensed under CC BY-SA 3.0.", []), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ):
+        assert [m["license"] for m in L.scan(f"{prose(1, 20)} {text} {prose(2, 20)}".encode(), index)] == names
+
+
 def test_alignment_counts_like_a_full_table():
     r = random.Random(2)
     for _ in range(60):
