@@ -144,11 +144,13 @@ _SENT = "bucket int, docs binary, counts binary, leads binary, blocks binary, do
 
 
 def _send(doc: np.ndarray, lead: np.ndarray, block: np.ndarray, splitters) -> Iterator[pa.RecordBatch]:
-    """Combine equal blocks (the smallest document stands for them), then deal out by bucket."""
-    order = np.lexsort((doc, block))
+    """Combine equal blocks, by all 64 bits of both hashes (the smallest document stands for them),
+    then deal out by bucket; only 48 bits of the block's hash go on."""
+    order = np.lexsort((doc, lead, block))
     doc, lead, block = doc[order], lead[order], block[order]
-    head = np.concatenate(([True], block[1:] != block[:-1]))
+    head = np.concatenate(([True], (block[1:] != block[:-1]) | (lead[1:] != lead[:-1])))
     least = doc[head][np.cumsum(head) - 1]
+    block = block & _LOW48
     ids, lists = _by_doc(doc[doc > least], block[doc > least])
     n = len(ids)
     empty = pa.nulls(n, pa.binary())
@@ -183,7 +185,7 @@ def _anchor_task(splitters):
         held, n = [], 0
         for batch in parts_of(batches):
             text, _, _, _, lead, block = anchors(*laid_out(batch.column("text").cast(pa.binary()).to_pylist()))
-            held.append((batch.column("doc").to_numpy()[text], lead, block & _LOW48))
+            held.append((batch.column("doc").to_numpy()[text], lead, block))
             n += len(text)
             if n >= FLUSH:
                 yield from _send(*map(np.concatenate, zip(*held)), splitters)

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import awkward, awkward_rows, classes, nothing, prose, removed, simhash
 from pyspark.sql import functions as F
@@ -163,6 +164,23 @@ def test_anchors_depend_on_the_window_only(monkeypatch):
     assert sum(len(t) - 49 for t in texts if len(t) >= 50) == sum((seen[3] - seen[2] + 1).tolist())
 
 
+def test_blocks_equal_in_48_bits_only_are_not_combined(monkeypatch):
+    nothing_ = np.zeros(0, np.uint64)
+
+    def covered(anchors):
+        """Documents with covered blocks, and the number of suffixes sent, of one task."""
+        doc, lead, block = (np.array(x) for x in zip(*anchors))
+        found = doc * 0, doc * 0, doc * 0, doc * 0, lead.astype(np.uint64), block.astype(np.uint64)
+        monkeypatch.setattr(S, "anchors", lambda data, offsets: (np.arange(len(doc)), *found[1:]))
+        batch = pa.RecordBatch.from_arrays([pa.array(doc), pa.array(["x"] * len(doc))], names=["doc", "text"])
+        rows = [r for b in S._anchor_task((nothing_, nothing_))(iter([batch])) for r in b.to_pylist()]
+        return [r["doc"] for r in rows if r["bucket"] < 0], sum(len(r["blocks"]) // 6 for r in rows if r["bucket"] >= 0)
+
+    assert covered([(1, 5, 7), (2, 5, 7)]) == ([2], 1)
+    assert covered([(1, 5, 7), (2, 6, 7)]) == ([], 2)
+    assert covered([(1, 5, 7), (2, 5, 7 + (1 << 48))]) == ([], 2)
+
+
 @pytest.mark.parametrize("options", [{}, {"bucket_rows": 500, "hot_rows": 2}])
 def test_suffix_dedup(spark, options):
     rows = awkward_rows()
