@@ -136,12 +136,23 @@ def scan(text: bytes, index: TemplateIndex, band: int = BAND, min_coverage: floa
     words = words_of(text)
     found = []
     for t, low, high in index.regions(words, band):
-        a = max(0, low)
-        part = words[a : high + len(index.words[t])]
-        hits, first, end = align(index.words[t], part, low - a, high - a)
-        coverage = hits / len(index.words[t])
-        if coverage >= min_coverage and all(holds(part[first:end], run) for run in index.telling[t]):
-            found.append((-hits, -coverage, a + first, a + end, t))
+        n = len(index.words[t])
+        # A notice repeated many times is one wide region: it is aligned once as a whole, and in pieces.
+        step = 4 * band + 2 * n
+        wide = high - low > step
+        todo = [(x, x + step, max(0, x), x + step + n) for x in range(low, high, step - 2 * band)] if wide else []
+        todo.append((low, high, max(0, low), high + n))
+        while todo:
+            low_, high_, a, b = todo.pop()
+            part = words[a:b]
+            hits, first, end = align(index.words[t], part, low_ - a, high_ - a)
+            coverage = hits / n
+            if coverage < min_coverage:
+                continue
+            if all(holds(part[first:end], run) for run in index.telling[t]):
+                found.append((-hits, -coverage, a + first, a + end, t))
+            if not wide or high_ - low_ == step:  # once more before and after it
+                todo += [(low_, high_, x, y) for x, y in ((a, a + first), (a + end, min(b, len(words)))) if y - x >= min_coverage * n]
     taken, kept = [], []
     for hits, coverage, first, end, t in sorted(found):
         if all(end <= x or first >= y for x, y in taken):

@@ -47,6 +47,14 @@ def test_like_notices_are_told_apart():
         assert [m["license"] for m in L.scan(f"{prose(1, 20)} {text} {prose(2, 20)}".encode(), index)] == names
 
 
+@pytest.mark.parametrize("times", [2, 3, 400])
+def test_short_notices_repeated_at_once_are_all_found(times):
+    index = L.TemplateIndex()
+    for notice, name in (("All rights reserved.", "LicenseRef-Proprietary"), ("Licensed under the MIT License.", "MIT")):
+        found = L.scan(f"{prose(1, 20)} {' '.join([notice] * times)} {prose(2, 20)}".encode(), index)
+        assert [m["license"] for m in found] == [name] * times and all(m["coverage"] == 1.0 for m in found)
+
+
 def test_alignment_counts_like_a_full_table():
     r = random.Random(2)
     for _ in range(60):
