@@ -65,8 +65,10 @@ def parts_of(batches: Iterator[pa.RecordBatch], column: str = "text", size: int
 
 
 def row_key(docs: DataFrame) -> list[Column]:
-    """128-bit key of a whole row: rows with equal keys are equal in every column."""
+    """128-bit key of a whole row: rows with equal keys are equal in every column. The hash passes
+    over nulls, so where they are is hashed too."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
+    cols += [c.isNull() for c in cols]
     return [
         F.xxhash64(*cols).alias("__key_a"),
         F.xxhash64(F.lit(7919), *cols, F.lit(104729)).alias("__key_b"),

@@ -66,6 +66,14 @@ def test_drop_exact_duplicates_keeps_columns(spark):
     assert E.drop_exact_duplicates(spark, nothing(spark)).count() == 0
 
 
+def test_row_keys_tell_nulls_in_different_columns_apart(spark):
+    from funnelkit.llm.common import row_key
+
+    docs = spark.createDataFrame([(1, "x", None), (1, None, "x"), (1, None, None), (1, "x", "x"), (1, "x", None)], "doc_id bigint, text string, lang string")
+    keys = [tuple(r) for r in docs.select(*row_key(docs)).collect()]
+    assert len(set(keys)) == 4 and keys[0] == keys[4]
+
+
 def test_fingerprints_match_the_definition():
     for text in [r[1] for r in awkward_rows()] + ["a", "A b", "É é ß", "one two three"]:
         assert H.fingerprint((text or "").encode()) == simhash(text)
