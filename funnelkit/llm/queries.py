@@ -18,6 +18,7 @@ from funnelkit.llm.quality import quality_scores
 from funnelkit.llm.simhash import near_duplicates
 from funnelkit.llm.suffixes import remove_repeats
 from funnelkit.llm.toxicity import toxicity_scores
+from funnelkit.llm.whitening import whiten
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark, read_table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_licenses": op2_licenses,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_top_k": op10_top_k,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE: dict[str, str] = {
