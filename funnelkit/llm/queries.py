@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import read_table
 from funnelkit.llm.curriculum import curriculum_mix
 from funnelkit.llm.exact_dedup import exact_dedup
+from funnelkit.llm.lexical import rank_documents
 from funnelkit.llm.licenses import scan_licenses
 from funnelkit.llm.mtree import top_k
 from funnelkit.llm.packing import pack_documents
@@ -80,6 +81,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_licenses": op2_licenses,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_top_k": op10_top_k,
     "op11_whitening": op11_whitening,
+    "op12_lexical": op12_lexical,
 }
 
 ORACLE: dict[str, str] = {
@@ -177,4 +183,42 @@ ORACLE: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 5
     """,
+    "op12_lexical": r"""
+        WITH words AS (
+          SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM documents
+        ),
+        asked AS (
+          SELECT item_id, term, count(*) AS repeats
+          FROM (
+            SELECT item_id, unnest(regexp_extract_all(
+              translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+          ) GROUP BY item_id, term
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+        totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),
+        tfs AS (
+          SELECT doc_id, term, count(*) AS tf FROM words
+          WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+        ),
+        weights AS (
+          SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM tfs, totals GROUP BY term, docs
+        ),
+        scored AS (
+          SELECT item_id, doc_id,
+            CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+          FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+          GROUP BY item_id, doc_id
+        ),
+        ranked AS (
+          SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+          FROM scored WHERE score > 0
+        )
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
 }
