@@ -16,6 +16,7 @@ from funnelkit.llm.mtree import top_k
 from funnelkit.llm.packing import pack_documents
 from funnelkit.llm.pii import pseudonymise_documents
 from funnelkit.llm.quality import quality_scores
+from funnelkit.llm.shingles import jaccard_join
 from funnelkit.llm.simhash import near_duplicates
 from funnelkit.llm.suffixes import remove_repeats
 from funnelkit.llm.toxicity import toxicity_scores
@@ -85,6 +86,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(spark, read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_licenses": op2_licenses,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_k": op10_top_k,
     "op11_whitening": op11_whitening,
     "op12_lexical": op12_lexical,
+    "op13_jaccard": op13_jaccard,
 }
 
 ORACLE: dict[str, str] = {
@@ -221,4 +227,31 @@ ORACLE: dict[str, str] = {
         )
         SELECT * FROM ranked WHERE rank <= 10
     """,
+    "op13_jaccard": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM documents
+        ),
+        shingles AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+          FROM words WHERE len(w) > 0
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (
+          SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i
+          FROM shingles a JOIN shingles b USING (s) GROUP BY a.doc_id, b.doc_id
+        ),
+        links AS (
+          SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+          WHERE 100 * i >= 85 * (a.n + b.n - i)
+        ),
+        reach AS (
+          SELECT x, y FROM links
+          UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+        )
+        SELECT words.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, words.doc_id) AS component_id
+        FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS component FROM reach GROUP BY x) USING (doc_id)
+    """,
 }
