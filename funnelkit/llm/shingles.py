@@ -5,19 +5,19 @@ groups, a group's tokens are united, and a class is compared with the members of
 overlap with that union can reach the similarity:
 
 1. The pass over the texts keeps the class and a lead: its lowest hashes, so many that two linked
-   sets share a known number of them. A class with too few lead tokens in any other group has no
-   link outside its own group and goes. That leaves the copies and what shares long passages.
-2. What is left is linked to centres: every class votes, by its lead tokens, for one class of another
-   group that has them too, and is compared with that one. Linked classes are one group, and
-   the next round counts tokens between the new groups. So a family of copies becomes a group,
+   sets share a known number of them. A class whose lead tokens occur too rarely in other classes
+   has no link and goes. That leaves near copies and texts with long shared passages.
+2. What is left is linked to centres: every class votes, by its lead tokens, for one class that has them
+   too, and is compared with that one. Linked classes get one label, and the next
+   round counts tokens under other labels only. So most of a family of copies is joined,
    whatever its size, by comparisons that are linear in it.
-3. The rest goes through the matrix proper: the distinct (token, group) pairs of whole sets. A class whose
-   tokens occur in other groups too rarely is out; for the others, any partner has one of its rarest
-   tokens, so these look up the groups to consider. Large groups are cut into parts of at most
-   ``part_size`` members. A task holds one part, unites its tokens, bounds each query's overlap
-   with the union and opens the part, member by member, only if the bound qualifies.
+3. The rest goes through the matrix. Classes that share tokens form a group; the matrix holds the distinct
+   (token, group) pairs. Any partner has one of a class's least spread tokens, so these look up
+   the groups to consider. A group is cut by set size and then into parts of bounded size. A task holds one
+   part, unites its tokens, bounds each query's overlap with the union, and opens the part only
+   for queries that qualify.
 
-A link inside a group is never looked for, as it cannot change the components.
+Links between classes of one label are never looked for, as they cannot change the components.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ from funnelkit.llm.graph import components
 
 SHINGLE = 4
 PERCENT = 85
-ROUNDS = 3  # rounds of links to centres
-PART_SIZE = 128
-QUERIES = 512  # queries that a task takes to one part
-WORDS = 1 << 20  # words whose hashes a task remembers
+ROUNDS = 1  # rounds of links to centres
+BROADCAST_ROWS = 500_000  # a table of a few numbers a row is broadcast up to this many rows
+PART_TOKENS = 250_000  # tokens of the members of one part
+WORDS = 1 << 17  # words whose hashes a task remembers
 
 #: Odd multipliers of a shingle's words and of the final mix (digits of pi in hexadecimal).
 _PLACES = np.array([0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1, 0x082EFA98EC4E6C89], dtype=np.uint64)
@@ -147,27 +147,33 @@ def whole_sets(rows: DataFrame, wanted: DataFrame, seed: int, shingle: int) -> D
     return texts.select("class", "text").mapInArrow(run, "class long, tokens array<long>")
 
 
-def elsewhere(tokens: DataFrame, flip: int = 0) -> DataFrame:
-    """``tokens`` (token, class, group, ...) that another group has as well, with ``other``: one such group, and
-    ``df``, the rows that have the token. ``flip`` changes which group that is."""
-    order = F.col("group").bitwiseXOR(F.lit(flip).cast("long"))
-    per = tokens.groupBy("token").agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("df")).filter("lo <> hi")
-    lo, hi = (F.col(c).bitwiseXOR(F.lit(flip).cast("long")) for c in ("lo", "hi"))
-    return tokens.join(per, "token").select(*tokens.columns, "df", F.when(lo != F.col("group"), lo).otherwise(hi).alias("other"))
+def narrow(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast in joins if its row count allows it."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-def voted(leads: DataFrame, classes: DataFrame, flip: int, percent: int) -> DataFrame:
-    """class, group, centre of the classes with enough lead tokens in other groups; centre is the group most of them
-    name, null if that are too few. ``leads``: class, group, token, as often as the class has rows."""
-    votes = elsewhere(leads, flip).groupBy("class", "group", "other").agg(F.count("*").alias("votes"))
-    per = votes.groupBy("class", "group").agg(
+def elsewhere(tokens: DataFrame, flip: int = 0, label: str = "label") -> DataFrame:
+    """``tokens`` (token, class and the class's label, ...) that a class of another label has as well, with ``lo`` and
+    ``hi``: two labels that have the token, the same for all its rows. ``flip`` changes which ones."""
+    turned = F.lit(flip).cast("long")
+    order = F.col(label).bitwiseXOR(turned)
+    per = tokens.groupBy("token").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).filter("lo <> hi")
+    return tokens.join(per, "token").select(*tokens.columns, *[F.col(c).bitwiseXOR(turned).alias(c) for c in ("lo", "hi")])
+
+
+def voted(leads: DataFrame, classes: DataFrame, flip: int, percent: int, label: str = "label") -> DataFrame:
+    """class, centre of the classes with enough lead tokens under other labels; centre is the label that most of
+    them name, null if that are too few. ``leads``: class, label, token, as often as ``classes`` says in copies."""
+    own = F.col(label)
+    votes = elsewhere(leads, flip, label).groupBy("class", F.when(F.col("lo") != own, F.col("lo")).otherwise(F.col("hi")).alias("other"))
+    per = votes.agg(F.count("*").alias("votes")).groupBy("class").agg(
         F.sum("votes").alias("shared"), F.max("votes").alias("most"), F.max_by("other", F.col("votes")).alias("other")
     )
     needed = _needed(F.col("n"), percent) * F.col("copies")
     return (
         per.join(classes.select("class", "n", "copies"), "class")
         .filter(F.col("shared") >= needed)
-        .select("class", "group", F.when(2 * F.col("most") >= needed, F.col("other")).alias("centre"))
+        .select("class", F.when(F.col("most") >= needed, F.col("other")).alias("centre"))
     )
 
 
@@ -175,123 +181,165 @@ def is_linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return 100 * shared >= percent * (a + b - shared)
 
 
-def centre_links(sets: DataFrame, choice: DataFrame, percent: int) -> DataFrame:
+def centre_links(spark: SparkSession, sets: DataFrame, choice: DataFrame, percent: int) -> DataFrame:
     """a, b: classes linked with the centre they chose."""
-    pairs = choice.filter("centre is not null").select("class", "centre")
-    own = sets.join(pairs, "class")
-    centres = sets.join(pairs.select(F.col("centre").alias("class")).distinct(), "class").select(
-        F.col("class").alias("centre"), F.col("tokens").alias("there")
-    )
+    pairs = materialize(spark, choice.filter("centre is not null").select("class", "centre"), "pairs")
+    named = materialize(spark, pairs.select(F.col("centre").alias("class")).distinct(), "centres")
+    own = sets.join(narrow(pairs), "class")
+    centres = sets.join(narrow(named), "class").select(F.col("class").alias("centre"), F.col("tokens").alias("there"))
     shared = F.size(F.array_intersect("tokens", "there"))
     return own.join(centres, "centre").filter(is_linked(shared, F.size("tokens"), F.size("there"), percent)).select(
         F.col("class").alias("a"), F.col("centre").alias("b")
     )
 
 
-def grouped(choice: DataFrame, labels: DataFrame) -> DataFrame:
-    """class, group of the classes still looked at."""
+def labelled(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``classes`` (class) with the label of each: its component so far, else itself."""
+    if labels is None:
+        return classes.withColumn("label", F.col("class"))
     named = labels.select(F.col("node").alias("class"), "root")
-    return choice.select("class").join(named, "class", "left").select("class", F.coalesce("root", "class").alias("group"))
-
-
-def matrix_candidates(spark: SparkSession, whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(whole sets still in, pairs): of the rows of ``whole`` (class, group, n, tokens) those with enough tokens in
-    other groups, and for each (class) the groups (other) that have one of its rarest tokens."""
-    before = None
-    while True:
-        cells = whole.select("class", "group", "n", F.explode("tokens").alias("token"))
-        shared = materialize(spark, elsewhere(cells), "cells")
-        counts = shared.groupBy("class").agg(F.count("*").alias("shared"), F.first("n").alias("n")).filter(
-            F.col("shared") >= _required(F.col("n"), percent)
-        )
-        kept = materialize(spark, counts.select("class", (F.col("shared") - _required(F.col("n"), percent) + 1).cast("int").alias("probes")), "kept")
-        left = kept.count()
-        whole = whole.join(kept.select("class"), "class", "left_semi")
-        if left == 0 or before is not None and 10 * left >= 9 * before:
-            break
-        before = left
-    live = shared.join(kept, "class")
-    rarest = live.groupBy("class", "group", "probes").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    probes = rarest.select("class", "group", F.explode(F.expr("slice(t, 1, probes)")).alias("t")).select("class", "group", "t.token")
-    index = live.select("token", F.col("group").alias("other")).distinct()
-    pairs = probes.join(index, "token").filter("group <> other").select("class", "other").distinct()
-    return whole, pairs
-
-
-def _open_parts(percent: int):
-    """Links of one part's members with the queries sent to it."""
-
+    return classes.join(named, "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
+
+
+def reachable(whole: DataFrame, percent: int) -> DataFrame:
+    """class, label of the rows of ``whole`` (class, label, tokens) with as many tokens under other labels as a link needs."""
+    shared = elsewhere(whole.select("class", "label", F.explode("tokens").alias("token"))).groupBy("class").agg(F.count("*").alias("shared"))
+    sizes = whole.select("class", "label", F.size("tokens").alias("n"))
+    return shared.join(sizes, "class").filter(F.col("shared") >= _required(F.col("n"), percent)).select("class", "label")
+
+
+def token_groups(spark: SparkSession, whole: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The matrix of ``whole`` (class, label, tokens): (class, label, group), and for each class the groups
+    (other) to consider.
+
+    Classes that share tokens vote for the same label, the least that has a token; the label most
+    named is the class's group. So similar classes meet in one group, linked or not, and a
+    token they share is one cell."""
+    cells = materialize(spark, elsewhere(whole.select("class", "label", F.explode("tokens").alias("token"))).drop("hi"), "cells")
+    votes = cells.groupBy("class", "label", "lo").agg(F.count("*").alias("votes"))
+    home = votes.groupBy("class", "label").agg(F.max_by("lo", F.col("votes")).alias("group"), F.sum("votes").alias("shared"))
+    home = home.join(whole.select("class", _required(F.size("tokens"), percent).alias("needed")), "class")
+    home = home.filter("shared >= needed").select("class", "label", "group", (F.col("shared") - F.col("needed") + 1).cast("int").alias("probes"))
+    home = materialize(spark, home, "home")
+    matrix = materialize(spark, cells.join(home.select("class", "group"), "class").select("token", "group").distinct(), "matrix")
+    spread = matrix.groupBy("token").agg(F.count("*").alias("spread"))
+    # All but needed - 1 of the shared tokens: a partner has one of them. The least spread ones are the cheapest.
+    ranked = cells.join(home.select("class", "probes"), "class").join(spread, "token").groupBy("class", "probes").agg(
+        F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("t")
+    )
+    probes = ranked.select("class", F.explode(F.expr("slice(t, 1, probes)")).alias("t")).select("class", "t.token")
+    pairs = probes.join(matrix, "token").select("class", F.col("group").alias("other")).distinct()
+    return home.drop("probes"), pairs
+
+
+def size_band(n: Column, percent: int) -> Column:
+    """Sets that can be linked are at most one band apart."""
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) * (1 - 1e-9)).cast("long")
+
+
+def forest(pairs: list[tuple[int, int, int, int]]) -> list[tuple[int, int]]:
+    """Of links (class, its label, class, its label) as many as join the same labels."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for a, label_a, b, label_b in pairs:
+        if (x := root(label_a)) != (y := root(label_b)):
+            parent[x] = y
+            found.append((a, b))
+    return found
+
+
+def open_part(members: list[np.ndarray], queries: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, members linked with it) by position. Each token set is sorted."""
+    every = np.concatenate(members)
+    order = np.argsort(every, kind="stable")
+    holder = np.repeat(np.arange(len(members)), list(map(len, members)))[order]
+    union, starts = np.unique(every[order], return_index=True)
+    ends = np.append(starts[1:], len(every))
+    sizes = np.array(list(map(len, members)))
+    for i, tokens in enumerate(queries):
+        at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+        at = at[union[at] == tokens]
+        if len(at) < required(len(tokens), percent):
+            continue  # the union rules every member out
+        counts = ends[at] - starts[at]
+        first = np.cumsum(counts) - counts
+        shared = np.bincount(holder[np.arange(counts.sum()) + np.repeat(starts[at] - first, counts)], minlength=len(members))
+        yield i, np.flatnonzero(100 * shared >= percent * (sizes + len(tokens) - shared))
+
+
+def _opened(percent: int):
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found: list[tuple[int, int, int, int]] = []
         if len(members) and len(queries):
             sets = [np.sort(t) for t in members["tokens"]]
-            union = np.unique(np.concatenate(sets))
-            classes = members["class"].tolist()
-            for query, tokens in zip(queries["class"].tolist(), queries["tokens"]):
-                at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                known = tokens[union[at] == tokens]
-                if len(known) < required(len(tokens), percent):
-                    continue  # the group's union rules all members out
-                for other, there in zip(classes, sets):
-                    if 100 * min(len(there), len(tokens)) < percent * max(len(there), len(tokens)):
-                        continue
-                    shared = int((there[np.minimum(np.searchsorted(there, known), len(there) - 1)] == known).sum())
-                    if 100 * shared >= percent * (len(there) + len(tokens) - shared):
-                        found.append((query, other))
-                        break  # one link joins the query with the whole group
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+            there = list(zip(members["class"].tolist(), members["label"].tolist()))
+            here = list(zip(queries["class"].tolist(), queries["label"].tolist()))
+            for i, linked in open_part(sets, [np.sort(t) for t in queries["tokens"]], percent):
+                found += [(*here[i], *there[j]) for j in linked.tolist() if here[i][1] != there[j][1]]
+        return pd.DataFrame(forest(found), columns=["a", "b"], dtype=np.int64)
 
     return run
 
 
-def matrix_links(spark: SparkSession, whole: DataFrame, percent: int, part_size: int = PART_SIZE, queries: int = QUERIES) -> DataFrame:
-    """a, b: for every class of ``whole`` (class, group, n, tokens) a link with each part of another group that it
-    has a link with."""
-    whole, pairs = matrix_candidates(spark, whole, percent)
-    whole = materialize(spark, whole, "whole")
-    parts = whole.groupBy("group").agg(F.ceil(F.count("*") / part_size).alias("parts"))
-    members = whole.join(parts, "group").select("group", F.pmod(F.xxhash64("class"), "parts").alias("part"), "class", "tokens")
-    asked = pairs.join(parts, F.col("other") == F.col("group")).select(
-        "class", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+def matrix_links(spark: SparkSession, whole: DataFrame, percent: int, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """a, b: links between classes of ``whole`` (class, label, tokens) under different labels, as many as join what they join."""
+    live = narrow(materialize(spark, reachable(whole, percent), "reachable"))
+    home, pairs = token_groups(spark, whole.drop("label").join(live, "class"), percent)
+    whole = whole.drop("label").join(narrow(home), "class").withColumn("band", size_band(F.size("tokens"), percent))
+    whole = materialize(spark, whole.select("class", "label", "group", "band", "tokens"), "whole")
+    parts = whole.groupBy("group", "band").agg(F.ceil(F.sum(F.size("tokens")) / part_tokens).alias("parts"))
+    members = whole.join(parts, ["group", "band"]).select(
+        "group", "band", F.pmod(F.xxhash64("class"), "parts").alias("part"), "class", "label", "tokens"
     )
+    zero = F.lit(0).cast("long")
+    near = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    asked = pairs.join(whole.select("class", "band", F.size("tokens").alias("n")), "class").select("class", "n", F.col("other").alias("group"), near)
+    asked = asked.join(parts, ["group", "band"]).select("class", "n", "group", "band", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"))
     asked = materialize(spark, asked, "asked")
     # Many queries for one part go to several tasks, each with the part's members.
-    turns = asked.groupBy("other", "part").agg(F.ceil(F.count("*") / queries).alias("turns"))
-    there = members.join(turns.withColumnRenamed("other", "group"), ["group", "part"]).select(
-        "group", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "class", "tokens"
-    )
-    here = (
-        asked.join(turns, ["other", "part"])
-        .select(F.col("other").alias("group"), "part", F.pmod(F.xxhash64("class"), "turns").alias("turn"), "class")
-        .join(whole.select("class", "tokens"), "class")
-    )
-    keys = ["group", "part", "turn"]
+    keys = ["group", "band", "part"]
+    turns = asked.groupBy(*keys).agg(F.ceil(F.sum("n") / (4 * part_tokens)).alias("turns"))
+    there = members.join(turns, keys).select(*keys, F.explode(F.sequence(zero, F.col("turns") - 1)).alias("turn"), "class", "label", "tokens")
+    here = asked.join(turns, keys).select(*keys, F.pmod(F.xxhash64("class"), "turns").alias("turn"), "class")
+    here = here.join(whole.select("class", "label", "tokens"), "class").select(*keys, "turn", "class", "label", "tokens")
+    keys.append("turn")
     there, here = there.toDF(*there.columns), here.toDF(*here.columns)  # both come from ``whole``: names of their own
-    return there.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(_open_parts(percent), "a long, b long")
+    return there.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(_opened(percent), "a long, b long")
 
 
-def jaccard_links(spark: SparkSession, rows: DataFrame, table: DataFrame, classes: DataFrame, seed: int, shingle: int, percent: int, rounds: int, part_size: int) -> DataFrame | None:
+def jaccard_links(
+    spark: SparkSession, rows: DataFrame, table: DataFrame, classes: DataFrame, seed: int, shingle: int, percent: int, rounds: int, part_tokens: int
+) -> DataFrame | None:
     """Links (a, b) of classes that connect all linked ones; None if there is none."""
-    leads = table.filter("class is not null").select("class", F.col("class").alias("group"), F.explode("lead").alias("token"))
-    choice = materialize(spark, voted(leads, classes, 0, percent), "choice")
+    leads = table.filter("class is not null").select("class", F.explode("lead").alias("token"))
+    choice = materialize(spark, voted(leads, classes, 0, percent, "class"), "choice")
+    if choice.isEmpty():
+        return None
     wanted = choice.join(classes, "class").select("class", F.col("row.doc_id").alias("w_id"), F.col("row.mark").alias("w_mark"))
+    wanted = narrow(materialize(spark, wanted, "wanted"))  # where it is small the texts need no shuffle
     sets = materialize(spark, whole_sets(rows, wanted, seed, shingle), "sets")
-    links = None
+    if not sets.groupBy("class").count().filter("count > 1").isEmpty():
+        sets = materialize(spark, sets.dropDuplicates(["class"]), "sets")
+    leads = materialize(spark, table.join(narrow(choice.select("class")), "class").select("class", "lead").dropDuplicates(["class"]), "leads")
+    single = classes.withColumn("copies", F.lit(1))
+    links = labels = None
     for turn in range(rounds):
-        if choice.isEmpty():
-            return links
-        new = centre_links(sets, choice, percent)
+        new = centre_links(spark, sets, choice, percent)
         links = materialize(spark, new if links is None else links.union(new), "links")
         labels = components(spark, links)
-        group = materialize(spark, grouped(choice, labels), "group")
-        again = table.join(group, "class").select("class", "group", F.explode("lead").alias("token"))
-        flip = xxhash.xxh64_intdigest(str(turn)) >> 1
-        choice = materialize(spark, voted(again, classes, flip, percent), "choice")
-    whole = sets.dropDuplicates(["class"]).join(choice.select("class", "group"), "class")
-    whole = materialize(spark, whole.select("class", "group", F.size("tokens").cast("long").alias("n"), "tokens"), "whole")
-    if whole.isEmpty():
-        return links
-    found = matrix_links(spark, whole, percent, part_size)
+        now = materialize(spark, labelled(choice.select("class"), labels), "labels")
+        tokens = leads.join(narrow(now), "class").select("class", "label", F.explode("lead").alias("token"))
+        choice = materialize(spark, voted(tokens, single, xxhash.xxh64_intdigest(str(turn)) >> 1, percent), "choice")
+        if choice.isEmpty():
+            return links
+    left = materialize(spark, labelled(choice.select("class"), labels), "labels")
+    found = matrix_links(spark, sets.join(narrow(left), "class").select("class", "label", "tokens"), percent, part_tokens)
     return found if links is None else links.union(found)
 
 
@@ -301,7 +349,7 @@ def jaccard_join(
     shingle: int = SHINGLE,
     percent: int = PERCENT,
     rounds: int = ROUNDS,
-    part_size: int = PART_SIZE,
+    part_tokens: int = PART_TOKENS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -332,7 +380,7 @@ def jaccard_join(
         if classes.filter("mixed").isEmpty():
             break
         seed += 2
-    links = jaccard_links(spark, rows, table, classes, seed, shingle, percent, rounds, part_size)
+    links = jaccard_links(spark, rows, table, classes, seed, shingle, percent, rounds, part_tokens)
     roots = classes.select("class", "first_id", F.col("class").alias("root"))
     if links is not None:
         labels = components(spark, links).select(F.col("node").alias("class"), F.col("root").alias("label"))

@@ -78,11 +78,11 @@ def _families(seed):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed,rounds,part_size", [(1, 3, 128), (2, 1, 2), (3, 0, 3), (4, 0, 128)])
-def test_families(spark, seed, rounds, part_size):
+@pytest.mark.parametrize("seed,rounds,part_tokens", [(1, 1, S.PART_TOKENS), (2, 3, 300), (3, 0, 500), (4, 0, S.PART_TOKENS)])
+def test_families(spark, seed, rounds, part_tokens):
     """Also with no links to centres, so that the matrix finds every link."""
     rows = _families(seed)
-    out = S.jaccard_join(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rounds=rounds, part_size=part_size)
+    out = S.jaccard_join(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rounds=rounds, part_tokens=part_tokens)
     _check(out.collect(), rows)
 
 
@@ -108,8 +108,18 @@ def test_lead_tokens_of_linked_sets():
             assert len(leads[0] & leads[1]) >= S.shared_lead(S.required(len(x)))
 
 
+def test_opened_parts_match_set_arithmetic():
+    r = np.random.default_rng(7)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 60))) for _ in range(40)]
+    sets += [np.unique(np.append(s, r.integers(0, 60))) for s in sets]
+    got = {(i, j) for i, linked in S.open_part(sets[:50], sets, 85) for j in linked.tolist()}
+    assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:50]) if _linked(set(a.tolist()), set(b.tolist()))}
+
+
 def test_bounds_in_spark_are_those_in_python(spark):
     from pyspark.sql import functions as F
 
     rows = spark.range(1, 5000).select("id", S._required(F.col("id"), 85).alias("r"), S._needed(F.col("id"), 85).alias("s")).collect()
+    bands = {r.n: r.band for r in spark.range(1, 5000).select(F.col("id").alias("n"), S.size_band(F.col("id"), 85).alias("band")).collect()}
+    assert all(abs(bands[n] - bands[m]) <= 1 for n in bands for m in (S.required(n), n * 100 // 85) if m in bands)
     assert all(x.r == S.required(x.id) and x.s == S.shared_lead(S.required(x.id)) for x in rows)
