@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions.columns import ColumnOrName, _c, key_type, match_key, salted_key
@@ -97,12 +97,68 @@ def key_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 class Lookup:
     """One right side of a key group: ``dim`` keyed by ``dim_key``; ``columns`` maps
     output name -> dim column. ``member`` turns it into a 0/1 membership flag (C9)
-    named by the single output of ``columns``."""
+    named by the single output of ``columns``.
+
+    ``guard`` watches the fan-out (C10) where the join happens, without reading ``dim`` again:
+    its rows are reduced to one per key with their number, an aggregation on the key the join
+    shuffles by anyway. ``"count"`` adds the number as column ``fan_<role>`` and keeps one row;
+    ``"raise"`` stops the run when a row meets a key that occurs more than once.
+    """
 
     dim: DataFrame
     dim_key: str
     columns: dict[str, str]
     member: bool = False
+    role: str = ""
+    guard: str | None = None
+
+
+def _right_side(lookup: Lookup, key: Column, name: str) -> DataFrame:
+    """``dim`` with its key as ``name`` and its columns under their output names."""
+    if lookup.member:
+        ((out, _src),) = lookup.columns.items()
+        right = lookup.dim.select(key.alias(name)).where(F.col(name).isNotNull()).distinct()
+        return right.select(name, F.lit(1).alias(out))
+    right = lookup.dim.select(key.alias(name), *[F.col(src).alias(out) for out, src in lookup.columns.items()])
+    if lookup.guard is None:
+        return right
+    one = right.where(F.col(name).isNotNull()).groupBy(name).agg(
+        F.count(F.lit(1)).alias(f"fan_{lookup.role}"), F.min(F.struct(*lookup.columns)).alias("__one")
+    )
+    return one.select(name, f"fan_{lookup.role}", *[F.col("__one").getField(out).alias(out) for out in lookup.columns])
+
+
+def join_lookups(df: DataFrame, key: str, lookups: Sequence[Lookup], dim_keys: Sequence[Column], present: Column | None = None) -> DataFrame:
+    """Left joins of ``lookups`` on column ``key``; ``dim_keys`` are their keys in its type. Rows for which
+    ``present`` does not hold match nothing."""
+    members, helpers = [], []
+    for i, (lookup, dim_key) in enumerate(zip(lookups, dim_keys)):
+        name = f"__rk{i}"
+        cond = F.col(key) == F.col(name)
+        df = df.join(_right_side(lookup, dim_key, name), cond if present is None else cond & present, "left")
+        helpers.append(name)
+        if lookup.member:
+            members += lookup.columns
+        elif lookup.guard == "raise":
+            fan = F.col(f"fan_{lookup.role}")
+            message = F.concat(F.lit(f"{lookup.role}.{lookup.dim_key} occurs more than once: "), F.col(name).cast("string"))
+            df = df.where(F.when(fan > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+            helpers.append(f"fan_{lookup.role}")
+    df = df.drop(*helpers)
+    if members:
+        df = df.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in members})
+    return df
+
+
+def without_lookups(df: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    """``df`` with the columns the lookups would give rows that match nothing."""
+    empty = {}
+    for lookup in lookups:
+        for out, src in lookup.columns.items():
+            empty[out] = F.lit(0) if lookup.member else F.lit(None).cast(lookup.dim.schema[src].dataType)
+        if lookup.guard == "count" and not lookup.member:
+            empty[f"fan_{lookup.role}"] = F.lit(None).cast("long")
+    return df.withColumns(empty)
 
 
 def enrich_group(
@@ -127,30 +183,23 @@ def enrich_group(
     """
     k = _c(key)
     kc, kv = "__gk", "__gkv"
-    kind = key_type(df, key) if spread_nulls else None
-    if spread_nulls:
-        out = df.select("*", salted_key(df, k, *(salt_cols or df.columns), kind=kind).alias(kc), k.isNotNull().alias(kv))
-        helpers = [kc, kv]
-    else:
-        out = df.select("*", k.alias(kc))
-        helpers = [kc]
-    members = []
-    for i, lk in enumerate(lookups):
-        rk = f"__rk{i}"
-        rkey = match_key(df, lk.dim, k, lk.dim_key, kind) if spread_nulls else F.col(lk.dim_key)
-        if lk.member:
-            ((name, _src),) = lk.columns.items()
-            members.append(name)
-            right = lk.dim.select(rkey.alias(rk)).where(F.col(rk).isNotNull()).distinct()
-            right = right.select(rk, F.lit(1).alias(name))
-        else:
-            right = lk.dim.select(rkey.alias(rk), *[F.col(src).alias(o) for o, src in lk.columns.items()])
-        cond = F.col(kc) == F.col(rk)
-        if spread_nulls:
-            cond = cond & F.col(kv)
-        out = out.join(right, cond, "left")
-        helpers.append(rk)
-    out = out.drop(*helpers)
-    if members:
-        out = out.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in members})
-    return out
+    if not spread_nulls:
+        return join_lookups(df.select("*", k.alias(kc)), kc, lookups, [F.col(lk.dim_key) for lk in lookups]).drop(kc)
+    kind = key_type(df, key)
+    out = df.select("*", salted_key(df, k, *(salt_cols or df.columns), kind=kind).alias(kc), k.isNotNull().alias(kv))
+    keys = [match_key(df, lk.dim, k, lk.dim_key, kind) for lk in lookups]
+    return join_lookups(out, kc, lookups, keys, F.col(kv)).drop(kc, kv)
+
+
+def enrich_colocated(df: DataFrame, key: str, lookups: Sequence[Lookup]) -> DataFrame:
+    """``enrich_group`` for a frame that is stored bucketed (or storage-partitioned) on the plain column ``key``,
+    as its lookups are on theirs: no side is shuffled.
+
+    Salting would give the key another value than the one the rows are laid out by. The rows whose
+    key is NULL are split off instead, get the columns of rows without a match, and are united
+    with the joined ones. Both parts are scans with a pushed-down NULL test, so use it directly on
+    a stored table, not on a frame that is costly to compute twice.
+    """
+    keyed = df.where(F.col(key).isNotNull())
+    joined = enrich_group(keyed, key, lookups, spread_nulls=False)
+    return joined.unionByName(without_lookups(df.where(F.col(key).isNull()), lookups))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelkit.functions.columns import match_key, salted_key
+from funnelkit.operators.enrich import Lookup, join_lookups
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -56,7 +57,7 @@ def stitch(
     return l2.join(e2, cond, "full").drop(lk, ek)
 
 
-def stitch_split(
+def stitch_branches(
     late: DataFrame,
     early: DataFrame,
     late_key: str,
@@ -64,19 +65,34 @@ def stitch_split(
     late_salt: Sequence[str] = (),
     early_salt: Sequence[str] = (),
     late_keys: DataFrame | None = None,
-) -> DataFrame:
-    """Same rows as ``stitch``: matched and late-only rows from a left join, early-only
-    rows from a left anti join against the distinct late keys.
+    lookups: Sequence[Lookup] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``stitch_split``: late rows with the early row they link to, if any, and
+    the early rows that no late row links to.
 
     ``late_keys`` gives the late stage whose keys count where ``late`` itself has been filtered:
-    an early row is early-only if no late row at all has its key."""
+    an early row is early-only if no late row at all has its key. ``lookups`` are left joins on
+    ``early_key``: the rows are partitioned by it here, so only the lookups' sides are shuffled."""
     lk, ek, dk = "__stitch_lk", "__stitch_ek", "__stitch_dk"
     l2 = late.withColumn(lk, salted_key(late, late_key, *(late_salt or late.columns)))
     e_linked = early.where(F.col(early_key).isNotNull()).withColumn(ek, match_key(late, early, late_key, early_key))
-    matched = l2.join(e_linked, (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull(), "left").drop(lk, ek)
+    matched = l2.join(e_linked, (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull(), "left")
+    matched = join_lookups(
+        matched, lk, lookups, [match_key(late, x.dim, late_key, x.dim_key) for x in lookups], F.col(early_key).isNotNull()
+    ).drop(lk, ek)
 
     source = late if late_keys is None else late_keys
     keys = source.where(F.col(late_key).isNotNull()).select(match_key(early, source, early_key, late_key).alias(dk)).distinct()
     e2 = early.withColumn(ek, salted_key(early, early_key, *(early_salt or early.columns)))
-    early_only = e2.join(keys, (F.col(ek) == F.col(dk)) & F.col(early_key).isNotNull(), "left_anti").drop(ek)
+    early_only = e2.join(keys, (F.col(ek) == F.col(dk)) & F.col(early_key).isNotNull(), "left_anti")
+    early_only = join_lookups(
+        early_only, ek, lookups, [match_key(early, x.dim, early_key, x.dim_key) for x in lookups], F.col(early_key).isNotNull()
+    ).drop(ek)
+    return matched, early_only
+
+
+def stitch_split(late: DataFrame, early: DataFrame, late_key: str, early_key: str, **options) -> DataFrame:
+    """Same rows as ``stitch``: matched and late-only rows from a left join, early-only
+    rows from a left anti join against the distinct late keys (``stitch_branches``)."""
+    matched, early_only = stitch_branches(late, early, late_key, early_key, **options)
     return matched.unionByName(early_only, allowMissingColumns=True)

@@ -27,7 +27,7 @@ from funnelkit.operators.latest import distinct_keys, latest_non_null
 from funnelkit.operators.stitch import prefixed, stitch, stitch_split
 from funnelkit.plans import rules as R
 from funnelkit.plans.mart import (
-    card_state, enrich_spine, enriched_spine, funnel_mart, prequal_stage, stitched_spine, underwriting_signals,
+    card_state, enrich_spine, enriched_spine, fan_out_report, funnel_mart, prequal_stage, stitched_spine, underwriting_signals,
 )
 from funnelkit.plans.params import MartParams
 from funnelkit.sources.fixture import role_frame, roles
@@ -363,6 +363,12 @@ def lookup_key_report(spark, sf_dir):
     return report(sources | {"risky_metro": role_frame(spark, sf_dir, "risky_metro_repeated")})
 
 
+def mart_fan_out(spark, sf_dir):
+    """The fan-out guard inside the mart, on a metro list with repeated names."""
+    sources = roles(spark, sf_dir)
+    return fan_out_report(sources | {"risky_metro": role_frame(spark, sf_dir, "risky_metro_repeated")}, P)
+
+
 QUERIES: dict[str, Query] = {
     "lookback_filter": lookback_filter,
     "stage_prefilter": stage_prefilter_q,
@@ -387,6 +393,7 @@ QUERIES: dict[str, Query] = {
     "membership_flag": membership_flag,
     "key_uniqueness": key_uniqueness,
     "lookup_key_report": lookup_key_report,
+    "mart_fan_out": mart_fan_out,
     "funnel_stage": funnel_stage,
     "repeat_flag": repeat_flag,
     "new_to_group_flag": new_to_group_flag,

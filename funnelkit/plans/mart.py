@@ -2,13 +2,13 @@
 
 Data flow (each step is a DataFrame operator; Catalyst/AQE choose the physical plan):
 
-1. early stage: ``prequal_stage`` (B5 filter + applied flag) and the prequal master, both on
-   the prequal id, before the stitch;
-2. late stage: the part of the reporting window that a late row can decide by itself goes to
-   its scan, then the key groups that only a late row has (checkout, charge, application,
-   address, postal code, metro, guarantee) are joined;
-3. ``stitch_split`` late x early on the prequal id (the exact split form of the full
-   outer join, C4: skew-splittable joins, salted NULL keys) and the reporting window (B6/B7);
+1. early stage: ``prequal_stage`` (B5 filter + applied flag); late stage: the part of the
+   reporting window that a late row can decide by itself goes to its scan;
+2. ``stitch_branches`` late x early on the prequal id (the exact split form of the full
+   outer join, C4: skew-splittable joins, salted NULL keys) with the prequal master, which shares
+   that key and its shuffle, and on both branches the whole reporting window (B6/B7);
+3. rows with a late stage that report: the key groups only they have (checkout, charge,
+   application, address, postal code, metro, guarantee), then the early-only rows join them;
 4. the groups keyed by either stage (merchant, user); every key is shuffled once
    (``enrichment_steps``, ``GROUPED_ORDER``) and the non-key columns travel packed in a struct;
 5. classification columns (G rules), each computed once;
@@ -21,7 +21,7 @@ linear as-of (card state): no range join, no ``collect``, no per-key Python.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +30,11 @@ from funnelkit.functions.columns import default_zero, flag, is_missing
 from funnelkit.functions.dates import date_gate, lookback_start, month_boundaries, months_fractional
 from funnelkit.functions.slots import null_safe_sum, slot_coalesce, slot_max, slot_min, slot_min_sentinel
 from funnelkit.operators.asof import asof_latest
-from funnelkit.operators.enrich import Lookup, key_violations
+from funnelkit.operators.enrich import Lookup, enrich_colocated, key_violations
 from funnelkit.operators.enrich import enrich_group as _enrich_group
 from funnelkit.operators.filters import stage_prefilter, window_condition
 from funnelkit.operators.latest import distinct_keys, signal_rollup
-from funnelkit.operators.stitch import prefixed, stitch_split
+from funnelkit.operators.stitch import prefixed, stitch_branches
 from funnelkit.plans import rules as R
 from funnelkit.plans.params import MartParams
 
@@ -168,13 +168,23 @@ def stitched_spine(checkout_funnel: DataFrame, prequal_funnel: DataFrame, p: Mar
     """Both stages stitched, without any enrichment."""
     late = prefixed(checkout_funnel, "cf_")
     early = prefixed(prequal_stage(prequal_funnel, p), "pq_")
-    return stitch_stages(late.where(late_may_report(p)) if window else late, early, late, p, window)
-
-
-def stitch_stages(late: DataFrame, early: DataFrame, all_late: DataFrame, p: MartParams, window: bool = True) -> DataFrame:
-    spine = stitch_split(late, early, "cf_prequal_id", "pq_prequal_id", late_salt=["cf_application_id"],
-                         early_salt=["pq_application_id"], late_keys=all_late.select("cf_prequal_id"))
-    return spine.where(reporting_window(p)) if window else spine
+    matched, early_only = stitch_stages(late.where(late_may_report(p)) if window else late, early, late, p, window)
+    return matched.unionByName(early_only, allowMissingColumns=True)
+
+
+def stitch_stages(
+    late: DataFrame, early: DataFrame, all_late: DataFrame, p: MartParams, window: bool = True, lookups: Iterable[Lookup] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with a late stage and rows without one, both inside the reporting window. What a late row
+    alone cannot decide is decided here, before any of its other joins."""
+    matched, early_only = stitch_branches(
+        late, early, "cf_prequal_id", "pq_prequal_id", late_salt=["cf_application_id"], early_salt=["pq_application_id"],
+        late_keys=all_late.select("cf_prequal_id"), lookups=tuple(lookups),
+    )
+    if not window:
+        return matched, early_only
+    of_early = window_condition(p.start, [F.col("pq_start_date")], [F.lit(None).cast("timestamp_ntz")], [F.col("pq_is_applied")])
+    return matched.where(reporting_window(p)), early_only.where(of_early)
 
 
 SPINE_IDS = ("cf_application_id", "pq_application_id")
@@ -215,37 +225,39 @@ def enrichment_steps(
         cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
     if takes("uw_", "risky_metro_"):
         uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
-    L = Lookup
+    def L(role, key, columns, **options):
+        return Lookup(s[role] if isinstance(role, str) else role[1], key, columns, role=role if isinstance(role, str) else role[0], **options)
+
     steps = [
-        EnrichStep("pq_prequal_id", L(s["prequal"], "prequal_id", {"prequal_creation_type": "creation_type"})),
-        EnrichStep("cf_guarantee_id", L(cs, "guarantee_id", {"dec_created": "created", "cs_state_to": "state_to"})),
-        EnrichStep("merchant", L(s["merchant_dim"], "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns}),
+        EnrichStep("pq_prequal_id", L("prequal", "prequal_id", {"prequal_creation_type": "creation_type"})),
+        EnrichStep("cf_guarantee_id", L(("prequal_decision", cs), "guarantee_id", {"dec_created": "created", "cs_state_to": "state_to"})),
+        EnrichStep("merchant", L("merchant_dim", "merchant_id", {f"md_{c}": c for c in s["merchant_dim"].columns}),
                    merchant),
-        EnrichStep("md_merchant_id", L(s["risky_merchant"], "merchant_id", {"risky_flag": "flag", "risky_status": "status"})),
-        EnrichStep("md_merchant_id", L(s["merchant_segment"], "merchant_id", {"seg_division": "division"})),
-        EnrichStep("cf_checkout_id", L(s["checkout_session"], "checkout_id", {"session_instrument_type": "instrument_type"})),
-        EnrichStep("cf_checkout_id", L(s["checkout_mart"], "checkout_id",
+        EnrichStep("md_merchant_id", L("risky_merchant", "merchant_id", {"risky_flag": "flag", "risky_status": "status"})),
+        EnrichStep("md_merchant_id", L("merchant_segment", "merchant_id", {"seg_division": "division"})),
+        EnrichStep("cf_checkout_id", L("checkout_session", "checkout_id", {"session_instrument_type": "instrument_type"})),
+        EnrichStep("cf_checkout_id", L("checkout_mart", "checkout_id",
                                        {"checkout_mart_is_platform": "is_platform", "checkout_mart_is_adaptive": "is_adaptive"})),
-        EnrichStep("cf_charge_id", L(s["charge_mart"], "charge_id",
+        EnrichStep("cf_charge_id", L("charge_mart", "charge_id",
                                      {"charge_mart_product_platform": "product_platform", "charge_mart_product_group": "product_group"})),
-        EnrichStep("cf_checkout_id", L(s["purchases"], "checkout_id", {"purchase_member": "checkout_id"}, member=True)),
-        EnrichStep("user", L(s["user_dim"], "user_id", {f"ud_{c}": c for c in (
+        EnrichStep("cf_checkout_id", L("purchases", "checkout_id", {"purchase_member": "checkout_id"}, member=True)),
+        EnrichStep("user", L("user_dim", "user_id", {f"ud_{c}": c for c in (
             "numeric_id", "person_id", "label", "is_onboarded", "first_onboarded")}), user),
-        EnrichStep("ud_person_id", L(s["person_stats"], "person_id", {
+        EnrichStep("ud_person_id", L("person_stats", "person_id", {
             "person_first_capture": "first_capture", "person_first_capture_at_group": "first_capture_at_group"})),
-        EnrichStep("cf_checkout_id", L(s["offered_terms"], "checkout_id", {f"terms_{c}": c for c in (
+        EnrichStep("cf_checkout_id", L("offered_terms", "checkout_id", {f"terms_{c}": c for c in (
             "loan_type1", "loan_type2", "loan_type3", "down_payment1", "down_payment2", "down_payment3")})),
-        EnrichStep("cf_charge_id", L(no_file_keys(s["decision_log"], p), "charge_id", {"nofile_member": "charge_id"},
+        EnrichStep("cf_charge_id", L(("decision_log", no_file_keys(s["decision_log"], p)), "charge_id", {"nofile_member": "charge_id"},
                                      member=True)),
-        EnrichStep("cf_charge_id", L(s["bad_outcome"], "charge_id", {"bo_indicator": "indicator"})),
-        EnrichStep("cf_application_id", L(uw, "application_id", {f"uw_{c}": c for c in (
+        EnrichStep("cf_charge_id", L("bad_outcome", "charge_id", {"bo_indicator": "indicator"})),
+        EnrichStep("cf_application_id", L(("signals", uw), "application_id", {f"uw_{c}": c for c in (
             "metro", "student_balance", "exposure_dollars", "min_exposure_dollars", "annual_income_dollars")})),
-        EnrichStep("cf_application_id", L(s["application"], "application_id",
+        EnrichStep("cf_application_id", L("application", "application_id",
                                           {"app_billing_address_id": "billing_address_id"})),
-        EnrichStep("app_billing_address_id", L(s["address"], "address_id",
+        EnrichStep("app_billing_address_id", L("address", "address_id",
                                                {"ua_region_code": "region_code", "ua_postal_code": "postal_code"})),
-        EnrichStep("ua_postal_code", L(s["postal_metro"], "postal_code", {"zip_metro": "metro"})),
-        EnrichStep("metro", L(s["risky_metro"], "metro", {"risky_metro_flag": "flag"}), metro),
+        EnrichStep("ua_postal_code", L("postal_metro", "postal_code", {"zip_metro": "metro"})),
+        EnrichStep("metro", L("risky_metro", "metro", {"risky_metro_flag": "flag"}), metro),
     ]
     return needed_steps(steps, need)
 
@@ -323,20 +335,33 @@ def enrich_spine(
 
 
 def enriched_spine(
-    s: dict[str, DataFrame], p: MartParams, bucket_seconds: int | None = 3600, need: Iterable[str] | None = None
+    s: dict[str, DataFrame], p: MartParams, bucket_seconds: int | None = 3600, need: Iterable[str] | None = None,
+    guard: str | None = None, colocated: Iterable[str] = (),
 ) -> DataFrame:
     """The stitched, windowed spine with its enrichments (``need``: only what these columns take).
 
-    Lookups keyed by one stage's own id are joined to that stage before the stitch: the rows of
-    the other stage could not match, and are not shuffled for it. Same rows as
-    ``enrich_spine(stitched_spine(...))``.
+    Lookups keyed by a late-stage id are joined to the rows with a late stage that report: rows of
+    the other stage could not match and rows outside the window would be dropped, and neither
+    is shuffled for them. Same rows as ``enrich_spine(stitched_spine(...))``.
+
+    ``guard`` watches every value lookup's fan-out (``Lookup``). ``colocated`` names late-stage keys (plain
+    columns, at most one of which a table can be laid out by) that the checkout funnel and the lookups
+    are bucketed on: these are joined at the scan, without any shuffle.
     """
     steps = enrichment_steps(s, p, bucket_seconds, need)
+    if guard:
+        steps = [replace(st, lookup=replace(st.lookup, guard=guard)) for st in steps]
     of = lambda order: sorted((st for st in steps if st.key in order), key=lambda st: order.index(st.key))
+    at_scan, late_steps = [], []
+    for st in of(LATE_ORDER):
+        (at_scan if st.key in colocated else late_steps).append(st)
     all_late = prefixed(s["checkout_funnel"], "cf_")
-    late = join_runs(all_late.where(late_may_report(p)), of(LATE_ORDER))
-    early = join_runs(prefixed(prequal_stage(s["prequal_funnel"], p), "pq_"), of(EARLY_ORDER))
-    spine = stitch_stages(late, early, all_late, p)
+    late = all_late.where(late_may_report(p))
+    for key in dict.fromkeys(st.key for st in at_scan):
+        late = enrich_colocated(late, key, [st.lookup for st in at_scan if st.key == key])
+    early = prefixed(prequal_stage(s["prequal_funnel"], p), "pq_")
+    matched, early_only = stitch_stages(late, early, all_late, p, lookups=[st.lookup for st in of(EARLY_ORDER)])
+    spine = join_runs(matched, late_steps).unionByName(early_only, allowMissingColumns=True)
     members = [name for st in of(LATE_ORDER) if st.lookup.member for name in st.lookup.columns]
     if members:  # an early-only row is in no list
         spine = spine.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in members})
@@ -497,8 +522,31 @@ def lookup_key_report(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def funnel_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600) -> DataFrame:
+def fan_out_report(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600) -> DataFrame:
+    """C10 inside the mart: role, rows_hit, rows_added, most for every value lookup.
+
+    The lookups are counted where the mart joins them, on the rows that report: ``rows_hit`` of
+    these meet a key that occurs more than once, which would add ``rows_added`` rows; ``most`` is the
+    largest number met. Unlike ``lookup_key_report`` no role is read a second time, and repeated keys that no
+    reported row has do not count.
+    """
+    p = p or MartParams()
+    spine = enriched_spine(sources, p, bucket_seconds, guard="count")
+    roles = [c for c in spine.columns if c.startswith("fan_")]
+    per = [F.struct(F.lit(c[4:]).alias("role"), F.count_if(F.col(c) > 1).alias("rows_hit"),
+                    F.coalesce(F.sum(F.col(c) - 1), F.lit(0)).alias("rows_added"), F.coalesce(F.max(c), F.lit(0)).alias("most"))
+           for c in roles]
+    return spine.agg(F.array(*per).alias("all")).select(F.explode("all").alias("one")).select("one.*")
+
+
+def funnel_mart(
+    sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600, guard: str | None = None,
+    colocated: Iterable[str] = (),
+) -> DataFrame:
     """The mart. ``bucket_seconds`` splits the as-of work into (user, time bucket)
-    partitions (None: one window partition per user)."""
+    partitions (None: one window partition per user). ``guard="raise"`` stops the run where a
+    lookup would multiply a row; ``colocated`` as in ``enriched_spine``."""
+    if guard not in (None, "raise"):
+        raise ValueError(f"unknown guard {guard!r}; fan_out_report counts")
     p = p or MartParams()
-    return mart_columns(enriched_spine(sources, p, bucket_seconds), p)
+    return mart_columns(enriched_spine(sources, p, bucket_seconds, guard=guard, colocated=tuple(colocated)), p)
