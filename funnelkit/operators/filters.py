@@ -12,9 +12,25 @@ from funnelkit.functions.columns import ColumnOrName, _c
 from funnelkit.functions.dates import _date_lit, lookback_start
 
 
+#: Columns a table may be partitioned by, named after its time column: its date, or the first day of its month.
+PERIODS = {"_date": "day", "_month": "month"}
+
+
+def since(df: DataFrame, ts_col: str, bound: Column) -> DataFrame:
+    """Rows whose time is at or after ``bound``, a date (its midnight).
+
+    Where the frame has the time's date or month as a column (``created_month`` beside ``created``), which a large
+    log is partitioned by, that is compared too: the scan then lists and reads these partitions only."""
+    cond = F.col(ts_col) >= bound
+    for suffix, unit in PERIODS.items():
+        if ts_col + suffix in df.columns:
+            cond = cond & (F.col(ts_col + suffix) >= F.trunc(bound, unit) if unit != "day" else F.col(ts_col + suffix) >= bound)
+    return df.where(cond)
+
+
 def lookback(df: DataFrame, ts_col: str, start, days: int = 365) -> DataFrame:
     """B1: keep rows whose event time is on or after ``start - days`` (midnight)."""
-    return df.where(F.col(ts_col) >= lookback_start(start, days))
+    return since(df, ts_col, lookback_start(start, days))
 
 
 def stage_prefilter(

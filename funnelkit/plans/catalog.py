@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelkit.functions.columns import flag, is_missing, not_in_list
-from funnelkit.functions.dates import date_gate, month_boundaries, months_fractional
+from funnelkit.functions.dates import date_gate, lookback_start, month_boundaries, months_fractional
 from funnelkit.functions.slots import (
     null_safe_sum, slot_coalesce, slot_count_leading, slot_max, slot_min, slot_min_sentinel,
 )
@@ -27,11 +27,13 @@ from funnelkit.operators.latest import distinct_keys, latest_non_null
 from funnelkit.operators.stitch import prefixed, stitch, stitch_split
 from funnelkit.plans import rules as R
 from funnelkit.plans.mart import (
-    card_state, enrich_spine, enriched_spine, fan_out_report, funnel_mart, prequal_stage, stitched_spine, underwriting_signals,
+    card_state, card_state_snapshot, enrich_spine, enriched_spine, fan_out_report, funnel_mart, prequal_stage, signals_from_states, stitched_spine,
+    underwriting_signals, underwriting_states,
 )
 from funnelkit.plans.params import MartParams
 from funnelkit.sources.fixture import role_frame, roles
-from funnelkit.sources.schemas import OPTIONAL, conform, role_schema, role_schemas
+from funnelkit.sources.schemas import OPTIONAL, conform, read_roles, role_schema, role_schemas
+from funnelkit.sources.shared import shared_folder
 from funnelkit.sources.tables import read_table
 
 P = MartParams()
@@ -77,6 +79,15 @@ def no_file_keys_q(spark, sf_dir):
     return no_file_keys(role_frame(spark, sf_dir, "decision_log"), P)
 
 
+def no_file_keys_partitioned(spark, sf_dir):
+    """The decision log as a table partitioned by month: the lookback reads the months it reaches."""
+    from funnelkit.plans.mart import no_file_keys
+    path = shared_folder(spark, "decision_log")
+    log = role_frame(spark, sf_dir, "decision_log").withColumn("event_time_month", F.trunc("event_time", "month"))
+    log.repartition("event_time_month").write.partitionBy("event_time_month").parquet(path)
+    return no_file_keys(read_roles(spark, {"decision_log": path})["decision_log"], P)
+
+
 def null_not_in(spark, sf_dir):
     cf = role_frame(spark, sf_dir, "checkout_funnel")
     label = F.when(not_in_list("merchant_id", [1, 2]), "outside").otherwise("inside")
@@ -138,6 +149,41 @@ def asof_bounded_history(spark, sf_dir):
     return card_state(s["prequal_decision"], s["card_state_event"], LATE_START, bucket_seconds=3600)
 
 
+def asof_from_snapshot_q(spark, sf_dir):
+    """The card state from a snapshot: taken a week before the lookback, advanced by that week's events, and
+    joined with the events since. The log before is read for the first snapshot only."""
+    s = roles(spark, sf_dir, ["prequal_decision", "card_state_event"])
+    events = s["card_state_event"]
+    week_before = dataclasses.replace(LATE_START, start=LATE_START.start - dt.timedelta(days=7))
+    first = card_state_snapshot(events, week_before)
+    week = events.where((F.col("created") >= lookback_start(week_before.start, P.lookback_days))
+                        & (F.col("created") < lookback_start(LATE_START.start, P.lookback_days)))
+    snapshot = card_state_snapshot(week, LATE_START, before=first)
+    return card_state(s["prequal_decision"], events, LATE_START, bucket_seconds=3600, snapshot=snapshot)
+
+
+#: Runs before it are an earlier refresh's, later ones this one's.
+REFRESHED = dt.date(1998, 6, 1)
+
+
+def _signal_states(s):
+    """Daily signal states as two refreshes leave them."""
+    runs, new = s["decision_run"], F.col("created") >= F.lit(REFRESHED)
+    parts = [underwriting_states(s["app_run_bridge"], runs.where(part)) for part in (~new, new)]
+    return parts[0].unionByName(parts[1])
+
+
+def signals_incremental(spark, sf_dir):
+    return signals_from_states(_signal_states(roles(spark, sf_dir, ["app_run_bridge", "decision_run"])), P)
+
+
+def funnel_mart_incremental(spark, sf_dir):
+    """The flagship from carried state: a card-state snapshot and daily signal states in place of their logs."""
+    s = roles(spark, sf_dir)
+    states = {"card_state_snapshot": card_state_snapshot(s["card_state_event"], P), "signal_states": _signal_states(s)}
+    return funnel_mart(s | states, P)
+
+
 def latest_non_null_q(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").withColumn(
         "prio", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
@@ -374,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "stage_prefilter": stage_prefilter_q,
     "distinct_keys_lookback": distinct_keys_lookback,
     "no_file_keys": no_file_keys_q,
+    "no_file_keys_partitioned": no_file_keys_partitioned,
     "null_not_in": null_not_in,
     "pattern_flags": pattern_flags,
     "report_window": report_window_q,
@@ -381,6 +428,8 @@ QUERIES: dict[str, Query] = {
     "asof_latest_state": asof_latest_state,
     "asof_latest_state_bucketed": asof_latest_state_bucketed,
     "asof_bounded_history": asof_bounded_history,
+    "asof_from_snapshot": asof_from_snapshot_q,
+    "signals_incremental": signals_incremental,
     "latest_non_null": latest_non_null_q,
     "signals_rollup": signals_rollup,
     "stitch_full_outer": stitch_full_outer,
@@ -417,6 +466,7 @@ QUERIES: dict[str, Query] = {
     "tenure_month_boundaries": tenure_month_boundaries,
     "null_safe_sum": null_safe_sum_q,
     "funnel_mart": funnel_mart_q,
+    "funnel_mart_incremental": funnel_mart_incremental,
     "funnel_mart_key_window": funnel_mart_key_window,
     "funnel_mart_string_ids": funnel_mart_string_ids,
     "funnel_mart_reference_order": funnel_mart_reference_order,

@@ -32,7 +32,10 @@ from funnelkit.functions.slots import null_safe_sum, slot_coalesce, slot_max, sl
 from funnelkit.operators.asof import asof_latest
 from funnelkit.operators.enrich import Lookup, enrich_colocated, key_violations
 from funnelkit.operators.enrich import enrich_group as _enrich_group
-from funnelkit.operators.filters import stage_prefilter, window_condition
+from funnelkit.operators.filters import since, stage_prefilter, window_condition
+from funnelkit.operators.incremental import (
+    advance_snapshot, asof_from_snapshot, event_snapshot, finish_signals, merge_states, signal_state,
+)
 from funnelkit.operators.latest import distinct_keys, signal_rollup
 from funnelkit.operators.stitch import prefixed, stitch_branches
 from funnelkit.plans import rules as R
@@ -57,9 +60,8 @@ def prequal_stage(prequal_funnel: DataFrame, p: MartParams) -> DataFrame:
 def no_file_keys(decision_log: DataFrame, p: MartParams) -> DataFrame:
     """Charges decided in the lookback without a bureau score and without a
     usable credit report."""
-    df = decision_log.where(
-        (F.col("event_time") >= lookback_start(p.start, p.lookback_days))
-        & F.col("decision_type").isin(*p.decision_types)
+    df = since(decision_log, "event_time", lookback_start(p.start, p.lookback_days)).where(
+        F.col("decision_type").isin(*p.decision_types)
         & F.col("bureau_score").isNull()
         & is_missing("report_id", *p.report_sentinels)
     )
@@ -78,50 +80,57 @@ def bounded_history(events: DataFrame, key: str, ts: str, tie: list[str], floor)
     the latest per key can ever be matched. The older history (an append-only log that
     grows without bound) shrinks to one row per key by a partial aggregation.
     """
-    recent = events.where(F.col(ts) >= floor)
-    older = (
-        events.where((F.col(ts) < floor) & F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.max(F.struct(ts, *tie, *[c for c in events.columns if c not in (key, ts, *tie)]))
-             .alias("__last"))
-        .select(key, "__last.*")
-    )
-    return recent.unionByName(older)
+    return since(events, ts, floor).unionByName(event_snapshot(events, key, ts, tie, floor))
 
 
-def card_state(prequal_decision: DataFrame, card_state_event: DataFrame, p: MartParams, bucket_seconds=None) -> DataFrame:
+def card_state(
+    prequal_decision: DataFrame, card_state_event: DataFrame, p: MartParams, bucket_seconds=None, snapshot: DataFrame | None = None
+) -> DataFrame:
     """C1 for every prequal decision with a guarantee: the user's card state as of the decision.
 
     Decisions before the lookback keep their row (the mart needs their time) with a NULL state,
     which is what joining the lookback-filtered as-of result would give; they and the ones
     without a guarantee, which nothing can join, do not enter the as-of. Of the event
     history before the window only each user's last event can be matched: the bucketed
-    as-of summarises it, the plain one gets it reduced to that.
+    as-of summarises it, the plain one gets it reduced to that. With a ``snapshot`` at the lookback's
+    first instant (``card_state_snapshot``) the history before it is not read at all.
     """
     floor = lookback_start(p.start, p.lookback_days)
-    decisions = prequal_decision.where(F.col("guarantee_id").isNotNull()).select("decision_id", "user_id", "guarantee_id", "created")
+    decisions = prequal_decision.where(F.col("guarantee_id").isNotNull())
+    columns = ("decision_id", "user_id", "guarantee_id", "created")
     tie = present(card_state_event, "event_id")
-    asof = asof_latest(
-        decisions.where(F.col("created") >= floor),
-        card_state_event if bucket_seconds else bounded_history(card_state_event, "user_id", "created", tie, floor),
-        by="user_id",
-        left_ts="created",
-        right_ts="created",
-        right_cols={"state_to": "state_to"},
-        tie=tie,
-        left_salt=["decision_id"],
-        bucket_seconds=bucket_seconds,
-        left_floor=floor,
-    ).select("decision_id", "guarantee_id", "created", "state_to")
+    recent = since(decisions, "created", floor).select(*columns)
+    options = {"tie": tie, "left_salt": ["decision_id"], "bucket_seconds": bucket_seconds}
+    if snapshot is not None:
+        asof = asof_from_snapshot(recent, snapshot, card_state_event, "user_id", "created", "created", {"state_to": "state_to"}, floor, **options)
+    else:
+        history = card_state_event if bucket_seconds else bounded_history(card_state_event, "user_id", "created", tie, floor)
+        asof = asof_latest(recent, history, "user_id", "created", "created", {"state_to": "state_to"}, left_floor=floor, **options)
+    asof = asof.select("decision_id", "guarantee_id", "created", "state_to")
     older = decisions.where(F.coalesce(F.col("created") < floor, F.lit(True)))
     return asof.unionByName(older.select("decision_id", "guarantee_id", "created", F.lit(None).cast("string").alias("state_to")))
 
 
-def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p: MartParams) -> DataFrame:
-    """Per application, max of each signal with NULL read as 0, the
-    dollar conversion, and the latest non-NULL metro and balance. The lookback filter
-    is on the run side, so the left join is an inner join (T17)."""
-    runs = decision_run.where(F.col("created") >= lookback_start(p.start, p.lookback_days))
+def card_state_snapshot(card_state_event: DataFrame, p: MartParams, before: DataFrame | None = None) -> DataFrame:
+    """Each user's last card event before the lookback: from the whole log, or from the snapshot of an earlier run
+    (``before``) and the events that came in since."""
+    floor = lookback_start(p.start, p.lookback_days)
+    tie = present(card_state_event, "event_id")
+    if before is None:
+        return event_snapshot(card_state_event, "user_id", "created", tie, floor)
+    return advance_snapshot(before, card_state_event, "user_id", "created", tie, floor)
+
+
+SIGNAL_MAXIMA = {
+    "exposure_dollars": ("exposure_cents", 100),
+    "min_exposure_dollars": ("min_exposure_cents", 100),
+    "annual_income_dollars": ("income_dollars", None),
+}
+SIGNAL_LATEST = {"metro": "metro", "student_balance": "student_balance"}
+
+
+def _application_runs(app_run_bridge: DataFrame, runs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The runs of each application, and the columns that order them."""
     tie = present(runs, "line_no", "part_no")
     base = app_run_bridge.join(
         runs,
@@ -132,17 +141,29 @@ def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p:
         runs["exposure_cents"], runs["min_exposure_cents"], runs["income_dollars"],
         runs["metro"], runs["student_balance"],
     )
-    return signal_rollup(
-        base,
-        ["application_id"],
-        max_zero={
-            "exposure_dollars": ("exposure_cents", 100),
-            "min_exposure_dollars": ("min_exposure_cents", 100),
-            "annual_income_dollars": ("income_dollars", None),
-        },
-        latest={"metro": "metro", "student_balance": "student_balance"},
-        order=["created", *tie],
-    )
+    return base, ["created", *tie]
+
+
+def underwriting_signals(app_run_bridge: DataFrame, decision_run: DataFrame, p: MartParams) -> DataFrame:
+    """Per application, max of each signal with NULL read as 0, the
+    dollar conversion, and the latest non-NULL metro and balance. The lookback filter
+    is on the run side, so the left join is an inner join (T17)."""
+    base, order = _application_runs(app_run_bridge, since(decision_run, "created", lookback_start(p.start, p.lookback_days)))
+    return signal_rollup(base, ["application_id"], max_zero=SIGNAL_MAXIMA, latest=SIGNAL_LATEST, order=order)
+
+
+def underwriting_states(app_run_bridge: DataFrame, decision_run: DataFrame) -> DataFrame:
+    """The signals' state per application and day, of the runs given: a refresh passes the runs of the days that are
+    new or got new bridge rows, and puts these days into the state table (``write_days``)."""
+    base, order = _application_runs(app_run_bridge, decision_run)
+    return signal_state(base, ["application_id"], "created", SIGNAL_MAXIMA, SIGNAL_LATEST, order)
+
+
+def signals_from_states(states: DataFrame, p: MartParams) -> DataFrame:
+    """``underwriting_signals`` from the states of its days. The lookback starts at midnight, so whole days are
+    in or out, and days that fall out of it need no update."""
+    inside = states.where(F.col("day") >= lookback_start(p.start, p.lookback_days))
+    return finish_signals(merge_states(inside, ["application_id"]), ["application_id"], SIGNAL_MAXIMA, SIGNAL_LATEST)
 
 
 def reporting_window(p: MartParams) -> Column:
@@ -214,7 +235,8 @@ def enrichment_steps(
     s: dict[str, DataFrame], p: MartParams, bucket_seconds=None, need: Iterable[str] | None = None
 ) -> list[EnrichStep]:
     """The enrichments in the reference's join order (chains keep their order), with ``need`` only
-    those that its columns take."""
+    those that its columns take. ``s`` may hold state of earlier runs in place of history: ``card_state_snapshot``
+    (the card events before the lookback are then not read) and ``signal_states`` (the runs are not read)."""
     takes = lambda *starts: need is None or any(c.startswith(starts) for c in need)
     merchant = F.coalesce(F.col("cf_merchant_id"), F.col("pq_merchant_id"))   # late first (C5)
     user = F.coalesce(F.col("pq_user_id"), F.col("cf_user_id"))               # early first (C5)
@@ -222,9 +244,10 @@ def enrichment_steps(
     # Side paths of several operators are built only where they are used.
     cs = uw = None
     if takes("dec_", "cs_"):
-        cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds=bucket_seconds)
+        cs = card_state(s["prequal_decision"], s["card_state_event"], p, bucket_seconds, s.get("card_state_snapshot"))
     if takes("uw_", "risky_metro_"):
-        uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p)
+        states = s.get("signal_states")
+        uw = underwriting_signals(s["app_run_bridge"], s["decision_run"], p) if states is None else signals_from_states(states, p)
     def L(role, key, columns, **options):
         return Lookup(s[role] if isinstance(role, str) else role[1], key, columns, role=role if isinstance(role, str) else role[0], **options)
 

@@ -4,7 +4,8 @@ A deployment maps each role to a table or folder and reads it with ``read_roles`
 Columns are selected and widened to the declared types where that loses nothing; any other
 type raises before a row is read. The fixture's ids are BIGINT; a deployment passes its own
 declarations (``role_schemas(id_type="STRING")`` for string ids, or any DDL per role).
-Tie keys (``OPTIONAL``) may be missing: rows of equal time are then ordered by value.
+Tie keys may be missing: rows of equal time are then ordered by value. Logs may bring the date or month
+they are partitioned by (``OPTIONAL``); lookbacks then read only the partitions they reach.
 """
 
 from __future__ import annotations
@@ -118,11 +119,19 @@ ROLE_SCHEMAS: dict[str, str] = {
 }
 
 
-#: Columns a source may lack: they only order rows of equal time.
-OPTIONAL: dict[str, frozenset[str]] = {
+#: Columns a source may lack: tie keys, which only order rows of equal time, and the date or month
+#: (its first day) of the time column where a log is partitioned by it.
+TIE_KEYS: dict[str, frozenset[str]] = {
     "card_state_event": frozenset({"event_id"}),
     "decision_run": frozenset({"line_no", "part_no"}),
 }
+LOG_TIMES = {"decision_log": "event_time", "prequal_decision": "created", "card_state_event": "created", "decision_run": "created"}
+PARTITIONS = {role: (f"{ts}_date", f"{ts}_month") for role, ts in LOG_TIMES.items()}
+OPTIONAL: dict[str, frozenset[str]] = {
+    role: TIE_KEYS.get(role, frozenset()) | frozenset(PARTITIONS.get(role, ())) for role in (*TIE_KEYS, *PARTITIONS)
+}
+for _role, _columns in PARTITIONS.items():
+    ROLE_SCHEMAS[_role] += "".join(f", {c} DATE" for c in _columns)
 
 
 def role_schemas(id_type: str | None = None, overrides: dict[str, str] | None = None) -> dict[str, str]:
