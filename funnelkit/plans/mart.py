@@ -132,14 +132,9 @@ SIGNAL_LATEST = {"metro": "metro", "student_balance": "student_balance"}
 def _application_runs(app_run_bridge: DataFrame, runs: DataFrame) -> tuple[DataFrame, list[str]]:
     """The runs of each application, and the columns that order them."""
     tie = present(runs, "line_no", "part_no")
-    base = app_run_bridge.join(
-        runs,
-        (app_run_bridge["run_id"] == runs["run_id"]) & (app_run_bridge["decision_type"] == runs["run_name"]),
-        "inner",
-    ).select(
-        app_run_bridge["application_id"], runs["created"], *[runs[c] for c in tie],
-        runs["exposure_cents"], runs["min_exposure_cents"], runs["income_dollars"],
-        runs["metro"], runs["student_balance"],
+    bridge = app_run_bridge.select("application_id", F.col("run_id").alias("__run"), F.col("decision_type").alias("__name"))
+    base = bridge.join(runs, (F.col("__run") == F.col("run_id")) & (F.col("__name") == F.col("run_name")), "inner").select(
+        "application_id", "created", *tie, "exposure_cents", "min_exposure_cents", "income_dollars", "metro", "student_balance"
     )
     return base, ["created", *tie]
 
@@ -369,7 +364,8 @@ def enriched_spine(
 
     ``guard`` watches every value lookup's fan-out (``Lookup``). ``colocated`` names late-stage keys (plain
     columns, at most one of which a table can be laid out by) that the checkout funnel and the lookups
-    are bucketed on: these are joined at the scan, without any shuffle.
+    are bucketed on: these are joined at the scan, without any shuffle. Where ``s["checkout_funnel"]`` is cut to some rows,
+    ``s["late_links"]`` holds the prequal ids of all late rows: an early row is early-only if none has its id.
     """
     steps = enrichment_steps(s, p, bucket_seconds, need)
     if guard:
@@ -378,8 +374,9 @@ def enriched_spine(
     at_scan, late_steps = [], []
     for st in of(LATE_ORDER):
         (at_scan if st.key in colocated else late_steps).append(st)
-    all_late = prefixed(s["checkout_funnel"], "cf_")
-    late = all_late.where(late_may_report(p))
+    late = prefixed(s["checkout_funnel"], "cf_")
+    all_late = prefixed(s["late_links"], "cf_") if "late_links" in s else late
+    late = late.where(late_may_report(p))
     for key in dict.fromkeys(st.key for st in at_scan):
         late = enrich_colocated(late, key, [st.lookup for st in at_scan if st.key == key])
     early = prefixed(prequal_stage(s["prequal_funnel"], p), "pq_")
@@ -391,8 +388,9 @@ def enriched_spine(
     return join_runs(spine, of(BOTH_ORDER))
 
 
-def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
-    """The 94 output columns, in contract order."""
+def mart_columns(df: DataFrame, p: MartParams, row_key: tuple[str, str] | tuple[()] = ()) -> DataFrame:
+    """The 94 output columns, in contract order; with ``row_key`` also the application ids of the late and the
+    early stage, under these names."""
     cf, pq, c = R.cf, R.pq, R.c
     df = df.withColumn("_plan_kind", R.plan_kind(p))
     df = df.withColumn("_captured_category", R.captured_category(p, F.col("_plan_kind")))
@@ -505,7 +503,7 @@ def mart_columns(df: DataFrame, p: MartParams) -> DataFrame:
         null_safe_sum(c("uw_min_exposure_dollars"), c("uw_exposure_dollars"), c("uw_min_exposure_dollars"))
         .alias("exposure_limit_dollars"),
     ]
-    return df.select(*cols)
+    return df.select(*cols, *[x.alias(name) for name, x in zip(row_key, (cf("application_id"), pq("application_id")))])
 
 
 # Value lookups of the mart and the key each must be unique on (C10). Membership
