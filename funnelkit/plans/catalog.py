@@ -27,7 +27,7 @@ from funnelkit.operators.latest import distinct_keys, latest_non_null
 from funnelkit.operators.stitch import prefixed, stitch, stitch_split
 from funnelkit.plans import rules as R
 from funnelkit.plans.mart import (
-    card_state, card_state_snapshot, enrich_spine, enriched_spine, fan_out_report, funnel_mart, prequal_stage, signals_from_states, stitched_spine,
+    card_state, card_state_snapshot, enrich_spine, enriched_spine, fan_out_report, funnel_mart, prequal_stage, rule_coverage, signals_from_states, stitched_spine,
     underwriting_signals, underwriting_states,
 )
 from funnelkit.plans.params import MartParams
@@ -452,6 +452,10 @@ def mart_fan_out(spark, sf_dir):
     return fan_out_report(sources | {"risky_metro": role_frame(spark, sf_dir, "risky_metro_repeated")}, P)
 
 
+def rule_coverage_q(spark, sf_dir):
+    return rule_coverage(roles(spark, sf_dir), P)
+
+
 QUERIES: dict[str, Query] = {
     "lookback_filter": lookback_filter,
     "stage_prefilter": stage_prefilter_q,
@@ -480,6 +484,7 @@ QUERIES: dict[str, Query] = {
     "key_uniqueness": key_uniqueness,
     "lookup_key_report": lookup_key_report,
     "mart_fan_out": mart_fan_out,
+    "rule_coverage": rule_coverage_q,
     "funnel_stage": funnel_stage,
     "repeat_flag": repeat_flag,
     "new_to_group_flag": new_to_group_flag,

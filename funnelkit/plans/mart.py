@@ -560,6 +560,34 @@ def fan_out_report(sources: dict[str, DataFrame], p: MartParams | None = None, b
     return spine.agg(F.array(*per).alias("all")).select(F.explode("all").alias("one")).select("one.*")
 
 
+#: Enrichment columns that the first-match rules take.
+RULE_NEEDS = (
+    "prequal_creation_type", "person_first_capture", "person_first_capture_at_group", "purchase_member", "charge_mart_product_platform",
+    "charge_mart_product_group", "session_instrument_type", "checkout_mart_is_platform", "checkout_mart_is_adaptive", "terms_loan_type1",
+    "ud_label", "md_product_type", "md_merchant_id", "cs_state_to",
+)
+
+
+def arm_columns(df: DataFrame, p: MartParams) -> tuple[DataFrame, dict[str, list[str]]]:
+    """An enriched spine with ``arm_<rule>`` for every first-match rule, and each rule's arms."""
+    df = df.withColumn("_plan_kind", R.plan_kind(p))
+    df = df.withColumn("_captured_category", R.captured_category(p, F.col("_plan_kind")))
+    arms = R.rule_arms(p, F.col("_plan_kind"), F.col("_captured_category"))
+    return df.withColumns({f"arm_{rule}": x for rule, (x, _) in arms.items()}), {rule: names for rule, (_, names) in arms.items()}
+
+
+def rule_coverage(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600) -> DataFrame:
+    """Rule, arm, rows: how many of the mart's rows each arm of each first-match rule decides, with 0 for arms that
+    none reaches. One aggregation over the spine."""
+    p = p or MartParams()
+    spine, arms = arm_columns(enriched_spine(sources, p, bucket_seconds, need=RULE_NEEDS), p)
+    counts = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("arm"), F.count_if(F.col(f"arm_{rule}") == name).alias("rows"))
+        for rule, names in arms.items() for name in names
+    ]
+    return spine.agg(F.array(*counts).alias("all")).select(F.explode("all").alias("one")).select("one.*")
+
+
 def funnel_mart(
     sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600, guard: str | None = None,
     colocated: Iterable[str] = (),

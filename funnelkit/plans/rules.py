@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from funnelkit.functions.columns import flag
 from funnelkit.functions.dates import _date_lit
-from funnelkit.operators.waterfall import waterfall
+from funnelkit.operators.waterfall import tracing_arms, waterfall
 from funnelkit.plans.params import MartParams
 
 
@@ -344,3 +344,22 @@ def risk_pattern_flag(p: MartParams, risk_flag: Column) -> Column:
 
 def risk_pattern_index(p: MartParams, risk_flag: Column) -> Column:
     return flag(risk_flag.like(p.risk_flag_pattern))
+
+
+# --- G0: which arm fired ------------------------------------------------------------------
+def rule_arms(p: MartParams, kind: Column, category: Column) -> dict[str, tuple[Column, list[str]]]:
+    """For every first-match rule the name of the arm that fires, as a column, and the names of all its arms.
+    ``kind`` and ``category`` are the plan kind and the captured category that later rules take."""
+    with tracing_arms() as trace:
+        slots = [c(f"terms_loan_type{i}") for i in (1, 2, 3)]
+        built = {
+            "funnel_stage": funnel_stage(p), "proactive_flag": proactive_flag(p), "prequal_flag": prequal_flag(p),
+            "repeat_flag": repeat_flag(p), "group_new_flag": new_to_group_flag(p), "is_approved": is_approved(p),
+            "is_checkout_approved": is_checkout_approved(p), "decline_reason": decline_reason(),
+            "number_of_offers": number_of_offers(p, slots), "plan_kind": plan_kind(p),
+            "captured_category": captured_category(p, kind), "captured_subcategory": captured_subcategory(p, kind),
+            "captured_merchant_category": merchant_category(p, category), "application_category": application_category(p),
+            "monthly_index": monthly_index(), "autopay_flag": autopay_flag(p), "score_version": score_version(p),
+            "score_v1": score_by_loan(p), "merchant_partner_flag": partner_flag(p, c("md_partner_id")),
+        }
+        return {rule: (column, trace[id(column)][1]) for rule, column in built.items()}

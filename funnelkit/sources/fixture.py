@@ -32,8 +32,10 @@ SELECT
   o_orderdate AS start_date,
   o_orderdate - INTERVAL 2 DAYS AS checkout_created_dt,
   CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS captured_dt,
-  CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 7 DAYS END AS first_capture_dt,
-  CAST(nullif(o_orderkey % 2, 0) AS INTEGER) AS is_checkout_applied,
+  CASE WHEN o_orderstatus = 'P' THEN o_orderdate + INTERVAL 7 DAYS
+    WHEN o_custkey % 7 = 1 AND o_orderpriority = '2-HIGH' THEN o_orderdate + INTERVAL 2500 DAYS
+  END AS first_capture_dt,
+  CASE WHEN o_orderkey % 2 = 1 OR o_orderkey % 60 = 40 THEN 1 END AS is_checkout_applied,
   CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS is_approved,
   CASE o_orderkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS is_approved_instalment,
   CASE WHEN o_orderkey % 4 < 2 THEN 1 WHEN o_orderkey % 4 = 2 THEN 0 END AS is_approved_split,
