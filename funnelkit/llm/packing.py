@@ -16,7 +16,7 @@ from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from string import punctuation
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -42,13 +42,20 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+def is_letters(text: str) -> bool:
+    """Is a word letters only, before and after the tokenizer has normalised it? Some capitals become a letter and a
+    mark (U+0130), and the pre-tokenizer joins that mark with those behind it."""
+    return text.isalpha() and normalize("NFC", text).lower().isalpha()
+
+
 class WordEncoder:
     """Token ids of UTF-8 texts by a tokenizer whose pre-tokens never hold white space.
 
     The ids of a text are then those of its white-space separated words, one after the
     other, so each word is encoded once and remembered (beyond ``cache_words`` the memory is
     emptied). ASCII letters are lower-cased first, as
-    the tokenizer would. Letters and the ASCII marks behind them are pre-tokens of their
+    the tokenizer would, but for words with combining marks: these it composes before it lower-cases, and some
+    letters compose in one case only. Letters and the ASCII marks behind them are pre-tokens of their
     own. A word of Latin letters is one pre-token and goes straight to the tokenizer's
     model; all other words go through the whole tokenizer, and so do texts that hold
     ``<|``, which may hold special tokens.
@@ -78,7 +85,7 @@ class WordEncoder:
         if word in self.cache:
             return self.cache[word]
         core = word.rstrip(MARKS)
-        if core and len(core) < len(word) and core.decode().isalpha():
+        if core and len(core) < len(word) and is_letters(core.decode()):
             ids = self._learn(core) + self._learn(word[len(core) :])
         else:
             ids = self._encode(word.decode())
@@ -92,7 +99,11 @@ class WordEncoder:
         if b"<|" in text:
             return self._encode(text.decode())
         known, learn = self.cache.get, self._learn
-        return b"".join([known(w) or learn(w) for w in text.lower().split()])
+        if b"\xcc" in text or b"\xcd" in text:  # U+0300 to U+037F, all marks that compose with ASCII letters
+            words = [w if b"\xcc" in w or b"\xcd" in w else w.lower() for w in text.split()]
+        else:
+            words = text.lower().split()
+        return b"".join([known(w) or learn(w) for w in words])
 
 
 def pieces(

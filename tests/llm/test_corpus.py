@@ -105,6 +105,21 @@ def test_word_encoder_gives_the_tokenizers_ids():
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == expected
 
 
+def test_word_encoder_on_random_words():
+    """Letters that change their kind when lower-cased or normalised, final sigmas, combining marks, marks on either side."""
+    with open(VOCABULARY, encoding="utf-8") as f:
+        encoder = K.WordEncoder(f.read())
+    r = random.Random(11)
+    letters = [*"abzAHJTZ019", "\u0331", "\u030c", *"éßñİıŁÅΣσςΩЖяשあ漢ʼⅧªﬁǅK", "\u0307", "\u0301", "\u093c", "\u0958", "e\u0301", "I\u0307", "\u00a0", "\u200d"]
+    marks = [*".,!?'\"-()_@#&", "--", "'s", "'LL", "…", "’s", "<|", "|>"]
+    texts = ["ALİ.", "KADINLARİ,", "İ--", "İ'S", "\u0958!", "ΟΔΟΣ.", "ΟΔΟΣ", "H\u0331 T\u0308. J\u030c", "I\u0307\u093c"]
+    for _ in range(20_000):
+        words = ["".join(r.choice(marks if r.random() < 0.3 else letters) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 4))]
+        texts.append(" ".join(words))
+    wrong = [t for t in texts if np.frombuffer(encoder.encode(t.encode()), "<u4").tolist() != encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def test_exchanges_raise_squared_fill_until_bins_empty():
     r = random.Random(1)
     for _ in range(40):
