@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only white space the operators know: space and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]"
@@ -64,10 +65,21 @@ def parts_of(batches: Iterator[pa.RecordBatch], column: str = "text", size: int
             start = stop
 
 
+def _hashes(kind: T.DataType) -> bool:
+    """Can Spark hash a value of this type? Maps and variants it cannot, wherever they are inside."""
+    if isinstance(kind, (T.MapType, T.VariantType)):
+        return False
+    if isinstance(kind, T.ArrayType):
+        return _hashes(kind.elementType)
+    return all(_hashes(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else True
+
+
 def row_key(docs: DataFrame) -> list[Column]:
     """128-bit key of a whole row: rows with equal keys are equal in every column. The hash passes
-    over nulls, so where they are is hashed too."""
-    cols = [F.col(f"`{c}`") for c in docs.columns]
+    over nulls, so where they are is hashed too. Columns with maps or variants are hashed as JSON; maps that
+    differ in the order of their entries only count as different."""
+    cols = [F.col(f"`{f.name}`") for f in docs.schema.fields]
+    cols = [c if _hashes(f.dataType) else F.to_json(c) for c, f in zip(cols, docs.schema.fields)]
     cols += [c.isNull() for c in cols]
     return [
         F.xxhash64(*cols).alias("__key_a"),
@@ -75,6 +87,10 @@ def row_key(docs: DataFrame) -> list[Column]:
     ]
 
 
+#: Names of the two halves of a row's key.
+KEY = ("__key_a", "__key_b")
+
+
 def repeat_rows(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """``docs`` with each distinct row emitted as often as ``plan`` says.
 

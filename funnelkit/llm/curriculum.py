@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import WORD, materialize, repeat_rows, row_key
+from funnelkit.llm.common import KEY, WORD, materialize, repeat_rows, row_key
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -104,20 +104,21 @@ def curriculum_mix(
     max_epochs: int = MAX_EPOCHS,
     whole_documents: bool = False,
     bucket_digits: int = BUCKET_DIGITS,
+    keys: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken, copies,
-    positions (training time of each copy) and the row's key.
+    positions (training time of each copy) and with ``keys`` the row's key (which reads all columns).
 
     A size is the text's number of words; null and empty texts have size 0 and are never
     taken. A null source is a source of its own, the last. Each source takes its target
     to the word: its last document counts with its first words only. With
     ``whole_documents`` that last one is taken whole if at least half of it fits, else not,
     so a source ends within half a document of its target. Rows with equal ids or texts are
-    ordered by hash, id and row key; rows equal in every column are interchangeable, and then
-    their order does not change the result. An empty table gives an empty result.
+    ordered by hash, id and the text's hash, or with ``keys`` the row's; rows equal in these are
+    interchangeable, and their order does not change the result. An empty table gives an empty result.
     """
     sized = materialize(
         spark,
@@ -126,7 +127,7 @@ def curriculum_mix(
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("hash"),
-            *row_key(docs),
+            *(row_key(docs) if keys else [F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")]),
         ).withColumn("bucket", F.substring("hash", 1, bucket_digits)),
         "sized",
     )
@@ -137,7 +138,7 @@ def curriculum_mix(
     starts = starts.join(targets, starts["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     inside = (
         Window.partitionBy("source", "bucket")
-        .orderBy("hash", "doc_id", "__key_a", "__key_b")
+        .orderBy("hash", "doc_id", *(KEY if keys else ("text_hash",)))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     local = sized.withColumn("local_start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -164,7 +165,7 @@ def curriculum_mix(
     )
     return placed.select(
         "doc_id", "source", "size", "source_size", "target", "taken", "copies",
-        positions.alias("positions"), "__key_a", "__key_b",
+        positions.alias("positions"), *(KEY if keys else ()),
     )
 
 
@@ -176,6 +177,6 @@ def training_order(mix: DataFrame) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, repeated as the mix repeats them, in
     training order; whole documents only."""
-    mix = curriculum_mix(spark, docs, whole_documents=True, **options)
+    mix = curriculum_mix(spark, docs, whole_documents=True, keys=True, **options)
     plan = mix.filter("copies > 0").groupBy("__key_a", "__key_b").agg(F.flatten(F.collect_list("positions")).alias("__at"))
     return repeat_rows(docs, plan).orderBy("__at").drop("__at")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import WHITE, id_and_text, materialize, repeat_rows, row_key
+from funnelkit.llm.common import KEY, WHITE, id_and_text, materialize, repeat_rows, row_key
 
 MIN_CHUNK = 128
 MAX_CHUNK = 2048
@@ -65,9 +65,10 @@ def exact_dedup(
     text_col: str = "text",
     min_chunk: int = MIN_CHUNK,
     max_chunk: int = MAX_CHUNK,
+    keys: bool = False,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks and the
-    row's key (``row_key``).
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chunks and with ``keys`` the
+    row's key (``row_key``, which reads all columns).
 
     Null and empty texts are equal to each other (an empty recipe). The row with the
     smallest doc_id of a group stays, null ids last; of rows with that same doc_id exactly one
@@ -75,6 +76,7 @@ def exact_dedup(
     empty result. Columns other than the id and the text do not matter.
     """
     pattern = chunk_pattern(min_chunk, max_chunk)
+    key = KEY if keys else ()
     salt = 0
     while clashes(chunk_dictionary(docs, text_col, pattern, salt)):
         salt += 1
@@ -82,10 +84,10 @@ def exact_dedup(
     b = F.transform("chunks", lambda c: chunk_ids(c, salt)[1])
     recipes = materialize(
         spark,
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *row_key(docs))
-        .select("doc_id", "__key_a", "__key_b", F.sha2("norm", 256).alias("text_sha256"), chunks_of(F.col("norm"), pattern).alias("chunks"))
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), *(row_key(docs) if keys else []))
+        .select("doc_id", *key, F.sha2("norm", 256).alias("text_sha256"), chunks_of(F.col("norm"), pattern).alias("chunks"))
         .select(
-            F.monotonically_increasing_id().alias("row_id"), "doc_id", "__key_a", "__key_b", "text_sha256",
+            F.monotonically_increasing_id().alias("row_id"), "doc_id", *key, "text_sha256",
             F.concat(a, b).alias("recipe"),
         ),
         "recipes",
@@ -102,14 +104,13 @@ def exact_dedup(
         F.coalesce(F.col("row_id") == F.col("first.row_id"), F.lit(True)).alias("kept"),
         "text_sha256",
         F.expr("CAST(size(recipe) / 2 AS INT)").alias("n_chunks"),
-        "__key_a",
-        "__key_b",
+        *key,
     )
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    plan = exact_dedup(spark, docs, **options).filter("kept").select(
+    plan = exact_dedup(spark, docs, keys=True, **options).filter("kept").select(
         "__key_a", "__key_b", F.array(F.lit(1)).alias("__at")
     )
     return repeat_rows(docs, plan).drop("__at")

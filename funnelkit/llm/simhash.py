@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text, materialize, parts_of, repeat_rows, row_key
+from funnelkit.llm.common import KEY, id_and_text, materialize, parts_of, repeat_rows, row_key
 from funnelkit.llm.graph import components
 
 SHINGLE = 3
@@ -55,21 +55,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(octets), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) and the row's key, one row per input row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long) and with ``keys`` the row's key, one row per input row."""
+    key = KEY if keys else ()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps), batch.column("__key_a"), batch.column("__key_b")],
-                names=["doc_id", "fp", "__key_a", "__key_b"],
+                [batch.column("doc_id"), pa.array(fps), *[batch.column(k) for k in key]], names=["doc_id", "fp", *key]
             )
 
-    return docs.select(*id_and_text(docs, id_col, text_col), *row_key(docs)).mapInArrow(
-        run, "doc_id long, fp long, __key_a long, __key_b long"
-    )
+    rows = docs.select(*id_and_text(docs, id_col, text_col), *(row_key(docs) if keys else []))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *key)))
 
 
 def shard_masks(levels: int = 3) -> list[list[int]]:
@@ -187,16 +186,17 @@ def near_duplicates(
     shingle: int = SHINGLE,
     radius: int = MAX_BITS,
     shard_cap: int = SHARD_CAP,
+    keys: bool = False,
     **columns,
 ) -> DataFrame:
     """One row per input row: doc_id, fp, component_id, root (a fingerprint that stands for the
-    component) and the row's key.
+    component) and with ``keys`` the row's key (which reads all columns).
 
     component_id is the smallest doc_id whose fingerprint can be reached; null only if
     all ids of the component are. Null, empty and blank texts have fingerprint 0, which links
     like any other. Repeated rows and ids do no harm. An empty table gives an empty result.
     """
-    made = materialize(spark, fingerprints(docs, shingle, **columns), "fingerprints")
+    made = materialize(spark, fingerprints(docs, shingle, keys=keys, **columns), "fingerprints")
     distinct = materialize(spark, made.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     labels = components(spark, near_links(spark, distinct, radius, shard_cap))
     linked = materialize(spark, distinct.join(labels.withColumnRenamed("node", "fp"), "fp"), "linked")
@@ -207,13 +207,13 @@ def near_duplicates(
         F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return made.join(per_value, "fp").select("doc_id", "fp", "component_id", "root", "__key_a", "__key_b")
+    return made.join(per_value, "fp").select("doc_id", "fp", "component_id", "root", *(KEY if keys else ()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest doc_id (null
     ids last; equal ids by row key)."""
-    groups = near_duplicates(spark, docs, **options)
+    groups = near_duplicates(spark, docs, keys=True, **options)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key_a", "__key_b"))
     plan = groups.groupBy("root").agg(first.alias("first")).select(
         "first.__key_a", "first.__key_b", F.array(F.lit(1)).alias("__at")

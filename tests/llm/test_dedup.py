@@ -205,3 +205,30 @@ def test_suffix_dedup(spark, options):
     assert sum(y[2] for y in expected) > 30
     assert all(sum(s.end - s.start for s in x.spans) == x.n_removed for x in out)
     assert S.remove_repeats(spark, nothing(spark), **options).count() == 0
+
+
+@pytest.fixture
+def with_maps(spark):
+    """Columns of types that Spark cannot hash, also inside others; equal rows, and rows that differ in them only."""
+    rows = [(1, prose(1, 40), "s", {"a": 1}, [{"x": "y"}]), (1, prose(1, 40), "s", {"a": 1}, [{"x": "y"}]), (1, prose(1, 40), "s", {"a": 2}, None),
+            (2, prose(1, 40), "t", None, []), (3, prose(2, 40), None, {"a": None}, [{}]), (None, None, "s", {}, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, m map<string,int>, n array<map<string,string>>").repartition(2)
+
+
+def test_map_columns(spark, with_maps):
+    from funnelkit.llm import curriculum as C
+    from funnelkit.llm.common import row_key
+
+    assert len({tuple(r) for r in with_maps.select(*row_key(with_maps)).collect()}) == 5
+    for rows in (E.exact_dedup(spark, with_maps), H.near_duplicates(spark, with_maps), C.curriculum_mix(spark, with_maps)):
+        assert rows.count() == 6 and "__key_a" not in rows.columns
+    for docs in (E.drop_exact_duplicates(spark, with_maps), H.drop_near_duplicates(spark, with_maps)):
+        assert docs.schema == with_maps.schema and docs.count() == 3
+    assert C.mix_documents(spark, with_maps).schema == with_maps.schema
+
+
+def test_only_the_columns_needed_are_read(spark, tmp_path):
+    spark.createDataFrame(awkward_rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, row_id string, lead string") \
+        .write.parquet(f"{tmp_path}/docs")
+    plan = H.fingerprints(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
