@@ -29,6 +29,7 @@ from funnelkit.llm.common import id_and_text, materialize, parts_of
 SEQUENCE = 4096
 END_ID = 1
 GROUP_ROWS = 8192
+MAX_TASKS = 20_000
 CACHE_WORDS = 500_000
 MARKS = punctuation.encode()
 LATIN_END = "\u0250"
@@ -244,7 +245,8 @@ def _pack_groups(rows: DataFrame, n_groups: int, capacity: int, keep_all: bool)
         return out
 
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("row_id", F.lit(n_groups)), F.lit(n_groups)))
-    return dealt.groupBy("group").applyInPandas(
+    # A stated number of partitions: by bytes, which are few, Spark would put many groups into one task.
+    return dealt.repartition(min(n_groups, MAX_TASKS), "group").groupBy("group").applyInPandas(
         run, "row_id long, length long, group long, bin long, offset long, settled boolean"
     )
 
