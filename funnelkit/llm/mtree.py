@@ -32,7 +32,7 @@ SHARD_ROWS = 4096
 QUERY_BLOCK = 8192
 PAGE = 256
 SCALE = 256
-LIMIT = 1 << 25  # largest magnitude of a quantised component
+LARGEST = (1 << 63) - 1
 
 
 @dataclass
@@ -100,7 +100,7 @@ def search(root: Page, query: np.ndarray, k: int, far: float, slack: float, scor
             found = [(-s, r) for s, r in zip(scores[near].tolist(), page.rows[near].tolist()) if counts(r)]
             best = heapq.nsmallest(k, best + found)
             if len(best) == k:
-                reach = float(np.sqrt(max(0.0, far + 2.0 * best[-1][0]))) + slack
+                reach = float(np.sqrt(max(0.0, far + 2.0 * best[-1][0]))) + slack if best[-1][0] < LARGEST else np.inf
             continue
         some = np.flatnonzero(may)
         d = distances(page.vectors[some], query)
@@ -120,15 +120,24 @@ def shard_search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     radius2 = float(square.max())
     points = np.concatenate([x, np.sqrt(np.maximum(radius2 - square, 0.0))[:, None]], axis=1)
     tree = build(points, np.arange(len(ids)), points.mean(axis=0), page)
-    # Products summed in floating point are whole numbers and exact below 2^53.
-    exact = float(np.abs(x).max()) * float(np.abs(queries).max() if len(queries) else 0) * (x.shape[1] + 1) < 2**53
+    # Products summed in floating point are whole numbers and exact below 2^53, in 64-bit integers below 2^63;
+    # beyond that Python's integers count.
+    largest = float(np.abs(x).max()) * float(np.abs(queries.astype(np.float64)).max() if len(queries) else 0) * (x.shape[1] + 1)
+    exact = largest < 2**53
+    if largest >= 2**62:
+        vectors, queries = vectors.astype(object), queries.astype(object)
     out = []
     for query_id, q in zip(query_ids.tolist(), queries):
         extended = np.append(q.astype(np.float64), 0.0)
         far = float((extended**2).sum()) + radius2
         # Rounding of squared distances: a relative 1e-9 of the largest, seen through the square root.
         slack = np.sqrt(1e-9 * max(far, 1.0))
-        score = (lambda leaf: (leaf.vectors @ extended).astype(np.int64)) if exact else (lambda leaf: vectors[leaf.rows] @ q)
+        if exact:
+            score = lambda leaf: (leaf.vectors @ extended).astype(np.int64)
+        elif largest < 2**62:
+            score = lambda leaf: vectors[leaf.rows] @ q
+        else:
+            score = lambda leaf: np.clip(vectors[leaf.rows] @ q, -LARGEST, LARGEST).astype(np.int64)
         best = search(tree, extended, k, far, slack, score, lambda r: ids[r] != query_id)
         out += [(query_id, int(ids[r]), -s) for s, r in best]
     return out
@@ -141,7 +150,10 @@ def shard_task(sent, k: int, page: int):
         found = []
         if key[0] in sent.value:
             vectors = np.array(pdf["v"].tolist(), dtype=np.int64)
-            found = shard_search(pdf["vec_id"].to_numpy(), vectors, *sent.value[key[0]], k, page)
+            query_ids, queries = sent.value[key[0]]
+            if not vectors.shape[1]:  # empty vectors: all products are zero
+                vectors, queries = np.zeros((len(vectors), 1), dtype=np.int64), np.zeros((len(queries), 1), dtype=np.int64)
+            found = shard_search(pdf["vec_id"].to_numpy(), vectors, query_ids, queries, k, page)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype=np.int64)
 
     return run
@@ -150,9 +162,9 @@ def shard_task(sent, k: int, page: int):
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """vec_id, v: floor(scale * component) as longs; rows that take no part are left out."""
     scaled = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale))
-    # A comparison with null or NaN is not true; infinite values and those beyond LIMIT are out too.
-    fits = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double") * scale) <= LIMIT, F.lit(False)))
-    whole = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & fits & F.col(id_col).isNotNull()
+    # In Spark NaN is greater than infinity.
+    finite = F.forall(F.col(vector_col), lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    whole = F.col(vector_col).isNotNull() & finite & F.col(id_col).isNotNull()
     return rows.filter(whole).select(F.col(id_col).cast("long").alias("vec_id"), scaled.cast("array<long>").alias("v"))
 
 
@@ -172,9 +184,9 @@ def top_k(
     all rows if there are fewer; ties to the smaller vec_id.
 
     Queries are the rows for which ``is_query(vec_id)`` holds. Rows with a null id, and vectors
-    that are null, empty, hold null or non-finite components or components beyond
-    ``LIMIT`` / scale (whose products would not fit 64 bits), take no part. Vectors meet only
-    those of their own length. Of repeated ids each row is a candidate, but never for a
+    that are null or hold null or non-finite components, take no part. A scaled component beyond 64 bits counts as
+    the largest or smallest long, and so does a score. Vectors meet only
+    those of their own length, empty ones too (their products are 0). Of repeated ids each row is a candidate, but never for a
     query of that id; the query of a repeated id is its smallest vector. An empty table, or
     one without queries, gives an empty result.
     """

@@ -165,10 +165,10 @@ def test_pack_documents(spark, group_rows):
 
 
 def _search(vectors, k=5, step=50):
-    """Brute force over (id, quantised vector)."""
-    out = []
+    """Brute force over (id, quantised vector); scores end at 64 bits."""
+    out, most = [], 2**63 - 1
     for q, v in {i: v for i, v in sorted(vectors, key=lambda x: (x[0], x[1]), reverse=True) if i % step == 0}.items():
-        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q and len(w) == len(v))
+        scored = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, w)))), i) for i, w in vectors if i != q and len(w) == len(v))
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -181,7 +181,10 @@ def test_top_k_equals_a_scan(spark, options):
     rows += [(i, same) for i in range(400, 520)] + [(401, same), (50, same)]
     rows += [(1000, [1.0, 2.0]), (1001, [0.5, 0.5])]  # another length
     usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
-    bad = [(2000, None), (2050, [float("nan")] * 6), (2100, [float("inf")] + [0.0] * 5), (2150, [None] + [0.1] * 5), (None, same), (2200, []), (2250, [1e30] * 6)]
+    bad = [(2000, None), (2050, [float("nan")] * 6), (2100, [float("inf")] + [0.0] * 5), (2150, [None] + [0.1] * 5), (None, same)]
+    far = [(2200, []), (2250, [1e30] * 6), (2251, [-1e30, 1e30, 1.0, 0.0, 0.0, 0.0]), (2300, [2.0**40] + [0.1] * 5), (2301, [-(2.0**33)] * 6), (2350, []), (3, [])]
+    rows += far
+    usable += [(i, [max(-(2**63), min(2**63 - 1, int(np.floor(256 * x)))) for x in v]) for i, v in far]
     df = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<double>").withColumn("v", F.lit("clash")).repartition(4)
     out = M.top_k(spark, df, lambda i: i % 50 == 0, **options).collect()
     assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in out) == _search(usable)
