@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import id_and_text, parts_of
 
 ROUNDS = 8
-FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+#: First days of the spans that dates are permuted within; the last one ends with the calendar.
+SPANS = (("date before 1900", date.min.toordinal()), ("date", date(1900, 1, 1).toordinal()), ("date after 2099", date(2100, 1, 1).toordinal()))
 
 
 #: Characters of an IBAN by country.
@@ -197,14 +198,18 @@ def secret(text: str, move: Callable) -> str | None:
     return characters("secret", text, move)
 
 
-def _moved_day(year: int, month: int, day: int, move: Callable) -> date | None:
+def _moved_day(year: int, month: int, day: int, move: Callable, months=range(1, 13)) -> date | None:
+    """The pseudonym of a day, in the same span and in one of ``months``, to which its own belongs."""
     try:
         at = date(year, month, day).toordinal()
     except ValueError:
         return None
-    if not FIRST_DAY <= at <= LAST_DAY:
-        return None
-    return date.fromordinal(FIRST_DAY + move("date", LAST_DAY - FIRST_DAY + 1, at - FIRST_DAY))
+    ends = [first for _, first in SPANS[1:]] + [date.max.toordinal() + 1]
+    kind, first, end = next((k, f, e) for (k, f), e in zip(SPANS, ends) if f <= at < e)
+    while True:
+        at = first + move(kind, end - first, at - first)
+        if date.fromordinal(at).month in months:
+            return date.fromordinal(at)
 
 
 def iso_date(text: str, move: Callable) -> str | None:
@@ -223,20 +228,56 @@ def day_first(text: str, move: Callable) -> str | None:
     return None
 
 
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Month names by language, and the English short forms. Fixed values.
+MONTHS = {
+    "en": "January February March April May June July August September October November December",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec",
+}
+_MONTHS = {form: [n.lower() for n in names.split()] for form, names in MONTHS.items()}
+#: What a name is read as: its form and number. A name of several forms counts for the first.
+_READ = {name: (form, i) for form, names in reversed(_MONTHS.items()) for i, name in enumerate(names, 1)}
+_NAMES = "|".join(sorted(_READ, key=lambda n: (-len(n), n)))
+_DAY_NAME = re.compile(rf"(?i)(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th|er|\.)?(?P<a> (?:de |of )?)(?P<m>{_NAMES})(?P<b>\.?,? (?:de |del )?)(?P<y>\d{{4}})")
+_NAME_DAY = re.compile(rf"(?i)(?P<m>{_NAMES})(?P<a>\.? )(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?P<b>,? )(?P<y>\d{{4}})")
+
+
+def _bare(pattern: re.Pattern) -> str:
+    """The pattern without its flag and group names, to be part of another."""
+    return "(?i:" + re.sub(r"\?P<\w+>", "?:", pattern.pattern.removeprefix("(?i)")) + ")"
+
+
+def _ordinal(day: int, like: str) -> str:
+    """The English ending of a day, where ``like`` is one; other marks stay."""
+    if like.lower() not in ("st", "nd", "rd", "th"):
+        return like
+    end = "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+    return end.upper() if like.isupper() else end
 
 
 def month_name(text: str, move: Callable) -> str | None:
-    words = re.findall(r"\w+", text)
-    name = next(w for w in words if w[0].isalpha())
-    day, year = (int(w) for w in words if w[0].isdigit())
-    d = _moved_day(year, MONTHS.index(name) + 1, day, move)
+    """A day, a month's name and a year, in either order; the name stays in its language and case."""
+    found = _DAY_NAME.fullmatch(text)
+    name_first = found is None
+    found = found or _NAME_DAY.fullmatch(text)
+    name = found["m"]
+    if name.lower() not in _READ or name not in (name.lower(), name.upper(), name.capitalize()):
+        return None  # letters that only look alike, or a mix of cases that no pseudonym could keep
+    form, month = _READ[name.lower()]
+    # Only months whose names are read as this form, so that the pseudonym is read back as what it is.
+    months = [i for i, n in enumerate(_MONTHS[form], 1) if _READ[n] == (form, i)]
+    d = _moved_day(int(found["y"]), month, int(found["d"]), move, months)
     if d is None:
         return None
-    return f"{d.day} {MONTHS[d.month - 1]} {d.year}" if words[0] != name else f"{MONTHS[d.month - 1]} {d.day}, {d.year}"
+    new = _MONTHS[form][d.month - 1]
+    new = new.upper() if name.isupper() else new.capitalize() if name[0].isupper() else new
+    day = f"{d.day}{_ordinal(d.day, found['o'] or '')}"
+    first, second = (new, day) if name_first else (day, new)
+    return f"{first}{found['a']}{second}{found['b']}{d.year:04d}"
 
 
-_NAMES = "|".join(MONTHS)
 #: (kind, characters of which the text must hold one (#: any digit), pattern, pseudonym function), in order of precedence.
 KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = tuple(
     (kind, need, re.compile(pattern), change)
@@ -247,7 +288,7 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = tuple(
         ("ip", "#", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", ip),
         ("date", "#", r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{4}/\d{2}/\d{2}(?![\d/])", iso_date),
         ("date", "#", r"(?<![\d./])(?:\d{1,2}\.\d{1,2}\.\d{4}(?!\d)|\d{1,2}/\d{1,2}/\d{4}(?![\d/]))", day_first),
-        ("date", "#", rf"\b(?:\d{{1,2}} (?:{_NAMES}) \d{{4}}|(?:{_NAMES}) \d{{1,2}}, \d{{4}})\b", month_name),
+        ("date", "#", rf"\b(?:{_bare(_DAY_NAME)}|{_bare(_NAME_DAY)})\b", month_name),
         ("ssn", "#", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", ssn),
         ("iban", "#", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
         ("card", "#", r"(?<![\d.+-])(?:\d{13,19}|(?:\d{4}[ -]){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)", card),

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -137,6 +138,30 @@ def test_values_without_separators_or_before_capitals_are_found():
     assert P.pseudonymise("mypassword=hunter22x and ES91 2100 0418 4502 0005 1333 BIC", move)[1] == []
 
 
+def test_dates_of_all_spans_and_month_names():
+    feistel = P.Feistel(b"key")
+    for text, span in (
+        ("1850-05-04", (1, 1899)), ("0999/12/31", (1, 1899)), ("2150-01-01", (2100, 9999)), ("31.12.9999", (2100, 9999)), ("1900-01-01", (1900, 2099)),
+        ("5. März 2020", (1900, 2099)), ("3 mars 1999", (1900, 2099)), ("Jan 5, 2020", (1900, 2099)), ("5 january 2020", (1900, 2099)),
+        ("1 de enero de 1850", (1, 1899)), ("Sept 5, 2020", None), ("12 DÉCEMBRE 2001", (1900, 2099)), ("3 Feb. 1987", (1900, 2099)), ("jUne 5, 2020", None),
+        ("30 février 2020", None),
+    ):
+        out, found = P.pseudonymise(f"on {text} it", feistel.permute)
+        assert len(found) == (span is not None), text
+        if span:
+            new = found[0]["pseudonym"]
+            assert out == f"on {new} it" and new != text and span[0] <= int(re.search(r"\d{4}", new)[0]) <= span[1]
+            assert re.sub(r"\d", "", re.sub(r"[^\W\d]+", "a", new)) == re.sub(r"\d", "", re.sub(r"[^\W\d]+", "a", text))
+            assert P.pseudonymise(new, feistel.invert)[0] == text, (text, new)
+    out, found = P.pseudonymise("5th January 2020", feistel.permute)
+    assert re.fullmatch(r"(\d*1st|\d*2nd|\d*3rd|\d+th) [A-Z][a-z]+ \d{4}", out) and found[0]["kind"] == "date"
+    names = [n for form in P.MONTHS.values() for n in form.split()]
+    for name in names:
+        for text in (f"7 {name} 1950", f"7 {name.upper()} 1950", f"7 {name.lower()} 1950"):
+            new = P.pseudonymise(text, feistel.permute)[0]
+            assert new != text and P.pseudonymise(new, feistel.invert)[0] == text
+
+
 def test_pseudonymise_documents(spark):
     docs = spark.createDataFrame([(1, "at 10.1.2.3", 5), (1, "at 10.1.2.3", 5), (2, None, 6), (None, "a@b.org", 7)], "doc_id bigint, text string, found bigint")
     out = P.pseudonymise_documents(docs, b"key").collect()
