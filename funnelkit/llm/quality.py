@@ -188,7 +188,8 @@ def fit_quality(
                 [batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"]
             )
 
-    rows = sample.mapInArrow(run, "doc_id long, y int, x array<double>").toPandas()
+    # One row per id, whatever the number of documents that have it: the driver gets at most ``max_rows``.
+    rows = sample.mapInArrow(run, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
     return fit_trees(x, rows["y"].to_numpy(dtype=np.float64))
@@ -212,7 +213,8 @@ def score_quality(docs: DataFrame, trees: Trees, held_out=HELD_OUT, id_col: str
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted.
 
-    Empty and null texts have all statistics 0 and are scored like any other. Labels that are null
+    Empty and null texts have all statistics 0 and are scored like any other. Rows that repeat an id are scored each;
+    of a labelled id one row is learned from (the one with the least statistics, in order). Labels that are null
     or neither 0 nor 1, or have no document, are not learned from. Without usable
     labels every score is 0.5. An empty table gives an empty result.
     """

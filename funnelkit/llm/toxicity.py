@@ -242,7 +242,9 @@ def fit_toxicity(
     )
     totals = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     first = lambda y: usable.filter(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_label)
-    sample = materialize(spark, texts.join(F.broadcast(first(0).union(first(1))), "doc_id"), "examples")
+    # One text per id, whatever the number of documents that have it, so that the sample is bounded.
+    labelled = texts.join(F.broadcast(first(0).union(first(1))), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = materialize(spark, labelled, "examples")
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
@@ -313,7 +315,8 @@ def toxicity_scores(
     and cosine, nearest first).
 
     A text without any word of the examples (null and empty ones too) has no evidence and the score
-    of such texts among the examples; words that no example has count for nothing. Labels that are null or neither 0 nor 1, or have no
+    of such texts among the examples; words that no example has count for nothing. Rows that repeat an id are scored
+    each; of a labelled id the least text is an example. Labels that are null or neither 0 nor 1, or have no
     document, are not learned from; without labels of both kinds every score is 0.5 or
     the smoothed share of the one label. An empty table gives an empty result.
     """

@@ -281,3 +281,19 @@ def test_folds_follow_the_checksum(spark, fold, modulus, rest):
 
     got = {r.id: r.h for r in spark.range(200).select("id", fold(F.col("id")).alias("h")).collect()}
     assert got == {i: crc32(str(i).encode()) % modulus == rest for i in range(200)}
+
+
+def test_a_labelled_id_with_many_rows_is_one_example(spark):
+    """A third of the rows under one labelled id: the sample stays bounded, and the model does not see them all."""
+    from funnelkit.llm import quality as Q
+
+    rows = [(i, prose(i, 30)) for i in range(60)] + [(3, prose(100 + i, 20)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    model = T.fit_toxicity(spark, docs, labels)
+    assert len(model.ids) == len(set(model.ids.tolist())) <= 60
+    for scores in (T.toxicity_scores(spark, docs, labels), Q.quality_scores(spark, docs, labels)):
+        assert scores.count() == 120
+    least = {i: min(t for d, t in rows if d == i) for i in range(60)}
+    single = spark.createDataFrame(sorted(least.items()), "doc_id bigint, text string")
+    assert T.fit_toxicity(spark, single, labels).ids.tolist() == model.ids.tolist()
