@@ -24,11 +24,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a fresh scratch folder only where it
-    is unset (a local test run)."""
+    is unset and the master is local (a test run)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="funnelkit-shared-"))
         d = context.getCheckpointDir()
     return d
