@@ -1,14 +1,13 @@
 """Operator 5: toxicity from the nearest labelled examples.
 
-Terms are lower-cased words and word beginnings. A bounded sample of labelled examples gives
-the vocabulary (every term of theirs) and the index; inverse document frequencies are counted over
-all documents. A term weighs by them and by how strongly its presence goes with the label in the
-examples; none weighs nothing. A document's ``k`` nearest examples by the cosine of these weights are found
-exactly: the most frequent terms are a matrix multiplied with many documents at a time, the others
-an inverted index, and whatever may be among the nearest is scored again in double precision. Votes
-weighted by closeness give a raw score, and a logistic curve, fitted to the
-leave-one-out votes of the examples themselves, turns it into a probability. The
-neighbours are the evidence.
+Terms are lower-cased words and word beginnings, weighted by term and inverse document frequency. A
+bounded sample of labelled examples gives the vocabulary (every term of theirs) and the index; document
+frequencies are counted over all documents. A document's ``k`` nearest examples of either label by the cosine
+are found exactly with a block-max index. Each votes for its label by its closeness and by how
+much of the cosine comes from terms that go with this label; a logistic curve, fitted to the
+leave-one-out votes of the examples themselves, turns the votes into a probability. The
+neighbours are the evidence. Whatever is chosen by labels (associations, curve) is learned from the examples,
+none of which is held out.
 """
 
 from __future__ import annotations
@@ -25,12 +24,16 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import id_and_text, materialize, parts_of
 
 PER_LABEL = 6_000  # most examples of a label
-FLOOR = 0.05  # weight of a term without any association with the label
-AGAINST = 0.3  # how much the association of terms with label 0 counts
+SIGNIFICANT = 15.0  # log-likelihood ratio of a term with the label that chance gives one term in 10,000
+ALONE = 0.002  # vote of closeness alone, beside that of the terms that go with the label
+UNKNOWN = 0.0002  # votes of the examples without any neighbour
 PREFIX = 4
-NEIGHBOURS = 15
-BLOCK = 1_024  # most frequent terms, whose weights are kept as a matrix
-TOGETHER = 64  # queries multiplied with it at a time
+NEIGHBOURS = 15  # of each label
+WIDTH = 32  # examples of a block
+FIRST = 3  # blocks of highest bound, beside those that k examples fill, that are opened first
+COMMON = 16  # terms in more than one in so many examples are bounded block by block
+MOST_COMMON = 2_048  # terms at most
+TOGETHER = 256  # queries searched at a time
 ROUNDING = 1e-4  # relative, of a sum of some thousand products in single precision
 
 #: A-Z to lower case, ASCII marks and digits to spaces.
@@ -75,74 +78,179 @@ class Vocabulary:
 Vector = tuple[np.ndarray, np.ndarray]  # terms, weights
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _like_together(rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+    """Blocks of rows that are like each other: halved across the direction in which they spread
+    most (some steps of power iteration), until a block is left."""
+    if len(rows) <= WIDTH:
+        return [rows] if len(rows) else []
+    apart = weights[rows] - weights[rows].mean(axis=0)
+    along = apart[np.argmax((apart * apart).sum(axis=1))]
+    for _ in range(4):
+        along = apart.T @ (apart @ along)
+        along /= np.linalg.norm(along) + 1e-12
+    rows = rows[np.argsort(apart @ along, kind="stable")]
+    half = -(-len(rows) // (2 * WIDTH)) * WIDTH
+    return _like_together(rows[:half], weights) + _like_together(rows[half:], weights)
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples in two parts: the weights of the terms below ``block`` (the most frequent ones) as a matrix
-    that is multiplied with many queries at a time, the other terms as postings. Single precision
-    finds all examples that may be among the nearest; those are scored in double precision."""
+    """Examples in blocks of like ones of one label. The postings of common terms are kept block by
+    block with each term's largest weight there; those of the other terms, which few examples hold,
+    as one list a term.
+
+    A search sums the other terms first. A block's bound is the largest such sum in it and,
+    of every common term of the query, the block's largest weight; common terms are summed only in
+    blocks whose bound reaches the k-th best of some examples scored at once, all other
+    blocks are skipped. Single precision leaves all that may be among the nearest; those are scored in double precision.
+    """
 
-    size: int  # examples
-    dense: np.ndarray  # examples x terms below block
+    example: np.ndarray  # of each row
+    groups: list[tuple[int, int]]  # rows of each label
+    blocks: np.ndarray  # first row of each block
+    dense: np.ndarray  # rows x common terms
+    largest: np.ndarray  # blocks x common terms
     starts: np.ndarray  # postings of each other term
     rows: np.ndarray
     weights: np.ndarray
-    example_starts: np.ndarray  # whole vectors of the examples
-    example_terms: np.ndarray
-    example_weights: np.ndarray
+    common_starts: np.ndarray  # common terms of the rows, in double precision
+    common_terms: np.ndarray
+    common_weights: np.ndarray
+    lean_starts: np.ndarray  # terms of the rows that go with the label, weights times how far they do
+    lean_terms: np.ndarray
+    lean_weights: np.ndarray
+    seen: int = 0  # blocks times queries so far
+    opened: int = 0
 
     @classmethod
-    def build(cls, vectors: Sequence[dict[int, float] | Vector], n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+    def build(
+        cls, vectors: Sequence[dict[int, float] | Vector], n_terms: int,
+        labels: np.ndarray | None = None, lean: np.ndarray | None = None, block: int | None = None,
+    ) -> BlockMaxIndex:
+        """``block`` most frequent terms (the first ones) are the common ones; ``lean`` is each term's
+        association with label 1 (above 0) or 0 (below)."""
         vectors = [_vector(v) for v in vectors]
-        ends = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
+        labels = np.zeros(len(vectors)) if labels is None else np.asarray(labels)
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
         terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        row = np.repeat(np.arange(len(vectors), dtype=np.int32), np.diff(ends))
+        if block is None:
+            held = np.bincount(terms, minlength=n_terms)
+            block = min(MOST_COMMON, int((held > len(vectors) / COMMON).sum()))
         block = min(block, n_terms)
+
         dense = np.zeros((len(vectors), block), np.float32)
-        common = terms < block
+        row, common = np.repeat(np.arange(len(vectors)), sizes), terms < block
         dense[row[common], terms[common]] = weights[common]
-        order = np.flatnonzero(~common)
+        parts = [_like_together(np.flatnonzero(labels == y), dense) for y in np.unique(labels)]
+        ends = np.cumsum([0] + [sum(map(len, p)) for p in parts]).tolist()
+        example = np.concatenate([np.zeros(0, np.int64), *(b for p in parts for b in p)]).astype(np.int64)
+        blocks = np.cumsum([0] + [len(b) for p in parts for b in p])
+
+        first = np.cumsum(sizes) - sizes
+        moved = _ranges(first[example], sizes[example])
+        terms, weights, sizes, dense = terms[moved], weights[moved], sizes[example], dense[example]
+        row, common = np.repeat(np.arange(len(example), dtype=np.int32), sizes), terms < block
+        order = np.flatnonzero(terms >= block)
         order = order[np.argsort(terms[order], kind="stable")]
-        starts = np.searchsorted(terms[order], np.arange(block, n_terms + 1))
-        return cls(len(vectors), dense, starts, row[order], weights[order].astype(np.float32), ends, terms, weights)
+        leans = np.zeros(len(terms)) if lean is None else lean[terms] * np.where(labels[example] == 1, 1.0, -1.0)[row]
+        going = np.flatnonzero(leans > 0)
+        return cls(
+            example, list(zip(ends[:-1], ends[1:])), blocks, dense,
+            np.maximum.reduceat(dense, blocks[:-1]) if len(example) else dense,
+            np.searchsorted(terms[order], np.arange(block, n_terms + 1)), row[order], weights[order],
+            np.searchsorted(row[common], np.arange(len(example) + 1)), terms[common], weights[common],
+            np.searchsorted(row[going], np.arange(len(example) + 1)), terms[going], weights[going] * leans[going],
+        )
 
     def nearest(self, query: dict[int, float] | Vector, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine as (cosine, example), ties to the smaller
-        example."""
-        return next(self.nearest_of_each([query], k, [skip]))
-
-    def nearest_of_each(self, queries: Sequence[dict[int, float] | Vector], k: int, skips: Sequence[int] | None = None) -> Iterator[list[tuple[float, int]]]:
-        """``nearest`` of many queries, in order. Exact: weights are positive, so a sum in single
-        precision is off by less than ``ROUNDING`` of itself, and all examples within twice
-        that of the k-th best are scored again."""
-        block = self.dense.shape[1]
-        exact = np.zeros(block + len(self.starts) - 1)
+        """The k examples (of each label) of largest positive cosine as (cosine, example), ties to the
+        smaller example."""
+        return [(c, i) for c, i, _ in next(self.nearest_of_each([query], k, [skip]))]
+
+    def nearest_of_each(
+        self, queries: Sequence[dict[int, float] | Vector], k: int, skips: Sequence[int] | None = None
+    ) -> Iterator[list[tuple[float, int, float]]]:
+        """``nearest`` of many queries, in order, with the part of the cosine that terms going with the
+        example's label give, each times how far it does. Exact: weights are positive, so a sum in
+        single precision is off by less than ``ROUNDING`` of itself, and what is within twice that of
+        the k-th best is scored again."""
+        exact = np.zeros(self.dense.shape[1] + len(self.starts) - 1)
+        where = np.argsort(self.example)  # row of each example
         for at in range(0, len(queries), TOGETHER):
             some = [_vector(q) for q in queries[at : at + TOGETHER]]
-            common = np.zeros((len(some), block), np.float32)
+            left = [-1] * len(some) if skips is None else [int(where[i]) if i >= 0 else -1 for i in skips[at : at + TOGETHER]]
+            rare, about, least = self._search(some, k, left)
             for j, (terms, weights) in enumerate(some):
-                low = terms < block
-                common[j, terms[low]] = weights[low]
-            near = common @ self.dense.T
-            for j, (terms, weights) in enumerate(some):
-                about = near[j].astype(np.float64)
-                low = terms >= block
-                rare = terms[low] - block
-                a, b = self.starts[rare], self.starts[rare + 1]
-                sizes = b - a
-                where = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                about += np.bincount(self.rows[where], self.weights[where] * np.repeat(weights[low], sizes), minlength=self.size)
-                if skips is not None and skips[at + j] >= 0:
-                    about[skips[at + j]] = 0.0
-                least = np.partition(about, self.size - k)[self.size - k] if self.size > k else 0.0
-                chosen = np.flatnonzero((about > 0) & (about >= least * (1 - 2 * ROUNDING)))
                 exact[terms] = weights
                 best = []
-                for i in chosen.tolist():
-                    x, y = self.example_starts[i], self.example_starts[i + 1]
-                    best.append((-float((self.example_weights[x:y] * exact[self.example_terms[x:y]]).sum()), i))
+                for g, (low, high) in enumerate(self.groups):
+                    rows = low + np.flatnonzero(about[j, low:high] >= max(least[j, g], np.finfo(np.float32).tiny))
+                    if len(rows) > k:
+                        kth = np.partition(about[j, rows], len(rows) - k)[len(rows) - k]
+                        rows = rows[about[j, rows] >= kth * (1 - 2 * ROUNDING)]
+                    best += self._score(rows, rare[j], exact, k)
+                yield [(-c, i, lean) for c, i, lean in sorted(best)]
                 exact[terms] = 0.0
-                yield [(-c, i) for c, i in sorted(best)[:k]]
+
+    def _search(self, queries: list[Vector], k: int, left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query and row the sum of the other terms and the cosine in single precision, whole where
+        a block was opened; what the k nearest of each group have at least."""
+        block, size = self.dense.shape[1], len(self.example)
+        common = np.zeros((len(queries), block), np.float32)
+        sums = np.zeros((len(queries), size))
+        for j, (terms, weights) in enumerate(queries):
+            split = int(np.searchsorted(terms, block))  # terms are in order
+            common[j, terms[:split]] = weights[:split]
+            rare = terms[split:] - block
+            lists = list(zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist()))
+            if lists:
+                times = np.repeat(weights[split:], [y - x for x, y in lists])
+                times *= np.concatenate([self.weights[x:y] for x, y in lists])
+                sums[j] = np.bincount(np.concatenate([self.rows[x:y] for x, y in lists]), times, minlength=size)
+            if left[j] >= 0:
+                sums[j, left[j]] = -np.inf
+        about = sums.astype(np.float32)
+        least = np.zeros((len(queries), len(self.groups)), np.float32)
+        if not size:
+            return sums, about, least
+        bound = np.maximum.reduceat(about, self.blocks[:-1], axis=1) + common @ self.largest.T
+        need = np.zeros(bound.shape, bool)
+        for g, (low, high) in enumerate(self.groups):
+            mine = slice(*np.searchsorted(self.blocks, (low, high)))
+            if high - low > k:  # the k-th best in the blocks of highest bound, which the k-th best of all is not below
+                n = min(FIRST + -(-k // WIDTH), mine.stop - mine.start)
+                first = mine.start + np.argsort(-bound[:, mine], axis=1, kind="stable")[:, :n]
+                for j, some in enumerate(first.tolist()):
+                    rows = [slice(self.blocks[b], self.blocks[b + 1]) for b in some]
+                    whole = np.concatenate([about[j, r] + self.dense[r] @ common[j] for r in rows])
+                    if len(whole) >= k:
+                        least[j, g] = np.partition(whole, len(whole) - k)[len(whole) - k]
+                least[:, g] = np.maximum(least[:, g], 0) * (1 - 2 * ROUNDING)
+            need[:, mine] = (bound[:, mine] * (1 + ROUNDING) >= least[:, g : g + 1]) & (bound[:, mine] > 0)
+        self.seen, self.opened = self.seen + need.size, self.opened + int(need.sum())
+        for b in np.flatnonzero(need.any(axis=0)).tolist():
+            who, rows = np.flatnonzero(need[:, b]), slice(self.blocks[b], self.blocks[b + 1])
+            about[who, rows] += common.take(who, axis=0) @ self.dense[rows].T
+        return sums, about, least
+
+    def _score(self, rows: np.ndarray, rare: np.ndarray, query: np.ndarray, k: int) -> list[tuple[float, int, float]]:
+        """The k best of some rows by double precision: cosine (negative), example, lean."""
+        found = []
+        for row in rows.tolist():
+            x, y = self.common_starts[row], self.common_starts[row + 1]
+            cosine = float(rare[row] + self.common_weights[x:y] @ query[self.common_terms[x:y]])
+            found.append((-min(1.0, cosine), int(self.example[row]), row))
+        best = []
+        for c, i, row in sorted(found)[:k]:
+            x, y = self.lean_starts[row], self.lean_starts[row + 1]
+            best.append((c, i, float(self.lean_weights[x:y] @ query[self.lean_terms[x:y]])))
+        return best
 
 
 def _vector(v: dict[int, float] | Vector) -> Vector:
@@ -159,7 +267,6 @@ class ToxicityModel:
     index: BlockMaxIndex
     ids: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # how many labelled rows an example stands for
     prior: float
     slope: float = 1.0
     shift: float = 0.0
@@ -172,12 +279,13 @@ class ToxicityModel:
         raw /= np.sqrt(np.bincount(text, raw * raw, minlength=n_texts))[text]
         return [(terms[a:b], raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Share of label 1 among the neighbours, each weighted by its closeness; one vote's worth
-        of what documents without any neighbour are is mixed in."""
-        yes, total = self.prior, 1.0
-        for cosine, i in near:
-            w = cosine * self.weights[i] / (1.05 - cosine)
+    def vote(self, near: list[tuple[float, int, float]]) -> float:
+        """Share of label 1 among the votes. An example votes by its closeness and by the part of the
+        cosine whose terms go with its label; a few votes of what documents without any
+        neighbour are get mixed in."""
+        yes, total = UNKNOWN * self.prior, UNKNOWN
+        for cosine, i, lean in near:
+            w = (ALONE + lean) * cosine / (1.05 - cosine)
             yes, total = yes + w * self.labels[i], total + w
         return float(np.clip(yes / total, 1e-6, 1 - 1e-6))
 
@@ -185,7 +293,7 @@ class ToxicityModel:
         z = self.slope * np.log(vote / (1 - vote)) + self.shift
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[float, int]]]]:
+    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[float, int, float]]]]:
         """Probability and nearest examples of each text."""
         vectors = self.vectors(len(texts), *self.vocabulary.counts(texts))
         return [(self.probability(self.vote(near)), near) for near in self.index.nearest_of_each(vectors, self.k)]
@@ -203,12 +311,10 @@ def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: in
 
 
 def association(pos: np.ndarray, n: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
-    """Factor of each term's weight, ``FLOOR`` to ``FLOOR`` + 1: by the root of its log-likelihood ratio
-    with the label, less for terms that speak for label 0. No term gets 0."""
-    if not (n_pos and n_neg):
-        return np.ones(len(n))
-    g = np.sqrt(np.maximum(log_likelihood_ratio(pos, n - pos, n_pos, n_neg), 0.0))
-    return FLOOR + np.where(pos * n_neg >= (n - pos) * n_pos, 1.0, AGAINST) * g / max(g.max(initial=0.0), 1e-9)
+    """Log odds ratio of each term with label 1, 0 where chance may explain it."""
+    g = log_likelihood_ratio(pos, n - pos, n_pos, n_neg)
+    ratio = np.log((pos + 0.5) * (n_neg + 1) / ((n - pos + 0.5) * (n_pos + 1)))
+    return np.where(g >= SIGNIFICANT, ratio, 0.0)
 
 
 def calibrate(votes: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -297,12 +403,13 @@ def fit_toxicity(
     counted = [counted[i] for i in order]
     per = {c: totals.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)}
     weights = np.array([per[int(c)] for c in y], dtype=float)
-    model = ToxicityModel(vocabulary, idf * association(pos, n, n_pos, n_neg), BlockMaxIndex.build([], 0), ids, y, weights, 0.5)
+    model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build([], 0), ids, y, 0.5)
     vectors = [v for t, c in counted for v in model.vectors(1, np.zeros(len(t), np.int64), t, c)]
     lone = np.array([not len(t) for t, _ in vectors], dtype=bool)
     model.prior = float(((weights * y)[lone].sum() + 0.5) / (weights[lone].sum() + 1)) if len(ids) else 0.5
-    model.index = BlockMaxIndex.build(vectors, vocabulary.size)
-    if n_pos and n_neg:
+    both = bool(n_pos and n_neg)
+    model.index = BlockMaxIndex.build(vectors, vocabulary.size, y, association(pos, n, n_pos, n_neg) if both else None)
+    if both:
         votes = np.array([model.vote(near) for near in model.index.nearest_of_each(vectors, model.k, range(len(vectors)))])
         model.slope, model.shift = calibrate(votes, y, weights)
     return model
@@ -328,7 +435,7 @@ def toxicity_scores(
         for batch in parts_of(batches):
             found = m.scores(batch.column("text").cast(pa.binary()).to_pylist())
             scores = [s for s, _ in found]
-            evidence = [[{"doc_id": int(m.ids[i]), "cosine": c} for c, i in near] for _, near in found]
+            evidence = [[{"doc_id": int(m.ids[i]), "cosine": c} for c, i, _ in near] for _, near in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],

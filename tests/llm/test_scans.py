@@ -190,6 +190,46 @@ def test_block_max_index_is_exact():
         assert all(abs(-dict((i, c) for c, i in scan)[i] - c) < 1e-9 for c, i in got)
 
 
+def _topics(n, seed):
+    """Unit vectors of 6 topics over 20 shared terms, 30 of the topic and some that few hold."""
+    r, vectors = np.random.default_rng(seed), []
+    for i in range(n):
+        own = 20 + 30 * (i % 6) + r.choice(30, 12, replace=False)
+        terms = np.concatenate([r.choice(20, 8, replace=False), own, 200 + r.choice(400, 3, replace=False)])
+        w = np.where(terms < 20, 0.3, 1.0) * (0.2 + r.random(len(terms)))
+        vectors.append({int(t): float(x) for t, x in zip(terms, w / np.sqrt((w**2).sum()))})
+    return vectors
+
+
+def test_block_max_index_skips_blocks_and_finds_what_a_scan_finds():
+    vectors, labels = _topics(3_000, 1), np.arange(3_000) % 4 == 0
+    lean = np.random.default_rng(2).normal(size=600)
+    index = T.BlockMaxIndex.build(vectors, 600, labels.astype(float), lean, block=200)
+    dense = np.zeros((3_000, 600))
+    for i, v in enumerate(vectors):
+        dense[i, list(v)] = list(v.values())
+    queries = [*_topics(300, 3), {}, vectors[5]]
+    for query, got in zip(queries, index.nearest_of_each(queries, 15), strict=True):
+        q = np.zeros(600)
+        q[list(query)] = list(query.values())
+        cosines, expected = dense @ q, []
+        for y in (False, True):
+            some = np.flatnonzero((labels == y) & (cosines > 0))
+            expected += [(-cosines[i], i) for i in some[np.lexsort((some, -cosines[some]))][:15]]
+        assert [i for _, i, _ in got] == [i for _, i in sorted(expected)]
+        assert np.allclose([c for c, _, _ in got], [-c for c, _ in sorted(expected)], atol=1e-12)
+        for _, i, share in got:
+            assert share == pytest.approx((dense[i] * q * np.maximum(lean if labels[i] else -lean, 0)).sum(), abs=1e-12)
+    assert index.seen == 302 * len(index.largest) and 0 < index.opened < 0.5 * index.seen
+    whole = T.BlockMaxIndex.build(vectors, 600, labels.astype(float), lean)
+    assert [[i for _, i, _ in x] for x in whole.nearest_of_each(queries, 15)] == [[i for _, i, _ in x] for x in index.nearest_of_each(queries, 15)]
+
+
+def test_association_is_none_where_chance_explains_it():
+    lean = T.association(np.array([40.0, 0.0, 2.0, 5.0]), np.array([40.0, 60.0, 2.0, 50.0]), 50, 450)
+    assert lean[0] > 2 and lean[2] == lean[3] == 0 and lean[1] == 0 < -T.association(np.array([0.0]), np.array([300.0]), 50, 450)[0]
+
+
 def _held_out(scores, labels, name):
     y = {r.doc_id: r[name] for r in labels.collect()}
     rows = [(r.score, r.predicted, y[r.doc_id]) for r in scores.filter("held_out").collect() if y.get(r.doc_id) is not None]
