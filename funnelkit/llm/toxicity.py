@@ -27,6 +27,7 @@ PER_LABEL = 6_000  # most examples of a label
 SIGNIFICANT = 15.0  # log-likelihood ratio of a term with the label that chance gives one term in 10,000
 ALONE = 0.002  # vote of closeness alone, beside that of the terms that go with the label
 UNKNOWN = 0.0002  # votes of the examples without any neighbour
+BATCH = 1 << 22  # bytes of text that are looked up at a time
 PREFIX = 4
 NEIGHBOURS = 15  # of each label
 WIDTH = 32  # examples of a block
@@ -56,8 +57,10 @@ def term_set(text: bytes) -> set[bytes]:
 
 class Vocabulary:
     def __init__(self, terms: list[bytes]) -> None:
-        self.words = {t: i for i, t in enumerate(terms) if t[:1] != b"^"}
-        self.starts = {t[1:]: i for i, t in enumerate(terms) if t[:1] == b"^"}
+        start = np.array([t.startswith(b"^") for t in terms], bool)
+        self.words = pa.array([t for t in terms if not t.startswith(b"^")], pa.binary())
+        self.starts = pa.array([t[1:] for t in terms if t.startswith(b"^")], pa.binary())
+        self.word_terms, self.start_terms = (np.append(np.flatnonzero(x), -1) for x in (~start, start))
         self.size = len(terms)
 
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,21 +69,22 @@ class Vocabulary:
         split = pc.ascii_split_whitespace(pa.array([t.translate(FOLD) for t in texts], pa.binary()).view(pa.string()))
         text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
         coded = pc.list_flatten(split).dictionary_encode()
-        words = coded.dictionary.view(pa.binary()).to_pylist()
-        code = coded.indices.to_numpy()
-        word = np.array([self.words.get(w, -1) for w in words], np.int64)
-        start = np.array([self.starts.get(w[:PREFIX], -1) if len(w) > PREFIX else -1 for w in words], np.int64)
+        words, code = coded.dictionary.view(pa.binary()), coded.indices.to_numpy()
+        long = pc.binary_length(words).to_numpy(zero_copy_only=False) > PREFIX
+        start = pc.binary_slice(words, 0, PREFIX).dictionary_encode()
+        word = self.word_terms[_found(words, self.words)]
+        start = np.where(long, self.start_terms[_found(start.dictionary, self.starts)][start.indices.to_numpy()], -1)
         keys = [(text * self.size + x[code])[x[code] >= 0] for x in (word, start)]
         keys, n = np.unique(np.concatenate(keys), return_counts=True)
         return keys // max(1, self.size), (keys % max(1, self.size)).astype(np.int32), n
 
 
-Vector = tuple[np.ndarray, np.ndarray]  # terms, weights
+def _found(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Position of each word among the known ones, -1 for others."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one range after the other."""
-    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+Vector = tuple[np.ndarray, np.ndarray]  # terms, weights
 
 
 def _like_together(rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
@@ -136,36 +140,35 @@ class BlockMaxIndex:
         association with label 1 (above 0) or 0 (below)."""
         vectors = [_vector(v) for v in vectors]
         labels = np.zeros(len(vectors)) if labels is None else np.asarray(labels)
-        sizes = np.array([len(t) for t, _ in vectors], np.int64)
-        terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
-        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
         if block is None:
-            held = np.bincount(terms, minlength=n_terms)
+            held = np.zeros(n_terms, np.int64)
+            for terms, _ in vectors:
+                held[terms] += 1
             block = min(MOST_COMMON, int((held > len(vectors) / COMMON).sum()))
         block = min(block, n_terms)
-
         dense = np.zeros((len(vectors), block), np.float32)
-        row, common = np.repeat(np.arange(len(vectors)), sizes), terms < block
-        dense[row[common], terms[common]] = weights[common]
+        for row, (terms, weights) in enumerate(vectors):
+            low = terms < block
+            dense[row, terms[low]] = weights[low]
         parts = [_like_together(np.flatnonzero(labels == y), dense) for y in np.unique(labels)]
         ends = np.cumsum([0] + [sum(map(len, p)) for p in parts]).tolist()
         example = np.concatenate([np.zeros(0, np.int64), *(b for p in parts for b in p)]).astype(np.int64)
         blocks = np.cumsum([0] + [len(b) for p in parts for b in p])
 
-        first = np.cumsum(sizes) - sizes
-        moved = _ranges(first[example], sizes[example])
-        terms, weights, sizes, dense = terms[moved], weights[moved], sizes[example], dense[example]
-        row, common = np.repeat(np.arange(len(example), dtype=np.int32), sizes), terms < block
-        order = np.flatnonzero(terms >= block)
+        terms = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0] for i in example)]).astype(np.int32, copy=False)
+        weights = np.concatenate([np.zeros(0), *(vectors[i][1] for i in example)])
+        row, common = np.repeat(np.arange(len(example), dtype=np.int32), [len(vectors[i][0]) for i in example]), terms < block
+        dense = dense[example]
+        order = np.flatnonzero(~common)
         order = order[np.argsort(terms[order], kind="stable")]
-        leans = np.zeros(len(terms)) if lean is None else lean[terms] * np.where(labels[example] == 1, 1.0, -1.0)[row]
-        going = np.flatnonzero(leans > 0)
+        sign = np.where(labels[example] == 1, 1.0, -1.0)
+        going = np.zeros(0, np.int64) if lean is None else np.flatnonzero(lean[terms] * sign[row] > 0)
         return cls(
             example, list(zip(ends[:-1], ends[1:])), blocks, dense,
             np.maximum.reduceat(dense, blocks[:-1]) if len(example) else dense,
             np.searchsorted(terms[order], np.arange(block, n_terms + 1)), row[order], weights[order],
             np.searchsorted(row[common], np.arange(len(example) + 1)), terms[common], weights[common],
-            np.searchsorted(row[going], np.arange(len(example) + 1)), terms[going], weights[going] * leans[going],
+            np.searchsorted(row[going], np.arange(len(example) + 1)), terms[going], weights[going] * (0.0 if lean is None else np.abs(lean[terms[going]])),
         )
 
     def nearest(self, query: dict[int, float] | Vector, k: int, skip: int = -1) -> list[tuple[float, int]]:
@@ -274,29 +277,34 @@ class ToxicityModel:
 
     def vectors(self, n_texts: int, text: np.ndarray, terms: np.ndarray, n: np.ndarray) -> list[Vector]:
         """Unit vectors of texts, of ``Vocabulary.counts``."""
-        raw = (1 + np.log(n)) * self.idf[terms]
+        raw = 1 + np.log(n)
+        raw *= self.idf[terms]
         ends = np.searchsorted(text, np.arange(n_texts + 1))
         raw /= np.sqrt(np.bincount(text, raw * raw, minlength=n_texts))[text]
         return [(terms[a:b], raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
-    def vote(self, near: list[tuple[float, int, float]]) -> float:
-        """Share of label 1 among the votes. An example votes by its closeness and by the part of the
-        cosine whose terms go with its label; a few votes of what documents without any
-        neighbour are get mixed in."""
-        yes, total = UNKNOWN * self.prior, UNKNOWN
-        for cosine, i, lean in near:
-            w = (ALONE + lean) * cosine / (1.05 - cosine)
-            yes, total = yes + w * self.labels[i], total + w
-        return float(np.clip(yes / total, 1e-6, 1 - 1e-6))
-
-    def probability(self, vote: float) -> float:
-        z = self.slope * np.log(vote / (1 - vote)) + self.shift
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-
-    def scores(self, texts: list[bytes]) -> list[tuple[float, list[tuple[float, int, float]]]]:
+    def votes(self, found: list[list[tuple[float, int, float]]]) -> np.ndarray:
+        """Share of label 1 among the votes of each text's neighbours. An example votes by its closeness
+        and by the part of the cosine whose terms go with its label; a few votes of what documents
+        without any neighbour are get mixed in."""
+        text = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        cosine, example, lean = _columns(found)
+        w = (ALONE + lean) * cosine / (1.05 - cosine)
+        yes, total = (np.bincount(text, x, minlength=len(found)) for x in (w * self.labels[example.astype(int)], w))
+        return np.clip((yes + UNKNOWN * self.prior) / (total + UNKNOWN), 1e-6, 1 - 1e-6)
+
+    def probabilities(self, votes: np.ndarray) -> np.ndarray:
+        z = self.slope * np.log(votes / (1 - votes)) + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[float, int, float]]]]:
         """Probability and nearest examples of each text."""
-        vectors = self.vectors(len(texts), *self.vocabulary.counts(texts))
-        return [(self.probability(self.vote(near)), near) for near in self.index.nearest_of_each(vectors, self.k)]
+        found = list(self.index.nearest_of_each(self.vectors(len(texts), *self.vocabulary.counts(texts)), self.k))
+        return self.probabilities(self.votes(found)), found
+
+
+def _columns(found: list[list[tuple[float, int, float]]]) -> np.ndarray:
+    return np.array([x for near in found for x in near], float).reshape(-1, 3).T
 
 
 def log_likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
@@ -374,7 +382,7 @@ def fit_toxicity(
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(known.value.size + 1, dtype=np.int64), 0
-        for batch in parts_of(batches):
+        for batch in parts_of(batches, size=BATCH):
             df[:-1] += np.bincount(known.value.counts(batch.column("text").cast(pa.binary()).to_pylist())[1], minlength=known.value.size)
             n += len(batch)
         df[-1] = n
@@ -396,21 +404,22 @@ def fit_toxicity(
             )
 
     rows = sample.mapInArrow(counts_of, "doc_id long, y int, terms array<int>, counts array<int>").toArrow()
-    ids = rows["doc_id"].to_numpy()
-    counted = list(zip(*(np.split(pc.list_flatten(rows[c]).to_numpy(), np.cumsum(pc.list_value_length(rows[c]).to_numpy())[:-1]) for c in ("terms", "counts")))) if len(ids) else []
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], *(x.tobytes() for x in counted[i])))
-    ids, y = ids[order], rows["y"].to_numpy()[order].astype(float)
-    counted = [counted[i] for i in order]
-    per = {c: totals.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)}
+    rows = rows.take(np.argsort(rows["doc_id"].to_numpy(), kind="stable")).combine_chunks()
+    ids, y = rows["doc_id"].to_numpy(), rows["y"].to_numpy().astype(float)
+    per = {c: totals.get(c, 0) / max(1, sizes.get(c, 0)) for c in (0, 1)}  # labelled rows that an example stands for
     weights = np.array([per[int(c)] for c in y], dtype=float)
     model = ToxicityModel(vocabulary, idf, BlockMaxIndex.build([], 0), ids, y, 0.5)
-    vectors = [v for t, c in counted for v in model.vectors(1, np.zeros(len(t), np.int64), t, c)]
+    held = np.repeat(np.arange(len(ids)), pc.list_value_length(rows["terms"]).to_numpy())
+    flat = [pc.list_flatten(rows[c]).to_numpy() for c in ("terms", "counts")]
+    del rows, seen
+    vectors = model.vectors(len(ids), held, *flat)
+    del held, flat
     lone = np.array([not len(t) for t, _ in vectors], dtype=bool)
     model.prior = float(((weights * y)[lone].sum() + 0.5) / (weights[lone].sum() + 1)) if len(ids) else 0.5
     both = bool(n_pos and n_neg)
     model.index = BlockMaxIndex.build(vectors, vocabulary.size, y, association(pos, n, n_pos, n_neg) if both else None)
     if both:
-        votes = np.array([model.vote(near) for near in model.index.nearest_of_each(vectors, model.k, range(len(vectors)))])
+        votes = model.votes(list(model.index.nearest_of_each(vectors, model.k, range(len(vectors)))))
         model.slope, model.shift = calibrate(votes, y, weights)
     return model
 
@@ -431,13 +440,13 @@ def toxicity_scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-        for batch in parts_of(batches):
-            found = m.scores(batch.column("text").cast(pa.binary()).to_pylist())
-            scores = [s for s, _ in found]
-            evidence = [[{"doc_id": int(m.ids[i]), "cosine": c} for c, i, _ in near] for _, near in found]
+        for batch in parts_of(batches, size=BATCH):
+            scores, found = m.scores(batch.column("text").cast(pa.binary()).to_pylist())
+            cosine, example, _ = _columns(found)
+            near = pa.StructArray.from_arrays([pa.array(m.ids[example.astype(int)], pa.int64()), pa.array(cosine)], ["doc_id", "cosine"])
+            ends = np.cumsum([0] + [len(x) for x in found]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.ListArray.from_arrays(ends, near)],
                 names=["doc_id", "held_out", "score", "predicted", "evidence"],
             )
 
