@@ -27,14 +27,15 @@ PER_LABEL = 6_000  # most examples of a label
 SIGNIFICANT = 15.0  # log-likelihood ratio of a term with the label that chance gives one term in 10,000
 ALONE = 0.002  # vote of closeness alone, beside that of the terms that go with the label
 UNKNOWN = 0.0002  # votes of the examples without any neighbour
-BATCH = 1 << 22  # bytes of text that are looked up at a time
+BATCH = 6 << 20  # bytes of text that are looked up at a time
 PREFIX = 4
 NEIGHBOURS = 15  # of each label
 WIDTH = 32  # examples of a block
 FIRST = 3  # blocks of highest bound, beside those that k examples fill, that are opened first
-COMMON = 16  # terms in more than one in so many examples are bounded block by block
+SECTION = 1_024  # rows that have their common terms in common
+COMMON = 16  # terms in more than one in so many of these rows are bounded block by block
 MOST_COMMON = 2_048  # terms at most
-TOGETHER = 256  # queries searched at a time
+TOGETHER = 128  # queries searched at a time
 ROUNDING = 1e-4  # relative, of a sum of some thousand products in single precision
 
 #: A-Z to lower case, ASCII marks and digits to spaces.
@@ -102,11 +103,23 @@ def _like_together(rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
     return _like_together(rows[:half], weights) + _like_together(rows[half:], weights)
 
 
+@dataclass
+class Section:
+    """Blocks of like examples and the terms that are common in them."""
+
+    low: int  # rows
+    high: int
+    blocks: slice
+    column: np.ndarray  # of each term, -1 for those that are not common here
+    dense: np.ndarray  # rows x common terms
+    largest: np.ndarray  # blocks x common terms
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples in blocks of like ones of one label. The postings of common terms are kept block by
-    block with each term's largest weight there; those of the other terms, which few examples hold,
-    as one list a term.
+    """Examples in blocks of like ones of one label, and these in sections. The postings of terms that
+    are common in a section are kept block by block with each term's largest weight there; all other
+    postings, of terms that few of its examples hold, as one list a term.
 
     A search sums the other terms first. A block's bound is the largest such sum in it and,
     of every common term of the query, the block's largest weight; common terms are summed only in
@@ -117,13 +130,13 @@ class BlockMaxIndex:
     example: np.ndarray  # of each row
     groups: list[tuple[int, int]]  # rows of each label
     blocks: np.ndarray  # first row of each block
-    dense: np.ndarray  # rows x common terms
-    largest: np.ndarray  # blocks x common terms
-    starts: np.ndarray  # postings of each other term
+    sections: list[Section]
+    section: np.ndarray  # of each block
+    starts: np.ndarray  # other postings of each term
     rows: np.ndarray
     weights: np.ndarray
-    common_starts: np.ndarray  # common terms of the rows, in double precision
-    common_terms: np.ndarray
+    common_starts: np.ndarray  # common terms of the rows (columns of their section), in double precision
+    common_columns: np.ndarray
     common_weights: np.ndarray
     lean_starts: np.ndarray  # terms of the rows that go with the label, weights times how far they do
     lean_terms: np.ndarray
@@ -136,20 +149,20 @@ class BlockMaxIndex:
         cls, vectors: Sequence[dict[int, float] | Vector], n_terms: int,
         labels: np.ndarray | None = None, lean: np.ndarray | None = None, block: int | None = None,
     ) -> BlockMaxIndex:
-        """``block`` most frequent terms (the first ones) are the common ones; ``lean`` is each term's
-        association with label 1 (above 0) or 0 (below)."""
+        """If given, the ``block`` most frequent terms (the first ones) are common in every section. ``lean`` is
+        each term's association with label 1 (above 0) or 0 (below)."""
         vectors = [_vector(v) for v in vectors]
         labels = np.zeros(len(vectors)) if labels is None else np.asarray(labels)
-        if block is None:
-            held = np.zeros(n_terms, np.int64)
-            for terms, _ in vectors:
-                held[terms] += 1
-            block = min(MOST_COMMON, int((held > len(vectors) / COMMON).sum()))
-        block = min(block, n_terms)
-        dense = np.zeros((len(vectors), block), np.float32)
+        held = np.zeros(n_terms, np.int64)
+        for terms, _ in vectors:
+            held[terms] += 1
+        frequent = np.sort(np.argsort(-held, kind="stable")[: min(MOST_COMMON, int((held > len(vectors) / COMMON).sum()))])
+        column = np.full(n_terms, -1)
+        column[frequent] = np.arange(len(frequent))
+        dense = np.zeros((len(vectors), len(frequent)), np.float32)
         for row, (terms, weights) in enumerate(vectors):
-            low = terms < block
-            dense[row, terms[low]] = weights[low]
+            low = column[terms] >= 0
+            dense[row, column[terms[low]]] = weights[low]
         parts = [_like_together(np.flatnonzero(labels == y), dense) for y in np.unique(labels)]
         ends = np.cumsum([0] + [sum(map(len, p)) for p in parts]).tolist()
         example = np.concatenate([np.zeros(0, np.int64), *(b for p in parts for b in p)]).astype(np.int64)
@@ -157,17 +170,34 @@ class BlockMaxIndex:
 
         terms = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0] for i in example)]).astype(np.int32, copy=False)
         weights = np.concatenate([np.zeros(0), *(vectors[i][1] for i in example)])
-        row, common = np.repeat(np.arange(len(example), dtype=np.int32), [len(vectors[i][0]) for i in example]), terms < block
-        dense = dense[example]
+        sizes = [len(vectors[i][0]) for i in example]
+        row, starts = np.repeat(np.arange(len(example), dtype=np.int32), sizes), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        del dense
+        sections, columns = [], np.full(len(terms), -1, np.int16)
+        for low, high in ((a, min(a + SECTION, y)) for x, y in zip(ends[:-1], ends[1:]) for a in range(x, y, SECTION)):
+            here = slice(starts[low], starts[high])
+            held = np.bincount(terms[here], minlength=n_terms)
+            if block is None:
+                some = np.argsort(-held, kind="stable")[: min(MOST_COMMON, int((held > (high - low) / COMMON).sum()))]
+            else:
+                some = np.arange(min(block, n_terms))
+            column = np.full(n_terms, -1, np.int16)
+            column[some] = np.arange(len(some))
+            dense, at = np.zeros((high - low, len(some)), np.float32), column[terms[here]]
+            columns[here] = at
+            dense[row[here][at >= 0] - low, at[at >= 0]] = weights[here][at >= 0]
+            mine = slice(*np.searchsorted(blocks, (low, high)).tolist())
+            sections.append(Section(low, high, mine, column, dense, np.maximum.reduceat(dense, blocks[mine] - low)))
+        common = columns >= 0
         order = np.flatnonzero(~common)
         order = order[np.argsort(terms[order], kind="stable")]
         sign = np.where(labels[example] == 1, 1.0, -1.0)
         going = np.zeros(0, np.int64) if lean is None else np.flatnonzero(lean[terms] * sign[row] > 0)
         return cls(
-            example, list(zip(ends[:-1], ends[1:])), blocks, dense,
-            np.maximum.reduceat(dense, blocks[:-1]) if len(example) else dense,
-            np.searchsorted(terms[order], np.arange(block, n_terms + 1)), row[order], weights[order],
-            np.searchsorted(row[common], np.arange(len(example) + 1)), terms[common], weights[common],
+            example, list(zip(ends[:-1], ends[1:])), blocks, sections,
+            np.repeat(np.arange(len(sections)), [x.blocks.stop - x.blocks.start for x in sections]),
+            np.searchsorted(terms[order], np.arange(n_terms + 1)), row[order].astype(np.int64), weights[order],
+            np.searchsorted(row[common], np.arange(len(example) + 1)), columns[common].astype(np.int64), weights[common],
             np.searchsorted(row[going], np.arange(len(example) + 1)), terms[going], weights[going] * (0.0 if lean is None else np.abs(lean[terms[going]])),
         )
 
@@ -183,7 +213,7 @@ class BlockMaxIndex:
         example's label give, each times how far it does. Exact: weights are positive, so a sum in
         single precision is off by less than ``ROUNDING`` of itself, and what is within twice that of
         the k-th best is scored again."""
-        exact = np.zeros(self.dense.shape[1] + len(self.starts) - 1)
+        exact = np.zeros(len(self.starts) - 1)
         where = np.argsort(self.example)  # row of each example
         for at in range(0, len(queries), TOGETHER):
             some = [_vector(q) for q in queries[at : at + TOGETHER]]
@@ -197,32 +227,45 @@ class BlockMaxIndex:
                     if len(rows) > k:
                         kth = np.partition(about[j, rows], len(rows) - k)[len(rows) - k]
                         rows = rows[about[j, rows] >= kth * (1 - 2 * ROUNDING)]
-                    best += self._score(rows, rare[j], exact, k)
+                    best += self._score(rows, rare[j], exact, terms, k)
                 yield [(-c, i, lean) for c, i, lean in sorted(best)]
                 exact[terms] = 0.0
 
     def _search(self, queries: list[Vector], k: int, left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each query and row the sum of the other terms and the cosine in single precision, whole where
         a block was opened; what the k nearest of each group have at least."""
-        block, size = self.dense.shape[1], len(self.example)
-        common = np.zeros((len(queries), block), np.float32)
+        size = len(self.example)
         sums = np.zeros((len(queries), size))
         for j, (terms, weights) in enumerate(queries):
-            split = int(np.searchsorted(terms, block))  # terms are in order
-            common[j, terms[:split]] = weights[:split]
-            rare = terms[split:] - block
-            lists = list(zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist()))
-            if lists:
-                times = np.repeat(weights[split:], [y - x for x, y in lists])
-                times *= np.concatenate([self.weights[x:y] for x, y in lists])
-                sums[j] = np.bincount(np.concatenate([self.rows[x:y] for x, y in lists]), times, minlength=size)
+            first = self.starts[terms]
+            sizes = self.starts[terms + 1] - first
+            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            at += np.arange(len(at))
+            products = np.repeat(weights, sizes)
+            products *= self.weights.take(at)
+            sums[j] = np.bincount(self.rows.take(at), products, minlength=size)
             if left[j] >= 0:
                 sums[j, left[j]] = -np.inf
         about = sums.astype(np.float32)
         least = np.zeros((len(queries), len(self.groups)), np.float32)
         if not size:
             return sums, about, least
-        bound = np.maximum.reduceat(about, self.blocks[:-1], axis=1) + common @ self.largest.T
+        query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate(x) for x in zip(*queries))
+        bound = np.maximum.reduceat(about, self.blocks[:-1], axis=1)
+        commons = []  # weights of the common terms of each section, by query
+        for x in self.sections:
+            at = x.column[terms]
+            common = np.zeros((len(queries), x.dense.shape[1]), np.float32)
+            common[query[at >= 0], at[at >= 0]] = weights[at >= 0]
+            bound[:, x.blocks] += common @ x.largest.T
+            commons.append(common)
+
+        def rest(b: int, who) -> np.ndarray:
+            """Sums of the common terms of a block's rows."""
+            x = self.sections[self.section[b]]
+            return commons[self.section[b]][who] @ x.dense[self.blocks[b] - x.low : self.blocks[b + 1] - x.low].T
+
         need = np.zeros(bound.shape, bool)
         for g, (low, high) in enumerate(self.groups):
             mine = slice(*np.searchsorted(self.blocks, (low, high)))
@@ -230,25 +273,29 @@ class BlockMaxIndex:
                 n = min(FIRST + -(-k // WIDTH), mine.stop - mine.start)
                 first = mine.start + np.argsort(-bound[:, mine], axis=1, kind="stable")[:, :n]
                 for j, some in enumerate(first.tolist()):
-                    rows = [slice(self.blocks[b], self.blocks[b + 1]) for b in some]
-                    whole = np.concatenate([about[j, r] + self.dense[r] @ common[j] for r in rows])
+                    whole = np.concatenate([about[j, self.blocks[b] : self.blocks[b + 1]] + rest(b, j) for b in some])
                     if len(whole) >= k:
                         least[j, g] = np.partition(whole, len(whole) - k)[len(whole) - k]
                 least[:, g] = np.maximum(least[:, g], 0) * (1 - 2 * ROUNDING)
             need[:, mine] = (bound[:, mine] * (1 + ROUNDING) >= least[:, g : g + 1]) & (bound[:, mine] > 0)
         self.seen, self.opened = self.seen + need.size, self.opened + int(need.sum())
         for b in np.flatnonzero(need.any(axis=0)).tolist():
-            who, rows = np.flatnonzero(need[:, b]), slice(self.blocks[b], self.blocks[b + 1])
-            about[who, rows] += common.take(who, axis=0) @ self.dense[rows].T
+            who = np.flatnonzero(need[:, b])
+            about[who, self.blocks[b] : self.blocks[b + 1]] += rest(b, who)
         return sums, about, least
 
-    def _score(self, rows: np.ndarray, rare: np.ndarray, query: np.ndarray, k: int) -> list[tuple[float, int, float]]:
+    def _score(self, rows: np.ndarray, rare: np.ndarray, query: np.ndarray, terms: np.ndarray, k: int) -> list[tuple[float, int, float]]:
         """The k best of some rows by double precision: cosine (negative), example, lean."""
-        found = []
-        for row in rows.tolist():
-            x, y = self.common_starts[row], self.common_starts[row + 1]
-            cosine = float(rare[row] + self.common_weights[x:y] @ query[self.common_terms[x:y]])
-            found.append((-min(1.0, cosine), int(self.example[row]), row))
+        found, at = [], -1
+        starts, ends, examples = self.common_starts[rows].tolist(), self.common_starts[rows + 1].tolist(), self.example[rows].tolist()
+        section = (np.searchsorted([x.low for x in self.sections], rows, side="right") - 1).tolist()
+        for row, x, y, i, s, cosine in zip(rows.tolist(), starts, ends, examples, section, rare[rows].tolist()):
+            if s != at:  # rows are in order
+                at, column = s, self.sections[s].column[terms]
+                common = np.zeros(self.sections[s].dense.shape[1])
+                common[column[column >= 0]] = query[terms[column >= 0]]
+            cosine += float(self.common_weights[x:y] @ common[self.common_columns[x:y]])
+            found.append((-min(1.0, cosine), i, row))
         best = []
         for c, i, row in sorted(found)[:k]:
             x, y = self.lean_starts[row], self.lean_starts[row + 1]
