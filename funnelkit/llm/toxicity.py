@@ -110,9 +110,10 @@ class Section:
     low: int  # rows
     high: int
     blocks: slice
-    column: np.ndarray  # of each term, -1 for those that are not common here
-    dense: np.ndarray  # rows x common terms
-    largest: np.ndarray  # blocks x common terms
+    terms: np.ndarray  # the common ones
+    column: np.ndarray | None = None  # of each term, -1 for those that are not common here
+    dense: np.ndarray | None = None  # rows x common terms
+    largest: np.ndarray | None = None  # blocks x common terms
 
 
 @dataclass
@@ -183,23 +184,43 @@ class BlockMaxIndex:
                 some = np.arange(min(block, n_terms))
             column = np.full(n_terms, -1, np.int16)
             column[some] = np.arange(len(some))
-            dense, at = np.zeros((high - low, len(some)), np.float32), column[terms[here]]
-            columns[here] = at
-            dense[row[here][at >= 0] - low, at[at >= 0]] = weights[here][at >= 0]
-            mine = slice(*np.searchsorted(blocks, (low, high)).tolist())
-            sections.append(Section(low, high, mine, column, dense, np.maximum.reduceat(dense, blocks[mine] - low)))
+            columns[here] = column[terms[here]]
+            sections.append(Section(low, high, slice(*np.searchsorted(blocks, (low, high)).tolist()), some.astype(np.int32)))
         common = columns >= 0
         order = np.flatnonzero(~common)
         order = order[np.argsort(terms[order], kind="stable")]
         sign = np.where(labels[example] == 1, 1.0, -1.0)
         going = np.zeros(0, np.int64) if lean is None else np.flatnonzero(lean[terms] * sign[row] > 0)
-        return cls(
+        index = cls(
             example, list(zip(ends[:-1], ends[1:])), blocks, sections,
             np.repeat(np.arange(len(sections)), [x.blocks.stop - x.blocks.start for x in sections]),
-            np.searchsorted(terms[order], np.arange(n_terms + 1)), row[order].astype(np.int64), weights[order],
-            np.searchsorted(row[common], np.arange(len(example) + 1)), columns[common].astype(np.int64), weights[common],
+            np.searchsorted(terms[order], np.arange(n_terms + 1)), row[order], weights[order],
+            np.searchsorted(row[common], np.arange(len(example) + 1)), columns[common], weights[common],
             np.searchsorted(row[going], np.arange(len(example) + 1)), terms[going], weights[going] * (0.0 if lean is None else np.abs(lean[terms[going]])),
         )
+        index._fill()
+        return index
+
+    def _fill(self) -> None:
+        """What follows from the postings: matrices of the sections, indices as numpy wants them."""
+        self.rows, self.common_columns = self.rows.astype(np.int64), self.common_columns.astype(np.int64)
+        for x in self.sections:
+            here = slice(self.common_starts[x.low], self.common_starts[x.high])
+            row = np.repeat(np.arange(x.high - x.low), np.diff(self.common_starts[x.low : x.high + 1]))
+            x.column = np.full(len(self.starts) - 1, -1, np.int16)
+            x.column[x.terms] = np.arange(len(x.terms))
+            x.dense = np.zeros((x.high - x.low, len(x.terms)), np.float32)
+            x.dense[row, self.common_columns[here]] = self.common_weights[here]
+            x.largest = np.maximum.reduceat(x.dense, self.blocks[x.blocks] - x.low)
+
+    def __getstate__(self) -> dict:
+        """Only the postings are sent to the tasks."""
+        sections = [Section(x.low, x.high, x.blocks, x.terms) for x in self.sections]
+        return self.__dict__ | {"sections": sections, "rows": self.rows.astype(np.int32), "common_columns": self.common_columns.astype(np.int16)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._fill()
 
     def nearest(self, query: dict[int, float] | Vector, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples (of each label) of largest positive cosine as (cosine, example), ties to the

@@ -1,6 +1,7 @@
 """Licence scans, pseudonyms, toxicity and quality."""
 
 import datetime as dt
+import pickle
 import random
 import re
 
@@ -221,6 +222,8 @@ def test_block_max_index_skips_blocks_and_finds_what_a_scan_finds():
         for _, i, share in got:
             assert share == pytest.approx((dense[i] * q * np.maximum(lean if labels[i] else -lean, 0)).sum(), abs=1e-12)
     assert index.seen == 302 * (len(index.blocks) - 1) and 0 < index.opened < 0.5 * index.seen
+    sent = pickle.loads(pickle.dumps(index))
+    assert list(sent.nearest_of_each(queries[:40], 15)) == list(index.nearest_of_each(queries[:40], 15))
     whole = T.BlockMaxIndex.build(vectors, 600, labels.astype(float), lean)
     assert [[i for _, i, _ in x] for x in whole.nearest_of_each(queries, 15)] == [[i for _, i, _ in x] for x in index.nearest_of_each(queries, 15)]
 
