@@ -198,11 +198,11 @@ class BlockMaxIndex:
             np.searchsorted(row[common], np.arange(len(example) + 1)), columns[common], weights[common],
             np.searchsorted(row[going], np.arange(len(example) + 1)), terms[going], weights[going] * (0.0 if lean is None else np.abs(lean[terms[going]])),
         )
-        index._fill()
         return index
 
     def _fill(self) -> None:
-        """What follows from the postings: matrices of the sections, indices as numpy wants them."""
+        """What follows from the postings, made where a search is: matrices of the sections, indices as
+        numpy wants them. Only the postings are sent to the tasks."""
         self.rows, self.common_columns = self.rows.astype(np.int64), self.common_columns.astype(np.int64)
         for x in self.sections:
             here = slice(self.common_starts[x.low], self.common_starts[x.high])
@@ -213,15 +213,6 @@ class BlockMaxIndex:
             x.dense[row, self.common_columns[here]] = self.common_weights[here]
             x.largest = np.maximum.reduceat(x.dense, self.blocks[x.blocks] - x.low)
 
-    def __getstate__(self) -> dict:
-        """Only the postings are sent to the tasks."""
-        sections = [Section(x.low, x.high, x.blocks, x.terms) for x in self.sections]
-        return self.__dict__ | {"sections": sections, "rows": self.rows.astype(np.int32), "common_columns": self.common_columns.astype(np.int16)}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._fill()
-
     def nearest(self, query: dict[int, float] | Vector, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples (of each label) of largest positive cosine as (cosine, example), ties to the
         smaller example."""
@@ -234,6 +225,8 @@ class BlockMaxIndex:
         example's label give, each times how far it does. Exact: weights are positive, so a sum in
         single precision is off by less than ``ROUNDING`` of itself, and what is within twice that of
         the k-th best is scored again."""
+        if self.sections and self.sections[0].dense is None:
+            self._fill()
         exact = np.zeros(len(self.starts) - 1)
         where = np.argsort(self.example)  # row of each example
         for at in range(0, len(queries), TOGETHER):
@@ -487,8 +480,20 @@ def fit_toxicity(
     both = bool(n_pos and n_neg)
     model.index = BlockMaxIndex.build(vectors, vocabulary.size, y, association(pos, n, n_pos, n_neg) if both else None)
     if both:
-        votes = model.votes(list(model.index.nearest_of_each(vectors, model.k, range(len(vectors)))))
+        del vectors
+        sent = spark.sparkContext.broadcast(model)
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = sent.value
+            for batch in parts_of(batches):
+                vectors = m.vectors(len(batch), *m.vocabulary.counts(batch.column("text").cast(pa.binary()).to_pylist()))
+                itself = np.searchsorted(m.ids, batch.column("doc_id").to_numpy())
+                votes = m.votes(list(m.index.nearest_of_each(vectors, m.k, itself)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(votes)], names=["doc_id", "vote"])
+
+        votes = sample.select("doc_id", "text").mapInArrow(alone, "doc_id long, vote double").toArrow().sort_by("doc_id")["vote"].to_numpy()
         model.slope, model.shift = calibrate(votes, y, weights)
+        sent.unpersist()
     return model
 
 
