@@ -11,6 +11,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from funnelkit.plans.mart import (
 )
 from funnelkit.plans.params import MartParams
 from funnelkit.plans.refresh import ROW_KEY, keyed_mart, refresh_mart
+from funnelkit.session import bound_tasks
 from funnelkit.sources.fixture import role_frame, roles
 from funnelkit.sources.schemas import OPTIONAL, conform, read_roles, role_schema, role_schemas
 from funnelkit.sources.shared import shared_folder
@@ -456,7 +458,14 @@ def rule_coverage_q(spark, sf_dir):
     return rule_coverage(roles(spark, sf_dir), P)
 
 
-QUERIES: dict[str, Query] = {
+def _bounded(query: Query) -> Query:
+    @wraps(query)
+    def q(spark, sf_dir):
+        return query(bound_tasks(spark), sf_dir)
+    return q
+
+
+QUERIES: dict[str, Query] = {name: _bounded(query) for name, query in {
     "lookback_filter": lookback_filter,
     "stage_prefilter": stage_prefilter_q,
     "distinct_keys_lookback": distinct_keys_lookback,
@@ -513,4 +522,4 @@ QUERIES: dict[str, Query] = {
     "funnel_mart_key_window": funnel_mart_key_window,
     "funnel_mart_string_ids": funnel_mart_string_ids,
     "funnel_mart_reference_order": funnel_mart_reference_order,
-}
+}.items()}

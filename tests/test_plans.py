@@ -159,3 +159,16 @@ def test_report_window_sits_on_the_stitch(spark):
     assert join_rows and "Filter" in opt[join_rows[0] - 1]
     anti = next(i for i, line in enumerate(opt) if "Join LeftAnti" in line)
     assert any("Filter" in line and "2000-01-01" in line for line in opt[anti + 1:])
+
+
+def test_tasks_after_a_shuffle_are_bounded(spark):
+    """A session left at Spark's 64 MB gets tasks of 8 MB from any query; a smaller setting stays."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    try:
+        for given, kept in (("64MB", "8m"), ("67108864b", "8m"), ("67108864", "8m"), ("1g", "8m"), ("8m", "8m"), ("4096k", "4096k"), ("100", "100")):
+            spark.conf.set(key, given)
+            QUERIES["reason_select"](spark, SF)
+            assert spark.conf.get(key) == kept
+    finally:
+        spark.conf.set(key, old)
