@@ -33,7 +33,7 @@ from funnelkit.plans.mart import (
 )
 from funnelkit.plans.params import MartParams
 from funnelkit.plans.refresh import ROW_KEY, keyed_mart, refresh_mart
-from funnelkit.session import bound_tasks
+from funnelkit.session import as_given, bound_tasks
 from funnelkit.sources.fixture import role_frame, roles
 from funnelkit.sources.schemas import OPTIONAL, conform, read_roles, role_schema, role_schemas
 from funnelkit.sources.shared import shared_folder
@@ -48,11 +48,13 @@ def _app_id() -> F.Column:
 
 
 def _enriched(spark: SparkSession, sf_dir: str, *need: str) -> DataFrame:
-    """The windowed spine with the enrichments that the columns ``need`` take."""
+    """The windowed spine with the enrichments that the columns ``need`` take. Its narrow rows compress well: small tasks."""
+    bound_tasks(spark)
     return enriched_spine(roles(spark, sf_dir), P, need=need)
 
 
 def _stitched(spark: SparkSession, sf_dir: str, stitcher=stitch_split) -> DataFrame:
+    bound_tasks(spark)
     late = prefixed(role_frame(spark, sf_dir, "checkout_funnel"), "cf_")
     early = prefixed(prequal_stage(role_frame(spark, sf_dir, "prequal_funnel"), P), "pq_")
     return stitcher(late, early, "cf_prequal_id", "pq_prequal_id", late_salt=["cf_application_id"], early_salt=["pq_application_id"])
@@ -438,8 +440,8 @@ def funnel_mart_reference_order(spark, sf_dir):
     p = P
     s = roles(spark, sf_dir)
     spine = stitched_spine(s["checkout_funnel"], s["prequal_funnel"], p)
-    from funnelkit.plans.mart import mart_columns
-    return mart_columns(enrich_spine(spine, s, p, bucket_seconds=3600, order="reference"), p)
+    from funnelkit.plans.mart import mart_columns, narrowed
+    return mart_columns(enrich_spine(narrowed(spine, p), s, p, bucket_seconds=3600, order="reference"), p)
 
 
 def lookup_key_report(spark, sf_dir):
@@ -458,14 +460,16 @@ def rule_coverage_q(spark, sf_dir):
     return rule_coverage(roles(spark, sf_dir), P)
 
 
-def _bounded(query: Query) -> Query:
+def _own_tasks(query: Query) -> Query:
+    """``query``, not touched by the task size that a query before it took in this session."""
+
     @wraps(query)
     def q(spark, sf_dir):
-        return query(bound_tasks(spark), sf_dir)
+        return query(as_given(spark), sf_dir)
     return q
 
 
-QUERIES: dict[str, Query] = {name: _bounded(query) for name, query in {
+QUERIES: dict[str, Query] = {name: _own_tasks(query) for name, query in {
     "lookback_filter": lookback_filter,
     "stage_prefilter": stage_prefilter_q,
     "distinct_keys_lookback": distinct_keys_lookback,

@@ -25,6 +25,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from funnelkit.functions.columns import default_zero, flag, is_missing
 from funnelkit.functions.dates import date_gate, lookback_start, month_boundaries, months_fractional
@@ -354,7 +355,7 @@ def enrich_spine(
 
 def enriched_spine(
     s: dict[str, DataFrame], p: MartParams, bucket_seconds: int | None = 3600, need: Iterable[str] | None = None,
-    guard: str | None = None, colocated: Iterable[str] = (),
+    guard: str | None = None, colocated: Iterable[str] = (), narrow: bool = False,
 ) -> DataFrame:
     """The stitched, windowed spine with its enrichments (``need``: only what these columns take).
 
@@ -366,6 +367,7 @@ def enriched_spine(
     columns, at most one of which a table can be laid out by) that the checkout funnel and the lookups
     are bucketed on: these are joined at the scan, without any shuffle. Where ``s["checkout_funnel"]`` is cut to some rows,
     ``s["late_links"]`` holds the prequal ids of all late rows: an early row is early-only if none has its id.
+    ``narrow`` computes the ``stage_outputs`` before the joins (``narrowed``), for ``mart_columns``.
     """
     steps = enrichment_steps(s, p, bucket_seconds, need)
     if guard:
@@ -381,6 +383,8 @@ def enriched_spine(
         late = enrich_colocated(late, key, [st.lookup for st in at_scan if st.key == key])
     early = prefixed(prequal_stage(s["prequal_funnel"], p), "pq_")
     matched, early_only = stitch_stages(late, early, all_late, p, lookups=[st.lookup for st in of(EARLY_ORDER)])
+    if narrow:
+        matched, early_only = narrowed(matched, p), narrowed(early_only, p, matched.schema)
     spine = join_runs(matched, late_steps).unionByName(early_only, allowMissingColumns=True)
     members = [name for st in of(LATE_ORDER) if st.lookup.member for name in st.lookup.columns]
     if members:  # an early-only row is in no list
@@ -388,20 +392,56 @@ def enriched_spine(
     return join_runs(spine, of(BOTH_ORDER))
 
 
+def stage_outputs(p: MartParams) -> dict[str, Column]:
+    """Outputs that take columns of the two stages only, and most of these columns nobody else takes."""
+    cf, pq = R.cf, R.pq
+    aprs = slot_coalesce([cf(f"offered_apr{i}") for i in (1, 2, 3)], [pq(f"offered_apr{i}") for i in (1, 2, 3)])
+    return {
+        "is_approved": R.is_approved(p),
+        "is_checkout_approved": R.is_checkout_approved(p),
+        "decline_reason": R.decline_reason(),
+        "offered_apr1": aprs[0],
+        "offered_apr2": aprs[1],
+        "offered_apr3": aprs[2],
+        "bureau_score": F.coalesce(cf("bureau_score"), pq("bureau_score"), F.lit(0)),
+        "score_version": R.score_version(p),
+        "score_v1": R.score_by_loan(p),
+        "risk_score": F.coalesce(cf("risk_score"), pq("risk_score")),
+    }
+
+
+#: Stage columns that only ``stage_outputs`` take.
+STAGE_ONLY = (
+    "cf_is_approved", "cf_declined_reason", "cf_declined_reason_instalment", "cf_declined_reason_split", "cf_financing_type",
+    "cf_offered_apr1", "cf_offered_apr2", "cf_offered_apr3", "cf_bureau_score", "cf_score_version", "cf_score_version_instalment",
+    "cf_score_version_split", "cf_risk_score", "cf_risk_score_v1", "cf_risk_score_instalment", "cf_risk_score_instalment_v1",
+    "cf_risk_score_split", "cf_risk_score_split_v1", "pq_decision_state", "pq_declined_reason", "pq_offered_apr1",
+    "pq_offered_apr2", "pq_offered_apr3", "pq_bureau_score", "pq_score_version", "pq_risk_score_v1", "pq_risk_score",
+)
+
+
+def narrowed(spine: DataFrame, p: MartParams, missing: T.StructType | None = None) -> DataFrame:
+    """A stitched spine with the ``stage_outputs`` (as ``out_<name>``) in place of the columns that only they take, so
+    that the enrichment joins shuffle the former. ``missing``: a schema whose late-stage columns an early-only spine
+    lacks; they are NULL."""
+    if missing is not None:
+        late = {f.name: F.lit(None).cast(f.dataType) for f in missing if f.name.startswith("cf_") and f.name not in spine.columns}
+        spine = spine.withColumns(late)
+    return spine.withColumns({f"out_{name}": x for name, x in stage_outputs(p).items()}).drop(*STAGE_ONLY)
+
+
 def mart_columns(df: DataFrame, p: MartParams, row_key: tuple[str, str] | tuple[()] = ()) -> DataFrame:
     """The 94 output columns, in contract order; with ``row_key`` also the application ids of the late and the
-    early stage, under these names."""
+    early stage, under these names. ``df`` may be ``narrowed``."""
     cf, pq, c = R.cf, R.pq, R.c
+    stage = {name: c(f"out_{name}") if f"out_{name}" in df.columns else x for name, x in stage_outputs(p).items()}
     df = df.withColumn("_plan_kind", R.plan_kind(p))
     df = df.withColumn("_captured_category", R.captured_category(p, F.col("_plan_kind")))
     df = df.withColumn("_monthly", R.monthly_index())
     df = df.withColumn("_pattern_index", R.risk_pattern_index(p, c("risky_flag")))
     df = df.withColumn("_metro_index", flag(c("risky_metro_flag").isNotNull()))
     start_any = F.coalesce(pq("start_date"), cf("start_date"))
-    aprs = slot_coalesce(
-        [cf("offered_apr1"), cf("offered_apr2"), cf("offered_apr3")],
-        [pq("offered_apr1"), pq("offered_apr2"), pq("offered_apr3")],
-    )
+    aprs = [stage[f"offered_apr{i}"] for i in (1, 2, 3)]
     cols = [
         F.coalesce(cf("application_id"), pq("application_id")).alias("application_id"),
         F.coalesce(cf("charge_id"), pq("charge_id")).alias("charge_id"),
@@ -422,10 +462,10 @@ def mart_columns(df: DataFrame, p: MartParams, row_key: tuple[str, str] | tuple[
         R.new_to_group_flag(p).alias("group_new_flag"),
         months_fractional(start_any, F.coalesce(c("person_first_capture"), start_any)).alias("user_tenure_months"),
         R.is_applied().alias("is_applied"),
-        R.is_approved(p).alias("is_approved"),
-        R.decline_reason().alias("decline_reason"),
+        stage["is_approved"].alias("is_approved"),
+        stage["decline_reason"].alias("decline_reason"),
         default_zero(cf("is_checkout_applied")).alias("is_checkout_applied"),
-        R.is_checkout_approved(p).alias("is_checkout_approved"),
+        stage["is_checkout_approved"].alias("is_checkout_approved"),
         cf("is_approved_instalment").alias("is_checkout_instalment_approved"),
         cf("is_approved_split").alias("is_checkout_split_approved"),
         default_zero(cf("is_confirmed")).alias("is_confirmed"),
@@ -464,11 +504,11 @@ def mart_columns(df: DataFrame, p: MartParams, row_key: tuple[str, str] | tuple[
         slot_max(aprs).alias("max_offered_apr"),
         cf("apr").alias("checkout_apr"),
         R.autopay_flag(p).alias("autopay_flag"),
-        F.coalesce(cf("bureau_score"), pq("bureau_score"), F.lit(0)).alias("bureau_score"),
+        stage["bureau_score"].alias("bureau_score"),
         default_zero(c("nofile_member")).alias("nofile_index"),
-        R.score_version(p).alias("score_version"),
-        R.score_by_loan(p).alias("score_v1"),
-        F.coalesce(cf("risk_score"), pq("risk_score")).alias("risk_score"),
+        stage["score_version"].alias("score_version"),
+        stage["score_v1"].alias("score_v1"),
+        stage["risk_score"].alias("risk_score"),
         c("md_merchant_name").alias("merchant_name"),
         c("md_merchant_id").alias("merchant_id"),
         c("md_industry").alias("merchant_industry"),
@@ -598,4 +638,4 @@ def funnel_mart(
     if guard not in (None, "raise"):
         raise ValueError(f"unknown guard {guard!r}; fan_out_report counts")
     p = p or MartParams()
-    return mart_columns(enriched_spine(sources, p, bucket_seconds, guard=guard, colocated=tuple(colocated)), p)
+    return mart_columns(enriched_spine(sources, p, bucket_seconds, guard=guard, colocated=tuple(colocated), narrow=True), p)

@@ -47,7 +47,7 @@ PRUNE_ROWS = 1_000_000
 def keyed_mart(sources: dict[str, DataFrame], p: MartParams | None = None, bucket_seconds: int | None = 3600) -> DataFrame:
     """The mart with its row key: the application ids of the late and the early stage."""
     p = p or MartParams()
-    return mart_columns(enriched_spine(sources, p, bucket_seconds), p, ROW_KEY)
+    return mart_columns(enriched_spine(sources, p, bucket_seconds, narrow=True), p, ROW_KEY)
 
 
 def _keys(df: DataFrame, column: str) -> DataFrame:

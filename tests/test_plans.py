@@ -162,7 +162,8 @@ def test_report_window_sits_on_the_stitch(spark):
 
 
 def test_tasks_after_a_shuffle_are_bounded(spark):
-    """A session left at Spark's 64 MB gets tasks of 8 MB from any query; a smaller setting stays."""
+    """On a session left at Spark's 64 MB the queries on the narrow spine take tasks of 8 MB, a smaller setting stays, and
+    queries after them find the session as it was given."""
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     old = spark.conf.get(key)
     try:
@@ -170,5 +171,29 @@ def test_tasks_after_a_shuffle_are_bounded(spark):
             spark.conf.set(key, given)
             QUERIES["reason_select"](spark, SF)
             assert spark.conf.get(key) == kept
+            QUERIES["stitch_split"](spark, SF)
+            assert spark.conf.get(key) == kept
+            QUERIES["date_gate"](spark, SF)
+            assert spark.conf.get(key) == given
+        spark.conf.set(key, "64MB")
+        QUERIES["reason_select"](spark, SF)
+        spark.conf.set(key, "16m")  # set by the user in between
+        QUERIES["date_gate"](spark, SF)
+        assert spark.conf.get(key) == "16m"
     finally:
         spark.conf.set(key, old)
+
+
+def test_the_joins_carry_outputs_instead_of_the_columns_they_take(spark):
+    """Stage columns that only stage outputs take enter no enrichment join of the mart, and the outputs are those that
+    ``mart_columns`` computes after the joins."""
+    from funnelkit.plans.mart import STAGE_ONLY, enriched_spine, funnel_mart, mart_columns, stage_outputs
+    from funnelkit.plans.params import MartParams
+    from funnelkit.sources.fixture import roles
+
+    carried = enriched_spine(roles(spark, SF), MartParams(), narrow=True).columns
+    assert not set(carried) & set(STAGE_ONLY) and {f"out_{x}" for x in stage_outputs(MartParams())} < set(carried)
+    s = roles(spark, SF)
+    early, late = funnel_mart(s), mart_columns(enriched_spine(s, MartParams(), 3600), MartParams())
+    assert early.columns == late.columns and early.dtypes == late.dtypes
+    assert early.exceptAll(late).count() == late.exceptAll(early).count() == 0 < early.count()
