@@ -75,15 +75,20 @@ def stitch_branches(
     ``early_key``: the rows are partitioned by it here, so only the lookups' sides are shuffled."""
     lk, ek, dk = "__stitch_lk", "__stitch_ek", "__stitch_dk"
     l2 = late.withColumn(lk, salted_key(late, late_key, *(late_salt or late.columns)))
-    e_linked = early.where(F.col(early_key).isNotNull()).withColumn(ek, match_key(late, early, late_key, early_key))
-    matched = l2.join(e_linked, (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull(), "left")
+    # Both branches take the early stage with all its rows, so that Spark computes and shuffles it once: a filter on the link
+    # id would reach the scan of one branch alone. The second comparison tells an unlinked row's salt from an id.
+    e2 = early.withColumn(ek, salted_key(early, early_key, *(early_salt or early.columns)))
+    ids = match_key(late, late, late_key, late_key) == match_key(late, early, late_key, early_key)
+    linked = F.coalesce(ids, F.lit(False))
+    matched = l2.join(
+        e2.withColumn(ek, match_key(late, e2, late_key, ek)), (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull() & linked, "left"
+    )
     matched = join_lookups(
         matched, lk, lookups, [match_key(late, x.dim, late_key, x.dim_key) for x in lookups], F.col(early_key).isNotNull()
     ).drop(lk, ek)
 
     source = late if late_keys is None else late_keys
     keys = source.where(F.col(late_key).isNotNull()).select(match_key(early, source, early_key, late_key).alias(dk)).distinct()
-    e2 = early.withColumn(ek, salted_key(early, early_key, *(early_salt or early.columns)))
     early_only = e2.join(keys, (F.col(ek) == F.col(dk)) & F.col(early_key).isNotNull(), "left_anti")
     early_only = join_lookups(
         early_only, ek, lookups, [match_key(early, x.dim, early_key, x.dim_key) for x in lookups], F.col(early_key).isNotNull()

@@ -204,6 +204,16 @@ def stitch_stages(
     return matched.where(reporting_window(p)), early_only.where(of_early)
 
 
+#: Late columns that the stitch and the reporting window take.
+STITCH_COLUMNS = ("cf_application_id", "cf_prequal_id", "cf_start_date", "cf_captured_dt", "cf_first_capture_dt", "cf_is_checkout_applied")
+
+
+def late_packed(late: DataFrame) -> DataFrame:
+    """The late stage with the columns that neither stitch nor reporting window takes as one struct ``__late``: most rows are
+    dropped after the stitch, and it need not copy their columns one by one."""
+    return late.select(*STITCH_COLUMNS, F.struct(*[c for c in late.columns if c not in STITCH_COLUMNS]).alias("__late"))
+
+
 SPINE_IDS = ("cf_application_id", "pq_application_id")
 # Spine columns used as join keys or salts by the enrichment.
 SPINE_KEYS = (
@@ -381,9 +391,12 @@ def enriched_spine(
     late = late.where(late_may_report(p))
     for key in dict.fromkeys(st.key for st in at_scan):
         late = enrich_colocated(late, key, [st.lookup for st in at_scan if st.key == key])
+    if narrow:
+        late = late_packed(late)
     early = prefixed(prequal_stage(s["prequal_funnel"], p), "pq_")
     matched, early_only = stitch_stages(late, early, all_late, p, lookups=[st.lookup for st in of(EARLY_ORDER)])
     if narrow:
+        matched = matched.select("*", "__late.*").drop("__late")
         matched, early_only = narrowed(matched, p), narrowed(early_only, p, matched.schema)
     spine = join_runs(matched, late_steps).unionByName(early_only, allowMissingColumns=True)
     members = [name for st in of(LATE_ORDER) if st.lookup.member for name in st.lookup.columns]

@@ -94,6 +94,17 @@ def test_stitch_forms_equal_full_outer(spark):
     assert len(ref) == 5 + 3
 
 
+def test_stitch_does_not_take_the_salt_of_an_unlinked_row_for_an_id(spark):
+    salt = lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0]
+    late = spark.createDataFrame([(1, salt(7)), (2, None)], "cf_id long, cf_link long")
+    early = spark.createDataFrame([(7, None), (8, salt(2)), (9, None)], "pq_v long, pq_link long")
+    want = [(1, None), (2, None), (None, 7), (None, 8), (None, 9)]
+    for kind in ("long", "string"):
+        l2, e2 = late.withColumn("cf_link", F.col("cf_link").cast(kind)), early.withColumn("pq_link", F.col("pq_link").cast(kind))
+        df = stitch_split(l2, e2, "cf_link", "pq_link", late_salt=["cf_id"], early_salt=["pq_v"])
+        assert sorted(map(tuple, df.select("cf_id", "pq_v").collect()), key=lambda r: (r[0] is None, r)) == want
+
+
 def test_stitch_parts_disjoint_and_exhaustive(spark):
     late, early = _stages(spark)
     s = stitch_split(late, early, "cf_link", "pq_link")

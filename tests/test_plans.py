@@ -55,6 +55,24 @@ def test_rule_queries_join_only_what_they_need(spark):
     assert _joins(spark, "plan_kind") == stitch + 3
 
 
+@pytest.mark.parametrize("name", ["stitch_split", "funnel_mart_incremental"])
+def test_early_stage_is_computed_once_for_both_branches_of_the_stitch(spark, name):
+    plan = _static_plan(spark, name)
+    grouped = re.findall(r"HashAggregate\(keys=\[l_orderkey#\d+L?\], functions=\[partial_min\(l_partkey|partial_min\(l_partkey", plan)
+    assert len(grouped) == 1 and "ReusedExchange" in plan
+
+
+def test_mart_carries_late_columns_through_the_stitch_as_one(spark):
+    old = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        lines = _static_plan(spark, "funnel_mart").split("\n")
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", old)
+    shuffles = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(__stitch_lk" in line]
+    assert shuffles and all(re.search(r"__late#|cf_total_amount", lines[i + 1])[0] == "__late#" for i in shuffles)
+
+
 def test_late_window_reaches_the_late_scan(spark):
     """Rows that cannot report are dropped before the first late join."""
     plan = _static_plan(spark, "approval_rules").split("\n")
