@@ -142,6 +142,7 @@ class BlockMaxIndex:
     lean_starts: np.ndarray  # terms of the rows that go with the label, weights times how far they do
     lean_terms: np.ndarray
     lean_weights: np.ndarray
+    common_terms: np.ndarray | None = None  # the common columns' terms
     seen: int = 0  # blocks times queries so far
     opened: int = 0
 
@@ -203,9 +204,11 @@ class BlockMaxIndex:
     def _fill(self) -> None:
         """What follows from the postings, made where a search is: matrices of the sections, indices as
         numpy wants them. Only the postings are sent to the tasks."""
-        self.rows, self.common_columns = self.rows.astype(np.int64), self.common_columns.astype(np.int64)
+        self.rows, self.lean_terms = self.rows.astype(np.int64), self.lean_terms.astype(np.int64)
+        self.common_terms = np.zeros(len(self.common_columns), np.int64)
         for x in self.sections:
             here = slice(self.common_starts[x.low], self.common_starts[x.high])
+            self.common_terms[here] = x.terms[self.common_columns[here]]
             row = np.repeat(np.arange(x.high - x.low), np.diff(self.common_starts[x.low : x.high + 1]))
             x.column = np.full(len(self.starts) - 1, -1, np.int16)
             x.column[x.terms] = np.arange(len(x.terms))
@@ -225,7 +228,7 @@ class BlockMaxIndex:
         example's label give, each times how far it does. Exact: weights are positive, so a sum in
         single precision is off by less than ``ROUNDING`` of itself, and what is within twice that of
         the k-th best is scored again."""
-        if self.sections and self.sections[0].dense is None:
+        if self.common_terms is None:
             self._fill()
         exact = np.zeros(len(self.starts) - 1)
         where = np.argsort(self.example)  # row of each example
@@ -235,14 +238,14 @@ class BlockMaxIndex:
             rare, about, least = self._search(some, k, left)
             for j, (terms, weights) in enumerate(some):
                 exact[terms] = weights
-                best = []
+                near = []
                 for g, (low, high) in enumerate(self.groups):
                     rows = low + np.flatnonzero(about[j, low:high] >= max(least[j, g], np.finfo(np.float32).tiny))
                     if len(rows) > k:
                         kth = np.partition(about[j, rows], len(rows) - k)[len(rows) - k]
                         rows = rows[about[j, rows] >= kth * (1 - 2 * ROUNDING)]
-                    best += self._score(rows, rare[j], exact, terms, k)
-                yield [(-c, i, lean) for c, i, lean in sorted(best)]
+                    near.append(rows)
+                yield self._score(near, rare[j], exact, k)
                 exact[terms] = 0.0
 
     def _search(self, queries: list[Vector], k: int, left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -275,46 +278,56 @@ class BlockMaxIndex:
             bound[:, x.blocks] += common @ x.largest.T
             commons.append(common)
 
-        def rest(b: int, who) -> np.ndarray:
-            """Sums of the common terms of a block's rows."""
-            x = self.sections[self.section[b]]
-            return commons[self.section[b]][who] @ x.dense[self.blocks[b] - x.low : self.blocks[b + 1] - x.low].T
+        def add(opened: np.ndarray) -> None:
+            """Adds the sums of the common terms in the blocks opened, a block for all its queries at once."""
+            for b in np.flatnonzero(opened.any(axis=0)).tolist():
+                x, who = self.sections[self.section[b]], np.flatnonzero(opened[:, b])
+                rows = slice(self.blocks[b], self.blocks[b + 1])
+                about[who, rows] += commons[self.section[b]][who] @ x.dense[rows.start - x.low : rows.stop - x.low].T
 
-        need = np.zeros(bound.shape, bool)
+        # The k-th best in the blocks of highest bound, which the k-th best of all is not below.
+        first, opened = {}, np.zeros(bound.shape, bool)
         for g, (low, high) in enumerate(self.groups):
             mine = slice(*np.searchsorted(self.blocks, (low, high)))
-            if high - low > k:  # the k-th best in the blocks of highest bound, which the k-th best of all is not below
+            if high - low > k:
                 n = min(FIRST + -(-k // WIDTH), mine.stop - mine.start)
-                first = mine.start + np.argsort(-bound[:, mine], axis=1, kind="stable")[:, :n]
-                for j, some in enumerate(first.tolist()):
-                    whole = np.concatenate([about[j, self.blocks[b] : self.blocks[b + 1]] + rest(b, j) for b in some])
-                    if len(whole) >= k:
-                        least[j, g] = np.partition(whole, len(whole) - k)[len(whole) - k]
-                least[:, g] = np.maximum(least[:, g], 0) * (1 - 2 * ROUNDING)
+                first[g] = mine.start + np.argsort(-bound[:, mine], axis=1, kind="stable")[:, :n]
+                np.put_along_axis(opened, first[g], True, axis=1)
+        add(opened)
+        need = np.zeros(bound.shape, bool)
+        for g, (low, high) in enumerate(self.groups):
+            mine = slice(*np.searchsorted(self.blocks, (low, high)))
+            for j, some in enumerate(first[g].tolist() if g in first else ()):
+                whole = np.concatenate([about[j, self.blocks[b] : self.blocks[b + 1]] for b in some])
+                if len(whole) >= k:
+                    least[j, g] = np.partition(whole, len(whole) - k)[len(whole) - k]
+            least[:, g] = np.maximum(least[:, g], 0) * (1 - 2 * ROUNDING)
             need[:, mine] = (bound[:, mine] * (1 + ROUNDING) >= least[:, g : g + 1]) & (bound[:, mine] > 0)
-        self.seen, self.opened = self.seen + need.size, self.opened + int(need.sum())
-        for b in np.flatnonzero(need.any(axis=0)).tolist():
-            who = np.flatnonzero(need[:, b])
-            about[who, self.blocks[b] : self.blocks[b + 1]] += rest(b, who)
+        add(need & ~opened)
+        self.seen, self.opened = self.seen + need.size, self.opened + int((need | opened).sum())
         return sums, about, least
 
-    def _score(self, rows: np.ndarray, rare: np.ndarray, query: np.ndarray, terms: np.ndarray, k: int) -> list[tuple[float, int, float]]:
-        """The k best of some rows by double precision: cosine (negative), example, lean."""
-        found, at = [], -1
-        starts, ends, examples = self.common_starts[rows].tolist(), self.common_starts[rows + 1].tolist(), self.example[rows].tolist()
-        section = (np.searchsorted([x.low for x in self.sections], rows, side="right") - 1).tolist()
-        for row, x, y, i, s, cosine in zip(rows.tolist(), starts, ends, examples, section, rare[rows].tolist()):
-            if s != at:  # rows are in order
-                at, column = s, self.sections[s].column[terms]
-                common = np.zeros(self.sections[s].dense.shape[1])
-                common[column[column >= 0]] = query[terms[column >= 0]]
-            cosine += float(self.common_weights[x:y] @ common[self.common_columns[x:y]])
-            found.append((-min(1.0, cosine), i, row))
-        best = []
-        for c, i, row in sorted(found)[:k]:
-            x, y = self.lean_starts[row], self.lean_starts[row + 1]
-            best.append((c, i, float(self.lean_weights[x:y] @ query[self.lean_terms[x:y]])))
-        return best
+    def _score(self, near: list[np.ndarray], rare: np.ndarray, query: np.ndarray, k: int) -> list[tuple[float, int, float]]:
+        """The k best of some rows of each group by double precision: cosine, example, lean, nearest first."""
+        rows = np.concatenate([np.zeros(0, np.int64), *near])
+        cosine = np.minimum(1.0, rare[rows] + _sums(rows, self.common_starts, self.common_terms, self.common_weights, query))
+        order = np.lexsort((self.example[rows], -cosine))
+        group = np.repeat(np.arange(len(near)), [len(x) for x in near])[order]
+        best = order[np.sort(np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(group == g)[:k] for g in range(len(near)))]))]
+        rows = rows[best]
+        lean = _sums(rows, self.lean_starts, self.lean_terms, self.lean_weights, query)
+        return list(zip(cosine[best].tolist(), self.example[rows].tolist(), lean.tolist()))
+
+
+def _sums(rows: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Of each row the products of its weights and the query's, summed in their order: equal rows have equal sums."""
+    first = starts[rows]
+    sizes = starts[rows + 1] - first
+    at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at))
+    products = query.take(terms.take(at))
+    products *= weights.take(at)
+    return np.bincount(np.repeat(np.arange(len(rows)), sizes), products, minlength=len(rows))
 
 
 def _vector(v: dict[int, float] | Vector) -> Vector:

@@ -340,3 +340,20 @@ def test_a_labelled_id_with_many_rows_is_one_example(spark):
     least = {i: min(t for d, t in rows if d == i) for i in range(60)}
     single = spark.createDataFrame(sorted(least.items()), "doc_id bigint, text string")
     assert T.fit_toxicity(spark, single, labels).ids.tolist() == model.ids.tolist()
+
+
+def test_rows_are_scored_together_and_equal_rows_get_equal_sums():
+    rng = np.random.default_rng(5)
+    weights = rng.random(7)
+    starts, terms = np.array([0, 7, 7, 14, 16]), np.concatenate([np.arange(7), np.arange(7), [2, 5]])
+    query = rng.random(8)
+    got = T._sums(np.array([2, 1, 3, 0]), starts, terms, np.concatenate([weights, weights, [1.0, 2.0]]), query)
+    assert got[0] == got[3] and got[1] == 0
+    np.testing.assert_allclose(got, [query[:7] @ weights, 0, query[2] + 2 * query[5], query[:7] @ weights], rtol=1e-12)
+    # both labels in one call, each with its own k nearest
+    vectors = [{0: 1.0}, {0: 0.6, 1: 0.8}, {1: 1.0}, {0: 0.8, 1: 0.6}, {2: 1.0}]
+    index = T.BlockMaxIndex.build(vectors, 3, np.array([0, 1, 0, 1, 1]))
+    near = index.nearest({0: 0.8, 1: 0.6}, 1)
+    assert [i for _, i in near] == [3, 0]
+    np.testing.assert_allclose([c for c, _ in near], [1.0, 0.8])
+    assert T.BlockMaxIndex.build([], 3).nearest({0: 1.0}, 2) == []
