@@ -73,16 +73,14 @@ def stitch_branches(
     ``late_keys`` gives the late stage whose keys count where ``late`` itself has been filtered:
     an early row is early-only if no late row at all has its key. ``lookups`` are left joins on
     ``early_key``: the rows are partitioned by it here, so only the lookups' sides are shuffled."""
-    lk, ek, dk = "__stitch_lk", "__stitch_ek", "__stitch_dk"
+    lk, ek, dk, ei = "__stitch_lk", "__stitch_ek", "__stitch_dk", "__stitch_ei"
     l2 = late.withColumn(lk, salted_key(late, late_key, *(late_salt or late.columns)))
     # Both branches take the early stage with all its rows, so that Spark computes and shuffles it once: a filter on the link
     # id would reach the scan of one branch alone. The second comparison tells an unlinked row's salt from an id.
     e2 = early.withColumn(ek, salted_key(early, early_key, *(early_salt or early.columns)))
-    ids = match_key(late, late, late_key, late_key) == match_key(late, early, late_key, early_key)
-    linked = F.coalesce(ids, F.lit(False))
-    matched = l2.join(
-        e2.withColumn(ek, match_key(late, e2, late_key, ek)), (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull() & linked, "left"
-    )
+    linked = F.coalesce(match_key(late, late, late_key, late_key) == F.col(ei), F.lit(False))
+    e_all = e2.withColumn(ei, match_key(late, early, late_key, early_key)).withColumn(ek, match_key(late, e2, late_key, ek))
+    matched = l2.join(e_all, (F.col(lk) == F.col(ek)) & F.col(late_key).isNotNull() & linked, "left").drop(ei)
     matched = join_lookups(
         matched, lk, lookups, [match_key(late, x.dim, late_key, x.dim_key) for x in lookups], F.col(early_key).isNotNull()
     ).drop(lk, ek)
