@@ -18,10 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import id_and_text, materialize, parts_of
+from funnelkit.llm.common import id_and_text, parts_of
 
 PER_LABEL = 6_000  # most examples of a label
 SIGNIFICANT = 15.0  # log-likelihood ratio of a term with the label that chance gives one term in 10,000
@@ -93,12 +94,15 @@ def _like_together(rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
     most (some steps of power iteration), until a block is left."""
     if len(rows) <= WIDTH:
         return [rows] if len(rows) else []
-    apart = weights[rows] - weights[rows].mean(axis=0)
-    along = apart[np.argmax((apart * apart).sum(axis=1))]
+    apart = weights[rows]
+    apart -= apart.mean(axis=0)
+    spread = [(x * x).sum(axis=1) for x in np.array_split(apart, -(-len(rows) // SECTION))]
+    along = apart[np.argmax(np.concatenate(spread))]
     for _ in range(4):
         along = apart.T @ (apart @ along)
         along /= np.linalg.norm(along) + 1e-12
     rows = rows[np.argsort(apart @ along, kind="stable")]
+    del apart
     half = -(-len(rows) // (2 * WIDTH)) * WIDTH
     return _like_together(rows[:half], weights) + _like_together(rows[half:], weights)
 
@@ -161,11 +165,15 @@ class BlockMaxIndex:
         frequent = np.sort(np.argsort(-held, kind="stable")[: min(MOST_COMMON, int((held > len(vectors) / COMMON).sum()))])
         column = np.full(n_terms, -1)
         column[frequent] = np.arange(len(frequent))
-        dense = np.zeros((len(vectors), len(frequent)), np.float32)
-        for row, (terms, weights) in enumerate(vectors):
-            low = column[terms] >= 0
-            dense[row, column[terms[low]]] = weights[low]
-        parts = [_like_together(np.flatnonzero(labels == y), dense) for y in np.unique(labels)]
+        parts = []
+        for y in np.unique(labels):
+            mine = np.flatnonzero(labels == y)
+            dense = np.zeros((len(mine), len(frequent)), np.float32)
+            for row, (terms, weights) in enumerate(vectors[i] for i in mine):
+                low = column[terms] >= 0
+                dense[row, column[terms[low]]] = weights[low]
+            parts.append([mine[b] for b in _like_together(np.arange(len(mine)), dense)])
+            del dense
         ends = np.cumsum([0] + [sum(map(len, p)) for p in parts]).tolist()
         example = np.concatenate([np.zeros(0, np.int64), *(b for p in parts for b in p)]).astype(np.int64)
         blocks = np.cumsum([0] + [len(b) for p in parts for b in p])
@@ -174,7 +182,6 @@ class BlockMaxIndex:
         weights = np.concatenate([np.zeros(0), *(vectors[i][1] for i in example)])
         sizes = [len(vectors[i][0]) for i in example]
         row, starts = np.repeat(np.arange(len(example), dtype=np.int32), sizes), np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        del dense
         sections, columns = [], np.full(len(terms), -1, np.int16)
         for low, high in ((a, min(a + SECTION, y)) for x, y in zip(ends[:-1], ends[1:]) for a in range(x, y, SECTION)):
             here = slice(starts[low], starts[high])
@@ -432,7 +439,9 @@ def fit_toxicity(
     first = lambda y: usable.filter(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(per_label)
     # One text per id, whatever the number of documents that have it, so that the sample is bounded.
     labelled = texts.join(F.broadcast(first(0).union(first(1))), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    sample = materialize(spark, labelled, "examples")
+    # Read four times, kept on the executors' disks: a table would be as many files as shuffle partitions, a process each to set
+    # the mode of a file where Hadoop has no native library. Lost parts are computed again, to the same rows.
+    sample = labelled.persist(StorageLevel.DISK_ONLY)
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches):
@@ -506,7 +515,9 @@ def fit_toxicity(
 
         votes = sample.select("doc_id", "text").mapInArrow(alone, "doc_id long, vote double").toArrow().sort_by("doc_id")["vote"].to_numpy()
         model.slope, model.shift = calibrate(votes, y, weights)
-        sent.unpersist()
+        sent.destroy()
+    known.destroy()
+    sample.unpersist()
     return model
 
 

@@ -4,6 +4,8 @@ import datetime as dt
 import pickle
 import random
 import re
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from funnelkit.llm import licenses as L
 from funnelkit.llm import pii as P
 from funnelkit.llm import quality as Q
 from funnelkit.llm import toxicity as T
+from funnelkit.llm.common import shared_dir
 from funnelkit.llm.license_texts import TEMPLATES
 
 SF = "/root/testdata/sf0.01"
@@ -357,3 +360,25 @@ def test_rows_are_scored_together_and_equal_rows_get_equal_sums():
     assert [i for _, i in near] == [3, 0]
     np.testing.assert_allclose([c for c, _ in near], [1.0, 0.8])
     assert T.BlockMaxIndex.build([], 3).nearest({0: 1.0}, 2) == []
+
+
+def test_fit_writes_no_table_and_keeps_nothing(spark):
+    """The sample is no table of one file per shuffle partition, and nothing of the fit stays in the session."""
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") + prose(i, 20)) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    kept = lambda: (set(shared.iterdir()), set(spark.sparkContext._jsc.getPersistentRDDs().keySet()))
+    before = kept()
+    assert 0 < len(T.fit_toxicity(spark, docs, labels).ids) < 40
+    assert kept() == before
+
+
+def test_grouping_like_examples_takes_one_copy_of_them():
+    rng = np.random.default_rng(3)
+    weights = rng.random((8_192, 128), np.float32)
+    tracemalloc.start()
+    blocks = T._like_together(np.arange(len(weights)), weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(np.concatenate(blocks).tolist()) == list(range(len(weights))) and max(map(len, blocks)) <= T.WIDTH
+    assert peak < 1.5 * weights.nbytes
