@@ -37,6 +37,7 @@ SECTION = 1_024  # rows that have their common terms in common
 COMMON = 16  # terms in more than one in so many of these rows are bounded block by block
 MOST_COMMON = 2_048  # terms at most
 TOGETHER = 128  # queries searched at a time
+MOST = 0.3  # share of a section's blocks from which on they are summed as one
 ROUNDING = 1e-4  # relative, of a sum of some thousand products in single precision
 
 #: A-Z to lower case, ASCII marks and digits to spaces.
@@ -107,6 +108,27 @@ def _like_together(rows: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
     return _like_together(rows[:half], weights) + _like_together(rows[half:], weights)
 
 
+class Runs:
+    """Numbers in runs, each run with two arrays of them. Arrow copies a run of bytes as a whole, where numpy
+    would gather number by number."""
+
+    def __init__(self, starts: np.ndarray, *values: np.ndarray) -> None:
+        self.sizes = np.diff(starts)
+        self.kinds = [x.dtype for x in values]
+        self.values = [
+            pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64) * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
+            for x in values
+        ]
+
+    def of(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Lengths of some runs and their numbers, one run after the other."""
+        sizes, which = self.sizes[which], pa.array(which)
+        n = int(sizes.sum())
+        if not n:
+            return sizes, *(np.zeros(0, kind) for kind in self.kinds)
+        return sizes, *(np.frombuffer(x.take(which).buffers()[2], kind, n) for x, kind in zip(self.values, self.kinds))
+
+
 @dataclass
 class Section:
     """Blocks of like examples and the terms that are common in them."""
@@ -115,7 +137,7 @@ class Section:
     high: int
     blocks: slice
     terms: np.ndarray  # the common ones
-    column: np.ndarray | None = None  # of each term, -1 for those that are not common here
+    columns: slice | None = None  # among those of all sections
     dense: np.ndarray | None = None  # rows x common terms
     largest: np.ndarray | None = None  # blocks x common terms
 
@@ -146,7 +168,14 @@ class BlockMaxIndex:
     lean_starts: np.ndarray  # terms of the rows that go with the label, weights times how far they do
     lean_terms: np.ndarray
     lean_weights: np.ndarray
-    common_terms: np.ndarray | None = None  # the common columns' terms
+    postings: Runs | None = None  # rows and weights by term
+    common: Runs | None = None  # columns among those of all sections and weights by row
+    lean: Runs | None = None  # places among the leaning terms and weights by row
+    columns: np.ndarray | None = None  # of all sections by term
+    column_starts: np.ndarray | None = None
+    column_section: np.ndarray | None = None
+    usual: np.ndarray | None = None  # mean weight in each column
+    leaning: np.ndarray | None = None  # terms that go with a label
     seen: int = 0  # blocks times queries so far
     opened: int = 0
 
@@ -211,17 +240,28 @@ class BlockMaxIndex:
     def _fill(self) -> None:
         """What follows from the postings, made where a search is: matrices of the sections, indices as
         numpy wants them. Only the postings are sent to the tasks."""
-        self.rows, self.lean_terms = self.rows.astype(np.int64), self.lean_terms.astype(np.int64)
-        self.common_terms = np.zeros(len(self.common_columns), np.int64)
-        for x in self.sections:
+        self.rows = self.rows.astype(np.min_scalar_type(len(self.example)))
+        self.postings = Runs(self.starts, self.rows, self.weights)
+        # The sections' common terms one after the other, as columns, and the columns of each term.
+        terms, ends = _joined([x.terms for x in self.sections]), np.cumsum([0] + [len(x.terms) for x in self.sections]).tolist()
+        self.column_section = np.repeat(np.arange(len(self.sections)), np.diff(ends))
+        self.columns = np.argsort(terms, kind="stable")
+        self.column_starts = np.searchsorted(terms[self.columns], np.arange(len(self.starts)))
+        self.usual = np.zeros(len(terms))
+        places = np.zeros(len(self.common_columns), np.min_scalar_type(len(terms)))
+        for x, low, high in zip(self.sections, ends[:-1], ends[1:]):
             here = slice(self.common_starts[x.low], self.common_starts[x.high])
-            self.common_terms[here] = x.terms[self.common_columns[here]]
+            x.columns = slice(low, high)
+            places[here] = self.common_columns[here] + np.int64(low)
             row = np.repeat(np.arange(x.high - x.low), np.diff(self.common_starts[x.low : x.high + 1]))
-            x.column = np.full(len(self.starts) - 1, -1, np.int16)
-            x.column[x.terms] = np.arange(len(x.terms))
             x.dense = np.zeros((x.high - x.low, len(x.terms)), np.float32)
             x.dense[row, self.common_columns[here]] = self.common_weights[here]
             x.largest = np.maximum.reduceat(x.dense, self.blocks[x.blocks] - x.low)
+            self.usual[x.columns] = x.dense.mean(axis=0)
+        self.common = Runs(self.common_starts, places, self.common_weights)
+        # Terms that go with a label are few: numbered by themselves.
+        self.leaning, places = np.unique(self.lean_terms, return_inverse=True)
+        self.lean = Runs(self.lean_starts, places.reshape(-1).astype(np.min_scalar_type(len(self.leaning))), self.lean_weights)
 
     def nearest(self, query: dict[int, float] | Vector, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples (of each label) of largest positive cosine as (cosine, example), ties to the
@@ -235,62 +275,120 @@ class BlockMaxIndex:
         example's label give, each times how far it does. Exact: weights are positive, so a sum in
         single precision is off by less than ``ROUNDING`` of itself, and what is within twice that of
         the k-th best is scored again."""
-        if self.common_terms is None:
+        if self.postings is None:
             self._fill()
-        exact = np.zeros(len(self.starts) - 1)
+        if not len(self.example):
+            yield from ([] for _ in queries)
+            return
+        queries = [_vector(q) for q in queries]
         where = np.argsort(self.example)  # row of each example
-        for at in range(0, len(queries), TOGETHER):
-            some = [_vector(q) for q in queries[at : at + TOGETHER]]
-            left = [-1] * len(some) if skips is None else [int(where[i]) if i >= 0 else -1 for i in skips[at : at + TOGETHER]]
-            rare, about, least = self._search(some, k, left)
-            for j, (terms, weights) in enumerate(some):
-                exact[terms] = weights
-                near = []
-                for g, (low, high) in enumerate(self.groups):
-                    rows = low + np.flatnonzero(about[j, low:high] >= max(least[j, g], np.finfo(np.float32).tiny))
-                    if len(rows) > k:
-                        kth = np.partition(about[j, rows], len(rows) - k)[len(rows) - k]
-                        rows = rows[about[j, rows] >= kth * (1 - 2 * ROUNDING)]
-                    near.append(rows)
-                yield self._score(near, rare[j], exact, k)
-                exact[terms] = 0.0
-
-    def _search(self, queries: list[Vector], k: int, left: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left = np.array([-1 if skips is None or skips[j] < 0 else where[skips[j]] for j in range(len(queries))], np.int64)
+        common = [self._common(queries[at : at + SECTION]) for at in range(0, len(queries), SECTION)]
+        # Queries that are like the same section open the same blocks: they are searched together.
+        order = np.argsort(_joined([self._likest(*x) for x in common]), kind="stable").tolist()
+        found: list = [None] * len(queries)
+        for at in range(0, len(order), TOGETHER):
+            some = order[at : at + TOGETHER]
+            places = [_part(*common[j // SECTION], j % SECTION) for j in some]
+            for j, near in zip(some, self._found([queries[j] for j in some], places, k, left[some])):
+                found[j] = near
+        yield from found
+
+    def _common(self, queries: list[Vector]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns of the queries' common terms in all sections and their weights; where each query's begin."""
+        terms, weights = (_joined(x) for x in zip(*queries))
+        first = self.column_starts[terms]
+        sizes = self.column_starts[terms + 1] - first
+        at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0] + [len(t) for t, _ in queries])]
+        return self.columns.take(at), np.repeat(weights, sizes), ends
+
+    def _likest(self, columns: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The section that each query is like most, by the sections' means."""
+        key = np.repeat(np.arange(len(ends) - 1) * len(self.sections), np.diff(ends)) + self.column_section[columns]
+        mean = np.bincount(key, weights * self.usual[columns], minlength=(len(ends) - 1) * len(self.sections))
+        return mean.reshape(len(ends) - 1, -1).argmax(axis=1)
+
+    def _found(self, queries: list[Vector], common: list[Vector], k: int, left: np.ndarray) -> list[list[tuple[float, int, float]]]:
+        """``nearest_of_each`` of some queries; ``common`` are their columns and weights there."""
+        rare, about, least = self._search(queries, common, k, left)
+        near = [[] for _ in queries]
+        for g, (low, high) in enumerate(self.groups):
+            enough = np.flatnonzero(about[:, low:high] >= np.maximum(least[:, g : g + 1], np.finfo(np.float32).tiny))
+            ends = np.searchsorted(enough, np.arange(len(queries) + 1) * (high - low))
+            for j, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                rows = enough[a:b] + (low - j * (high - low))
+                if len(rows) > k:
+                    sums = about[j, rows]
+                    rows = rows[sums >= np.partition(sums, len(rows) - k)[len(rows) - k] * (1 - 2 * ROUNDING)]
+                near[j].append(rows)
+        # Of each query and group the k best by double precision, nearest first.
+        exact, cosine = np.zeros(len(self.usual)), []
+        for j, (places, weights) in enumerate(common):
+            exact[places] = weights
+            rows = near[j] = _joined(near[j])
+            cosine.append(np.minimum(1.0, rare[j, rows] + _sums(rows, self.common, exact)))
+            exact[places] = 0.0
+        query = np.repeat(np.arange(len(near)), [len(x) for x in near])
+        rows, cosine = _joined(near), _joined(cosine)
+        group = query * len(self.groups) + np.searchsorted([y for _, y in self.groups], rows, side="right")
+        order = np.lexsort((self.example[rows], -cosine, group))
+        group = group[order]
+        best = order[np.arange(len(order)) - np.searchsorted(group, group) < k]
+        best = best[np.lexsort((self.example[rows[best]], -cosine[best], query[best]))]
+        ends = np.searchsorted(query[best], np.arange(len(queries) + 1)).tolist()
+        rows, cosine = rows[best], cosine[best].tolist()
+        example, exact, out = self.example[rows].tolist(), np.zeros(len(self.leaning)), []
+        for (terms, weights), a, b in zip(queries, ends[:-1], ends[1:]):
+            lean = []
+            if b > a:
+                at = np.searchsorted(self.leaning, terms)
+                some = np.flatnonzero(self.leaning.take(at, mode="clip") == terms) if len(self.leaning) else at[:0]
+                exact[at[some]] = weights[some]
+                lean = _sums(rows[a:b], self.lean, exact).tolist()
+                exact[at[some]] = 0.0
+            out.append(list(zip(cosine[a:b], example[a:b], lean)))
+        return out
+
+    def _search(self, queries: list[Vector], common: list[Vector], k: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each query and row the sum of the other terms and the cosine in single precision, whole where
         a block was opened; what the k nearest of each group have at least."""
         size = len(self.example)
         sums = np.zeros((len(queries), size))
         for j, (terms, weights) in enumerate(queries):
-            first = self.starts[terms]
-            sizes = self.starts[terms + 1] - first
-            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-            at += np.arange(len(at))
-            products = np.repeat(weights, sizes)
-            products *= self.weights.take(at)
-            sums[j] = np.bincount(self.rows.take(at), products, minlength=size)
+            sizes, rows, products = self.postings.of(terms)
+            sums[j] = np.bincount(rows, products * np.repeat(weights, sizes), minlength=size)
             if left[j] >= 0:
                 sums[j, left[j]] = -np.inf
         about = sums.astype(np.float32)
         least = np.zeros((len(queries), len(self.groups)), np.float32)
-        if not size:
-            return sums, about, least
-        query = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
-        terms, weights = (np.concatenate(x) for x in zip(*queries))
+        weights = np.zeros((len(queries), len(self.usual)), np.float32)
+        for j, (places, some) in enumerate(common):
+            weights[j, places] = some
         bound = np.maximum.reduceat(about, self.blocks[:-1], axis=1)
-        commons = []  # weights of the common terms of each section, by query
         for x in self.sections:
-            at = x.column[terms]
-            common = np.zeros((len(queries), x.dense.shape[1]), np.float32)
-            common[query[at >= 0], at[at >= 0]] = weights[at >= 0]
-            bound[:, x.blocks] += common @ x.largest.T
-            commons.append(common)
+            bound[:, x.blocks] += weights[:, x.columns] @ x.largest.T
 
         def add(opened: np.ndarray) -> None:
-            """Adds the sums of the common terms in the blocks opened, a block for all its queries at once."""
-            for b in np.flatnonzero(opened.any(axis=0)).tolist():
-                x, who = self.sections[self.section[b]], np.flatnonzero(opened[:, b])
-                rows = slice(self.blocks[b], self.blocks[b + 1])
-                about[who, rows] += commons[self.section[b]][who] @ x.dense[rows.start - x.low : rows.stop - x.low].T
+            """Adds the sums of the common terms in the blocks opened: a section at once where most are, else
+            a block for all its queries at once. Blocks summed before get the same sums."""
+            for x in self.sections:
+                here = opened[:, x.blocks]
+                who, some = (np.flatnonzero(here.any(axis=i)) for i in (1, 0))
+                if not len(who):
+                    continue
+                who = slice(None) if len(who) == len(queries) else who
+                here, mine = here[who], weights[who, x.columns]
+                if here.sum() > MOST * len(here) * (some[-1] + 1 - some[0]):
+                    rows = slice(self.blocks[x.blocks.start + some[0]], self.blocks[x.blocks.start + some[-1] + 1])
+                    about[who, rows] = sums[who, rows] + mine @ x.dense[rows.start - x.low : rows.stop - x.low].T
+                    opened[who, x.blocks.start + some[0] : x.blocks.start + some[-1] + 1] = True
+                    continue
+                for b in some.tolist():
+                    rows, of = slice(self.blocks[x.blocks.start + b], self.blocks[x.blocks.start + b + 1]), np.flatnonzero(here[:, b])
+                    at = of if isinstance(who, slice) else who[of]
+                    about[at, rows] = sums[at, rows] + mine[of] @ x.dense[rows.start - x.low : rows.stop - x.low].T
 
         # The k-th best in the blocks of highest bound, which the k-th best of all is not below.
         first, opened = {}, np.zeros(bound.shape, bool)
@@ -310,31 +408,24 @@ class BlockMaxIndex:
                     least[j, g] = np.partition(whole, len(whole) - k)[len(whole) - k]
             least[:, g] = np.maximum(least[:, g], 0) * (1 - 2 * ROUNDING)
             need[:, mine] = (bound[:, mine] * (1 + ROUNDING) >= least[:, g : g + 1]) & (bound[:, mine] > 0)
-        add(need & ~opened)
+        need &= ~opened
+        add(need)
         self.seen, self.opened = self.seen + need.size, self.opened + int((need | opened).sum())
         return sums, about, least
 
-    def _score(self, near: list[np.ndarray], rare: np.ndarray, query: np.ndarray, k: int) -> list[tuple[float, int, float]]:
-        """The k best of some rows of each group by double precision: cosine, example, lean, nearest first."""
-        rows = np.concatenate([np.zeros(0, np.int64), *near])
-        cosine = np.minimum(1.0, rare[rows] + _sums(rows, self.common_starts, self.common_terms, self.common_weights, query))
-        order = np.lexsort((self.example[rows], -cosine))
-        group = np.repeat(np.arange(len(near)), [len(x) for x in near])[order]
-        best = order[np.sort(np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(group == g)[:k] for g in range(len(near)))]))]
-        rows = rows[best]
-        lean = _sums(rows, self.lean_starts, self.lean_terms, self.lean_weights, query)
-        return list(zip(cosine[best].tolist(), self.example[rows].tolist(), lean.tolist()))
+
+def _joined(parts: Sequence[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if len(parts) else np.zeros(0, np.int64)
+
+
+def _part(columns: np.ndarray, weights: np.ndarray, ends: np.ndarray, i: int) -> Vector:
+    return columns[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]]
 
 
-def _sums(rows: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, query: np.ndarray) -> np.ndarray:
+def _sums(rows: np.ndarray, runs: Runs, query: np.ndarray) -> np.ndarray:
     """Of each row the products of its weights and the query's, summed in their order: equal rows have equal sums."""
-    first = starts[rows]
-    sizes = starts[rows + 1] - first
-    at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
-    at += np.arange(len(at))
-    products = query.take(terms.take(at))
-    products *= weights.take(at)
-    return np.bincount(np.repeat(np.arange(len(rows)), sizes), products, minlength=len(rows))
+    sizes, places, weights = runs.of(rows)
+    return np.bincount(np.repeat(np.arange(len(rows)), sizes), query.take(places) * weights, minlength=len(rows))
 
 
 def _vector(v: dict[int, float] | Vector) -> Vector:

@@ -231,6 +231,23 @@ def test_block_max_index_skips_blocks_and_finds_what_a_scan_finds():
     assert [[i for _, i, _ in x] for x in whole.nearest_of_each(queries, 15)] == [[i for _, i, _ in x] for x in index.nearest_of_each(queries, 15)]
 
 
+def test_queries_that_are_alike_are_searched_together(monkeypatch):
+    """Each call of the search opens blocks for all its queries at once, whatever the order they come in."""
+    r, vectors = np.random.default_rng(7), []
+    for i in range(2 * T.SECTION):  # two groups of examples without a common term
+        terms = 40 * (i % 2) + r.choice(40, 12, replace=False)
+        vectors.append({int(t): 12**-0.5 for t in terms})
+    index, searched = T.BlockMaxIndex.build(vectors, 80, block=80), []
+    search = index._search
+    monkeypatch.setattr(index, "_search", lambda some, *rest: searched.append({int(q[0][0]) // 40 for q in some}) or search(some, *rest))
+    queries = vectors[: 2 * T.TOGETHER]
+    found = list(index.nearest_of_each(queries, 5))
+    assert sorted(searched, key=min) == [{0}, {1}]
+    assert all(i % 2 == j % 2 for j, near in enumerate(found) for _, i, _ in near)
+    assert found == [next(index.nearest_of_each([q], 5)) for q in queries]
+    assert list(index.nearest_of_each([], 5)) == []
+
+
 def test_association_is_none_where_chance_explains_it():
     lean = T.association(np.array([40.0, 0.0, 2.0, 5.0]), np.array([40.0, 60.0, 2.0, 50.0]), 50, 450)
     assert lean[0] > 2 and lean[2] == lean[3] == 0 and lean[1] == 0 < -T.association(np.array([0.0]), np.array([300.0]), 50, 450)[0]
