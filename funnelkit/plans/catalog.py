@@ -36,7 +36,7 @@ from funnelkit.plans.refresh import ROW_KEY, keyed_mart, refresh_mart
 from funnelkit.session import as_given, bound_tasks
 from funnelkit.sources.fixture import role_frame, roles
 from funnelkit.sources.schemas import OPTIONAL, conform, read_roles, role_schema, role_schemas
-from funnelkit.sources.shared import shared_folder
+from funnelkit.sources.shared import shared_folder, written
 from funnelkit.sources.tables import read_table
 
 P = MartParams()
@@ -219,6 +219,8 @@ def earlier_roles(s: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[s
 def funnel_mart_refreshed(spark, sf_dir):
     """The flagship as a refresh: the mart of earlier roles is written, then brought up to date by the changed keys."""
     s = roles(spark, sf_dir)
+    # The early stage is an aggregation of lineitem that the earlier mart, the changed keys and the refresh take in turn.
+    s["prequal_funnel"] = written(s["prequal_funnel"], "prequal_funnel")
     before, changes = earlier_roles(s)
     path = shared_folder(spark, "mart")
     keyed_mart(before, P).write.parquet(path)

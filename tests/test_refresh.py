@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from funnelkit.plans import catalog
 from funnelkit.plans.catalog import earlier_roles
 from funnelkit.plans.mart import funnel_mart
 from funnelkit.plans.params import MartParams
@@ -68,6 +69,18 @@ def test_nothing_changed_and_unknown_roles(spark, now, full):
     assert set(CHANGE_KEYS) == set(ROLE_SCHEMAS)
 
 
+def test_the_query_aggregates_the_early_stage_once(spark, monkeypatch):
+    """The earlier mart, the changed keys and the refresh read it as a table, with the same rows."""
+    taken = []
+    monkeypatch.setattr(catalog, "keyed_mart", lambda before, p: taken.append(before) or keyed_mart(before, p))
+    monkeypatch.setattr(catalog, "refresh_mart", lambda old, s, changes, p: taken.append(s) or taken.append(changes) or old)
+    catalog.funnel_mart_refreshed(spark, SF)
+    for s in taken:
+        files = s["prequal_funnel"].inputFiles()
+        assert files and not any("lineitem" in f for f in files)
+    assert _equal(taken[1]["prequal_funnel"], roles(spark, SF)["prequal_funnel"])
+
+
 def test_scratch_tables_need_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     if not spark.conf.get("spark.checkpoint.dir", None):
