@@ -128,6 +128,12 @@ class Runs:
             return sizes, *(np.zeros(0, kind) for kind in self.kinds)
         return sizes, *(np.frombuffer(x.take(which).buffers()[2], kind, n) for x, kind in zip(self.values, self.kinds))
 
+    def sums(self, which: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Of each run of places and weights the products of its weights and the query's, summed in their order: equal
+        runs have equal sums."""
+        sizes, places, weights = self.of(which)
+        return np.bincount(np.repeat(np.arange(len(which)), sizes), query.take(places) * weights, minlength=len(which))
+
 
 @dataclass
 class Section:
@@ -328,7 +334,7 @@ class BlockMaxIndex:
         for j, (places, weights) in enumerate(common):
             exact[places] = weights
             rows = near[j] = _joined(near[j])
-            cosine.append(np.minimum(1.0, rare[j, rows] + _sums(rows, self.common, exact)))
+            cosine.append(np.minimum(1.0, rare[j, rows] + self.common.sums(rows, exact)))
             exact[places] = 0.0
         query = np.repeat(np.arange(len(near)), [len(x) for x in near])
         rows, cosine = _joined(near), _joined(cosine)
@@ -346,7 +352,7 @@ class BlockMaxIndex:
                 at = np.searchsorted(self.leaning, terms)
                 some = np.flatnonzero(self.leaning.take(at, mode="clip") == terms) if len(self.leaning) else at[:0]
                 exact[at[some]] = weights[some]
-                lean = _sums(rows[a:b], self.lean, exact).tolist()
+                lean = self.lean.sums(rows[a:b], exact).tolist()
                 exact[at[some]] = 0.0
             out.append(list(zip(cosine[a:b], example[a:b], lean)))
         return out
@@ -422,10 +428,9 @@ def _part(columns: np.ndarray, weights: np.ndarray, ends: np.ndarray, i: int) ->
     return columns[ends[i] : ends[i + 1]], weights[ends[i] : ends[i + 1]]
 
 
-def _sums(rows: np.ndarray, runs: Runs, query: np.ndarray) -> np.ndarray:
-    """Of each row the products of its weights and the query's, summed in their order: equal rows have equal sums."""
-    sizes, places, weights = runs.of(rows)
-    return np.bincount(np.repeat(np.arange(len(rows)), sizes), query.take(places) * weights, minlength=len(rows))
+def _sums(rows: np.ndarray, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """``Runs.sums`` of rows given by their terms and weights."""
+    return Runs(starts, terms, weights).sums(rows, query)
 
 
 def _vector(v: dict[int, float] | Vector) -> Vector:
